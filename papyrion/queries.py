@@ -1,0 +1,6 @@
+"""Registered queries over the test tables, with their DuckDB equivalents."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
