@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrion.llm import bpe, line_rules, mixing
-from papyrion.llm.shared import n_words, stored
+from papyrion.llm import ann, bpe, chat, html_template, line_rules, mixing, simhash, token_store, warc
+from papyrion.llm.shared import n_words, stored, work_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,5 +82,70 @@ SELECT doc_id, size, source_size, target,
 FROM e
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_quality_rules": op3_quality_rules, "op7_mix": op7_mix}
-ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op7_mix": OP7_SQL}
+
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = html_template.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document and the component that its links join it to."""
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written to a store and read back: place, length and check sum."""
+    path = work_dir(spark, "token-store")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    token_store.write_store(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_store.read_store(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation that no other one continues, rendered."""
+    return chat.format_chats(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+OP8_SQL = r"""
+WITH c AS (SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn) AS turns FROM conversations GROUP BY conv_id),
+u AS (SELECT turns, min(conv_id) AS conv_id, count(*)::BIGINT AS n_equal FROM c GROUP BY turns),
+k AS (SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM u AS o WHERE o.turns[1] = u.turns[1] AND len(o.turns) > len(u.turns) AND o.turns[1:len(u.turns)] = u.turns))
+SELECT conv_id, len(turns)::BIGINT AS n_turns, n_equal,
+       list_aggregate(list_transform(turns, lambda x: '<|im_start|>' || regexp_replace(x.r, '<\|(im_start|im_end)\|>', '<| \1|>', 'g') || chr(10)
+                      || regexp_replace(x.t, '<\|(im_start|im_end)\|>', '<| \1|>', 'g') || '<|im_end|>' || chr(10)), 'string_agg', '') AS chat
+FROM k
+"""
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of a content-addressed archive, read back from it."""
+    path = work_dir(spark, "warc")
+    warc.write_archive(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    return warc.read_archive(spark, path).select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP9_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first_id FROM p),
+d AS (SELECT *, list_transform(range(0, 8), lambda i: ('0x' || substr(hex, (i * 5 + 1)::INT, 5))::BIGINT) AS fives FROM h)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(fives, lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 15) & 31)::INT + 1, 1)
+         || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 10) & 31)::INT + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 5) & 31)::INT + 1, 1)
+         || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v & 31)::INT + 1, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM d
+"""
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors found of every fiftieth one."""
+    return ann.search(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), query_every=50, k=5)
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe, "op2_html_extract": op2_html_extract, "op3_quality_rules": op3_quality_rules, "op5_simhash": op5_simhash, "op6_token_ids": op6_token_ids,
+    "op7_mix": op7_mix, "op8_chat": op8_chat, "op9_warc": op9_warc, "op10_ann": op10_ann,
+}
+ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op7_mix": OP7_SQL, "op8_chat": OP8_SQL, "op9_warc": OP9_SQL}
