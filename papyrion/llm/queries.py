@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrion.llm import ann, bpe, chat, html_template, line_rules, mixing, simhash, token_store, warc
+from papyrion.llm import ann, bpe, chat, cotrain, html_template, line_rules, mixing, simhash, token_store, warc
 from papyrion.llm.shared import n_words, stored, work_dir
 
 
@@ -89,6 +89,13 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's scores by text, by metadata and by both, and whether it is kept."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    scored = cotrain.classify(docs, cotrain.clean_labels(_table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "text_score", "meta_score", "score", "kept")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fingerprint of every document and the component that its links join it to."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -145,7 +152,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_bpe": op1_bpe, "op2_html_extract": op2_html_extract, "op3_quality_rules": op3_quality_rules, "op5_simhash": op5_simhash, "op6_token_ids": op6_token_ids,
+    "op1_bpe": op1_bpe, "op2_html_extract": op2_html_extract, "op3_quality_rules": op3_quality_rules, "op4_quality_classifier": op4_quality_classifier, "op5_simhash": op5_simhash, "op6_token_ids": op6_token_ids,
     "op7_mix": op7_mix, "op8_chat": op8_chat, "op9_warc": op9_warc, "op10_ann": op10_ann,
 }
 ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op7_mix": OP7_SQL, "op8_chat": OP8_SQL, "op9_warc": OP9_SQL}
