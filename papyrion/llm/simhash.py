@@ -183,7 +183,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     component_id is the smallest id that a chain of links reaches, the row's own included. Null,
     empty and wordless texts have fingerprint zero and are linked like any other. Rows that repeat
-    an id are rows of their own; a row with a null id has the component of its fingerprint, null if
+    an id are one document and so linked; a row with a null id has the component of its fingerprint, null if
     no other row has it. Other columns are not kept. An empty table gives no rows.
     """
     docs = stored(fingerprints(df.select(id_col, text_col), text_col).select(id_col, "simhash"), "simhash")
