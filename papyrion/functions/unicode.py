@@ -7,15 +7,16 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc_casefold(values: pd.Series) -> pd.Series:
     """Compatibility composition and full case folding; null stays null."""
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).casefold())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_title(values: pd.Series) -> pd.Series:
     """Accents dropped, lower case, & as "and", all but letters and digits as single spaces."""
 

@@ -1,71 +1,13 @@
-"""Registered queries over the test tables, with their DuckDB equivalents.
-
-Papers are orders (year, journal = customer's nation, citations = price) with three coded
-dimensions; keywords are words of part names; raters are pairs of codes on one row.
-"""
+"""Queries on corpora: composition, convergence, growth, ingest and relevance."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrion.functions import expressions as E
 from papyrion.operators import composition, convergence, growth, ingest
-from papyrion.plans.registry import Panel, Scope, scope_bridge, scope_frame
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its DuckDB equivalent if SQL can say it."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("paper_id"), "o_custkey", F.year("o_orderdate").cast("int").alias("year"), F.col("o_totalprice").alias("citations"),
-        F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"),
-    )
-    people = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    people = people.select(F.col("c_custkey").alias("o_custkey"), F.col("n_name").alias("journal"), F.col("c_mktsegment").alias("segment"))
-    return orders.join(people, "o_custkey").drop("o_custkey")
-
-
-P = """WITH papers AS (SELECT o_orderkey AS paper_id, year(o_orderdate)::INT AS year, o_totalprice AS citations, o_orderpriority AS priority,
-o_orderstatus AS status, n_name AS journal, c_mktsegment AS segment
-FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
-"""
-
-PRIORITY = Panel("priority", "priority", ("4-NOT SPECIFIED",), 3)
-STATUS = Panel("status", "status", ("P",), 2)
-SEGMENT = Panel("segment", "segment", (), 4)
-PANELS = [PRIORITY, STATUS, SEGMENT]
-SCOPES = {
-    "all": Scope("all", lambda: F.lit(True)),
-    "urgent": Scope("urgent", lambda: F.col("priority").isin("1-URGENT", "2-HIGH")),
-    "open": Scope("open", lambda: F.col("status") == "O"),
-    "recent": Scope("recent", lambda: F.col("year") >= 1999),
-}
-_SCOPE_SQL = P + """, scoped AS (SELECT 'all' AS scope, * FROM papers UNION ALL SELECT 'urgent', * FROM papers WHERE priority IN ('1-URGENT', '2-HIGH')
-UNION ALL SELECT 'open', * FROM papers WHERE status = 'O' UNION ALL SELECT 'recent', * FROM papers WHERE year >= 1999)
-"""
-_LONG = """, long AS (SELECT paper_id, 'priority' AS panel, priority AS value, priority <> '4-NOT SPECIFIED' AS observed FROM papers
-UNION ALL SELECT paper_id, 'status', status, status <> 'P' FROM papers UNION ALL SELECT paper_id, 'segment', segment, true FROM papers)
-"""
+from papyrion.plans.registry import Panel, scope_bridge, scope_frame
+from papyrion.queries.base import LONG, PANELS, PRIORITY, SCOPE_SQL, SCOPES, P, papers, query, table
 
 
 @query(P + "SELECT status, value, papers, papers / sum(papers) OVER (PARTITION BY status) AS share FROM (SELECT status, priority AS value, count(*) AS papers FROM papers WHERE priority <> '4-NOT SPECIFIED' GROUP BY ALL)")
@@ -81,7 +23,7 @@ def distribution_full(spark, d):
     return composition.distribution(papers(spark, d), PRIORITY, "full")
 
 
-@query(P + _LONG + """, c AS (SELECT panel, value, count(*) AS papers, count(*) FILTER (observed) AS observed_papers FROM long GROUP BY ALL)
+@query(P + LONG + """, c AS (SELECT panel, value, count(*) AS papers, count(*) FILTER (observed) AS observed_papers FROM long GROUP BY ALL)
 SELECT panel, value, papers, observed_papers, papers / sum(papers) OVER (PARTITION BY panel) AS full_share,
 CASE WHEN observed_papers > 0 THEN observed_papers / sum(observed_papers) OVER (PARTITION BY panel) END AS observed_share,
 CASE WHEN observed_papers > 0 THEN row_number() OVER (PARTITION BY panel ORDER BY observed_papers DESC, value) END AS rank,
@@ -105,7 +47,7 @@ def recurring_configurations(spark, d):
     return composition.recurring_configurations(papers(spark, d), PANELS, "observed", 10)
 
 
-@query(P + _LONG + """SELECT control, control_value, outcome, outcome_value, papers, observed_papers, papers / sum(papers) OVER w AS share,
+@query(P + LONG + """SELECT control, control_value, outcome, outcome_value, papers, observed_papers, papers / sum(papers) OVER w AS share,
 CASE WHEN sum(observed_papers) OVER w > 0 THEN observed_papers / sum(observed_papers) OVER w ELSE 0 END AS observed_share FROM (
 SELECT a.panel AS control, a.value AS control_value, b.panel AS outcome, b.value AS outcome_value, count(*) AS papers, count(*) FILTER (a.observed AND b.observed) AS observed_papers
 FROM long a JOIN long b ON a.paper_id = b.paper_id AND a.panel <> b.panel GROUP BY ALL) WINDOW w AS (PARTITION BY control, control_value, outcome)""")
@@ -130,7 +72,7 @@ def distinct_values(spark, d):
     return composition.distinct_values(papers(spark, d), "journal")
 
 
-@query(_SCOPE_SQL + "SELECT scope, count(*) AS papers, count(DISTINCT journal) AS journals FROM scoped GROUP BY scope")
+@query(SCOPE_SQL + "SELECT scope, count(*) AS papers, count(DISTINCT journal) AS journals FROM scoped GROUP BY scope")
 def scope_counts(spark, d):
     rows = scope_bridge(papers(spark, d), SCOPES, ["paper_id", "journal"])
     return rows.groupBy("scope").agg(F.count("*").alias("papers"), F.count_distinct("journal").alias("journals"))
@@ -219,7 +161,7 @@ def growth_periods(spark, d):
     return growth.growth_periods(papers(spark, d), "year", [(1996, 1998), (1998, 2001), (1990, 1995)])
 
 
-@query(_SCOPE_SQL + """, g AS (SELECT DISTINCT scope FROM scoped), y AS (SELECT unnest(range(1997, 2002))::INT AS year),
+@query(SCOPE_SQL + """, g AS (SELECT DISTINCT scope FROM scoped), y AS (SELECT unnest(range(1997, 2002))::INT AS year),
 n AS (SELECT scope, year, count(*) AS n FROM scoped GROUP BY ALL)
 SELECT g.scope AS "group", y.year, coalesce(n.n, 0)::BIGINT AS added, (SELECT count(*) FROM scoped s WHERE s.scope = g.scope AND s.year <= y.year) AS cumulative FROM g, y LEFT JOIN n ON n.scope = g.scope AND n.year = y.year""")
 def cumulative_trace(spark, d):
