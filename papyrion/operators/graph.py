@@ -107,7 +107,7 @@ def seed(nodes: DataFrame, edges: DataFrame, label: str, rank_by: Column, n: int
     if not 1 <= n <= 100:
         raise ValueError("n must be between 1 and 100")
     tops = nodes.where(F.col("label") == label).join(degrees(edges), "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    tops = tops.orderBy(F.desc("degree"), rank_by.desc_nulls_last(), "node").limit(n).select("node", "degree")
+    tops = tops.withColumn("_rank", rank_by).orderBy(F.desc("degree"), F.desc_nulls_last("_rank"), "node").limit(n).select("node", "degree")
     out = undirected(edges).join(F.broadcast(tops.withColumnRenamed("node", "src")), "src")  # n rows
     return out.select("src", "degree", "dst", "type").orderBy("src", "type", "dst").limit(most_edges)
 

@@ -139,7 +139,7 @@ def topic_prevalence(spark, d):
     return topics.topic_prevalence(rows, "topic", "x", F.col("x") > 0)
 
 
-@query("SELECT source AS \"group\", lang AS topic, count(*) AS papers, 100 * count(*) / sum(count(*)) OVER (PARTITION BY source) AS percent FROM documents GROUP BY ALL")
+@query("SELECT source AS \"group\", lang AS topic, count(*) AS papers, 100 * count(*) / sum(count(*)) OVER (PARTITION BY source) AS percent FROM documents GROUP BY source, lang")
 def topic_by_group(spark, d):
     return topics.topic_by_group(table(spark, d, "documents"), "lang", "source")
 

@@ -12,9 +12,9 @@ from papyrion.queries.base import query, table
 
 _UNIT = "(l_orderkey * 20 + l_linenumber)"
 _THIRD = "CASE WHEN l_quantity < 17 THEN 'A' WHEN l_quantity < 34 THEN 'N' WHEN l_quantity < 48 THEN 'R' END"
-_L = f"""WITH l AS (SELECT {_UNIT} AS unit, 'one' AS rater, 'flag' AS dimension, l_returnflag AS value FROM lineitem
+_L = f"""WITH l AS (SELECT unit, rater, dimension, min(value) AS value FROM (SELECT {_UNIT} AS unit, 'one' AS rater, 'flag' AS dimension, l_returnflag AS value FROM lineitem
 UNION ALL SELECT {_UNIT}, 'two', 'flag', CASE WHEN l_linestatus = 'O' THEN 'A' ELSE l_returnflag END FROM lineitem
-UNION ALL SELECT {_UNIT}, 'three', 'flag', {_THIRD} FROM lineitem)
+UNION ALL SELECT {_UNIT}, 'three', 'flag', {_THIRD} FROM lineitem) GROUP BY unit, rater, dimension)
 """
 
 
@@ -22,6 +22,7 @@ def ratings(spark, d):
     li = table(spark, d, "lineitem").withColumn("unit", F.expr(_UNIT))
     two = F.when(F.col("l_linestatus") == "O", "A").otherwise(F.col("l_returnflag"))
     rows = li.select("unit", F.explode(F.array(*[F.struct(F.lit(n).alias("rater"), v.alias("flag")) for n, v in (("one", F.col("l_returnflag")), ("two", two), ("three", F.expr(_THIRD)))])).alias("x")).select("unit", "x.*")
+    rows = rows.groupBy("unit", "rater").agg(F.min("flag").alias("flag"))  # one rating a rater and unit
     return raters.long_ratings(rows, "unit", F.col("rater"), ["flag"])
 
 
@@ -88,7 +89,7 @@ def weighted_prevalence(spark, d):
     return out.withColumn("weighted_share", F.round("weighted_share", 9)).drop("weight")
 
 
-@query(_PAIRS + "SELECT a AS left_value, coalesce(b, '-') AS right_value, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY a) AS share_of_left FROM p GROUP BY ALL")
+@query(_PAIRS + "SELECT a AS left_value, coalesce(b, '-') AS right_value, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY a) AS share_of_left FROM p GROUP BY a, coalesce(b, '-')")
 def confusion_long(spark, d):
     return raters.confusion(pairs(spark, d).withColumn("b", F.coalesce("b", F.lit("-"))), "a", "b")
 
