@@ -32,6 +32,9 @@ from papyrion.llm.shared import stored
 
 #: A template class is held by at least so many pages and this percentage of the host's pages, and has so many tokens.
 LEAST_PAGES, LEAST_PERCENT, LEAST_TOKENS = 8, 90, 3
+#: Pages that hold a template token must differ: their contents' hashes fall into at least so many of 64 bins. So a
+#: page that a host serves under very many addresses does not make its own article a template.
+LEAST_BINS = 5
 
 # HTML's void, inline and raw-text elements, and the elements, roles and names of what is not main text.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -203,32 +206,34 @@ def main_text(html: str, template: dict[int, tuple[int, int, int]] | None = None
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page, token, n, place) for every different token of a page."""
+    """(host, page, content, token, n, place) for every different token of a page."""
+    names = ("host", "page", "content")
     for batch in batches:
-        hosts, pages, found = [], [], ([], [], [])
-        for host, page, html in zip(batch.column("host").to_pylist(), batch.column("page").to_pylist(), batch.column("html"), strict=True):
+        keys, found = ([], [], []), ([], [], [])
+        for *key, html in zip(*(batch.column(c).to_pylist() for c in names), batch.column("html"), strict=True):
             counts: dict[int, list[int]] = {}
             for i, (token, _, _) in enumerate(parse(html.as_py())):
                 if token:
                     counts.setdefault(token, [0, i])[0] += 1
-            hosts += [host] * len(counts)
-            pages += [page] * len(counts)
+            for k, value in enumerate(key):
+                keys[k].extend([value] * len(counts))
             for k, column in enumerate((counts, (c[0] for c in counts.values()), (c[1] for c in counts.values()))):
                 found[k].extend(column)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(pages, pa.int64()), *(pa.array(c, pa.int64()) for c in found)], ["host", "page", "token", "n", "place"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (*keys, *found)], [*names, "token", "n", "place"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, template): the tokens of each host's template classes as an array of (class, token),
-    by class from the widest and in the class's order. pages: host, page (hashes) and html."""
+    by class from the widest and in the class's order. pages: host, page, content (hashes) and html."""
     hosts = pages.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
-    rows = pages.mapInArrow(_occurrences, "host long, page long, token long, n long, place long")
+    rows = pages.mapInArrow(_occurrences, "host long, page long, content long, token long, n long, place long")
     h = F.xxhash64("page", "n")
     tokens = rows.groupBy("host", "token").agg(
         F.count("*").alias("held"), F.sum("n").alias("total"), F.sum("place").alias("place"),
         F.sum(h.bitwiseAND(F.lit(0x7FFFFFFF))).alias("v1"), F.sum(F.shiftrightunsigned(h, 33)).alias("v2"),
+        F.bit_count(F.bit_or(F.expr("shiftleft(1L, int(pmod(content, 64)))"))).alias("bins"),
     )
-    tokens = tokens.where(F.col("held") >= LEAST_PAGES).join(hosts, "host").where(F.col("held") * 100 >= F.col("pages") * LEAST_PERCENT)
+    tokens = tokens.where((F.col("held") >= LEAST_PAGES) & (F.col("bins") >= LEAST_BINS)).join(hosts, "host").where(F.col("held") * 100 >= F.col("pages") * LEAST_PERCENT)
     same = Window.partitionBy("host", "held", "total", "v1", "v2")
     tokens = tokens.withColumn("size", F.count("*").over(same)).where(F.col("size") >= LEAST_TOKENS)
     # Widest first: held by most pages, then the fewest runs a page, then the largest.
@@ -254,7 +259,7 @@ def extract(df: DataFrame, url_col: str = "url", html_col: str = "html", out_col
     """
     host = F.xxhash64(F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), _HOST, 1)))
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
-    found = stored(templates(df.select(host.alias("host"), F.xxhash64(F.col(url_col), html).alias("page"), html.alias("html"))), "templates")
+    found = stored(templates(df.select(host.alias("host"), F.xxhash64(F.col(url_col), html).alias("page"), F.xxhash64(html).alias("content"), html.alias("html"))), "templates")
 
     @F.pandas_udf("string")
     def text_of(hosts: pd.Series, pages: pd.Series, template: pd.Series) -> pd.Series:
