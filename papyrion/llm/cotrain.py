@@ -1,13 +1,15 @@
 """Quality classifier by co-training.
 
-Two logistic regressions see a document by different views: one its text (hashed words and style
-figures), the other its metadata (source, language, length). Over a few rounds each labels pool
+Two logistic regressions see a document by different views: one its text (words, beginnings of
+words and style figures), the other its metadata (source, language, length). Over a few rounds each labels pool
 documents that it is sure of, and those join the other's training rows. Each view is then
 calibrated on held-out labels, and the calibrated views are combined into one score for every
 document.
 
 What is fitted to is bounded: at most FIT_ROWS labelled rows and POOL_ROWS unlabelled ones, both
-chosen by the hash of their ids from the whole table; that list of ids is all that is broadcast.
+chosen by the hash of their ids from the whole table, and a vocabulary of at most TERMS terms of
+those; the list of ids, the vocabulary and the models are all that is broadcast. Text weights are
+sparse (an L1 penalty), since most words say nothing of quality.
 Features, fits and scores are Spark ML's, and all documents are scored in one pass without a
 shuffle.
 """
@@ -18,8 +20,8 @@ from dataclasses import dataclass
 from math import log
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import FeatureHasher, HashingTF, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, FeatureHasher, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,38 +34,45 @@ HELD = 5
 ROUNDS = 2
 #: A view is sure of a label at this probability and its complement.
 SURE = 0.98
-TERMS = 1 << 15
-KEEP_AT = 0.5
+#: Most terms of the vocabulary, the labelled rows that a term must be in, and how long beginnings of words are.
+TERMS, TERM_ROWS, BEGINS = 1 << 15, 10, (5, 7)
+#: Weights of the penalties of the two views; the text's is L1, the metadata's L2.
+SPARSE, RIDGE = 2e-3, 1e-2
+KEEP_AT = 0.7
 
 
 def featured(docs: DataFrame, text_col: str, source_col: str, lang_col: str) -> DataFrame:
-    """docs with the two views' vectors, _text_view and _meta_view. Null texts count as empty, null
-    sources and languages as a value of their own."""
+    """docs with what the two views' vectors are made of: _terms (words, and the beginnings of longer
+    ones), _style and _meta_view. Null texts count as empty, null sources and languages as a value of
+    their own."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    chars = F.greatest(F.char_length(text), F.lit(1))
+    often = lambda pattern, whole: F.log1p(100.0 * F.regexp_count(text, F.lit(pattern)) / whole)
 
-    def style(terms: Column) -> Column:
-        chars = F.greatest(F.char_length(text), F.lit(1)).cast("double")
-        share = lambda pattern: F.char_length(F.regexp_replace(text, pattern, "")) / chars
+    def parts(words: Column) -> Column:
+        begins = [F.transform(F.filter(words, lambda x: F.char_length(x) > n), lambda x: F.concat(F.substring(x, 1, n), F.lit("-"))) for n in BEGINS]  # noqa: B023
         lines = F.filter(F.split(text, "\n", -1), lambda x: x != "")
         return F.struct(
-            terms.alias("terms"),
+            # The empty term is in every text, so that there always is a vocabulary.
+            F.concat(F.array(F.lit("")), words, *begins).alias("terms"),
             F.array(
-                F.log1p(F.size(terms)), share(r"[^\p{Lu}]+"), share(r"[^\p{N}]+"), share(r"[\p{L}\p{N}\s]+"), share(r"[^|#*$%&<>!]+"),
-                F.size(F.array_distinct(terms)) / F.greatest(F.size(terms), F.lit(1)),
+                F.log1p(F.size(words).cast("double")), often(r"\p{Lu}", chars), often(r"\p{N}", chars), often(r"[#*$%&<>]", chars), often(r"\|", chars), often("!", chars),
+                often(r"(?<![\p{L}\p{N}])([\p{L}\p{N}]++) (?=\1(?![\p{L}\p{N}]))", F.greatest(F.size(words), F.lit(1))),
                 F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1)),
             ).alias("style"),
         )
 
-    terms = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    out = docs.withColumn("_f", let(terms, style)).withColumn("_terms", F.col("_f.terms"))
-    style_columns = [f"_style{i}" for i in range(7)]
-    out = out.select("*", *[F.col("_f.style")[i].alias(c) for i, c in enumerate(style_columns)]).drop("_f")
-    out = HashingTF(numFeatures=TERMS, binary=True, inputCol="_terms", outputCol="_hashed").transform(out)
-    out = VectorAssembler(inputCols=["_hashed", *style_columns], outputCol="_text_view").transform(out)
-    size = F.floor(F.log2(F.greatest(F.char_length(text), F.lit(1)))).cast("string")
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    out = docs.withColumn("_f", let(words, parts)).withColumns({"_terms": F.col("_f.terms"), "_style": array_to_vector(F.col("_f.style"))}).drop("_f")
+    size = F.floor(F.log2(chars)).cast("string")
     out = out.withColumns({"_m_source": F.coalesce(F.col(source_col).cast("string"), F.lit("null")), "_m_lang": F.coalesce(F.col(lang_col).cast("string"), F.lit("null")), "_m_size": size})
     out = FeatureHasher(inputCols=["_m_source", "_m_lang", "_m_size"], outputCol="_meta_view", numFeatures=1 << 12).transform(out)
-    return out.drop("_terms", "_hashed", *style_columns, "_m_source", "_m_lang", "_m_size")
+    return out.drop("_m_source", "_m_lang", "_m_size")
+
+
+def _with_text_view(df: DataFrame, vocabulary: CountVectorizerModel) -> DataFrame:
+    out = VectorAssembler(inputCols=["_counts", "_style"], outputCol="_text_view").transform(vocabulary.transform(df))
+    return out.drop("_counts", "_style", "_terms")
 
 
 def _margin(model: LogisticRegressionModel, df: DataFrame, view: str, out: str) -> DataFrame:
@@ -74,9 +83,10 @@ def _margin(model: LogisticRegressionModel, df: DataFrame, view: str, out: str)
 
 @dataclass
 class CoTrained:
-    """The two views' models, and the calibrations: score = sigmoid(a + b * text + c * meta), where
+    """The vocabulary, the two views' models, and the calibrations: score = sigmoid(a + b * text + c * meta), where
     text and meta are the views' own calibrated log-odds."""
 
+    vocabulary: CountVectorizerModel | None
     text: LogisticRegressionModel | None
     meta: LogisticRegressionModel | None
     text_line: tuple[float, float] = (0.0, 0.0)
@@ -90,7 +100,7 @@ class CoTrained:
         plain = docs.drop(*names)
         if self.text is None or self.meta is None:
             return plain.withColumns({c: F.lit(1.0) for c in names})
-        out = featured(plain, text_col, source_col, lang_col)
+        out = _with_text_view(featured(plain, text_col, source_col, lang_col), self.vocabulary)
         out = _margin(self.meta, _margin(self.text, out, "_text_view", "_t"), "_meta_view", "_m").drop("_text_view", "_meta_view")
         t, m = (F.lit(line[0]) + F.lit(line[1]) * F.col(c) for line, c in ((self.text_line, "_t"), (self.meta_line, "_m")))
         both = F.lit(self.both[0]) + F.lit(self.both[1]) * t + F.lit(self.both[2]) * m
@@ -98,8 +108,9 @@ class CoTrained:
         return out.select(*plain.columns, *[sigmoid(x).alias(c) for x, c in zip((t, m, both), names, strict=True)])
 
 
-def _fit(rows: DataFrame, view: str, ridge: float) -> LogisticRegressionModel:
-    return LogisticRegression(featuresCol=view, labelCol="label", maxIter=25, regParam=ridge).fit(rows.select(view, "label"))
+def _fit(rows: DataFrame, view: str, penalty: float, sparse: bool = False) -> LogisticRegressionModel:
+    """A logistic fit with an L2 penalty, or an L1 penalty if sparse."""
+    return LogisticRegression(featuresCol=view, labelCol="label", maxIter=40 if sparse else 25, regParam=penalty, elasticNetParam=float(sparse)).fit(rows.select(view, "label"))
 
 
 def _line(rows: DataFrame, inputs: list[str]) -> list[float]:
@@ -125,16 +136,18 @@ def train(
     chosen = stored(chosen.unionByName(pool), "cotrain-ids")
     # Bounded by fit_rows + pool_rows: small enough to send to every task.
     rows = docs.select(id_col, text_col, source_col, lang_col).join(F.broadcast(chosen), id_col)
-    rows = featured(rows, text_col, source_col, lang_col).select(id_col, "label", "role", "_text_view", "_meta_view")
+    rows = featured(rows, text_col, source_col, lang_col).select(id_col, "label", "role", "_terms", "_style", "_meta_view")
     rows = stored(rows, "cotrain-rows").coalesce(8)
     found = {(r.role, r.label): r.n for r in rows.groupBy("role", "label").agg(F.count("*").alias("n")).collect()}
     if not all(found.get((role, label)) for role in ("train", "held") for label in (0.0, 1.0)):
-        return CoTrained(None, None)
+        return CoTrained(None, None, None)
+    vocabulary = CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=TERMS, minDF=TERM_ROWS, binary=True).fit(rows.where("role = 'train'"))
+    rows = stored(_with_text_view(rows, vocabulary), "cotrain-views").coalesce(8)
     labelled, held, pool = (rows.where(F.col("role") == r) for r in ("train", "held", "pool"))
     for_text, for_meta = labelled, labelled
     sure = log(SURE / (1 - SURE))
     for i in range(rounds + 1):
-        text, meta = _fit(for_text, "_text_view", 2e-3), _fit(for_meta, "_meta_view", 1e-2)
+        text, meta = _fit(for_text, "_text_view", SPARSE, sparse=True), _fit(for_meta, "_meta_view", RIDGE)
         if i < rounds:
             scored = _margin(meta, _margin(text, pool, "_text_view", "_t"), "_meta_view", "_m")
             confident = lambda c: scored.where(F.abs(c) >= sure).withColumn("label", (F.col(c) > 0).cast("double")).select(*rows.columns)  # noqa: B023, E731
@@ -142,7 +155,7 @@ def train(
     margins = stored(_margin(meta, _margin(text, held, "_text_view", "_t"), "_meta_view", "_m").select("label", "_t", "_m"), "cotrain-held").coalesce(1)
     (a, b), (c, d) = _line(margins, ["_t"]), _line(margins, ["_m"])
     lines = margins.select("label", (F.lit(a) + F.lit(b) * F.col("_t")).alias("t"), (F.lit(c) + F.lit(d) * F.col("_m")).alias("m"))
-    return CoTrained(text, meta, (a, b), (c, d), tuple(_line(lines, ["t", "m"])))
+    return CoTrained(vocabulary, text, meta, (a, b), (c, d), tuple(_line(lines, ["t", "m"])))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", keep_at: float = KEEP_AT, **bounds) -> DataFrame:
