@@ -100,12 +100,14 @@ class CoTrained:
         plain = docs.drop(*names)
         if self.text is None or self.meta is None:
             return plain.withColumns({c: F.lit(1.0) for c in names})
-        out = _with_text_view(featured(plain, text_col, source_col, lang_col), self.vocabulary)
-        out = _margin(self.meta, _margin(self.text, out, "_text_view", "_t"), "_meta_view", "_m").drop("_text_view", "_meta_view")
+        # The rows travel as one struct, whatever their columns are called.
+        out = plain.select(F.struct("*").alias("row"), F.col(text_col).alias("text"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"))
+        out = _with_text_view(featured(out, "text", "source", "lang"), self.vocabulary)
+        out = _margin(self.meta, _margin(self.text, out, "_text_view", "_t"), "_meta_view", "_m")
         t, m = (F.lit(line[0]) + F.lit(line[1]) * F.col(c) for line, c in ((self.text_line, "_t"), (self.meta_line, "_m")))
         both = F.lit(self.both[0]) + F.lit(self.both[1]) * t + F.lit(self.both[2]) * m
         sigmoid = lambda x: 1 / (1 + F.exp(-x))
-        return out.select(*plain.columns, *[sigmoid(x).alias(c) for x, c in zip((t, m, both), names, strict=True)])
+        return out.select("row.*", *[sigmoid(x).alias(c) for x, c in zip((t, m, both), names, strict=True)])
 
 
 def _fit(rows: DataFrame, view: str, penalty: float, sparse: bool = False) -> LogisticRegressionModel:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyrion.llm.shared import stored
+from papyrion.llm.shared import free_name, stored
 
 #: A template class is held by at least so many pages and this percentage of the host's pages, and has so many tokens.
 LEAST_PAGES, LEAST_PERCENT, LEAST_TOKENS = 8, 90, 3
@@ -272,5 +272,6 @@ def extract(df: DataFrame, url_col: str = "url", html_col: str = "html", out_col
         return pd.Series(out, dtype=object)
 
     plain = df.drop(out_col) if html_col != out_col and url_col != out_col else df
-    joined = plain.withColumn("_page_host", host).join(found.select(F.col("host").alias("_page_host"), F.col("template").alias("_page_template")), "_page_host", "left")
-    return joined.withColumn(out_col, text_of("_page_host", html, "_page_template")).drop("_page_host", "_page_template")
+    of_host, of_template = free_name(plain, "_page_host"), free_name(plain, "_page_template")
+    joined = plain.withColumn(of_host, host).join(found.select(F.col("host").alias(of_host), F.col("template").alias(of_template)), of_host, "left")
+    return joined.withColumn(out_col, text_of(of_host, html, of_template)).drop(of_host, of_template)

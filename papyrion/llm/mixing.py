@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyrion.llm.shared import free_name
+
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
 #: The mix's size as a share of the input's, in percent.
@@ -66,26 +68,28 @@ def mix(
     One source may hold most rows: its order is cut into 16^range_digits ranges, and no window over
     rows spans more than one of them.
     """
-    plain = df.drop("source_size", "target", "copies", "taken")
-    # One plain key for the source keeps null apart from every string and joins without null rules.
-    keyed = plain.withColumn("_source", F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")))
-    keyed = keyed.withColumn("_key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))))
-    keyed = keyed.withColumn("_range", F.substring("_key", 1, range_digits)).withColumn("_size", F.coalesce(F.col(size_col).cast("long"), F.lit(0)))
-    ranges = keyed.groupBy("_source", source_col, "_range").agg(F.sum("_size").alias("_sum"))
+    # The rows travel as one struct, whatever their columns are called. One plain key for the source
+    # keeps null apart from every string and joins without null rules.
+    keyed = df.drop("source_size", "target", "copies", "taken").select(
+        F.struct("*").alias("row"), F.col(source_col).alias("source"), F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")).alias("_source"), F.col(id_col).alias("id"),
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("_key"), F.coalesce(F.col(size_col).cast("long"), F.lit(0)).alias("_size"),
+    ).withColumn("_range", F.substring("_key", 1, range_digits))
+    ranges = keyed.groupBy("_source", "source", "_range").agg(F.sum("_size").alias("_sum"))
     before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    targets = source_targets(ranges, source_col, "_sum", weights, share, most)
+    targets = source_targets(ranges, "source", "_sum", weights, share, most)
     targets = targets.select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("_source"), "source_size", "target")
     starts = ranges.select("_source", "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start")).join(targets, "_source")
-    inside = Window.partitionBy("_source", "_range").orderBy("_key", id_col, "_size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_source", "_range").orderBy("_key", "id", "_size").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(starts, ["_source", "_range"])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     left = F.col("target") - F.col("_epochs") * F.col("source_size")
     more = (left > 0) & ((F.col("_start") + F.col("_inside")) * 2 + F.col("_size") <= left * 2)
     placed = placed.withColumn("_epochs", epochs).withColumn("copies", F.col("_epochs") + more.cast("long"))
-    return placed.select(*plain.columns, "source_size", "target", "copies", (F.col("copies") * F.col("_size")).alias("taken"))
+    return placed.select("row.*", "source_size", "target", "copies", (F.col("copies") * F.col("_size")).alias("taken"))
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
     """Each row of mix()'s result as often as it was taken, without the columns that mix() added."""
-    epochs = mixed.where(F.col("copies") > 0).withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return epochs.drop("_epoch", "source_size", "target", "copies", "taken")
+    epoch = free_name(mixed, "_epoch")
+    epochs = mixed.where(F.col("copies") > 0).withColumn(epoch, F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return epochs.drop(epoch, "source_size", "target", "copies", "taken")
