@@ -90,3 +90,10 @@ def unresolved_plurals(canonical: DataFrame) -> DataFrame:
     terms = canonical.select("canonical").distinct()
     plural = terms.where(F.col("canonical").endswith("s")).select(F.col("canonical").alias("plural"), F.expr("left(canonical, length(canonical) - 1)").alias("canonical"))
     return plural.join(terms, "canonical").select(F.col("canonical").alias("singular"), "plural")
+
+
+def trajectories(bridge: DataFrame, paper: str, year: str, n: int) -> DataFrame:
+    """(keyword, year, papers) of the n keywords with the most papers over all years (ties: the smaller
+    keyword). The n keywords are a bounded list, so they go to every task."""
+    tops = bridge.groupBy("keyword").agg(F.count_distinct(paper).alias("_n")).orderBy(F.desc("_n"), "keyword").limit(n).select("keyword")
+    return bridge.join(F.broadcast(tops), "keyword").groupBy("keyword", year).agg(F.count_distinct(paper).alias("papers"))

@@ -120,6 +120,11 @@ def centroid_nearest(df: DataFrame, key: str, topic: str, vector: str, n: int =
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("similarity"), key))).where(F.col("rank") <= n)
 
 
+def fitted(df: DataFrame, topic: str, order: list, n: int) -> DataFrame:
+    """The n first rows of each topic by an explicit order, with their rank."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(topic).orderBy(*order))).where(F.col("rank") <= n)
+
+
 def term_column(counts: DataFrame, key: str) -> DataFrame:
     """(key, terms): "term:count;..." by count descending, then term."""
     parts = counts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "phrase", "n"))).alias("x"))
