@@ -6,6 +6,12 @@ that no link escapes. Fingerprints of one key are compared in blocks whose bits
 planes, one machine word for 64 fingerprints: each plane adds to all distances at once by
 carry-save counters, and a block is left as soon as every distance exceeds the radius. Linked
 fingerprints leave a comparison as a star about the smallest one, never as all their pairs.
+
+``similar`` compares the same way, but finds texts by the similarity of their 5-word shingles. 64 bits
+are too few for that, so its fingerprints have 768, of which two texts of similarity J differ in about
+acos(2J / (1 + J)) / pi; 128 of 768 stand for 0.8, give or take 0.04. Whose bits are compared is
+settled by the smallest shingle hashes of four kinds: texts of similarity 0.8 share one with
+probability 0.998.
 """
 
 from __future__ import annotations
@@ -26,6 +32,8 @@ SHINGLE, SEED, RADIUS = 3, 42, 3
 BLOCK = 1024
 #: Fingerprints of one key that meet in one task; those of a larger key meet in all pairs of parts.
 PART = 16384
+#: Of ``similar``: words of a fingerprint, shingle, radius, smallest hashes, and the rows of a part.
+WORDS, WIDE_SHINGLE, WIDE_RADIUS, MINIMA, WIDE_PART = 12, 5, 128, 4, 4096
 
 
 def fingerprint(text: str | None) -> int:
@@ -62,90 +70,126 @@ def fingerprints(df: DataFrame, text_col: str = "text", out_col: str = "simhash"
     return df.withColumn(out_col, of(F.col(text_col).cast("string")))
 
 
+def _mixed(hashes: np.ndarray, first: int, n: int) -> np.ndarray:
+    """n further 64-bit hashes of each hash (splitmix64 of its sum with multiples of the golden ratio)."""
+    z = hashes[:, None] + np.arange(first + 1, first + n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def sketch(text: str | None) -> tuple[bytes, list[int]]:
+    """The 768-bit SimHash of the different 5-word shingles of a text, and their smallest hashes of
+    four kinds as signed integers; zero bits and none without words. Words as in ``fingerprint``."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return bytes(8 * WORDS), []
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = max(1, len(words) - WIDE_SHINGLE + 1)
+    digest = xxhash.xxh64_intdigest
+    hashes = np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)), np.uint64, n))
+    counts = np.zeros(64 * WORDS, np.int64)
+    smallest = np.full(MINIMA, 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        some = hashes[at : at + 1024]
+        counts += np.unpackbits(_mixed(some, 0, WORDS).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+        smallest = np.minimum(smallest, _mixed(some, WORDS, MINIMA).min(axis=0))
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), smallest.view(np.int64).tolist()
+
+
 def planes(values: np.ndarray) -> np.ndarray:
-    """Bit planes of uint64 values: row b holds bit b of each, 64 values a word."""
-    padded = np.zeros(-(-len(values) // 64) * 64, np.uint64)
+    """Bit planes of fingerprints, each a row of uint64 words: row b holds bit b of each fingerprint,
+    64 fingerprints a word."""
+    padded = np.zeros((-(-len(values) // 64) * 64, values.shape[1]), np.uint64)
     padded[: len(values)] = values
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
 def near(queries: np.ndarray, block: np.ndarray, n: int, radius: int = RADIUS) -> np.ndarray:
-    """Boolean (queries, n): which of the block's n values lie within the radius of which query.
+    """Boolean (queries, n): which of the block's n fingerprints lie within the radius of which query.
 
-    radius + 1 is a power of two: the counters hold 0 to radius, and what carries out of them marks
-    the distance as beyond it for good.
+    Counters start so that they overflow just beyond the radius; what carries out of them marks the
+    distance as beyond it for good.
     """
     size = radius.bit_length()
+    spare = (1 << size) - 1 - radius
     shape = (len(queries), block.shape[1])
-    counters = [np.zeros(shape, np.uint64) for _ in range(size)]
+    full, one = ~np.uint64(0), np.uint64(1)
+    counters = [np.full(shape, full if spare >> i & 1 else 0, np.uint64) for i in range(size)]
     beyond = np.zeros(shape, np.uint64)
-    one = np.uint64(1)
-    for b in range(64):
-        mask = np.uint64(0) - ((queries >> np.uint64(b)) & one)
+    bits = 64 * queries.shape[1]
+    for b in range(bits):
+        mask = np.uint64(0) - ((queries[:, b // 64] >> np.uint64(b % 64)) & one)
         carry = block[b][None, :] ^ mask[:, None]
         for i in range(size):
             counters[i], carry = counters[i] ^ carry, counters[i] & carry
         beyond |= carry
-        if b % 8 == 7 and b < 63 and (beyond == ~np.uint64(0)).all():
+        if b % 8 == 7 and b >= radius and b + 1 < bits and (beyond == full).all():
             return np.zeros((len(queries), n), bool)
     found = np.unpackbits(np.ascontiguousarray(beyond).view(np.uint8), axis=1, bitorder="little")[:, :n]
     return found == 0
 
 
-def _stars(values: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (id, smallest id of its group) for the groups of linked values."""
+def _stars(values: np.ndarray, ids: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (id, smallest id of its group) for the groups of linked values. Links are merged block
+    by block, so that very many of them are never held at once."""
     order = np.argsort(ids, kind="stable")
     values, ids = values[order], ids[order]
     n, root = len(values), np.arange(len(values))
     blocks = [(at, values[at : at + BLOCK]) for at in range(0, n, BLOCK)]
     sliced = [planes(v) for _, v in blocks]
-    links = []
     for i, (at, v) in enumerate(blocks):
         for j in range(i + 1):
-            rows, cols = np.nonzero(near(v, sliced[j], len(blocks[j][1])))
-            rows, cols = rows + at, cols + blocks[j][0]
-            keep = cols < rows
-            links.append(np.stack([rows[keep], cols[keep]]))
-    a, b = np.concatenate(links, axis=1)
-    while len(a):
-        low = np.minimum(root[a], root[b])
-        np.minimum.at(root, root[a], low)
-        np.minimum.at(root, root[b], low)
-        root = root[root]
-        open_ = root[a] != root[b]
-        a, b = a[open_], b[open_]
-    while not np.array_equal(root, root[root]):
-        root = root[root]
+            a, b = np.nonzero(near(v, sliced[j], len(blocks[j][1]), radius))
+            a, b = a + at, b + blocks[j][0]
+            open_ = root[a] != root[b]
+            a, b = a[open_], b[open_]
+            while len(a):
+                low = np.minimum(root[a], root[b])
+                np.minimum.at(root, root[a], low)
+                np.minimum.at(root, root[b], low)
+                while not np.array_equal(root, root[root]):
+                    root = root[root]
+                open_ = root[a] != root[b]
+                a, b = a[open_], b[open_]
     moved = np.nonzero(root != np.arange(n))[0]
     return ids[moved], ids[root[moved]]
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group in, edges out. Small groups share a block: a link between two of them
-    is a true one all the same."""
-    group = np.empty(0, np.int64)
-    value, ids = np.empty(0, np.uint64), np.empty(0, np.int64)
-
-    def edges(lo: int, hi: int) -> pa.RecordBatch:
-        a, b = _stars(value[lo:hi], ids[lo:hi])
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    for batch in batches:
-        group = np.concatenate([group, batch.column("group").to_numpy()])
-        value = np.concatenate([value, batch.column("simhash").to_numpy().view(np.uint64)])
-        ids = np.concatenate([ids, batch.column("node").to_numpy()])
-        ends = np.nonzero(group[1:] != group[:-1])[0] + 1
-        at = 0
-        while len(ends) and ends[-1] > at:
-            # As many whole groups as a block holds, or the next one alone.
-            k = np.searchsorted(ends, at + BLOCK, side="right")
-            end = int(ends[k - 1]) if k and ends[k - 1] > at else int(ends[np.searchsorted(ends, at, side="right")])
-            yield edges(at, end)
-            at = end
-        group, value, ids = group[at:], value[at:], ids[at:]
-    if len(group):
-        yield edges(0, len(group))
+def _comparison(width: int, radius: int):
+    """A map over rows (group, value, node) sorted by group, with edges out. Small groups share a
+    block: a link between two of them is a true one all the same."""
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = np.empty(0, np.int64)
+        value, ids = np.empty((0, width), np.uint64), np.empty(0, np.int64)
+
+        def edges(lo: int, hi: int) -> pa.RecordBatch:
+            a, b = _stars(value[lo:hi], ids[lo:hi], radius)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            column = batch.column("value")
+            words = np.frombuffer(b"".join(column.to_pylist()), "<u8") if pa.types.is_binary(column.type) else column.to_numpy().view(np.uint64)
+            group = np.concatenate([group, batch.column("group").to_numpy()])
+            value = np.concatenate([value, words.reshape(-1, width)])
+            ids = np.concatenate([ids, batch.column("node").to_numpy()])
+            ends = np.nonzero(group[1:] != group[:-1])[0] + 1
+            at = 0
+            while len(ends) and ends[-1] > at:
+                # As many whole groups as a block holds, or the next one alone.
+                k = np.searchsorted(ends, at + BLOCK, side="right")
+                end = int(ends[k - 1]) if k and ends[k - 1] > at else int(ends[np.searchsorted(ends, at, side="right")])
+                yield edges(at, end)
+                at = end
+            group, value, ids = group[at:], value[at:], ids[at:]
+        if len(group):
+            yield edges(0, len(group))
+
+    return compared
 
 
 def _keys() -> list:
@@ -161,21 +205,67 @@ def _keys() -> list:
     return found
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) that join all nodes (node, simhash; each simhash once) within the radius.
+def _with_sizes(keyed: DataFrame) -> DataFrame:
+    """Rows whose key others share, with how many share it."""
+    return keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
 
-    A key that very many fingerprints share is split into parts that meet pairwise, each pair in a
-    group of its own; every pair of fingerprints meets in one of them.
-    """
-    keyed = nodes.select("node", "simhash", F.explode(F.array(*_keys())).alias("key"))
-    shared_keys = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = keyed.join(shared_keys, "key").withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
-    part = F.pmod(F.xxhash64("simhash"), F.col("parts")).cast("int")
+
+def _dealt(rows: DataFrame, size: int) -> DataFrame:
+    """(group, node, value) of _with_sizes()'s rows: a key that more than ``size`` rows share is split
+    into parts that meet pairwise, each pair in a group of its own; every two rows meet in one."""
+    rows = rows.withColumn("parts", F.ceil(F.col("n") / size).cast("int"))
+    part = F.pmod(F.xxhash64("value"), F.col("parts")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.xxhash64(F.least(part, o), F.greatest(part, o)))
-    alone = rows.where("parts = 1").select("key", "node", "simhash", F.lit(0).cast("long").alias("pair"))
-    split = rows.where("parts > 1").select("key", "node", "simhash", F.explode(others).alias("pair"))
-    rows = alone.unionByName(split).select(F.when(F.col("pair") == 0, F.col("key")).otherwise(F.xxhash64("key", "pair")).alias("group"), "node", "simhash")
-    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(_compared, "a long, b long")
+    alone = rows.where("parts = 1").select("key", "node", "value", F.lit(0).cast("long").alias("pair"))
+    split = rows.where("parts > 1").select("key", "node", "value", F.explode(others).alias("pair"))
+    return alone.unionByName(split).select(F.when(F.col("pair") == 0, F.col("key")).otherwise(F.xxhash64("key", "pair")).alias("group"), "node", "value")
+
+
+def _edges(groups: DataFrame, width: int, radius: int) -> DataFrame:
+    return groups.repartition("group").sortWithinPartitions("group").mapInArrow(_comparison(width, radius), "a long, b long")
+
+
+def links(nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) that join all nodes (node, simhash; each simhash once) within the radius."""
+    keyed = nodes.select("node", F.col("simhash").alias("value"), F.explode(F.array(*_keys())).alias("key"))
+    return _edges(_dealt(_with_sizes(keyed), PART), 1, RADIUS)
+
+
+def similar_links(nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) between nodes (node, bits, minima) whose shingles are similar. Nodes meet that
+    share a smallest hash; where very many share one, as with a passage in very many texts, they meet
+    by two."""
+    keyed = nodes.select("node", F.col("bits").alias("value"), "minima", F.posexplode("minima").alias("k", "m")).withColumn("key", F.xxhash64("k", "m"))
+    rows = _with_sizes(keyed)
+    second = F.filter(F.transform("minima", lambda m, i: F.when(i != F.col("k"), F.xxhash64("key", i, m))), lambda x: x.isNotNull())
+    few, many = rows.where(F.col("n") <= WIDE_PART), rows.where(F.col("n") > WIDE_PART).select("node", "value", F.explode(second).alias("key"))
+    groups = few.select(F.col("key").alias("group"), "node", "value").unionByName(_dealt(_with_sizes(many), WIDE_PART))
+    return _edges(groups, WORDS, WIDE_RADIUS)
+
+
+def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of df: id, component_id, the smallest id that a chain of similar texts reaches,
+    its own included. Texts are similar if their sets of 5-word shingles have a Jaccard similarity of
+    0.8 or more, as 768 bits tell it (about 0.76 to 0.84); equal bits are always linked.
+
+    Null, empty and wordless texts are equal. Ids and nulls are treated as by ``near_duplicates``.
+    Other columns are not kept. An empty table gives no rows.
+    """
+
+    @F.arrow_udf("struct<bits: binary, minima: array<bigint>>")
+    def sketches(texts: pa.Array) -> pa.Array:
+        bits, minima = zip(*[sketch(t.as_py()) for t in texts], strict=True) if len(texts) else ((), ())
+        return pa.StructArray.from_arrays([pa.array(bits, pa.binary()), pa.array(minima, pa.list_(pa.int64()))], ["bits", "minima"])
+
+    docs = stored(df.select(id_col, sketches(F.col(text_col).cast("string")).alias("s")).select(id_col, "s.bits", "s.minima"), "sketches")
+    nodes = stored(docs.where(F.col(id_col).isNotNull()).groupBy("bits").agg(F.min(id_col).cast("long").alias("node"), F.min("minima").alias("minima")), "sketch-nodes")
+    return _named(docs, nodes, components(similar_links(nodes), "sketch-components"), "bits").select(id_col, "component_id")
+
+
+def _named(docs: DataFrame, nodes: DataFrame, found: DataFrame, value: str) -> DataFrame:
+    """docs with the component_id of their value's node."""
+    named = nodes.join(found, "node", "left").select(value, F.coalesce("component", "node").alias("component_id"))
+    return docs.join(named, value, "left")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,7 +279,5 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = stored(fingerprints(df.select(id_col, text_col), text_col).select(id_col, "simhash"), "simhash")
     nodes = docs.where(F.col(id_col).isNotNull()).groupBy("simhash").agg(F.min(id_col).cast("long").alias("node"))
     nodes = stored(nodes, "simhash-nodes")
-    found = components(links(nodes), "simhash-components")
-    found = nodes.join(found, "node", "left").select("simhash", F.coalesce("component", "node").alias("component_id"))
     digits = F.lpad(F.lower(F.hex("simhash")), 16, "0")
-    return docs.join(found, "simhash", "left").select(id_col, digits.alias("fingerprint"), "component_id")
+    return _named(docs, nodes, components(links(nodes), "simhash-components"), "simhash").select(id_col, digits.alias("fingerprint"), "component_id")

@@ -42,7 +42,7 @@ def test_filters_only_drop(steps):
 def test_one_of_each_group_stays(steps):
     from papyrion.llm import simhash
 
-    groups = simhash.near_duplicates(steps[2])
+    groups = simhash.similar(steps[2])
     assert {r.doc_id for r in steps[3].collect()} == {r.c for r in groups.select(F.col("component_id").alias("c")).distinct().collect()}
 
 

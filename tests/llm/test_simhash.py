@@ -47,7 +47,7 @@ def test_fingerprint(text):
 def test_bit_sliced_distances(queries, flips):
     q = np.array(queries, np.uint64)
     values = np.array([queries[i % len(queries)] ^ sum(1 << b for b in set(bits)) for i, bits in enumerate(flips)], np.uint64)
-    got = simhash.near(q, simhash.planes(values), len(values))
+    got = simhash.near(q.reshape(-1, 1), simhash.planes(values.reshape(-1, 1)), len(values))
     want = np.array([[(int(a) ^ int(b)).bit_count() <= 3 for b in values] for a in q])
     assert np.array_equal(got, want)
 
@@ -103,3 +103,81 @@ def test_components_of_a_chain_and_a_star(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, **{i: 7 for i in range(20, 60)}, 7: 7}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("radius", [0, 1, 5, 127, 128, 200])
+def test_any_radius_and_width(radius):
+    rng = np.random.default_rng(radius)
+    base = rng.integers(0, 2**64, (6, 12), dtype=np.uint64)
+    flips = rng.random((90, 768)) < rng.choice([0.0, 0.01, radius / 768, 0.3], 90)[:, None]
+    values = base[np.arange(90) % 6] ^ np.packbits(flips, axis=1, bitorder="little").view("<u8")
+    got = simhash.near(base, simhash.planes(values), 90, radius)
+    assert np.array_equal(got, np.bitwise_count(base[:, None, :] ^ values[None, :, :]).sum(axis=2) <= radius)
+
+
+def shingles(text):
+    words = text.encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("part", [simhash.WIDE_PART, 20])
+def test_similar_texts_are_found_and_others_left_alone(spark, monkeypatch, part):
+    """Also where very many texts share a passage, so that hashes are shared by more than a part."""
+    monkeypatch.setattr(simhash, "WIDE_PART", part)
+    rng = np.random.default_rng(11)
+    passage = [f"p{i}" for i in range(60)]
+    texts = {}
+    for base in range(60):
+        words = [f"w{base}_{i}" for i in rng.integers(0, 400, 200)]
+        for copy in range(4):
+            changed = list(words)
+            for at in rng.integers(0, 200, copy):
+                changed[at] = "changed"
+            texts[base * 10 + copy] = " ".join(passage + changed)
+    texts |= {5000: "", 5001: " ", 5002: "short", 5003: "SHORT", 5004: "other"}
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in texts.items()], SCHEMA)
+    got = {r.doc_id: r.component_id for r in simhash.similar(df).collect()}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    for i in texts:
+        for j in texts:
+            if i < j and similarity(sets[i], sets[j]) >= 0.85:
+                assert got[i] == got[j]
+            if i < j and i // 10 != j // 10 and similarity(sets[i], sets[j]) < 0.5:
+                assert got[i] != got[j]
+    assert (got[5001], got[5003], got[5004]) == (5000, 5002, 5004)
+
+
+def test_similar_over_the_documents(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    sets = {i: shingles(t) for i, t in docs.items()}
+    pairs = [(i, j, s) for i in sets for j in sets if i < j and 0.8 <= len(sets[i]) / max(1, len(sets[j])) <= 1.25 and (s := similarity(sets[i], sets[j])) >= 0.6]
+    near = [(i, j) for i, j, s in pairs if s >= 0.8]
+    assert sum(got[i] == got[j] for i, j in near) >= 0.98 * len(near) > 0
+    linked = plain_roots(sets, [(i, j) for i, j, _ in pairs])
+    assert all(linked[i] == linked[c] for i, c in got.items())
+
+
+def plain_roots(ids, pairs):
+    root = {i: i for i in ids}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        x, y = top(a), top(b)
+        root[max(x, y)] = min(x, y)
+    return {i: top(i) for i in ids}
+
+
+def test_similar_edges(spark):
+    rows = [(5, None, "x", 1), (None, "a b c d e f", "x", 1), (2, "a b c d e f", "x", 1), (2, "z", "x", 1), (7, "A b c\td e f", None, None), (8, "lorem ipsum " * 100000, "x", 1)]
+    got = simhash.similar(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 2), (2, 2), (2, 2), (5, 5), (7, 2), (8, 8)]
+    assert simhash.similar(spark.createDataFrame([], SCHEMA)).count() == 0
