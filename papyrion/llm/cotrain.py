@@ -19,8 +19,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import log
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, FeatureHasher, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, FeatureHasher, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ ROUNDS = 2
 #: A view is sure of a label at this probability and its complement.
 SURE = 0.98
 #: Most terms of the vocabulary, the labelled rows that a term must be in, and how long beginnings of words are.
-TERMS, TERM_ROWS, BEGINS = 1 << 15, 10, (5, 7)
+TERMS, TERM_ROWS, BEGINS = 4096, 10, (5, 7)
 #: Weights of the penalties of the two views; the text's is L1, the metadata's L2.
 SPARSE, RIDGE = 2e-3, 1e-2
 KEEP_AT = 0.7
@@ -53,7 +54,7 @@ def featured(docs: DataFrame, text_col: str, source_col: str, lang_col: str) ->
         begins = [F.transform(F.filter(words, lambda x: F.char_length(x) > n), lambda x: F.concat(F.substring(x, 1, n), F.lit("-"))) for n in BEGINS]  # noqa: B023
         lines = F.filter(F.split(text, "\n", -1), lambda x: x != "")
         return F.struct(
-            # The empty term is in every text, so that there always is a vocabulary.
+            # The empty term is in every text, so that every text has one of the vocabulary.
             F.concat(F.array(F.lit("")), words, *begins).alias("terms"),
             F.array(
                 F.log1p(F.size(words).cast("double")), often(r"\p{Lu}", chars), often(r"\p{N}", chars), often(r"[#*$%&<>]", chars), often(r"\|", chars), often("!", chars),
@@ -66,10 +67,19 @@ def featured(docs: DataFrame, text_col: str, source_col: str, lang_col: str) ->
     out = docs.withColumn("_f", let(words, parts)).withColumns({"_terms": F.col("_f.terms"), "_style": array_to_vector(F.col("_f.style"))}).drop("_f")
     size = F.floor(F.log2(chars)).cast("string")
     out = out.withColumns({"_m_source": F.coalesce(F.col(source_col).cast("string"), F.lit("null")), "_m_lang": F.coalesce(F.col(lang_col).cast("string"), F.lit("null")), "_m_size": size})
-    out = FeatureHasher(inputCols=["_m_source", "_m_lang", "_m_size"], outputCol="_meta_view", numFeatures=1 << 12).transform(out)
+    out = FeatureHasher(inputCols=["_m_source", "_m_lang", "_m_size"], outputCol="_meta_view", numFeatures=1 << 11).transform(out)
     return out.drop("_m_source", "_m_lang", "_m_size")
 
 
+def _vocabulary(rows: DataFrame, bad: int, good: int) -> CountVectorizerModel:
+    """The TERMS terms of the labelled rows that tell most of the label, by chi-square."""
+    total, n, k = float(bad + good), F.col("n").cast("double"), F.col("k")
+    counts = rows.select("label", F.explode(F.array_distinct("_terms")).alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("label").alias("k"))
+    tells = (k * total - n * good) ** 2 / (n * (total - n))
+    best = counts.where((n >= TERM_ROWS) & (n < total)).orderBy(tells.desc(), "term").limit(TERMS).select("term").collect()
+    return CountVectorizerModel.from_vocabulary(["", *[r.term for r in best]], inputCol="_terms", outputCol="_counts", binary=True)
+
+
 def _with_text_view(df: DataFrame, vocabulary: CountVectorizerModel) -> DataFrame:
     out = VectorAssembler(inputCols=["_counts", "_style"], outputCol="_text_view").transform(vocabulary.transform(df))
     return out.drop("_counts", "_style", "_terms")
@@ -112,13 +122,26 @@ class CoTrained:
 
 def _fit(rows: DataFrame, view: str, penalty: float, sparse: bool = False) -> LogisticRegressionModel:
     """A logistic fit with an L2 penalty, or an L1 penalty if sparse."""
-    return LogisticRegression(featuresCol=view, labelCol="label", maxIter=40 if sparse else 25, regParam=penalty, elasticNetParam=float(sparse)).fit(rows.select(view, "label"))
-
-
-def _line(rows: DataFrame, inputs: list[str]) -> list[float]:
-    """Intercept and coefficients of a logistic fit of the label to margins."""
-    model = _fit(VectorAssembler(inputCols=inputs, outputCol="_x").transform(rows), "_x", 1e-3)
-    return [model.intercept, *model.coefficients.toArray().tolist()]
+    return LogisticRegression(featuresCol=view, labelCol="label", maxIter=30, tol=1e-4, regParam=penalty, elasticNetParam=float(sparse)).fit(rows.select(view, "label"))
+
+
+def logistic_line(inputs: np.ndarray, labels: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> list[float]:
+    """Intercept and coefficients of a logistic fit of 0/1 labels to few inputs, by Newton's method
+    with steps that are halved until they help."""
+    x = np.column_stack([np.ones(len(labels)), inputs])
+    penalty = ridge * len(labels) * np.diag([0.0] + [1.0] * (x.shape[1] - 1))
+    loss = lambda w: np.logaddexp(0, x @ w).sum() - labels @ (x @ w) + w @ penalty @ w / 2
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        step = np.linalg.lstsq(x.T @ (x * (p * (1 - p))[:, None]) + penalty, x.T @ (labels - p) - penalty @ w, rcond=None)[0]
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > loss(w):
+            size /= 2
+        w = w + size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
+    return w.tolist()
 
 
 def train(
@@ -143,8 +166,8 @@ def train(
     found = {(r.role, r.label): r.n for r in rows.groupBy("role", "label").agg(F.count("*").alias("n")).collect()}
     if not all(found.get((role, label)) for role in ("train", "held") for label in (0.0, 1.0)):
         return CoTrained(None, None, None)
-    vocabulary = CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=TERMS, minDF=TERM_ROWS, binary=True).fit(rows.where("role = 'train'"))
-    rows = stored(_with_text_view(rows, vocabulary), "cotrain-views").coalesce(8)
+    vocabulary = _vocabulary(rows.where("role = 'train'"), found["train", 0.0], found["train", 1.0])
+    rows = stored(_with_text_view(rows, vocabulary), "cotrain-views").coalesce(4)
     labelled, held, pool = (rows.where(F.col("role") == r) for r in ("train", "held", "pool"))
     for_text, for_meta = labelled, labelled
     sure = log(SURE / (1 - SURE))
@@ -154,10 +177,12 @@ def train(
             scored = _margin(meta, _margin(text, pool, "_text_view", "_t"), "_meta_view", "_m")
             confident = lambda c: scored.where(F.abs(c) >= sure).withColumn("label", (F.col(c) > 0).cast("double")).select(*rows.columns)  # noqa: B023, E731
             for_text, for_meta = labelled.unionByName(confident("_m")), labelled.unionByName(confident("_t"))
-    margins = stored(_margin(meta, _margin(text, held, "_text_view", "_t"), "_meta_view", "_m").select("label", "_t", "_m"), "cotrain-held").coalesce(1)
-    (a, b), (c, d) = _line(margins, ["_t"]), _line(margins, ["_m"])
-    lines = margins.select("label", (F.lit(a) + F.lit(b) * F.col("_t")).alias("t"), (F.lit(c) + F.lit(d) * F.col("_m")).alias("m"))
-    return CoTrained(vocabulary, text, meta, (a, b), (c, d), tuple(_line(lines, ["t", "m"])))
+    # Two margins of each held-out row, at most fit_rows of them: few enough for the driver.
+    margins = _margin(meta, _margin(text, held, "_text_view", "_t"), "_meta_view", "_m").select(id_col, "label", "_t", "_m").collect()
+    label, t, m = np.array([(r.label, r._t, r._m) for r in sorted(margins, key=lambda r: r[id_col])]).T
+    (a, b), (c, d) = logistic_line(t, label), logistic_line(m, label)
+    both = logistic_line(np.column_stack([a + b * t, c + d * m]), label)
+    return CoTrained(vocabulary, text, meta, (a, b), (c, d), tuple(both))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", keep_at: float = KEEP_AT, **bounds) -> DataFrame:

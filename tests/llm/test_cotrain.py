@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +72,13 @@ def test_held_out_labels(spark):
     out = cotrain.classify(docs, clean.where("doc_id % 5 <> 0"), pool_rows=2000).join(clean.where("doc_id % 5 = 0"), "doc_id")
     share = {r.label: r.kept for r in out.groupBy("label").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
     assert share[1.0] > 0.97 and share[0.0] < 0.06
+
+
+def test_logistic_line_is_the_minimum():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(500, 2))
+    y = (rng.random(500) < 1 / (1 + np.exp(-(0.5 + 2 * x[:, 0] - x[:, 1])))).astype(float)
+    a, b, c = cotrain.logistic_line(x, y)
+    p = 1 / (1 + np.exp(-(a + b * x[:, 0] + c * x[:, 1])))
+    assert abs((y - p).sum()) < 1e-6 and np.abs(x.T @ (y - p) - 0.5 * np.array([b, c])).max() < 1e-6
+    assert np.isfinite(cotrain.logistic_line(np.array([-50.0, -40.0, 40.0, 50.0]), np.array([0.0, 0.0, 1.0, 1.0]))).all()
