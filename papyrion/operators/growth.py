@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import floor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,15 +67,23 @@ def most_cited(df: DataFrame, citations: str, paper_id: str, n: int) -> DataFram
     return df.orderBy(F.desc_nulls_last(citations), paper_id).limit(n)
 
 
+def rank_quantile(share: float, n: int) -> float:
+    """A quantile of 1..n by linear interpolation. Where it falls on a rank, rounding decides on which
+    side of it: the share goes by percent, and the nearer rank is interpolated from."""
+    place = (n - 1) * (share * 100 / 100)
+    below = floor(place)
+    part, step = place - below, 1 if below + 1 < n else 0
+    return 1 + below + step * part if part < 0.5 else 1 + below + step - step * (1 - part)
+
+
 def tertiles(df: DataFrame, value: str, order: list, n: int) -> DataFrame:
     """df with tertile 1..3 of the rank by (value, order), cut as quantile bins are: the edges are
-    the 1/3 and 2/3 quantiles of 1..n by linear interpolation, as floats give them. n is the count
-    of df. The rank is two-level, so no window holds all rows: values are ranked by their counts,
-    rows within a value by order."""
-    edge = lambda q: 1 + (n - 1) * q
+    the 1/3 and 2/3 quantiles of 1..n by linear interpolation, rounded as numpy's percentiles are.
+    n is the count of df. The rank is two-level, so no window holds all rows: values are ranked by
+    their counts, rows within a value by order."""
     counts = df.groupBy(value).agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     inside = F.row_number().over(Window.partitionBy(value).orderBy(*order))
     ranked = df.withColumn("_i", inside).join(before, value).withColumn("_rank", F.col("_before") + F.col("_i"))
-    tertile = F.when(F.col("_rank") <= edge(1 / 3), 1).when(F.col("_rank") <= edge(2 / 3), 2).otherwise(3)
+    tertile = F.when(F.col("_rank") <= rank_quantile(1 / 3, n), 1).when(F.col("_rank") <= rank_quantile(2 / 3, n), 2).otherwise(3)
     return ranked.withColumn("tertile", tertile).drop("_i", "_before", "_rank")

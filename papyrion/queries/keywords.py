@@ -209,7 +209,7 @@ def blinded_order(spark, d):
 
 
 @query("""WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY p_size, p_partkey) AS k, count(*) OVER () AS n FROM part)
-SELECT p_partkey, CASE WHEN k <= 1 + (n - 1) * (1 / 3.0::DOUBLE) THEN 1 WHEN k <= 1 + (n - 1) * (2 / 3.0::DOUBLE) THEN 2 ELSE 3 END AS tertile FROM r""")
+SELECT p_partkey, CASE WHEN k <= 1 + (n - 1) * (1 / 3.0::DOUBLE * 100 / 100) THEN 1 WHEN k <= 1 + (n - 1) * (2 / 3.0::DOUBLE * 100 / 100) THEN 2 ELSE 3 END AS tertile FROM r""")
 def length_tertiles(spark, d):
     part = table(spark, d, "part")
     return growth.tertiles(part, "p_size", [F.col("p_partkey")], part.count()).select("p_partkey", "tertile")
