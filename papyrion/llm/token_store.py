@@ -15,12 +15,16 @@ table of ranks is bounded by the vocabulary.
 
 from __future__ import annotations
 
+import json
 import re
+from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,38 +34,87 @@ from papyrion.llm.shared import stored
 
 #: A block is closed once it holds so many tokens; a document is never split.
 BLOCK_TOKENS = 1 << 18
-#: Chunks of text whose ids a Python worker remembers, and the longest that it does.
-REMEMBERED, LONGEST = 300_000, 40
+#: Words and other chunks whose ids a Python worker remembers, and the longest that it does.
+REMEMBERED, LONGEST = 1_000_000, 40
+#: Bytes of texts that are split at once; a longer text is split alone.
+RUN_BYTES = 1 << 24
 #: The id that ends a document.
 END_ID = 0
 
 _BLOCK = "shard int, start long, n_tokens long, doc_ids array<long>, counts array<long>"
 _UNSAFE = re.compile(r"\s ")
+#: The same for Arrow, whose \s is ASCII alone.
+_ARROW_UNSAFE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 _SPLIT = re.compile(r"(?<!\s) ")
+#: A run of Latin letters or digits with ASCII punctuation after it, which may be all of it. Apostrophes
+#: are left out, since the split pattern has words that begin with one.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]*|[0-9]*)([!-&(-/:-@\[-`{-~]*)")
+
+
+def _byte_letters() -> str:
+    """The letters that stand for the bytes in a byte-level vocabulary: a byte's own where that is
+    printable and no space, else the next one from U+0100."""
+    others = iter(range(256, 512))
+    return "".join(chr(b) if chr(b).isprintable() and b != 32 else chr(next(others)) for b in range(256))
 
 
 class _Chunks(dict):
-    """The ids, as bytes, of chunks that follow a space (or begin a text), encoded when first met."""
+    """The ids, as bytes, of chunks that follow a space (or begin a text), encoded when first met.
 
-    def __init__(self, tokenizer: Tokenizer, prefix: str):
-        self.encode, self.prefix = tokenizer.encode, prefix
+    A plain run is one match of the split pattern, or a word's and its marks', and goes to the
+    library's model; lines of plain runs are put together. Anything else is encoded by the library as
+    it stands.
+    """
+
+    def __init__(self, tokenizer: Tokenizer, prefix: str, start: _Chunks | None = None):
+        self.encode, self.tokenize, self.prefix, self.letters = tokenizer.encode, tokenizer.model.tokenize, prefix, _byte_letters()
+        self.start = self if start is None else start
+        self.kind = "H" if tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        told = json.loads(tokenizer.to_str())
+        split = told["pre_tokenizer"] or {}
+        self.plain = (
+            told["normalizer"] is None and (split.get("type"), split.get("add_prefix_space"), split.get("use_regex", True)) == ("ByteLevel", False, True)
+            and all(t["special"] for t in told["added_tokens"])
+        )
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.encode(self.prefix + chunk, add_special_tokens=False).ids, np.uint32).tobytes()
+        if not self.plain or not chunk:
+            ids = self._whole(chunk)
+        elif chunk.isascii() and chunk.isalpha():
+            ids = self._match(chunk)
+        elif m := _PLAIN.fullmatch(chunk):
+            word, marks = m.groups()
+            if word and marks:
+                return self[word] + self.start[marks]
+            ids = self._match(chunk)
+        elif len(lines := chunk.split("\n")) > 1 and all(line and _PLAIN.fullmatch(line) for line in lines):
+            end = self.start._match("\n")
+            return self[lines[0]] + b"".join([end + self.start[line] for line in lines[1:]])
+        else:
+            ids = self._whole(chunk)
         if len(self) < REMEMBERED and len(chunk) <= LONGEST:
             self[chunk] = ids
         return ids
 
+    def _whole(self, chunk: str) -> bytes:
+        return array(self.kind, self.encode(self.prefix + chunk, add_special_tokens=False).ids).tobytes()
+
+    def _match(self, piece: str) -> bytes:
+        letters = charmap_decode((self.prefix + piece).encode(), "strict", self.letters)[0]
+        return array(self.kind, [t.id for t in self.tokenize(letters)]).tobytes()
+
 
 @lru_cache(maxsize=2)
 def _chunks(path: str) -> tuple[_Chunks, _Chunks]:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return _Chunks(tokenizer, ""), _Chunks(tokenizer, " ")
+    first = _Chunks(tokenizer, "")
+    return first, _Chunks(tokenizer, " ", first)
 
 
 def encode_text(path: str, text: str) -> bytes:
-    """The text's ids as unsigned 32-bit integers, exactly as the library gives them for the whole.
+    """The text's ids as unsigned 16-bit integers, 32-bit for vocabularies that need it, exactly as the
+    library gives them for the whole.
 
     A space after a character that is not white space always begins a match of the byte-level
     split pattern, so the chunks between such spaces encode each for itself; most are words that
@@ -72,6 +125,32 @@ def encode_text(path: str, text: str) -> bytes:
     return first[parts[0]] + b"".join(map(after.__getitem__, parts[1:]))
 
 
+def encode_texts(path: str, texts: pa.Array) -> Iterator[bytes]:
+    """encode_text() of each text, null as empty. Runs of texts are split and their chunks told apart
+    by Arrow, so that each different chunk is looked up once a run."""
+    first, after = _chunks(path)
+    texts = texts.fill_null("")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + RUN_BYTES, side="right")))
+        run = texts.slice(at, to - at)
+        at = to
+        whole = [t.as_py() if u else None for t, u in zip(run, pc.match_substring_regex(run, _ARROW_UNSAFE).to_pylist(), strict=True)]
+        split = pc.split_pattern(run.filter(pa.array([t is None for t in whole])), " ")
+        chunks = split.flatten()
+        told = chunks.dictionary_encode()
+        table = list(map(after.__getitem__, told.dictionary.to_pylist()))
+        codes, offsets, i = told.indices.to_numpy().tolist(), split.offsets.to_pylist(), 0
+        for text in whole:
+            if text is not None:
+                yield encode_text(path, text)
+                continue
+            lo, hi = offsets[i], offsets[i + 1]
+            i += 1
+            yield first[chunks[lo].as_py()] + b"".join(map(table.__getitem__, codes[lo + 1 : hi]))
+
+
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """(control, data) of unsigned 32-bit ranks."""
     lengths = 1 + (ranks > 0xFF) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
@@ -110,16 +189,16 @@ def write_store(df: DataFrame, path: str, tokenizer_path: str, id_col: str = "do
         shard, start, ids, counts, parts, held = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def block() -> pa.RecordBatch:
-            values = [[shard], [start], [held], [ids], [counts], [np.frombuffer(b"".join(parts), np.uint32).astype(raw).tobytes()]]
+            values = [[shard], [start], [held], [ids], [counts], [b"".join(parts)]]
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["shard", "start", "n_tokens", "doc_ids", "counts", "ids"])
 
-        ending = np.uint32(end_id).tobytes()
+        ending = np.array([end_id], raw).tobytes()
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                encoded = encode_text(tokenizer_path, text.as_py() or "") + ending
+            for doc_id, encoded in zip(batch.column(0).to_pylist(), encode_texts(tokenizer_path, batch.column(1)), strict=True):
+                encoded += ending
                 ids.append(doc_id)
-                counts.append(len(encoded) // 4)
+                counts.append(len(encoded) // len(ending))
                 parts.append(encoded)
                 held += counts[-1]
                 if held >= BLOCK_TOKENS:

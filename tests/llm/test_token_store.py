@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -39,10 +40,20 @@ def test_frequent_ids_take_one_byte():
     assert token_store.encode_ranks(np.array([0, 255, 256, 65535, 65536], np.uint32))[1] == bytes([0, 255, 0, 1, 255, 255, 0, 0, 1])
 
 
-@given(st.text(alphabet=st.sampled_from("ab1' \n\t\xa0é.日<|"), max_size=50))
-@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("abZ12'' \n\n\t\xa0\xad×éƀ.,日<|!-_²"), max_size=50))
+@settings(max_examples=1500, deadline=None)
 def test_chunks_encode_as_the_whole(tokenizer, text):
-    assert np.frombuffer(token_store.encode_text(PATH, text), np.uint32).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(token_store.encode_text(PATH, text), np.uint16).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from("ab.  \n\té\x1c\xa0\u2003\x85"), max_size=12)), max_size=12), st.integers(1, 30))
+@settings(max_examples=200, deadline=None)
+def test_runs_of_texts_encode_as_each(texts, run_bytes):
+    kept, token_store.RUN_BYTES = token_store.RUN_BYTES, run_bytes
+    try:
+        assert list(token_store.encode_texts(PATH, pa.array(texts, pa.string()))) == [token_store.encode_text(PATH, t or "") for t in texts]
+    finally:
+        token_store.RUN_BYTES = kept
 
 
 def test_edges(spark, tmp_path, tokenizer):
