@@ -232,15 +232,10 @@ def links(nodes: DataFrame) -> DataFrame:
 
 
 def similar_links(nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) between nodes (node, bits, minima) whose shingles are similar. Nodes meet that
-    share a smallest hash; where very many share one, as with a passage in very many texts, they meet
-    by two."""
-    keyed = nodes.select("node", F.col("bits").alias("value"), "minima", F.posexplode("minima").alias("k", "m")).withColumn("key", F.xxhash64("k", "m"))
-    rows = _with_sizes(keyed)
-    second = F.filter(F.transform("minima", lambda m, i: F.when(i != F.col("k"), F.xxhash64("key", i, m))), lambda x: x.isNotNull())
-    few, many = rows.where(F.col("n") <= WIDE_PART), rows.where(F.col("n") > WIDE_PART).select("node", "value", F.explode(second).alias("key"))
-    groups = few.select(F.col("key").alias("group"), "node", "value").unionByName(_dealt(_with_sizes(many), WIDE_PART))
-    return _edges(groups, WORDS, WIDE_RADIUS)
+    """Edges (a, b) between nodes (node, bits, minima) whose bits lie within the radius. All nodes that
+    share a smallest hash meet, however many do, as with a passage in very many texts."""
+    keyed = nodes.select("node", F.col("bits").alias("value"), F.posexplode("minima").alias("k", "m")).withColumn("key", F.xxhash64("k", "m"))
+    return _edges(_dealt(_with_sizes(keyed), WIDE_PART), WORDS, WIDE_RADIUS)
 
 
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

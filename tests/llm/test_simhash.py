@@ -181,3 +181,16 @@ def test_similar_edges(spark):
     got = simhash.similar(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 2), (2, 2), (2, 2), (5, 5), (7, 2), (8, 8)]
     assert simhash.similar(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_hash_that_very_many_share_loses_no_link(spark, monkeypatch):
+    """Nodes whose one shared smallest hash is shared by more than a part meet all the same."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**64, (40, 12), dtype=np.uint64)
+    rows = []
+    for i, bits in enumerate(np.concatenate([base, base ^ np.uint64(1)])):
+        rows.append((i, bits.tobytes(), [7, *rng.integers(0, 2**62, 3).tolist()]))
+    nodes = spark.createDataFrame(rows, "node long, bits binary, minima array<long>")
+    monkeypatch.setattr(simhash, "WIDE_PART", 20)
+    found = {r.node: r.component for r in components(simhash.similar_links(nodes)).collect()}
+    assert found == {i: i % 40 for i in range(80)}
