@@ -9,9 +9,9 @@ fingerprints leave a comparison as a star about the smallest one, never as all t
 
 ``similar`` compares the same way, but finds texts by the similarity of their 5-word shingles. 64 bits
 are too few for that, so its fingerprints have 768, of which two texts of similarity J differ in about
-acos(2J / (1 + J)) / pi; 128 of 768 stand for 0.8, give or take 0.04. Whose bits are compared is
-settled by the smallest shingle hashes of four kinds: texts of similarity 0.8 share one with
-probability 0.998.
+acos(2J / (1 + J)) / pi: 116 of 768 at 0.8, give or take 10. A radius of 150 makes candidates; what
+links two of them is the similarity of their shingle sets itself. Whose bits are compared is settled
+by the smallest shingle hashes of four kinds: texts of similarity 0.8 share one with probability 0.998.
 """
 
 from __future__ import annotations
@@ -33,7 +33,9 @@ BLOCK = 1024
 #: Fingerprints of one key that meet in one task; those of a larger key meet in all pairs of parts.
 PART = 16384
 #: Of ``similar``: words of a fingerprint, shingle, radius, smallest hashes, and the rows of a part.
-WORDS, WIDE_SHINGLE, WIDE_RADIUS, MINIMA, WIDE_PART = 12, 5, 128, 4, 4096
+WORDS, WIDE_SHINGLE, WIDE_RADIUS, MINIMA, WIDE_PART = 12, 5, 150, 4, 4096
+#: Shingle sets are linked at this percentage; as a part's rows their texts count by this many bytes.
+SIMILAR_PERCENT, TEXT_BYTES = 80, 8192
 
 
 def fingerprint(text: str | None) -> int:
@@ -78,18 +80,35 @@ def _mixed(hashes: np.ndarray, first: int, n: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def sketch(text: str | None) -> tuple[bytes, list[int]]:
-    """The 768-bit SimHash of the different 5-word shingles of a text, and their smallest hashes of
-    four kinds as signed integers; zero bits and none without words. Words as in ``fingerprint``."""
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """The different hashes of a text's 5-word shingles, sorted; none without words. Words as in
+    ``fingerprint``."""
     words = (text or "").encode().lower().split()
     if not words:
-        return bytes(8 * WORDS), []
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - WIDE_SHINGLE + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)), np.uint64, n))
+    return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)), np.uint64, n))
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets of hashes have a Jaccard similarity of 0.8 or more."""
+    few, many = (a, b) if len(a) <= len(b) else (b, a)
+    if len(few) * 100 < len(many) * SIMILAR_PERCENT or not len(few):
+        return False
+    both = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
+    return both * 100 >= (len(few) + len(many) - both) * SIMILAR_PERCENT
+
+
+def sketch(text: str | None) -> tuple[bytes, list[int]]:
+    """The 768-bit SimHash of the different 5-word shingles of a text, and their smallest hashes of
+    four kinds as signed integers; zero bits and none without words. Words as in ``fingerprint``."""
+    hashes = shingle_hashes(text)
+    if not len(hashes):
+        return bytes(8 * WORDS), []
     counts = np.zeros(64 * WORDS, np.int64)
     smallest = np.full(MINIMA, 2**64 - 1, np.uint64)
     for at in range(0, len(hashes), 1024):
@@ -159,6 +178,58 @@ def _stars(values: np.ndarray, ids: np.ndarray, radius: int) -> tuple[np.ndarray
     return ids[moved], ids[root[moved]]
 
 
+def _verified_stars(values: np.ndarray, ids: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """As _stars() at WIDE_RADIUS, of the pairs whose sets are alike. Pairs that others have joined
+    already are not compared."""
+    order = np.argsort(ids, kind="stable")
+    values, ids, sets = values[order], ids[order], [sets[i] for i in order.tolist()]
+    n, root = len(values), list(range(len(values)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    blocks = [(at, values[at : at + BLOCK]) for at in range(0, n, BLOCK)]
+    sliced = [planes(v) for _, v in blocks]
+    for i, (at, v) in enumerate(blocks):
+        for j in range(i + 1):
+            a, b = np.nonzero(near(v, sliced[j], len(blocks[j][1]), WIDE_RADIUS))
+            a, b = a + at, b + blocks[j][0]
+            tops = np.fromiter(map(top, range(n)), np.int64, n)
+            open_ = (a > b) & (tops[a] != tops[b])
+            for x, y in zip(a[open_].tolist(), b[open_].tolist(), strict=True):
+                p, q = top(x), top(y)
+                if p != q and alike(sets[x], sets[y]):
+                    root[max(p, q)] = min(p, q)
+    tops = np.fromiter(map(top, range(n)), np.int64, n)
+    moved = np.nonzero(tops != np.arange(n))[0]
+    return ids[moved], ids[tops[moved]]
+
+
+def _verification(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (group, value, node, text) sorted by group, with verified edges out."""
+    group, found = None, {}
+
+    def edges() -> pa.RecordBatch:
+        values = np.frombuffer(b"".join(v for _, v in found), "<u8").reshape(-1, WORDS)
+        a, b = _verified_stars(values, np.array([i for i, _ in found], np.int64), list(found.values()))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    for batch in batches:
+        columns = [batch.column(c) for c in ("group", "value", "node", "text")]
+        for g, v, i, t in zip(*columns, strict=True):
+            if g.as_py() != group:
+                if len(found) > 1:
+                    yield edges()
+                group, found = g.as_py(), {}
+            key = (i.as_py(), v.as_py())
+            if key not in found:
+                found[key] = shingle_hashes(t.as_py())
+    if len(found) > 1:
+        yield edges()
+
+
 def _comparison(width: int, radius: int):
     """A map over rows (group, value, node) sorted by group, with edges out. Small groups share a
     block: a link between two of them is a true one all the same."""
@@ -210,15 +281,15 @@ def _with_sizes(keyed: DataFrame) -> DataFrame:
     return keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
 
 
-def _dealt(rows: DataFrame, size: int) -> DataFrame:
-    """(group, node, value) of _with_sizes()'s rows: a key that more than ``size`` rows share is split
+def _dealt(rows: DataFrame, size: int, *more: str) -> DataFrame:
+    """(group, node, value, more) of _with_sizes()'s rows: a key that more than ``size`` rows share is split
     into parts that meet pairwise, each pair in a group of its own; every two rows meet in one."""
     rows = rows.withColumn("parts", F.ceil(F.col("n") / size).cast("int"))
     part = F.pmod(F.xxhash64("value"), F.col("parts")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.xxhash64(F.least(part, o), F.greatest(part, o)))
-    alone = rows.where("parts = 1").select("key", "node", "value", F.lit(0).cast("long").alias("pair"))
-    split = rows.where("parts > 1").select("key", "node", "value", F.explode(others).alias("pair"))
-    return alone.unionByName(split).select(F.when(F.col("pair") == 0, F.col("key")).otherwise(F.xxhash64("key", "pair")).alias("group"), "node", "value")
+    alone = rows.where("parts = 1").select("key", "node", "value", *more, F.lit(0).cast("long").alias("pair"))
+    split = rows.where("parts > 1").select("key", "node", "value", *more, F.explode(others).alias("pair"))
+    return alone.unionByName(split).select(F.when(F.col("pair") == 0, F.col("key")).otherwise(F.xxhash64("key", "pair")).alias("group"), "node", "value", *more)
 
 
 def _edges(groups: DataFrame, width: int, radius: int) -> DataFrame:
@@ -232,16 +303,28 @@ def links(nodes: DataFrame) -> DataFrame:
 
 
 def similar_links(nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) between nodes (node, bits, minima) whose bits lie within the radius. All nodes that
+    """Candidates (a, b) between nodes (node, bits, minima) whose bits lie within the radius. All nodes that
     share a smallest hash meet, however many do, as with a passage in very many texts."""
     keyed = nodes.select("node", F.col("bits").alias("value"), F.posexplode("minima").alias("k", "m")).withColumn("key", F.xxhash64("k", "m"))
     return _edges(_dealt(_with_sizes(keyed), WIDE_PART), WORDS, WIDE_RADIUS)
 
 
+def verified_links(df: DataFrame, nodes: DataFrame, candidates: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Edges (a, b) between nodes (node, bits, t, size) that one component of candidates (node,
+    component) holds and whose shingle sets are alike. A node's text is the one of df with its id and
+    hash t. A component of very many rows or bytes is split into parts that meet pairwise."""
+    rows = nodes.join(candidates, "node").select("node", "t", F.col("bits").alias("value"), "size", F.col("component").alias("key"))
+    sizes = rows.groupBy("key").agg(F.greatest(F.count("*"), F.ceil(F.sum("size") / TEXT_BYTES)).alias("n"))
+    groups = _dealt(rows.join(sizes, "key"), WIDE_PART, "t")
+    texts = df.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
+    full = groups.join(texts, ["node", "t"]).select("group", "value", "node", "text")
+    return full.repartition("group").sortWithinPartitions("group").mapInArrow(_verification, "a long, b long")
+
+
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: id, component_id, the smallest id that a chain of similar texts reaches,
     its own included. Texts are similar if their sets of 5-word shingles have a Jaccard similarity of
-    0.8 or more, as 768 bits tell it (about 0.76 to 0.84); equal bits are always linked.
+    0.8 or more; a pair just there is missed by chance in about one of 500. Equal bits are always linked.
 
     Null, empty and wordless texts are equal. Ids and nulls are treated as by ``near_duplicates``.
     Other columns are not kept. An empty table gives no rows.
@@ -252,9 +335,14 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         bits, minima = zip(*[sketch(t.as_py()) for t in texts], strict=True) if len(texts) else ((), ())
         return pa.StructArray.from_arrays([pa.array(bits, pa.binary()), pa.array(minima, pa.list_(pa.int64()))], ["bits", "minima"])
 
-    docs = stored(df.select(id_col, sketches(F.col(text_col).cast("string")).alias("s")).select(id_col, "s.bits", "s.minima"), "sketches")
-    nodes = stored(docs.where(F.col(id_col).isNotNull()).groupBy("bits").agg(F.min(id_col).cast("long").alias("node"), F.min("minima").alias("minima")), "sketch-nodes")
-    return _named(docs, nodes, components(similar_links(nodes), "sketch-components"), "bits").select(id_col, "component_id")
+    text = F.col(text_col).cast("string")
+    docs = df.select(id_col, sketches(text).alias("s"), F.struct(F.xxhash64(text).alias("t"), F.octet_length(text).alias("size")).alias("x"))
+    docs = stored(docs.select(id_col, "s.bits", "s.minima", "x"), "sketches")
+    nodes = docs.where(F.col(id_col).isNotNull()).groupBy("bits").agg(F.min(id_col).cast("long").alias("node"), F.min("minima").alias("minima"), F.min_by("x", F.struct(id_col, "x")).alias("x"))
+    nodes = stored(nodes.select("bits", "node", "minima", "x.t", "x.size"), "sketch-nodes")
+    candidates = components(similar_links(nodes), "sketch-candidates")
+    found = components(verified_links(df, nodes, candidates, id_col, text_col), "sketch-components")
+    return _named(docs, nodes, found, "bits").select(id_col, "component_id")
 
 
 def _named(docs: DataFrame, nodes: DataFrame, found: DataFrame, value: str) -> DataFrame:

@@ -194,3 +194,26 @@ def test_a_hash_that_very_many_share_loses_no_link(spark, monkeypatch):
     monkeypatch.setattr(simhash, "WIDE_PART", 20)
     found = {r.node: r.component for r in components(simhash.similar_links(nodes)).collect()}
     assert found == {i: i % 40 for i in range(80)}
+
+
+@pytest.mark.parametrize("rows, size", [(simhash.WIDE_PART, simhash.TEXT_BYTES), (20, 8192), (4096, 2)])
+def test_the_similarity_itself_decides(spark, monkeypatch, rows, size):
+    """Pairs just below 0.8 stay apart and pairs just above it are linked, however groups are split."""
+    monkeypatch.setattr(simhash, "WIDE_PART", rows)
+    monkeypatch.setattr(simhash, "TEXT_BYTES", size)
+    texts = {}
+    for base in range(120):
+        words = [f"w{base}_{i}" for i in range(300)]
+        texts[2 * base] = " ".join(words)
+        for at in range(6 + base % 2):  # 30 of 296 shingles differ (0.817), or 35 (0.789)
+            words[20 + 40 * at] = "changed"
+        texts[2 * base + 1] = " ".join(words)
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame([(i, t, "x", 1) for i, t in texts.items()], SCHEMA)).collect()}
+    assert got == {i: i // 2 * 2 if similarity(shingles(texts[i // 2 * 2]), shingles(texts[i // 2 * 2 + 1])) >= 0.8 else i for i in texts}
+
+
+def test_a_node_of_two_texts_is_compared_by_each(spark):
+    a, b = ([f"{x}{i}" for i in range(200)] for x in "ab")
+    rows = [(2, " ".join(a)), (2, " ".join(b)), (5, " ".join(a[:195])), (7, " ".join(b[5:])), (7, " ".join(b[5:])), (9, " ".join(a[:100]))]
+    got = simhash.similar(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(2, 2), (2, 2), (5, 2), (7, 2), (7, 2), (9, 9)]
