@@ -1,17 +1,22 @@
 """HTML main-text extraction by equivalence-class template deduction.
 
 Tokens of a page are its tags, told apart by their path in the tree, and its texts, told apart by
-path and content. Tokens of one host that have the same occurrence vector (equally often in every
-page) form an equivalence class. Occurrence vectors are never gathered: a sum of hashes of (page,
-count) over the pages that hold a token identifies its vector, and sums combine before the shuffle.
-Large classes that nearly all pages of the host hold are its template. On each page the classes
-whose tokens stand in the class's order are valid; they are nested, the rarer inside one gap of the
-wider; what is left between their tokens are the slots. Main text is the text in slots of the
-article, or of the whole body where a page marks no article, without the parts that tags, roles and
-class names show to be something else.
+path and content. A path names each element by tag, class and id, and a container by the kind of its
+first child too, so that boxes without names differ by what they hold. Tokens of one host that have
+the same occurrence vector (equally often in every page) form an equivalence class. Occurrence
+vectors are never gathered: a sum of hashes of (page, count) over the pages that hold a token
+identifies its vector, and sums combine before the shuffle. Large classes that nearly all pages of
+the host hold are its template. On each page the classes whose tokens stand in the class's order are
+valid; they are nested, the rarer inside one gap of the wider; what is left between their tokens are
+the slots.
+
+A host's main slot is the one with the most text over all its pages, links and what HTML itself sets
+apart not counted. Main text is what lies in the slots of the template's box about it, without the
+parts that tags, roles and names mark as something else. Where there is no such box on a page (small
+hosts, pages off the template), tags and names alone decide.
 
 A host may hold most pages: its pages are spread over all tasks in both passes, and what meets by
-host is the template alone, which a page's length bounds.
+host is the template alone, which a page's length bounds. Parsing is linear in a page's length.
 """
 
 from __future__ import annotations
@@ -20,9 +25,11 @@ import re
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
+from typing import NamedTuple
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -35,10 +42,14 @@ LEAST_PAGES, LEAST_PERCENT, LEAST_TOKENS = 8, 90, 3
 #: Pages that hold a template token must differ: their contents' hashes fall into at least so many of 64 bins. So a
 #: page that a host serves under very many addresses does not make its own article a template.
 LEAST_BINS = 5
+#: Where template text is more than this percentage of the main box's text, the pages are versions of one article, and
+#: it stays.
+MOST_FIXED = 50
 
 # HTML's void, inline and raw-text elements, and the elements, roles and names of what is not main text.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strong sub sup time tt u var wbr".split())
+_RAW = frozenset("script style textarea title noscript iframe template svg".split())
 _NOT_MAIN = frozenset(
     "head script style noscript template svg math iframe object canvas audio video nav header footer aside menu form button select textarea dialog".split()
 )
@@ -49,32 +60,48 @@ _NAMES = frozenset(
     "disqus replies related recommended pagination pager toolbar copyright".split()
 )
 _COMMENT_NAMES = frozenset("comment comments disqus reply replies".split())
-#: Elements that a following element of the named kinds closes.
+#: Elements that a following element of the named kinds closes, and those beyond which it does not reach.
 _CLOSES_P = frozenset("p div article section aside nav header footer main ul ol dl table form h1 h2 h3 h4 h5 h6 pre blockquote hr figure fieldset address".split())
+_HOLDS_P = ("article", "section", "div", "td", "th", "li", "blockquote", "body", "main", "aside", "nav", "header", "footer", "form")
 _CLOSED_BY_OWN = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead"), "td": ("tr",), "th": ("tr",), "option": ("select",)}
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title|noscript|iframe|template|svg)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<[!?][^>]*+>|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<end2>/?)(?P<tag2>[a-z][a-z0-9:-]*)[^>]*+>",
-    re.S | re.I,
-)
-_ATTR = re.compile(r"(class|id|role|hidden|style)(?=[\s=/>]|\Z)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: Kinds of tokens, as the host's template keeps them.
+TEXT, TAG, BOX, ARTICLE, TITLE, BODY = range(6)
+_KINDS = dict.fromkeys(("div", "section", "td", "center", "table", "tr", "tbody"), BOX) | dict.fromkeys(("article", "main"), ARTICLE) | {"h1": TITLE} | dict.fromkeys(("html", "body"), BODY)
+
+#: A tag as nearly all are written, and the beginnings of any other markup.
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>\"']*+(?:(?:\"[^\"<>]*+\"|'[^'<>]*+')[^<>\"']*+)*+)>")
+_BEGINS = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_UNQUOTED = re.compile(r"[^>\"']*+")
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW}
+_ATTR = re.compile(r"\b(class|id|role|hidden|style)(?=[\s=/>]|\Z)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _NAME_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
+_DIGITS = re.compile(r"[0-9]+")
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+_SIGN = (1 << 63) - 1
 
-Event = tuple[int, str, bool, bool, bool, bool]
 
+class Open:
+    """An element: its tag, names and parent, its path once its first child is known, and what holds
+    for text inside it. volume is the length of that text, links and dropped parts not counted."""
 
-class _Open:
-    """An open element: its tag, path, and what holds for text inside it."""
+    __slots__ = ("tag", "names", "parent", "kind", "path", "token", "dropped", "main", "article", "link", "volume", "inside")
 
-    __slots__ = ("tag", "path", "dropped", "main", "article", "link")
+    def __init__(self, tag: str, names: str, parent: Open | None, gone: bool, main: bool):
+        self.tag, self.names, self.parent, self.kind, self.path, self.token, self.volume, self.inside = tag, names, parent, _KINDS.get(tag, TAG), None, 0, 0, False
+        if parent is None:
+            self.path, self.dropped, self.main, self.article, self.link = b"", False, False, False, False
+        else:
+            self.dropped, self.main, self.article, self.link = parent.dropped or gone, parent.main or main, parent.article or tag == "article", parent.link or tag == "a"
 
-    def __init__(self, tag: str, path: bytes, dropped: bool, main: bool, article: bool, link: bool):
-        self.tag, self.path, self.dropped, self.main, self.article, self.link = tag, path, dropped, main, article, link
+    def begun(self, first: str) -> None:
+        """Settles the path by the kind of the first child."""
+        kind = first if self.kind in (BOX, ARTICLE) else ""
+        self.path = xxhash.xxh64_digest(self.parent.path + f"<{self.tag}{self.names}>{kind}".encode())
+        self.token = int.from_bytes(self.path, "little") & _SIGN
 
 
-def _child(parent: _Open, tag: str, attrs: str) -> _Open:
+def _opened(parent: Open, tag: str, attrs: str) -> Open:
     names, role, gone = "", "", tag in _NOT_MAIN
     if attrs and not attrs.isspace():
         for m in _ATTR.finditer(attrs):
@@ -91,95 +118,172 @@ def _child(parent: _Open, tag: str, attrs: str) -> _Open:
             gone |= not parts.isdisjoint(_COMMENT_NAMES)
         elif tag not in ("html", "body", "main"):
             gone |= not parts.isdisjoint(_NAMES)
-    gone |= role in _ROLES
-    path = xxhash.xxh64_digest(parent.path + f"<{tag}{names}".encode())
-    return _Open(tag, path, parent.dropped or gone, parent.main or tag == "main" or role == "main", parent.article or tag == "article", parent.link or tag == "a")
+    return Open(tag, _DIGITS.sub("0", names) if names else "", parent, gone or role in _ROLES, tag == "main" or role == "main")
+
+
+#: A token (kind, text, element): a tag (no text), a text, or the end of a block (kind -1, no text) or a space (kind -1).
+Token = tuple[int, str, Open]
+
 
+def token_hash(token: Token) -> int:
+    kind, said, at = token
+    if kind != TEXT:
+        return at.token if kind > TEXT else 0
+    return xxhash.xxh64_intdigest(at.path + b"\0" + " ".join(said.split()).encode()) & _SIGN
 
-def parse(html: str) -> list[tuple[int, str, _Open]]:
-    """The tokens of a page in order: (hash, text or "" for a tag, the element it is in). Block ends
-    are tokens with hash 0."""
-    stack = [_Open("", b"", False, False, False, False)]
-    tokens: list[tuple[int, str, _Open]] = []
+
+def parse(html: str) -> list[Token]:
+    """The tokens of a page in order."""
+    root = Open("", "", None, False, False)
+    stack, where = [root], defaultdict(list)
+    tokens: list[Token] = []
+    failed: set[int] = set()
 
     def text(raw: str) -> None:
-        if raw and not raw.isspace():
-            said = unescape(raw) if "&" in raw else raw
-            top = stack[-1]
-            tokens.append((xxhash.xxh64_intdigest(top.path + b"\0" + " ".join(said.split()).encode()) & (1 << 63) - 1, said, top))
-        elif raw:
-            tokens.append((0, " ", stack[-1]))
+        if not raw:
+            return
+        top = stack[-1]
+        if raw.isspace():
+            tokens.append((-1, " ", top))
+            return
+        if top.path is None:
+            top.begun("#")
+        said = unescape(raw) if "&" in raw else raw
+        tokens.append((TEXT, said, top))
+        if not (top.dropped or top.link):
+            top.volume += len(said)
+
+    def pop(to: int) -> None:
+        while len(stack) > to:
+            gone = stack.pop()
+            if gone.path is None:
+                gone.begun("")
+            gone.parent.volume += gone.volume
+            where[gone.tag].pop()
 
     def close(tag: str, within: tuple[str, ...] = ()) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == tag:
-                del stack[i:]
-                return
-            if stack[i].tag in within:
-                return
-
-    at = 0
-    for m in _MARKUP.finditer(html):
-        text(html[at : m.start()])
-        at = m.end()
-        if m["raw"]:
+        if (places := where.get(tag)) and all(not (w := where.get(t)) or w[-1] < places[-1] for t in within):
+            pop(places[-1])
+
+    def quoted_end(at: int) -> int:
+        """The > that ends a tag, looked for from at, quoted ones not counted; -1 if there is none. Where a
+        search has failed, no later one goes again."""
+        seen = []
+        while True:
+            at = _UNQUOTED.match(html, at).end()
+            if at < len(html) and html[at] == ">":
+                return at
+            if at in failed or at >= len(html) or (end := html.find(html[at], at + 1)) < 0:
+                failed.update(seen, (at,))
+                return -1
+            seen.append(at)
+            at = end + 1
+
+    at, last = 0, html.rfind(">")
+    start = html.find("<")
+    while 0 <= start < last:
+        if m := _TAG.match(html, start):
+            slash, tag, attrs, end = m[1], m[2].lower(), m[3], m.end()
+        elif html.startswith("<!--", start):
+            text(html[at:start])
+            at = end + 3 if (end := html.find("-->", start + 4)) >= 0 else len(html)
+            start = html.find("<", at)
+            continue
+        elif html.startswith(("<!", "<?"), start):
+            text(html[at:start])
+            at = html.find(">", start) + 1
+            start = html.find("<", at)
             continue
-        tag = (m["tag"] or m["tag2"] or "").lower()
-        if not tag:
+        elif m := _BEGINS.match(html, start):
+            end = quoted_end(m.end())
+            end = (html.find(">", m.end()) if end < 0 else end) + 1
+            slash, tag, attrs = m[1], m[2].lower(), html[m.end() : end - 1]
+        else:
+            start = html.find("<", start + 1)
             continue
+        text(html[at:start])
+        at = end
+        if tag in _RAW and not slash:
+            if not attrs.endswith("/"):
+                at = m.end() if (m := _RAW_END[tag].search(html, end)) else len(html)
+            start = html.find("<", at)
+            continue
+        start = html.find("<", at)
         if tag == "br":
-            tokens.append((0, " ", stack[-1]))
+            tokens.append((-1, " ", stack[-1]))
             continue
         if tag not in _INLINE:
-            tokens.append((0, "", stack[-1]))
-        if m["end"] or m["end2"]:
+            tokens.append((-1, "", stack[-1]))
+        if slash:
             close(tag)
             continue
         if tag in _CLOSES_P:
-            close("p", ("article", "section", "div", "td", "th", "li", "blockquote", "body", "main", "aside", "nav", "header", "footer", "form"))
+            close("p", _HOLDS_P)
         if tag in _CLOSED_BY_OWN:
             close(tag, _CLOSED_BY_OWN[tag])
-        opened = _child(stack[-1], tag, m["attrs"] or "")
-        tokens.append((int.from_bytes(opened.path, "little") & (1 << 63) - 1, "", opened))
-        if tag not in _VOID and not (m["attrs"] or "").endswith("/"):
+        if (top := stack[-1]).path is None:
+            top.begun(tag)
+        opened = _opened(top, tag, attrs)
+        tokens.append((opened.kind, "", opened))
+        if tag in _VOID or attrs.endswith("/"):
+            opened.begun("")
+        else:
+            where[tag].append(len(stack))
             stack.append(opened)
     text(html[at:])
+    pop(1)
     return tokens
 
 
-def template_places(tokens: list, template: dict[int, tuple[int, int, int]]) -> set[int]:
+class Template(NamedTuple):
+    """A host's template: token -> (class, place in the class's order, tokens of the class), classes
+    numbered from the widest; the token of the main box (0: none), and whether template text in it stays."""
+
+    places: dict[int, tuple[int, int, int]]
+    box: int = 0
+    stays: bool = False
+
+
+def template_places(hashes: list[int], places: dict[int, tuple[int, int, int]]) -> set[int]:
     """The places of a page's tokens that its host's template holds.
 
-    template: token -> (class, place in the class's order, tokens of the class); classes are
-    numbered from the widest. A class is valid on the page if its tokens stand in its order, as
-    often as they come, and nested if each run of it lies in one gap of the classes before it.
+    A class is valid on the page if its tokens stand in its order, as often as they come, and
+    nested if each run of it lies in one gap of the classes before it.
     """
     runs: dict[int, list[tuple[int, int]]] = defaultdict(list)
     sizes = {}
-    for i, t in enumerate(tokens):
-        if found := template.get(t[0]):
+    for i, h in enumerate(hashes):
+        if found := places.get(h):
             runs[found[0]].append((i, found[1]))
             sizes[found[0]] = found[2]
     held: list[int] = []
     for c in sorted(runs):
-        places, size = runs[c], sizes[c]
-        if len(places) % size or any(order != k % size for k, (_, order) in enumerate(places)):
+        run, size = runs[c], sizes[c]
+        if len(run) % size or any(order != k % size for k, (_, order) in enumerate(run)):
             continue
-        spans = [(places[k][0], places[k + size - 1][0]) for k in range(0, len(places), size)]
-        if held and any(bisect_left(held, lo) != bisect_left(held, hi) for lo, hi in spans):
+        spans = [[i for i, _ in run[k : k + size]] for k in range(0, len(run), size)]
+        gaps = [bisect_left(held, s[0]) for s in spans]
+        if any(bisect_left(held, s[-1]) != g for s, g in zip(spans, gaps, strict=True)):
             continue
-        held = sorted(held + [i for i, _ in places])
+        for s, g in zip(reversed(spans), reversed(gaps), strict=True):
+            held[g:g] = s
     return set(held)
 
 
-def main_text(html: str, template: dict[int, tuple[int, int, int]] | None = None) -> str:
+def main_text(html: str, template: Template | None = None) -> str:
     """The main text of a page: blocks in order, joined by line feeds, white space in a block as
     one space."""
     tokens = parse(html)
-    fixed = template_places(tokens, template) if template else set()
-    for region in ("article", "main", ""):
-        if any(t[1].strip() and not t[2].dropped and (not region or getattr(t[2], region)) for t in tokens):
-            break
+    fixed: set[int] = set()
+    region, stays = "", False
+    said_in = lambda region: any(kind == TEXT and not at.dropped and getattr(at, region) for kind, _, at in tokens)
+    if template:
+        fixed = template_places(list(map(token_hash, tokens)), template.places)
+        for kind, _, at in tokens:
+            if kind > TEXT:
+                at.inside = at.parent.inside or at.token == template.box
+        region, stays = ("inside", template.stays) if template.box and said_in("inside") else ("", False)
+    region = region or next((r for r in ("article", "main") if said_in(r)), "")
     blocks: list[str] = []
     parts: list[str] = []
     loose = linked = False
@@ -189,65 +293,123 @@ def main_text(html: str, template: dict[int, tuple[int, int, int]] | None = None
         if (loose or not linked or region) and (said := " ".join("".join(parts).split())):
             blocks.append(said)
 
-    for i, (token, said, at) in enumerate(tokens):
+    for i, (kind, said, at) in enumerate(tokens):
         if not said:
-            if token == 0:
+            if kind < 0:
                 flush()
                 parts, loose, linked = [], False, False
             continue
-        if at.dropped or i in fixed or (region and not getattr(at, region)):
+        if at.dropped or (i in fixed and not stays) or (region and not getattr(at, region)):
             parts.append(" ")
             continue
         parts.append(said)
-        if said.strip():
+        if kind == TEXT:
             loose, linked = loose or not at.link, linked or at.link
     flush()
     return "\n".join(blocks)
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page, content, token, n, place) for every different token of a page."""
+    """(host, page, content, token, n, place, parent, kind, volume) for every different token of a page."""
     names = ("host", "page", "content")
     for batch in batches:
-        keys, found = ([], [], []), ([], [], [])
+        keys, found = ([], [], []), ([], [], [], [], [], [])
         for *key, html in zip(*(batch.column(c).to_pylist() for c in names), batch.column("html"), strict=True):
             counts: dict[int, list[int]] = {}
-            for i, (token, _, _) in enumerate(parse(html.as_py())):
-                if token:
-                    counts.setdefault(token, [0, i])[0] += 1
+            for i, (kind, said, at) in enumerate(tokens := parse(html.as_py())):
+                if kind >= 0:
+                    parent, volume = (at.token, 0 if at.dropped or at.link else len(said)) if kind == TEXT else (at.parent.token, at.volume)
+                    row = counts.setdefault(token_hash(tokens[i]), [0, i, parent, kind, 0])
+                    row[0] += 1
+                    row[4] += volume
             for k, value in enumerate(key):
                 keys[k].extend([value] * len(counts))
-            for k, column in enumerate((counts, (c[0] for c in counts.values()), (c[1] for c in counts.values()))):
+            for k, column in enumerate((counts, *zip(*counts.values(), strict=True))):
                 found[k].extend(column)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (*keys, *found)], [*names, "token", "n", "place"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (*keys, *found)], [*names, "token", "n", "place", "parent", "kind", "volume"])
+
+
+def main_box(tokens: list[tuple[int, int, int, int, bool]]) -> tuple[int, bool]:
+    """The token of a host's main box (0: none), and whether template text in it stays. tokens: (token,
+    parent, kind, volume, in the template) of what nearly all pages hold; parents of these are such too."""
+    known = {t: (parent, kind) for t, parent, kind, _, _ in tokens}
+    framed = {t for t, _, kind, _, held in tokens if held and kind in (BOX, ARTICLE)}
+    # What an element's own slots hold: its text without that of parts that have slots of their own.
+    own = {t: volume for t, _, kind, volume, _ in tokens if kind != TEXT}
+    for _, parent, kind, volume, held in tokens:
+        if parent in own and (kind != TEXT or held):
+            own[parent] -= volume
+    box = min((t for t in own), key=lambda t: (-own[t], t), default=0)
+    titled: set[int] = set()
+    for t, _, kind, _, _ in tokens:
+        while kind == TITLE and t in known and known[t][1] != BODY and t not in titled:
+            titled.add(t)
+            t = known[t][0]
+
+    def up(t: int, wanted) -> int:
+        while t and not wanted(t):
+            t = known[t][0] if t in known else 0
+        return t
+
+    box = up(box, framed.__contains__)
+    if article := up(box, lambda t: t in framed and known[t][1] == ARTICLE):
+        box = article
+    elif box:
+        # A box about it that holds the title belongs to the article.
+        outer = up(known[box][0], lambda t: known[t][1] == BODY or (t in framed and t in titled)) if box not in titled else 0
+        box = outer if outer in framed else box
+    within = {box: True, 0: False}
+    for t in known:
+        chain = []
+        while t not in within:
+            chain.append(t)
+            t = known[t][0] if t in known else 0
+        within |= dict.fromkeys(chain, within[t])
+    fixed = sum(volume for t, _, kind, volume, held in tokens if kind == TEXT and held and within[t])
+    return box, fixed * 100 > MOST_FIXED * sum(volume for t, _, _, volume, _ in tokens if t == box)
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template): the tokens of each host's template classes as an array of (class, token),
-    by class from the widest and in the class's order. pages: host, page, content (hashes) and html."""
+    """(host, template, box, stays): the tokens of each host's template classes as pairs of 64-bit
+    integers (class, token), by class from the widest and in the class's order, and the main box.
+    pages: host, page, content (hashes) and html."""
     hosts = pages.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
-    rows = pages.mapInArrow(_occurrences, "host long, page long, content long, token long, n long, place long")
+    rows = pages.mapInArrow(_occurrences, "host long, page long, content long, token long, n long, place long, parent long, kind long, volume long")
     h = F.xxhash64("page", "n")
     tokens = rows.groupBy("host", "token").agg(
         F.count("*").alias("held"), F.sum("n").alias("total"), F.sum("place").alias("place"),
         F.sum(h.bitwiseAND(F.lit(0x7FFFFFFF))).alias("v1"), F.sum(F.shiftrightunsigned(h, 33)).alias("v2"),
         F.bit_count(F.bit_or(F.expr("shiftleft(1L, int(pmod(content, 64)))"))).alias("bins"),
+        F.min("parent").alias("parent"), F.min("kind").alias("kind"), F.sum("volume").alias("volume"),
     )
     tokens = tokens.where((F.col("held") >= LEAST_PAGES) & (F.col("bins") >= LEAST_BINS)).join(hosts, "host").where(F.col("held") * 100 >= F.col("pages") * LEAST_PERCENT)
     same = Window.partitionBy("host", "held", "total", "v1", "v2")
-    tokens = tokens.withColumn("size", F.count("*").over(same)).where(F.col("size") >= LEAST_TOKENS)
+    tokens = tokens.withColumn("size", F.count("*").over(same)).withColumn("class", F.xxhash64("total", "v1", "v2"))
     # Widest first: held by most pages, then the fewest runs a page, then the largest.
-    key = F.struct((-F.col("held")).alias("a"), "total", (-F.col("size")).alias("b"), "v1", "v2", "place", "token")
-    return tokens.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(key)), lambda x: F.struct(F.xxhash64(x["total"], x["v1"], x["v2"]).alias("class"), x["token"].alias("token"))).alias("template"))
+    order = [(-F.col("held")).alias("a"), "total", (-F.col("size")).alias("b"), "v1", "v2", "place", "token"]
+    row = F.struct(*order, "class", "parent", "kind", "volume", (F.col("size") >= LEAST_TOKENS).alias("inside"))
 
+    @F.arrow_udf("struct<template: binary, box: bigint, stays: boolean>")
+    def settled(lists: pa.Array) -> pa.Array:
+        out = []
+        for rows in lists:
+            rows = rows.as_py()
+            box, stays = main_box([(r["token"], r["parent"], r["kind"], r["volume"], r["inside"]) for r in rows])
+            out.append({"template": np.array([(r["class"], r["token"]) for r in rows if r["inside"]], "<i8").tobytes(), "box": box, "stays": stays})
+        return pa.array(out, pa.struct([("template", pa.binary()), ("box", pa.int64()), ("stays", pa.bool_())]))
 
-def _lookup(template: list[dict] | None) -> dict[int, tuple[int, int, int]] | None:
-    if template is None or not len(template):
-        return None
+    found = tokens.groupBy("host").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    return found.select("host", settled("rows").alias("s")).select("host", "s.*")
+
+
+@lru_cache(maxsize=64)
+def _lookup(template: bytes, box: int, stays: bool) -> Template | None:
     classes: dict[int, list[int]] = {}
-    for t in template:
-        classes.setdefault(t["class"], []).append(t["token"])
-    return {token: (c, k, len(held)) for c, held in enumerate(classes.values()) for k, token in enumerate(held)}
+    for c, token in np.frombuffer(template, "<i8").reshape(-1, 2).tolist():
+        classes.setdefault(c, []).append(token)
+    if not classes:
+        return None
+    return Template({token: (c, k, len(held)) for c, held in enumerate(classes.values()) for k, token in enumerate(held)}, box, stays)
 
 
 def extract(df: DataFrame, url_col: str = "url", html_col: str = "html", out_col: str = "text") -> DataFrame:
@@ -261,17 +423,12 @@ def extract(df: DataFrame, url_col: str = "url", html_col: str = "html", out_col
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     found = stored(templates(df.select(host.alias("host"), F.xxhash64(F.col(url_col), html).alias("page"), F.xxhash64(html).alias("content"), html.alias("html"))), "templates")
 
-    @F.pandas_udf("string")
-    def text_of(hosts: pd.Series, pages: pd.Series, template: pd.Series) -> pd.Series:
-        known: dict[int, dict | None] = {}
-        out = []
-        for h, page, t in zip(hosts, pages, template, strict=True):
-            if h not in known:
-                known[h] = _lookup(t)
-            out.append(main_text(page, known[h]))
-        return pd.Series(out, dtype=object)
+    @F.arrow_udf("string")
+    def text_of(pages: pa.Array, template: pa.Array, box: pa.Array, stays: pa.Array) -> pa.Array:
+        rows = zip(pages, template, box, stays, strict=True)
+        return pa.array([main_text(p.as_py(), _lookup(t.as_py(), b.as_py(), s.as_py()) if t.is_valid else None) for p, t, b, s in rows], pa.string())
 
     plain = df.drop(out_col) if html_col != out_col and url_col != out_col else df
-    of_host, of_template = free_name(plain, "_page_host"), free_name(plain, "_page_template")
-    joined = plain.withColumn(of_host, host).join(found.select(F.col("host").alias(of_host), F.col("template").alias(of_template)), of_host, "left")
-    return joined.withColumn(out_col, text_of(of_host, html, of_template)).drop(of_host, of_template)
+    names = [free_name(plain, f"_page_{c}") for c in ("host", "template", "box", "stays")]
+    joined = plain.withColumn(names[0], host).join(found.toDF(*names), names[0], "left")
+    return joined.withColumn(out_col, text_of(html, *names[1:])).drop(*names)

@@ -1,7 +1,11 @@
 import re
+import time
+from collections import Counter, defaultdict
 from html import unescape
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from papyrion.llm import html_template
 from papyrion.llm.html_template import main_text
@@ -35,6 +39,21 @@ def test_one_page(html, text):
     assert main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "piece, frame",
+    [*((p, "{}") for p in ("<script ", "<a x='", "<a ", "<b><h1>", "<b></i>", "<li><ul>")), *((p, "<p><td>{}>") for p in ("<b><h1>", "<a '>'", "<script ", "<"))],
+)
+def test_hostile_pages_take_linear_time(piece, frame):
+    def seconds(size):
+        page = frame.format(piece * (size // len(piece)))
+        began = time.process_time()
+        main_text(page)
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(1_000_000) < max(4, 40 * seconds(100_000))
+
+
 def page(i, body, host="h.example"):
     return (i, f"http://{host}/{i}?x=1", f"<html><body><div><span>Daily News</span><p>Home of all news</p><p>Call us</p></div><div><h1>Title {i}</h1><p>{body}</p></div><p>All rights reserved</p></body></html>", "x", 1)
 
@@ -63,6 +82,49 @@ def test_shared_passages_of_some_pages_stay(spark):
     assert got[3] == "Title 3\nStory 3.\nA licence line\nand one more" and got[4] == "Title 4\nStory 4."
 
 
+def test_versions_of_one_article_keep_their_text(spark):
+    body = "</p><p>".join(f"Paragraph {k} of the article, the same in each version." for k in range(6))
+    rows = [page(i, f"Version {i}.</p><p>{body}") for i in range(20)]
+    got = extracted(spark, rows)
+    assert got[3] == "Title 3\nVersion 3.\n" + body.replace("</p><p>", "\n")
+
+
+def test_slots_of_a_host_with_opaque_names(spark):
+    """A page's menu, advert and comments come before or after the article in boxes of the same kind."""
+    def opaque(i):
+        menu = "".join(f"<li><a href=/{k}>to {k} {i}</a></li>" for k in range(4))
+        advert = f"<div class=q3><p>Buy {i} now</p></div>" if i % 7 else ""
+        return f"<body><div class=q1><ul>{menu}</ul></div>{advert}<div class=q7><div class=q8><h1>T {i}</h1><p>By us</p></div><div class=q9><p>Body {i} " + "of words " * (5 + i) + f"</p></div></div><div class=q4><p>Copyright {i}</p></div></body>"
+
+    got = extracted(spark, [(i, f"http://h.example/{i}", opaque(i), None, None) for i in range(40)])
+    assert got == {i: f"T {i}\nBody {i} " + "of words " * (4 + i) + "of words" for i in range(40)}
+
+
+def test_classes_are_those_of_occurrence_vectors(spark):
+    pages = [(i, f"http://{'ab'[i % 2]}.example/{i}", page(i, f"Story {i}." + "</p><p>more" * (i % 3 == 0))[2]) for i in range(40)]
+    vectors = defaultdict(lambda: defaultdict(Counter))
+    for i, url, html in pages:
+        for token in html_template.parse(html):
+            if token[0] >= 0:
+                vectors[url[7]][html_template.token_hash(token)][i] += 1
+    want = {}
+    for host, tokens in vectors.items():
+        classes = defaultdict(set)
+        for token, vector in tokens.items():
+            if len(vector) * 100 >= 20 * html_template.LEAST_PERCENT:
+                classes[frozenset(vector.items())].add(token)
+        want[host] = {frozenset(c) for c in classes.values() if len(c) >= html_template.LEAST_TOKENS}
+    df = spark.createDataFrame(pages, "page long, url string, html string").withColumn("content", F.xxhash64("html"))
+    found = html_template.templates(df.withColumn("host", F.ascii(F.substring("url", 8, 1)).cast("long"))).collect()
+    got = {}
+    for r in found:
+        classes = defaultdict(set)
+        for c, token in np.frombuffer(r.template, "<i8").reshape(-1, 2).tolist():
+            classes[c].add(token)
+        got[chr(r.host)] = {frozenset(c) for c in classes.values()}
+    assert got == want and all(want.values())
+
+
 def test_edges(spark):
     rows = [(1, None, "<p>a</p>", "x", 1), (2, "not a url", None, None, None), (3, "http://h/", "", "x", 1), (None, "http://h/", "<p>b</p>", "x", 1), (4, "http://h/", "<p>" + "w " * 300000 + "</p>", "x", 1), (5, "http://h/5", "<p>same</p>", "x", 1), (5, "http://h/5", "<p>same</p>", "x", 1)]
     out = html_template.extract(spark.createDataFrame(rows, SCHEMA))
@@ -86,3 +148,13 @@ def test_query_is_the_article_of_every_page(spark):
     got = {r.page_id: r for r in op2_html_extract(spark, "/root/testdata/sf0.01").collect()}
     assert {i: (r.url, r.text) for i, r in got.items()} == {i: (p.url, simple(p.html)) for i, p in pages.items()}
     assert all(r.n_chars == len(r.text) for r in got.values())
+
+
+def test_template_alone_finds_the_article(spark):
+    """Pages without semantic elements and without class names: only the template tells the article."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    frame = "article|nav|footer|header|aside|main"
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("html", rf"<({frame})\b[^>]*>", "<div>"), f"</({frame})>", "</div>"), ' class="[^"]*"', "")
+    rows = html_template.extract(pages.withColumn("whole", F.col("html")).withColumn("html", bare)).collect()
+    assert sum(r.text != simple(r.whole) for r in rows) == 0
+    assert all(main_text(r.html) != r.text for r in rows)
