@@ -62,8 +62,8 @@ class _Chunks(dict):
     """The ids, as bytes, of chunks that follow a space (or begin a text), encoded when first met.
 
     A plain run is one match of the split pattern, or a word's and its marks', and goes to the
-    library's model; lines of plain runs are put together. Anything else is encoded by the library as
-    it stands.
+    library's model; lines of plain runs are put together. Anything else, and whatever holds an added
+    token's content, is encoded by the library as it stands.
     """
 
     def __init__(self, tokenizer: Tokenizer, prefix: str, start: _Chunks | None = None):
@@ -72,13 +72,13 @@ class _Chunks(dict):
         self.kind = "H" if tokenizer.get_vocab_size() <= 1 << 16 else "I"
         told = json.loads(tokenizer.to_str())
         split = told["pre_tokenizer"] or {}
-        self.plain = (
-            told["normalizer"] is None and (split.get("type"), split.get("add_prefix_space"), split.get("use_regex", True)) == ("ByteLevel", False, True)
-            and all(t["special"] for t in told["added_tokens"])
-        )
+        self.plain = told["normalizer"] is None and (split.get("type"), split.get("add_prefix_space"), split.get("use_regex", True)) == ("ByteLevel", False, True)
+        # The library takes these for one id each wherever they stand; white space next to or in one forbids cuts.
+        self.added = [t["content"] for t in told["added_tokens"]]
+        self.cuts = self.plain and not any(t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) for t in told["added_tokens"])
 
     def __missing__(self, chunk: str) -> bytes:
-        if not self.plain or not chunk:
+        if not self.plain or not chunk or any(t in chunk for t in self.added):
             ids = self._whole(chunk)
         elif chunk.isascii() and chunk.isalpha():
             ids = self._match(chunk)
@@ -107,7 +107,6 @@ class _Chunks(dict):
 @lru_cache(maxsize=2)
 def _chunks(path: str) -> tuple[_Chunks, _Chunks]:
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     first = _Chunks(tokenizer, "")
     return first, _Chunks(tokenizer, " ", first)
 
@@ -121,6 +120,8 @@ def encode_text(path: str, text: str) -> bytes:
     the worker has met before.
     """
     first, after = _chunks(path)
+    if not first.cuts:
+        return first._whole(text)
     parts = _SPLIT.split(text) if _UNSAFE.search(text) else text.split(" ")
     return first[parts[0]] + b"".join(map(after.__getitem__, parts[1:]))
 
@@ -136,7 +137,8 @@ def encode_texts(path: str, texts: pa.Array) -> Iterator[bytes]:
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + RUN_BYTES, side="right")))
         run = texts.slice(at, to - at)
         at = to
-        whole = [t.as_py() if u else None for t, u in zip(run, pc.match_substring_regex(run, _ARROW_UNSAFE).to_pylist(), strict=True)]
+        unsafe = pc.match_substring_regex(run, _ARROW_UNSAFE).to_pylist() if first.cuts else [True] * len(run)
+        whole = [t.as_py() if u else None for t, u in zip(run, unsafe, strict=True)]
         split = pc.split_pattern(run.filter(pa.array([t is None for t in whole])), " ")
         chunks = split.flatten()
         told = chunks.dictionary_encode()
@@ -177,8 +179,8 @@ def write_store(df: DataFrame, path: str, tokenizer_path: str, id_col: str = "do
     """Writes every text's ids, each ended by ``end_id``, in ascending order of ``id_col``.
 
     Null and empty texts are the end id alone. Null ids come first; rows that repeat an id stand in
-    the order of their texts. Other columns are not stored. An empty table makes a store without
-    blocks.
+    the order of a hash of their texts, so that they need not meet in one task. Other columns are not
+    stored. An empty table makes a store without blocks.
     """
     spark = df.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -208,8 +210,8 @@ def write_store(df: DataFrame, path: str, tokenizer_path: str, id_col: str = "do
             yield block()
 
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    docs = docs.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    first = stored(docs.mapInArrow(blocks, f"{_BLOCK}, ids binary"), "token-ids")
+    docs = docs.withColumn("h", F.xxhash64("text")).repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    first = stored(docs.select("doc_id", "text").mapInArrow(blocks, f"{_BLOCK}, ids binary"), "token-ids")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocab, np.int64)

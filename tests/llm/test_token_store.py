@@ -15,9 +15,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def store(spark, tmp_path, rows, **more):
@@ -56,12 +54,34 @@ def test_runs_of_texts_encode_as_each(texts, run_bytes):
         token_store.RUN_BYTES = kept
 
 
+PIECES = ["<|endoftext|>", "<|endoftext|", "|>", "<|", " ", "  ", "\n", "\t", "a", "word", "don't", "12", ".", "é", "日", "\u2003", "<", ">"]
+
+
+def test_added_tokens_are_those_of_the_library(tokenizer):
+    """10,000 texts with the special token's content, glued to others and spaced."""
+    rng = np.random.default_rng(5)
+    texts = ["".join(PIECES[i] for i in rng.integers(0, len(PIECES), rng.integers(1, 12))) for _ in range(10000)]
+    want = [np.array(e.ids, np.uint16).tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [token_store.encode_text(PATH, t) for t in texts] == want
+    assert list(token_store.encode_texts(PATH, pa.array(texts, pa.string()))) == want
+    assert sum(np.uint16(50256) in np.frombuffer(w, np.uint16) for w in want) > 1000
+
+
+def test_rows_of_one_id_are_dealt_out(spark, tmp_path):
+    rows = [(7, f"text {i}", "a", 1) for i in range(4000)]
+    got = store(spark, tmp_path, rows, shards=8)
+    assert got.count() == 4000 and got.select("start").distinct().count() == 4000
+    assert spark.read.parquet(str(tmp_path / "store" / "blocks")).select("shard").distinct().count() > 4
+
+
 def test_edges(spark, tmp_path, tokenizer):
     long = "word and word, " * 90000
     rows = [(9, "nine <|endoftext|> x", "a", 1), (None, "no id", None, 2), (2, "b", "a", None), (2, "a", "a", 1), (2, "a", "a", 1), (4, None, "a", 1), (5, "", "a", 1), (7, long, "a", 1)]
     got = store(spark, tmp_path, rows, shards=3).collect()
+    h = {t: spark.sql(f"SELECT xxhash64('{t}')").first()[0] for t in "ab"}
+    in_order = sorted(["b", "a", "a"], key=h.__getitem__)
     encode = lambda t: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
-    order = [(None, "no id"), (2, "a"), (2, "a"), (2, "b"), (4, None), (5, ""), (7, long), (9, "nine <|endoftext|> x")]
+    order = [(None, "no id"), *((2, t) for t in in_order), (4, None), (5, ""), (7, long), (9, "nine <|endoftext|> x")]
     got = sorted(got, key=lambda r: r.start)
     start = 0
     for r, (i, t) in zip(got, order, strict=True):
