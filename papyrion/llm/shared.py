@@ -14,10 +14,13 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that spark.checkpoint.dir names; only where that is unset
-    (local tests) a temporary folder is set as it."""
+    """A new path in the shared folder that spark.checkpoint.dir names. Where that is unset, a local
+    master (as in tests) gets a temporary folder as it, and any other an error, since executors would
+    not see each other's files."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="papyrion-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
