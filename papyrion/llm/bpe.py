@@ -4,7 +4,8 @@ Ids are kept as one binary column, little-endian unsigned 32-bit integers: compa
 Parquet, hashed by the JVM as they stand, and read by numpy without a copy. ``ids_array`` gives
 them as an array.
 
-Long texts are cut at safe boundaries before the library sees them. A cut between a character that
+Long texts are cut at safe boundaries before the library sees them, if the split pattern is the one
+that the boundaries are safe for. A cut between a character that
 is not white space and a following space or line feed never changes a match of the split pattern:
 every alternative is either all white space or has it at its start only. Runs of very much white
 space, on which the library's regular expression engine overflows its stack, are encoded as the
@@ -21,6 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from public_tokenizers import PATTERN
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,12 @@ def encoding(ranks_path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=4)
+def _whole(ranks_path: str) -> tiktoken.Encoding:
+    """An encoding that takes any text for one match."""
+    return encoding(ranks_path, "(?s:.+)")
+
+
 def pieces(text: str, cut_at: int = CUT_AT) -> Iterator[tuple[bool, str]]:
     """The text in order as (is one match, piece); other pieces are matched each for itself."""
     at = 0
@@ -65,12 +73,15 @@ def _cut(text: str, at: int, end: int, cut_at: int) -> Iterator[tuple[bool, str]
         yield False, text[at:end]
 
 
-def encode_text(enc: tiktoken.Encoding, text: str) -> list[int]:
-    if len(text) <= LONG_SPACE:
+def encode_text(ranks_path: str, pattern: str, text: str) -> list[int]:
+    """The ids of a whole text. With a pattern that the boundaries are not known to be safe for, the
+    library gets it uncut."""
+    enc = encoding(ranks_path, pattern)
+    if len(text) <= LONG_SPACE or pattern != PATTERN:
         return enc.encode_ordinary(text)
     ids: list[int] = []
     for whole, piece in pieces(text):
-        ids += enc._encode_single_piece(piece) if whole else enc.encode_ordinary(piece)
+        ids += (_whole(ranks_path) if whole else enc).encode_ordinary(piece)
     return ids
 
 
@@ -84,8 +95,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
 
     @F.arrow_udf("binary")
     def ids_of(texts: pa.Array) -> pa.Array:
-        enc = encoding(ranks_path, pattern)
-        return pa.array([np.array(encode_text(enc, t.as_py() or ""), "<u4").tobytes() for t in texts], pa.binary())
+        return pa.array([np.array(encode_text(ranks_path, pattern, t.as_py() or ""), "<u4").tobytes() for t in texts], pa.binary())
 
     return df.withColumn(out_col, ids_of(F.col(text_col).cast("string")))
 

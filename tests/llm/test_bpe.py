@@ -21,11 +21,11 @@ def test_cut_texts_encode_as_whole(text, cut_at):
 
 @pytest.mark.parametrize("text", ["x" + " " * 9000 + "y", "x" + "\n" * 9000 + "y", " " * 9000, "a \t" + " " * 5000 + "\n\n\nb " * 2])
 def test_long_white_space(text):
-    assert bpe.encode_text(bpe.encoding(RANKS, PATTERN), text) == bpe.encoding(RANKS, PATTERN).encode_ordinary(text)
+    assert bpe.encode_text(RANKS, PATTERN, text) == bpe.encoding(RANKS, PATTERN).encode_ordinary(text)
 
 
 def test_very_long_white_space_does_not_fail():
-    assert bpe.encode_text(bpe.encoding(RANKS, PATTERN), "x" + " " * 3_000_000 + "y")
+    assert bpe.encode_text(RANKS, PATTERN, "x" + " " * 3_000_000 + "y")
 
 
 def test_round_trip_keeps_rows_and_columns(spark):
@@ -57,3 +57,9 @@ def test_query(spark):
         r = got[d.doc_id]
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(d.text.encode()).hexdigest()
+
+
+def test_other_patterns_are_not_cut():
+    """A pattern whose matches may end in a line feed, so that a cut before one would change them."""
+    pattern, text = r"\p{L}+\n?|\s+|[^\s\p{L}]+", "word\n" * 50000
+    assert bpe.encode_text(RANKS, pattern, text) == bpe.encoding(RANKS, pattern).encode_ordinary(text)
