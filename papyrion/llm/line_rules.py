@@ -1,9 +1,10 @@
 """Quality rules: base statistics of a text, and lines that recur across a host's documents.
 
-Lines are normalised and hashed; each line counts once for every different text of a host that
-holds it, so exact copies of one document do not make its lines boilerplate. Lines above a share of
-the host's texts are removed, and a document that little is left of is rejected. DataFrame
-functions only.
+Lines are normalised and hashed; a line counts once for every distinct document of a host that holds
+it. Exact copies are one document under several ids: if each counted, a document copied often would
+lose every line, and its copies and itself be rejected, for being copied. Lines above a limit are
+removed, and a document that little is left of is rejected. The limit is a number of documents and no
+share, so that a verdict does not loosen as a host grows. DataFrame functions only.
 
 Everything that leaves a task is hashes and counts: texts are never shuffled for the counting.
 Counts are combined before the shuffle, so a line that a third of all documents share is one row a
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 from papyrion.llm.shared import SPACE, WORD, free_name, let, n_words, words
 
-#: A line is removed if more texts of its host hold it than this many and this percentage.
-LEAST_TEXTS, LEAST_PERCENT = 10, 2
+#: A line is removed if more distinct documents of its host hold it than this many.
+MOST_DOCUMENTS = 20
 #: A document is depleted if less than this percentage of its words remains.
 REMAIN_PERCENT = 30
 #: Base rules: fewer words fail, and a larger percentage of words in repeated windows fails.
@@ -83,45 +84,55 @@ def base_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("base_failed", failed)
 
 
-def frequent_lines(df: DataFrame, host_col: str = "source", text_col: str = "text", least_texts: int = LEAST_TEXTS, least_percent: float = LEAST_PERCENT) -> DataFrame:
-    """(host, line): the hashes of normalised lines that more than ``least_texts`` and more than
-    ``least_percent`` percent of a host's different texts hold. A null host is a host of its own."""
+def frequent_lines(df: DataFrame, host_col: str = "source", text_col: str = "text", most_documents: int = MOST_DOCUMENTS) -> DataFrame:
+    """(host, line): the hashes of normalised lines that more than ``most_documents`` distinct documents
+    of a host hold. A null host is a host of its own."""
     line_hashes = F.array_distinct(F.transform(_lines(F.col(text_col)), lambda x: F.xxhash64(normalised(x))))
-    texts = df.select(_host(host_col).alias("host"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"), line_hashes.alias("lines"))
+    texts = df.select(_host(host_col).alias("host"), _content(text_col).alias("t"), line_hashes.alias("lines"))
     texts = texts.groupBy("host", "t").agg(F.first("lines").alias("lines"))
-    hosts = texts.groupBy("host").agg(F.count("*").alias("n_texts"))
     counts = texts.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
-    counts = counts.where(F.col("n") > least_texts).join(hosts, "host")
-    return counts.where(F.col("n") * 100 > F.col("n_texts") * least_percent).select("host", "line")
+    return counts.where(F.col("n") > most_documents).select("host", "line")
 
 
 def _host(host_col: str) -> Column:
     return F.coalesce(F.concat(F.lit("s"), F.col(host_col)), F.lit("n"))
 
 
+def _content(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def line_verdicts(df: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", **limits) -> DataFrame:
-    """One row per id whose lines are in part frequent: id, removed (hashes of its normalised lines
-    that go) and removed_words (words in them, every occurrence)."""
-    lines = df.select(
-        F.col(id_col), _host(host_col).alias("host"),
-        F.explode(F.transform(_lines(F.col(text_col)), lambda x: F.struct(F.xxhash64(normalised(x)).alias("line"), n_words(x).alias("n")))).alias("x"),
-    )
-    lines = lines.select(id_col, "host", F.col("x.line").alias("line"), F.col("x.n").alias("n"))
+    """One row for each text with frequent lines, by host, t (its hash) and spread: removed (hashes of
+    its normalised lines that go) and removed_words (words in them, every occurrence). spread is a
+    hash of the id, so that what very many rows share does not meet in one task."""
+    words_of = F.transform(_lines(F.col(text_col)), lambda x: F.struct(F.xxhash64(normalised(x)).alias("line"), n_words(x).alias("n")))
+    lines = df.select(*_place(id_col, host_col, text_col), F.posexplode(words_of).alias("i", "x"))
+    lines = lines.select("spread", "host", "t", F.struct("i", "x.line", "x.n").alias("x"), F.col("x.line").alias("line"))
     found = lines.join(frequent_lines(df, host_col, text_col, **limits), ["host", "line"], "left_semi")
-    return found.groupBy(id_col).agg(F.collect_set("line").alias("removed"), F.sum("n").alias("removed_words"))
+    # A set, so that repeated rows count once.
+    rows = found.groupBy("spread", "host", "t").agg(F.collect_set("x").alias("x"))
+    removed_words = F.aggregate("x", F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    return rows.select("spread", "host", "t", F.array_distinct(F.transform("x", lambda x: x["line"])).alias("removed"), removed_words.alias("removed_words"))
+
+
+def _place(id_col: str, host_col: str, text_col: str) -> list[Column]:
+    return [F.xxhash64(id_col).alias("spread"), _host(host_col).alias("host"), _content(text_col).alias("t")]
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", remain_percent: int = REMAIN_PERCENT, **limits) -> DataFrame:
     """Every row of df with the base statistics, removed, removed_words and kept.
 
     kept is false if base_failed, or if less than ``remain_percent`` percent of the words remain
-    once frequent lines are removed. Rows that repeat an id share one verdict, by the words of all
-    of them. Rows with a null id are judged by the base rules alone. Null texts and hosts count as
-    the empty text and as one host; an empty table gives no rows. Columns of the added names are
-    replaced.
+    once frequent lines are removed. The verdict is each row's own, whatever other rows have its id or
+    none. Null texts and hosts count as the empty text and as one host; an empty table gives no rows.
+    Columns of the added names are replaced.
     """
-    verdicts = line_verdicts(df, id_col, host_col, text_col, **limits)
-    out = base_statistics(df.drop("removed", "removed_words", "kept"), text_col).join(verdicts, id_col, "left")
+    plain = df.drop("removed", "removed_words", "kept")
+    names = [free_name(plain, f"_{c}") for c in ("spread", "host", "t")]
+    verdicts = line_verdicts(df, id_col, host_col, text_col, **limits).toDF(*names, "removed", "removed_words")
+    placed = plain.withColumns(dict(zip(names, _place(id_col, host_col, text_col), strict=True)))
+    out = base_statistics(placed, text_col).join(verdicts, names, "left").drop(*names)
     out = out.withColumn("removed_words", F.coalesce(F.col("removed_words"), F.lit(0)).cast("long"))
     depleted = (F.col("n_words") - F.col("removed_words")) * 100 < F.col("n_words") * remain_percent
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
