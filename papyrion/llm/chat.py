@@ -2,7 +2,7 @@
 
 Logs often keep a conversation after every turn, so that each snapshot is a prefix of the next.
 A conversation's prefixes get rolling hashes: the hash of a prefix is the exclusive or of the
-hashes of (place, role, text) of its turns, two independent 64-bit ones, so a running total over
+hashes of (place, digest of role and text) of its turns, two independent 64-bit ones, so a running total over
 ordered turns gives them all, in blocks that Spark can deal out. A conversation whose whole hash is
 a proper prefix's of another one is dropped by an anti-join, and of equal ones the smallest id
 stays. Only what remains is rendered.
@@ -15,30 +15,33 @@ from pyspark.sql import functions as F
 
 #: Turns are ranked and hashed in blocks of so many turn numbers, so a very long conversation is many groups.
 BLOCK = 512
+#: What a null turn number counts as.
+NO_TURN = -(1 << 63)
 
 
 def _turns(df: DataFrame, id_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
     role, text = F.coalesce(F.col(role_col), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
     return df.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("conv_id"), F.coalesce(F.col(turn_col).cast("long"), F.lit(-1)).alias("turn"), role.alias("role"), text.alias("text"),
-        F.xxhash64(F.lit("a"), role, text).alias("ta"), F.xxhash64(F.lit("b"), text, role).alias("tb"),
+        F.col(id_col).alias("conv_id"), F.coalesce(F.col(turn_col).cast("long"), F.lit(NO_TURN)).alias("turn"), role.alias("role"), text.alias("text"),
+        F.md5(F.concat(F.char_length(role).cast("string"), F.lit(":"), role, text)).alias("digest"),
     )
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
     """(conv_id, n, last, ha, hb): for each place n in each conversation the hashes of its first n
     turns, and whether it is the last place."""
-    turns = turns.select("conv_id", "turn", "ta", "tb", F.floor(F.col("turn") / BLOCK).alias("block"))
-    inside = Window.partitionBy("conv_id", "block").orderBy("turn", "ta", "tb")
+    turns = turns.select("conv_id", "turn", "digest", F.floor(F.col("turn") / BLOCK).alias("block"))
+    inside = Window.partitionBy("conv_id", "block").orderBy("turn", "digest")
     placed = turns.withColumn("i", F.row_number().over(inside))
     sizes = turns.groupBy("conv_id", "block").agg(F.count("*").alias("size"))
     before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("conv_id", "block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"), F.sum("size").over(Window.partitionBy("conv_id")).alias("total"))
     placed = placed.join(sizes, ["conv_id", "block"]).withColumn("n", F.col("start") + F.col("i"))
-    placed = placed.withColumn("xa", F.xxhash64("n", "ta")).withColumn("xb", F.xxhash64("tb", "n"))
+    placed = placed.withColumn("xa", F.xxhash64("n", "digest")).withColumn("xb", F.xxhash64("digest", "n"))
     blocks = placed.groupBy("conv_id", "block").agg(F.bit_xor("xa").alias("ba"), F.bit_xor("xb").alias("bb"))
     blocks = blocks.select("conv_id", "block", *[F.coalesce(F.bit_xor(c).over(before), F.lit(0)).alias(c) for c in ("ba", "bb")])
-    up_to = inside.rowsBetween(Window.unboundedPreceding, 0)
+    # By place, since equal turns may come in another order than when they got theirs.
+    up_to = Window.partitionBy("conv_id", "block").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("ra", F.bit_xor("xa").over(up_to)).withColumn("rb", F.bit_xor("xb").over(up_to))
     return placed.join(blocks, ["conv_id", "block"]).select(
         "conv_id", "n", (F.col("n") == F.col("total")).alias("last"), F.col("ba").bitwiseXOR(F.col("ra")).alias("ha"), F.col("bb").bitwiseXOR(F.col("rb")).alias("hb")
@@ -63,12 +66,12 @@ def rendered(role: Column, text: Column) -> Column:
 def format_chats(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, n_turns, n_equal, chat: every maximal conversation with its turns rendered in order.
 
-    Turns stand by number; null numbers come first, ties and repeated rows go by a hash of role and
+    Turns stand by number; null numbers come first, ties and repeated rows go by the MD5 of role and
     text and all count. Null roles and texts are empty. Rows with a null id take no part; other
     columns play none. A conversation's chat is one value, so its turns meet in one row; hashing and
     collapsing do not need that. An empty table gives no rows.
     """
     keep = maximal(df, id_col, turn_col, role_col, text_col)
     turns = _turns(df, id_col, turn_col, role_col, text_col).join(keep, "conv_id")
-    parts = turns.groupBy("conv_id", "n_turns", "n_equal").agg(F.array_sort(F.collect_list(F.struct("turn", "ta", "tb", rendered(F.col("role"), F.col("text")).alias("t")))).alias("turns"))
+    parts = turns.groupBy("conv_id", "n_turns", "n_equal").agg(F.array_sort(F.collect_list(F.struct("turn", "digest", rendered(F.col("role"), F.col("text")).alias("t")))).alias("turns"))
     return parts.select("conv_id", "n_turns", "n_equal", F.array_join(F.transform("turns", lambda x: x["t"]), "").alias("chat"))

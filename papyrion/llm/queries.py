@@ -29,27 +29,25 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = r"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
-win AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g
-        FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
-rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
-cov AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM rep) GROUP BY doc_id),
-l AS (SELECT doc_id, source, text, line,
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+win AS (SELECT rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g
+        FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM win) WHERE n > 1),
+cov AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM rep) GROUP BY rid),
+l AS (SELECT rid, source, text, line,
              trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm,
              len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
-      FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d)
+      FROM (SELECT rid, source, text, unnest(string_split(text, chr(10))) AS line FROM d)
       WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-h AS (SELECT source, count(DISTINCT text) AS n_texts FROM d GROUP BY source),
-f AS (SELECT l.source, norm FROM l JOIN h ON l.source IS NOT DISTINCT FROM h.source
-      GROUP BY l.source, norm, n_texts HAVING count(DISTINCT text) > 10 AND count(DISTINCT text) * 100 > n_texts * 2),
-r AS (SELECT doc_id, sum(n) AS gone FROM l JOIN f ON l.norm = f.norm AND l.source IS NOT DISTINCT FROM f.source GROUP BY doc_id),
-dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l GROUP BY doc_id),
+f AS (SELECT source, norm FROM l GROUP BY source, norm HAVING count(DISTINCT text) > 20),
+r AS (SELECT rid, sum(n) AS gone FROM l JOIN f ON l.norm = f.norm AND l.source IS NOT DISTINCT FROM f.source GROUP BY rid),
+dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM l GROUP BY rid),
 b AS (SELECT w.doc_id, len(words)::BIGINT AS n_words,
              length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
              length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
              coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words, coalesce(r.gone, 0) AS gone
-      FROM w LEFT JOIN dup ON dup.doc_id = w.doc_id LEFT JOIN cov ON cov.doc_id = w.doc_id LEFT JOIN r ON r.doc_id = w.doc_id),
+      FROM w LEFT JOIN dup ON dup.rid = w.rid LEFT JOIN cov ON cov.rid = w.rid LEFT JOIN r ON r.rid = w.rid),
 v AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        (NOT base_failed AND (n_words - gone) * 100 >= n_words * 30) AS kept
@@ -115,7 +113,9 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = r"""
-WITH c AS (SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn) AS turns FROM conversations GROUP BY conv_id),
+WITH c AS (SELECT conv_id, list(struct_pack(r := r, t := t) ORDER BY turn, md5(length(r) || ':' || r || t)) AS turns
+      FROM (SELECT conv_id, coalesce(turn, -9223372036854775808) AS turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL)
+      GROUP BY conv_id),
 u AS (SELECT turns, min(conv_id) AS conv_id, count(*)::BIGINT AS n_equal FROM c GROUP BY turns),
 k AS (SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM u AS o WHERE o.turns[1] = u.turns[1] AND len(o.turns) > len(u.turns) AND o.turns[1:len(u.turns)] = u.turns))
 SELECT conv_id, len(turns)::BIGINT AS n_turns, n_equal,

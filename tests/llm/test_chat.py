@@ -1,3 +1,8 @@
+import os
+from hashlib import md5
+
+from oracle import compare
+
 from papyrion.llm import chat
 
 SCHEMA = "conv_id long, turn long, role string, text string, n int, last string"
@@ -8,8 +13,8 @@ def plain(rows):
     by = {}
     for i, turn, role, text, *_ in rows:
         if i is not None:
-            by.setdefault(i, []).append((-1 if turn is None else turn, role or "", text or ""))
-    by = {i: tuple((r, t) for _, r, t in sorted(v, key=lambda x: x[0])) for i, v in by.items()}
+            by.setdefault(i, []).append((chat.NO_TURN if turn is None else turn, role or "", text or ""))
+    by = {i: tuple((r, t) for _, r, t in sorted(v, key=lambda x: (x[0], md5(f"{len(x[1])}:{x[1]}{x[2]}".encode()).hexdigest()))) for i, v in by.items()}
     kept = {}
     for i, turns in by.items():
         equal = [j for j in by if by[j] == turns]
@@ -45,6 +50,21 @@ def test_repeated_rows_and_ties_are_turns(spark):
     assert got == {1: (2, 1), 3: (2, 2)}
 
 
+def test_sql_agrees_on_nulls_ties_and_copies(spark, tmp_path):
+    from papyrion.llm.queries import OP8_SQL, op8_chat
+
+    rows = [(i, t if t != 2 else None, "user" if t % 2 else None, None if t == 3 else f"said {t} {i % 3}") for i in range(12) for t in range(2 + i % 4)]
+    rows += [*rows[:6], (None, 0, "user", "lost"), (20, -5, "user", "minus"), (20, None, "user", "none"), (20, 1, "user", "b"), (20, 1, "user", "a"), (21, None, None, None)]
+    tables = "/root/testdata/sf0.001"
+    for name in os.listdir(tables):
+        if name != "conversations.parquet":
+            os.symlink(f"{tables}/{name}", tmp_path / name)
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert compare(spark, op8_chat, OP8_SQL, str(tmp_path)) == ""
+    got = {r.conv_id: r.chat for r in op8_chat(spark, str(tmp_path)).collect()}
+    assert got[20].startswith("<|im_start|>user\nnone") and set(got) == set(plain(rows))
+
+
 def test_long_conversations_cross_blocks(spark):
     n = chat.BLOCK * 2 + 7
     rows = [(1, t, "user", str(t), 1, "") for t in range(n)] + [(2, t, "user", str(t), 1, "") for t in range(n - 3)] + [(3, t, "user", str(t if t != chat.BLOCK + 1 else -1), 1, "") for t in range(n - 3)]
