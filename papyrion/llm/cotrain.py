@@ -1,15 +1,17 @@
 """Quality classifier by co-training.
 
-Two logistic regressions see a document by different views: one its text (words, beginnings of
-words and style figures), the other its metadata (source, language, length). Over a few rounds each labels pool
-documents that it is sure of, and those join the other's training rows. Each view is then
-calibrated on held-out labels, and the calibrated views are combined into one score for every
-document.
+Two logistic regressions see a document by different views: one its content (words, beginnings of
+words and shares of kinds of characters), the other the page's metadata (source, language, length and layout: lines, words and
+their lengths, punctuation, repeats). Over a few rounds each labels the pool documents that it is
+surest of, by rank within each class, and those join the other's training rows, unless the other
+itself takes them for the opposite. Each view is then calibrated on held-out labels, and the
+calibrated views are combined, on other held-out labels, into one score for every document.
 
 What is fitted to is bounded: at most FIT_ROWS labelled rows and POOL_ROWS unlabelled ones, both
 chosen by the hash of their ids from the whole table, and a vocabulary of at most TERMS terms of
 those; the list of ids, the vocabulary and the models are all that is broadcast. Text weights are
-sparse (an L1 penalty), since most words say nothing of quality.
+sparse (an L1 penalty), since most words say nothing of quality. The pool's margins, two numbers a
+row, are ranked on the driver, at most POOL_ROWS of them.
 Features, fits and scores are Spark ML's, and all documents are scored in one pass without a
 shuffle.
 """
@@ -17,11 +19,10 @@ shuffle.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import log
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizerModel, FeatureHasher, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, FeatureHasher, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,16 +31,25 @@ from papyrion.llm.shared import let, stored
 
 #: Bounds of what is fitted to.
 FIT_ROWS, POOL_ROWS = 20000, 20000
-#: One in so many labelled rows is held out for calibration.
-HELD = 5
-ROUNDS = 2
-#: A view is sure of a label at this probability and its complement.
-SURE = 0.98
+#: One in so many labelled rows is held out for calibration, and one for the combination.
+HELD = 10
+#: Rounds, and the rows that a view hands the other in each, good and bad ones as they are among the labelled rows.
+ROUNDS, HANDED = 2, 500
 #: Most terms of the vocabulary, the labelled rows that a term must be in, and how long beginnings of words are.
 TERMS, TERM_ROWS, BEGINS = 4096, 10, (5, 7)
 #: Weights of the penalties of the two views; the text's is L1, the metadata's L2.
 SPARSE, RIDGE = 2e-3, 1e-2
-KEEP_AT = 0.7
+KEEP_AT = 0.85
+
+
+#: Numbers in the two arrays of figures.
+N_STYLE, N_LAYOUT = 6, 9
+
+
+def _joined(df: DataFrame, first: str, figures: str, n: int, out: str) -> DataFrame:
+    """df with two vectors as one; the hint spares Spark a look at the rows for the length."""
+    hinted = VectorSizeHint(inputCol=figures, size=n, handleInvalid="optimistic").transform(df)
+    return VectorAssembler(inputCols=[first, figures], outputCol=out).transform(hinted)
 
 
 def featured(docs: DataFrame, text_col: str, source_col: str, lang_col: str) -> DataFrame:
@@ -50,25 +60,33 @@ def featured(docs: DataFrame, text_col: str, source_col: str, lang_col: str) ->
     chars = F.greatest(F.char_length(text), F.lit(1))
     often = lambda pattern, whole: F.log1p(100.0 * F.regexp_count(text, F.lit(pattern)) / whole)
 
+    def style(words: Column) -> Column:
+        again = often(r"(?<![\p{L}\p{N}])([\p{L}\p{N}]++) (?=\1(?![\p{L}\p{N}]))", F.greatest(F.size(words), F.lit(1)))
+        return F.array(often(r"\p{Lu}", chars), often(r"\p{N}", chars), often(r"[#*$%&<>]", chars), often(r"\|", chars), often("!", chars), again)
+
+    def layout(words: Column, lines: Column) -> Column:
+        n_words, n_lines = F.greatest(F.size(words), F.lit(1)), F.greatest(F.size(lines), F.lit(1))
+        log = lambda x: F.log1p(x.cast("double"))
+        return F.array(
+            log(chars), log(F.size(words)), log(F.size(lines)), log(chars / n_lines), log(chars / n_words), log(F.array_max(F.transform(lines, F.char_length))),
+            often(r"[.,;:?!]", n_words), F.size(F.array_distinct(lines)) / n_lines, F.size(F.array_distinct(words)) / n_words,
+        )
+
     def parts(words: Column) -> Column:
         begins = [F.transform(F.filter(words, lambda x: F.char_length(x) > n), lambda x: F.concat(F.substring(x, 1, n), F.lit("-"))) for n in BEGINS]  # noqa: B023
         lines = F.filter(F.split(text, "\n", -1), lambda x: x != "")
-        return F.struct(
-            # The empty term is in every text, so that every text has one of the vocabulary.
-            F.concat(F.array(F.lit("")), words, *begins).alias("terms"),
-            F.array(
-                F.log1p(F.size(words).cast("double")), often(r"\p{Lu}", chars), often(r"\p{N}", chars), often(r"[#*$%&<>]", chars), often(r"\|", chars), often("!", chars),
-                often(r"(?<![\p{L}\p{N}])([\p{L}\p{N}]++) (?=\1(?![\p{L}\p{N}]))", F.greatest(F.size(words), F.lit(1))),
-                F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1)),
-            ).alias("style"),
-        )
+        # The empty term is in every text, so that every text has one of the vocabulary.
+        terms = F.concat(F.array(F.lit("")), words, *begins)
+        whole = lambda x: F.transform(x, lambda v: F.coalesce(v, F.lit(0.0)))
+        return F.struct(terms.alias("terms"), style(words).alias("style"), let(lines, lambda x: whole(layout(words, x))).alias("layout"))
 
     words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    out = docs.withColumn("_f", let(words, parts)).withColumns({"_terms": F.col("_f.terms"), "_style": array_to_vector(F.col("_f.style"))}).drop("_f")
+    out = docs.withColumn("_f", let(words, parts)).withColumns({"_terms": F.col("_f.terms"), "_style": array_to_vector(F.col("_f.style")), "_layout": array_to_vector(F.col("_f.layout"))}).drop("_f")
     size = F.floor(F.log2(chars)).cast("string")
     out = out.withColumns({"_m_source": F.coalesce(F.col(source_col).cast("string"), F.lit("null")), "_m_lang": F.coalesce(F.col(lang_col).cast("string"), F.lit("null")), "_m_size": size})
-    out = FeatureHasher(inputCols=["_m_source", "_m_lang", "_m_size"], outputCol="_meta_view", numFeatures=1 << 11).transform(out)
-    return out.drop("_m_source", "_m_lang", "_m_size")
+    out = FeatureHasher(inputCols=["_m_source", "_m_lang", "_m_size"], outputCol="_m_names", numFeatures=1 << 11).transform(out)
+    out = _joined(out, "_m_names", "_layout", N_LAYOUT, "_meta_view")
+    return out.drop("_m_source", "_m_lang", "_m_size", "_m_names", "_layout")
 
 
 def _vocabulary(rows: DataFrame, bad: int, good: int) -> CountVectorizerModel:
@@ -81,7 +99,7 @@ def _vocabulary(rows: DataFrame, bad: int, good: int) -> CountVectorizerModel:
 
 
 def _with_text_view(df: DataFrame, vocabulary: CountVectorizerModel) -> DataFrame:
-    out = VectorAssembler(inputCols=["_counts", "_style"], outputCol="_text_view").transform(vocabulary.transform(df))
+    out = _joined(vocabulary.transform(df), "_counts", "_style", N_STYLE, "_text_view")
     return out.drop("_counts", "_style", "_terms")
 
 
@@ -93,15 +111,18 @@ def _margin(model: LogisticRegressionModel, df: DataFrame, view: str, out: str)
 
 @dataclass
 class CoTrained:
-    """The vocabulary, the two views' models, and the calibrations: score = sigmoid(a + b * text + c * meta), where
-    text and meta are the views' own calibrated log-odds."""
+    """The vocabulary, the two views' models, and the calibrations: score = sigmoid(a + b * text + c * meta + d *
+    the smaller one), where text and meta are the views' own calibrated log-odds. The smaller one stands for documents that
+    one view alone can fault."""
 
     vocabulary: CountVectorizerModel | None
     text: LogisticRegressionModel | None
     meta: LogisticRegressionModel | None
     text_line: tuple[float, float] = (0.0, 0.0)
     meta_line: tuple[float, float] = (0.0, 0.0)
-    both: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    both: tuple[float, float, float, float] = (0.0, 0.0, 0.0, 0.0)
+    #: For each round (good, bad) rows that text handed to meta, and (good, bad) rows that meta handed to text.
+    handed: tuple[tuple[int, int, int, int], ...] = ()
 
     def score(self, docs: DataFrame, text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
         """docs with text_score, meta_score and score, each in 0..1; all 1 where there was nothing to
@@ -115,14 +136,28 @@ class CoTrained:
         out = _with_text_view(featured(out, "text", "source", "lang"), self.vocabulary)
         out = _margin(self.meta, _margin(self.text, out, "_text_view", "_t"), "_meta_view", "_m")
         t, m = (F.lit(line[0]) + F.lit(line[1]) * F.col(c) for line, c in ((self.text_line, "_t"), (self.meta_line, "_m")))
-        both = F.lit(self.both[0]) + F.lit(self.both[1]) * t + F.lit(self.both[2]) * m
+        both = F.lit(self.both[0]) + F.lit(self.both[1]) * t + F.lit(self.both[2]) * m + F.lit(self.both[3]) * F.least(t, m)
         sigmoid = lambda x: 1 / (1 + F.exp(-x))
         return out.select("row.*", *[sigmoid(x).alias(c) for x, c in zip((t, m, both), names, strict=True)])
 
 
 def _fit(rows: DataFrame, view: str, penalty: float, sparse: bool = False) -> LogisticRegressionModel:
     """A logistic fit with an L2 penalty, or an L1 penalty if sparse."""
-    return LogisticRegression(featuresCol=view, labelCol="label", maxIter=30, tol=1e-4, regParam=penalty, elasticNetParam=float(sparse)).fit(rows.select(view, "label"))
+    return LogisticRegression(featuresCol=view, labelCol="label", maxIter=20, tol=1e-4, regParam=penalty, elasticNetParam=float(sparse)).fit(rows.select(view, "label"))
+
+
+def surest(giver: np.ndarray, taker: np.ndarray, ids: np.ndarray, free: np.ndarray, n_good: int, n_bad: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pool rows that a view hands over as good and as bad: of those that are free and that
+    neither view puts in the other class, the n_good and n_bad with the giver's largest margins; ties
+    go to the smaller id. A view puts into a class its share of the pool, as n_good to n_bad."""
+    if not len(ids):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    share, found = n_bad / max(1, n_good + n_bad), []
+    above = giver >= np.quantile(giver, share), taker >= np.quantile(taker, share)
+    for sign, n in ((1, n_good), (-1, n_bad)):
+        fit = np.nonzero(free & (above[0] == (sign > 0)) & (above[1] == (sign > 0)))[0]
+        found.append(fit[np.lexsort((ids[fit], -giver[fit] * sign))[:n]])
+    return found[0], found[1]
 
 
 def logistic_line(inputs: np.ndarray, labels: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> list[float]:
@@ -146,14 +181,16 @@ def logistic_line(inputs: np.ndarray, labels: np.ndarray, ridge: float = 1e-3, r
 
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
-    fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS, rounds: int = ROUNDS,
+    fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS, rounds: int = ROUNDS, handed: int = HANDED,
 ) -> CoTrained:
     """Co-trains on labels (id_col, label 0 or 1): at most ``fit_rows`` labelled and ``pool_rows``
-    other documents. Null labels and ids count as none; of several labels of an id the smallest
-    holds. Without both classes there is nothing to learn, and every document will score 1."""
+    other documents, of which each view hands the other ``handed`` in each round. Null labels and ids
+    count as none; of several labels of an id the smallest holds. Without both classes in each part
+    of the labels there is nothing to learn, and every document will score 1."""
     known = labels.where(F.col(id_col).isNotNull() & F.col("label").isNotNull()).groupBy(id_col).agg(F.min("label").cast("double").alias("label"))
-    by_hash = F.xxhash64(id_col)
-    chosen = known.orderBy(by_hash, id_col).limit(fit_rows).withColumn("role", F.when(F.pmod(F.xxhash64(F.lit("held"), id_col), F.lit(HELD)) == 0, "held").otherwise("train"))
+    by_hash, part = F.xxhash64(id_col), F.pmod(F.xxhash64(F.lit("held"), id_col), F.lit(HELD))
+    role = F.when(part == 0, "calibrate").when(part == 1, "combine").otherwise("train")
+    chosen = known.orderBy(by_hash, id_col).limit(fit_rows).withColumn("role", role)
     ids = docs.select(id_col).where(F.col(id_col).isNotNull())
     share = min(1.0, 2 * pool_rows / max(1, ids.count()))
     pool = ids.where(F.pmod(by_hash, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).join(known, id_col, "left_anti").distinct()
@@ -161,28 +198,59 @@ def train(
     chosen = stored(chosen.unionByName(pool), "cotrain-ids")
     # Bounded by fit_rows + pool_rows: small enough to send to every task.
     rows = docs.select(id_col, text_col, source_col, lang_col).join(F.broadcast(chosen), id_col)
-    rows = featured(rows, text_col, source_col, lang_col).select(id_col, "label", "role", "_terms", "_style", "_meta_view")
+    rows = featured(rows, text_col, source_col, lang_col).select(id_col, F.xxhash64(text_col).alias("t"), "label", "role", "_terms", "_style", "_meta_view")
     rows = stored(rows, "cotrain-rows").coalesce(8)
     found = {(r.role, r.label): r.n for r in rows.groupBy("role", "label").agg(F.count("*").alias("n")).collect()}
-    if not all(found.get((role, label)) for role in ("train", "held") for label in (0.0, 1.0)):
+    if not all(found.get((role, label)) for role in ("train", "calibrate", "combine") for label in (0.0, 1.0)):
         return CoTrained(None, None, None)
-    vocabulary = _vocabulary(rows.where("role = 'train'"), found["train", 0.0], found["train", 1.0])
-    rows = stored(_with_text_view(rows, vocabulary), "cotrain-views").coalesce(4)
-    labelled, held, pool = (rows.where(F.col("role") == r) for r in ("train", "held", "pool"))
-    for_text, for_meta = labelled, labelled
-    sure = log(SURE / (1 - SURE))
-    for i in range(rounds + 1):
-        text, meta = _fit(for_text, "_text_view", SPARSE, sparse=True), _fit(for_meta, "_meta_view", RIDGE)
-        if i < rounds:
-            scored = _margin(meta, _margin(text, pool, "_text_view", "_t"), "_meta_view", "_m")
-            confident = lambda c: scored.where(F.abs(c) >= sure).withColumn("label", (F.col(c) > 0).cast("double")).select(*rows.columns)  # noqa: B023, E731
-            for_text, for_meta = labelled.unionByName(confident("_m")), labelled.unionByName(confident("_t"))
-    # Two margins of each held-out row, at most fit_rows of them: few enough for the driver.
-    margins = _margin(meta, _margin(text, held, "_text_view", "_t"), "_meta_view", "_m").select(id_col, "label", "_t", "_m").collect()
-    label, t, m = np.array([(r.label, r._t, r._m) for r in sorted(margins, key=lambda r: r[id_col])]).T
+    good, bad = found["train", 1.0], found["train", 0.0]
+    vocabulary = _vocabulary(rows.where("role = 'train'"), bad, good)
+    rows = stored(_with_text_view(rows, vocabulary), "cotrain-views").coalesce(2).persist()
+    labelled, pool = rows.where("role = 'train'"), rows.where("role = 'pool'")
+    n_good = round(handed * good / (good + bad))
+
+    def margins(of: DataFrame) -> list:
+        """Two margins of each row, of at most fit_rows or pool_rows: few enough for the driver."""
+        found = _margin(meta, _margin(text, of, "_text_view", "_t"), "_meta_view", "_m").select(id_col, "t", "role", "label", "_t", "_m").collect()
+        return sorted(found, key=lambda r: (r[id_col], r.t))
+
+    def with_handed(labels: dict) -> DataFrame:
+        """The labelled rows and those of the pool that were handed over, with their new labels."""
+        if not labels:
+            return labelled
+        new = rows.sparkSession.createDataFrame([(*key, label) for key, label in labels.items()], pool.select(id_col, "t", F.lit(0.0).alias("label")).schema)
+        return labelled.unionByName(pool.drop("label").join(F.broadcast(new), [id_col, "t"]).select(*rows.columns))
+
+    given: dict[str, dict] = {"_t": {}, "_m": {}}  # what each view has given: (id, text's hash) -> label
+    counts = []
+    text, meta = _fit(labelled, "_text_view", SPARSE, sparse=True), _fit(labelled, "_meta_view", RIDGE)
+    for _ in range(rounds):
+        scored = margins(pool)
+        keys = [(r[id_col], r.t) for r in scored]
+        t, m, place = np.array([r._t for r in scored]), np.array([r._m for r in scored]), np.arange(len(scored))
+        moved = []
+        for giver, taker, name in ((t, m, "_t"), (m, t, "_m")):
+            free = np.array([k not in given[name] for k in keys], bool)
+            for label, places in zip((1.0, 0.0), surest(giver, taker, place, free, n_good, handed - n_good), strict=True):
+                given[name] |= {keys[i]: label for i in places.tolist()}
+                moved.append(len(places))
+        counts.append(tuple(moved))
+        # A view whose training rows are the same keeps its model.
+        if moved[2] + moved[3]:
+            text = _fit(with_handed(given["_m"]), "_text_view", SPARSE, sparse=True)
+        if moved[0] + moved[1]:
+            meta = _fit(with_handed(given["_t"]), "_meta_view", RIDGE)
+        if not any(moved):
+            break
+    held = margins(rows.where("role IN ('calibrate', 'combine')"))
+    rows.unpersist()
+    arrays = lambda role: np.array([(r.label, r._t, r._m) for r in held if r.role == role]).T
+    label, t, m = arrays("calibrate")
     (a, b), (c, d) = logistic_line(t, label), logistic_line(m, label)
-    both = logistic_line(np.column_stack([a + b * t, c + d * m]), label)
-    return CoTrained(vocabulary, text, meta, (a, b), (c, d), tuple(both))
+    label, t, m = arrays("combine")
+    t, m = a + b * t, c + d * m
+    both = logistic_line(np.column_stack([t, m, np.minimum(t, m)]), label)
+    return CoTrained(vocabulary, text, meta, (a, b), (c, d), tuple(both), tuple(counts))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", keep_at: float = KEEP_AT, **bounds) -> DataFrame:

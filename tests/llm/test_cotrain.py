@@ -26,7 +26,7 @@ def corpus():
 @pytest.fixture(scope="module")
 def model(spark, corpus):
     rows, labels = corpus
-    return cotrain.train(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels[:600], "doc_id long, label double"))
+    return cotrain.train(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels[:600], "doc_id long, label double"), handed=60)
 
 
 def test_both_views_learn(spark, corpus, model):
@@ -38,6 +38,35 @@ def test_both_views_learn(spark, corpus, model):
     assert all(0 <= r[c] <= 1 for r in out for c in ("text_score", "meta_score", "score"))
 
 
+def test_rows_handed_over_are_the_surest():
+    """One round on a small pool, by going through all rows."""
+    rng = np.random.default_rng(2)
+    for n_good, n_bad in ((5, 3), (2, 0), (40, 20)):
+        t, m, free = rng.normal(size=30).round(1), rng.normal(size=30).round(1), rng.random(30) < 0.8
+        got = cotrain.surest(t, m, np.arange(30), free, n_good, n_bad)
+        share = n_bad / (n_good + n_bad)
+        cut = lambda x: sorted(x)[int(share * 29)] + (share * 29 % 1) * (sorted(x)[min(29, int(share * 29) + 1)] - sorted(x)[int(share * 29)])  # noqa: B023, E731
+        good = sorted((i for i in range(30) if free[i] and t[i] >= cut(t) and m[i] >= cut(m)), key=lambda i: (-t[i], i))[:n_good]  # noqa: B023
+        bad = sorted((i for i in range(30) if free[i] and t[i] < cut(t) and m[i] < cut(m)), key=lambda i: (t[i], i))[:n_bad]  # noqa: B023
+        assert (got[0].tolist(), got[1].tolist()) == (good, bad)
+    assert [len(x) for x in cotrain.surest(np.empty(0), np.empty(0), np.arange(0), np.empty(0, bool), 3, 1)] == [0, 0]
+
+
+def test_one_round_by_hand(spark, corpus, model):
+    """What one round hands over, from the models of no round, by brute force; and every round hands over rows of both classes."""
+    assert len(model.handed) == cotrain.ROUNDS and all(min(moved) > 0 for moved in model.handed)
+    rows, labels = corpus
+    docs, known = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels[:600], "doc_id long, label double")
+    before, after = (cotrain.train(docs, known, rounds=k, handed=50) for k in (0, 1))
+    assert before.handed == ()
+    pool = sorted(before.score(docs.where("doc_id >= 600")).collect(), key=lambda r: r.doc_id)
+    margin = lambda score, line: (np.log(score / (1 - score)) - line[0]) / line[1]
+    t, m = (margin(np.array([r[c] for r in pool]), line).round(6) for c, line in (("text_score", before.text_line), ("meta_score", before.meta_line)))
+    sizes = [len(x) for a, b in ((t, m), (m, t)) for x in cotrain.surest(a, b, np.arange(len(pool)), np.ones(len(pool), bool), 33, 17)]
+    # Rounded scores may move a row or two over an edge.
+    assert np.abs(np.array(after.handed[0]) - np.array(sizes)).max() <= 2
+
+
 def test_edges_are_scored(spark, model):
     rows = [(1, None, None, None, None, None), (2, "", "s2", "en", 0.1, "x"), (None, "alpha beta", "s2", "xx", 0.1, "x"), (4, "alpha " * 50000, "new", "en", 0.1, "x"), (5, "beta", "s2", "en", 1.0, "x"), (5, "beta", "s2", "en", 1.0, "x")]
     out = model.score(spark.createDataFrame(rows, SCHEMA))
@@ -69,7 +98,10 @@ def test_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
     docs = docs.join(labels.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text", "source", "lang")
     clean = cotrain.clean_labels(labels)
-    out = cotrain.classify(docs, clean.where("doc_id % 5 <> 0"), pool_rows=2000).join(clean.where("doc_id % 5 = 0"), "doc_id")
+    known = clean.where("doc_id % 5 <> 0")
+    model = cotrain.train(docs, known, pool_rows=2000)
+    assert len(model.handed) == cotrain.ROUNDS and all(min(moved) >= 20 for moved in model.handed)
+    out = model.score(docs).withColumn("kept", F.col("score") >= cotrain.KEEP_AT).join(clean.where("doc_id % 5 = 0"), "doc_id")
     share = {r.label: r.kept for r in out.groupBy("label").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
     assert share[1.0] > 0.97 and share[0.0] < 0.06
 
