@@ -13,9 +13,11 @@ goes to the shards that its reach touches, once each, so what is shuffled is row
 never pairs of them. Of equal vectors only the smallest ids that an answer could hold are kept, by
 a rank limit that each task applies before the shuffle, so copies cost nothing.
 
-WALK_SHARE sets recall. Where vectors are near to random directions, as in the test tables (the
-best cosine is about 0.4 in 64 dimensions), true neighbours lie in far cells too, and 0.9 needs
-nearly half of them; on vectors with structure a few percent do.
+How far a query walks is measured, not assumed: a bounded sample of queries is searched exactly, and
+the share of all vectors that a walk must hold to meet TARGET of their true neighbours is taken for
+every query. Where vectors are near to random directions, as in the test tables (the best cosine is
+about 0.4 in 64 dimensions), true neighbours lie in far cells too, and that is nearly half of all; on
+vectors with structure a few percent do.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ from papyrion.llm.shared import stored
 
 #: Rows that centroids are fitted to, and rounds of fitting.
 FIT_ROWS, FIT_ROUNDS = 32768, 12
-#: A query walks cells until they hold this share of all vectors.
-WALK_SHARE = 0.55
+#: Queries that the walk is measured on, and the share of their true neighbours that it must meet.
+PROBES, TARGET = 192, 0.95
 #: Vectors for each cell to hold on average, and the most centroids of a half.
 PER_CELL, MOST_CENTROIDS = 16, 1024
 #: Vectors of a shard, and of a group of a larger one.
@@ -105,12 +107,46 @@ def walk(a: np.ndarray, b: np.ndarray, counts: np.ndarray, wanted: int) -> float
     return reach
 
 
+def needed_share(indexed: DataFrame, queries: DataFrame, k: int, first: np.ndarray, second: np.ndarray, counts: np.ndarray) -> float:
+    """The least share of all vectors that walks must hold to meet TARGET of the true k nearest of at
+    most PROBES queries, chosen by the hash of their ids. Each task ranks its own vectors exactly."""
+    probes = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(PROBES).collect()
+    if not probes:
+        return 1.0
+    asking, unit, half = np.array([r.query_id for r in probes]), _unit(np.array([r.query for r in probes], np.float64)), first.shape[1]
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.full((len(unit), k), -np.inf)
+        cells = np.zeros((len(unit), k), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                score = unit @ _unit(_matrix(batch.column("vector"))).T
+                score[asking[:, None] == batch.column("vec_id").to_numpy()[None, :]] = -np.inf
+                both = np.hstack([best, score])
+                take = np.argsort(-both, axis=1, kind="stable")[:, :k]
+                cells = np.take_along_axis(np.hstack([cells, np.broadcast_to(batch.column("cell").to_numpy(), score.shape)]), take, axis=1)
+                best = np.take_along_axis(both, take, axis=1)
+        q, at = np.nonzero(best > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(cells[q, at]), pa.array(best[q, at])], ["q", "cell", "score"])
+
+    found = indexed.select("vec_id", "vector", "cell").mapInArrow(nearest, "q long, cell long, score double")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "cell")
+    found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q", "cell").collect()  # at most PROBES * k
+    needed = []
+    a, b = _distances(unit[:, :half], first), _distances(unit[:, half:], second)
+    for r in found:
+        sums = a[r.q][:, None] + b[r.q][None, :]
+        needed.append(counts[(sums <= sums.ravel()[r.cell] + 1e-12).ravel()].sum() / counts.sum())
+    return float(np.quantile(needed, TARGET, method="higher")) if needed else 1.0
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.values.to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
-def search(df: DataFrame, query_every: int, k: int, id_col: str = "vec_id", vector_col: str = "embedding", share: float = WALK_SHARE) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k nearest found of every query.
+def search(df: DataFrame, query_every: int, k: int, id_col: str = "vec_id", vector_col: str = "embedding", share: float | None = None) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the k nearest found of every query, and share: the share
+    of all vectors that a query's walk held, measured by needed_share() unless it is given.
 
     Queries are the rows whose id is divisible by ``query_every``; candidates are all rows but the
     query's own. score is the cosine of the original vectors in double precision; ties go to the
@@ -125,7 +161,7 @@ def search(df: DataFrame, query_every: int, k: int, id_col: str = "vec_id", vect
     kept = rows.withColumn("place", place).where(F.col("place") <= k + 1).drop("place")
     n = rows.count()
     if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, share double")
     first, second = fit(rows, n)
     half, width = first.shape[1], len(second)
 
@@ -140,6 +176,8 @@ def search(df: DataFrame, query_every: int, k: int, id_col: str = "vec_id", vect
     counts = np.zeros(len(first) * width, np.int64)
     for r in indexed.groupBy("cell").agg(F.count("*").alias("n")).collect():  # at most MOST_CENTROIDS squared
         counts[r.cell] = r.n
+    if share is None:
+        share = needed_share(indexed, queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query")), k, first, second, counts)
     # Shards: first centroids in the order of their first components, up to PART vectors each.
     sizes, order = counts.reshape(len(first), width).sum(axis=1), np.argsort(first[:, 0], kind="stable")
     shard_of, parts, held = np.zeros(len(first), np.int64), [], PART
@@ -200,7 +238,7 @@ def search(df: DataFrame, query_every: int, k: int, id_col: str = "vec_id", vect
     asking = queries.mapInArrow(asked, "query_id long, query array<double>, reach double, shard long, part long")
     met = shards.groupBy("shard", "part").cogroup(asking.groupBy("shard", "part")).applyInPandas(ranked, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", F.lit(share).alias("share"))
 
 
 def cosine(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:

@@ -39,6 +39,18 @@ def test_recall_of_the_query(spark):
         assert s == pytest.approx(a @ b / np.sqrt(a @ a) / np.sqrt(b @ b), abs=1e-12)
 
 
+@pytest.mark.parametrize("spread, most", [(0.05, 0.2), (10.0, 1.0)])
+def test_share_is_measured(spark, spread, most):
+    """Clustered vectors need few cells, random ones many; both meet their neighbours."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 16))
+    vectors = {i: (centres[i % 40] + rng.normal(size=16) * spread).astype(np.float32).tolist() for i in range(4000)}
+    rows = ann.search(spark.createDataFrame([(i, v, "x", 1) for i, v in vectors.items()], SCHEMA), 20, 5).collect()
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in rows}
+    assert recall(got, brute(vectors, range(0, 4000, 20), 5)) >= 0.9
+    assert 0 < rows[0].share <= most
+
+
 def test_walking_all_cells_is_exact(spark):
     rng = np.random.default_rng(3)
     vectors = {int(i): rng.normal(size=9).astype(np.float32).tolist() for i in range(0, 900, 3)}
