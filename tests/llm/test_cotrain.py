@@ -99,7 +99,7 @@ def test_held_out_labels(spark):
     docs = docs.join(labels.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text", "source", "lang")
     clean = cotrain.clean_labels(labels)
     known = clean.where("doc_id % 5 <> 0")
-    model = cotrain.train(docs, known, pool_rows=2000)
+    model = cotrain.train(docs, known, pool_rows=2000, handed=100)
     assert len(model.handed) == cotrain.ROUNDS and all(min(moved) >= 20 for moved in model.handed)
     out = model.score(docs).withColumn("kept", F.col("score") >= cotrain.KEEP_AT).join(clean.where("doc_id % 5 = 0"), "doc_id")
     share = {r.label: r.kept for r in out.groupBy("label").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
