@@ -9,9 +9,9 @@ fingerprints leave a comparison as a star about the smallest one, never as all t
 
 ``similar`` compares the same way, but finds texts by the similarity of their 5-word shingles. 64 bits
 are too few for that, so its fingerprints have 768, of which two texts of similarity J differ in about
-acos(2J / (1 + J)) / pi: 116 of 768 at 0.8, give or take 10. A radius of 150 makes candidates; what
+acos(2J / (1 + J)) / pi: 116 of 768 at 0.8, give or take 10. A radius of 160 makes candidates; what
 links two of them is the similarity of their shingle sets itself. Whose bits are compared is settled
-by the smallest shingle hashes of four kinds: texts of similarity 0.8 share one with probability 0.998.
+by the smallest shingle hashes of eight kinds: texts of similarity 0.8 share none of them once in 400,000.
 """
 
 from __future__ import annotations
@@ -33,9 +33,11 @@ BLOCK = 1024
 #: Fingerprints of one key that meet in one task; those of a larger key meet in all pairs of parts.
 PART = 16384
 #: Of ``similar``: words of a fingerprint, shingle, radius, smallest hashes, and the rows of a part.
-WORDS, WIDE_SHINGLE, WIDE_RADIUS, MINIMA, WIDE_PART = 12, 5, 150, 4, 4096
+WORDS, WIDE_SHINGLE, WIDE_RADIUS, MINIMA, WIDE_PART = 12, 5, 160, 8, 4096
 #: Shingle sets are linked at this percentage; as a part's rows their texts count by this many bytes.
 SIMILAR_PERCENT, TEXT_BYTES = 80, 8192
+#: Keys that more than a part's rows share are sent to every task if there are at most so many of them.
+HOT_KEYS = 1_000_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -105,7 +107,7 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 def sketch(text: str | None) -> tuple[bytes, list[int]]:
     """The 768-bit SimHash of the different 5-word shingles of a text, and their smallest hashes of
-    four kinds as signed integers; zero bits and none without words. Words as in ``fingerprint``."""
+    eight kinds as signed integers; zero bits and none without words. Words as in ``fingerprint``."""
     hashes = shingle_hashes(text)
     if not len(hashes):
         return bytes(8 * WORDS), []
@@ -276,9 +278,21 @@ def _keys() -> list:
     return found
 
 
-def _with_sizes(keyed: DataFrame) -> DataFrame:
-    """Rows whose key others share, with how many share it."""
-    return keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+def _with_sizes(keyed: DataFrame, sizes: DataFrame, size: int) -> DataFrame:
+    """Rows with their key's n of sizes (key, n), those without one left out. Rows of keys with n above
+    ``size`` get it where they are, so that they do not meet by key."""
+    sizes = stored(sizes, "key-sizes")
+    hot = sizes.where(F.col("n") > size)
+    known = hot.count()
+    if not known:
+        return keyed.join(sizes, "key")
+    marked = keyed.join(F.broadcast(hot) if known <= HOT_KEYS else hot, "key", "left")
+    return marked.where("n IS NOT NULL").unionByName(marked.where("n IS NULL").drop("n").join(sizes, "key"))
+
+
+def _shared(keyed: DataFrame) -> DataFrame:
+    """How many rows share each key that more than one has."""
+    return keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def _dealt(rows: DataFrame, size: int, *more: str) -> DataFrame:
@@ -299,14 +313,14 @@ def _edges(groups: DataFrame, width: int, radius: int) -> DataFrame:
 def links(nodes: DataFrame) -> DataFrame:
     """Edges (a, b) that join all nodes (node, simhash; each simhash once) within the radius."""
     keyed = nodes.select("node", F.col("simhash").alias("value"), F.explode(F.array(*_keys())).alias("key"))
-    return _edges(_dealt(_with_sizes(keyed), PART), 1, RADIUS)
+    return _edges(_dealt(_with_sizes(keyed, _shared(keyed), PART), PART), 1, RADIUS)
 
 
 def similar_links(nodes: DataFrame) -> DataFrame:
     """Candidates (a, b) between nodes (node, bits, minima) whose bits lie within the radius. All nodes that
     share a smallest hash meet, however many do, as with a passage in very many texts."""
     keyed = nodes.select("node", F.col("bits").alias("value"), F.posexplode("minima").alias("k", "m")).withColumn("key", F.xxhash64("k", "m"))
-    return _edges(_dealt(_with_sizes(keyed), WIDE_PART), WORDS, WIDE_RADIUS)
+    return _edges(_dealt(_with_sizes(keyed, _shared(keyed), WIDE_PART), WIDE_PART), WORDS, WIDE_RADIUS)
 
 
 def verified_links(df: DataFrame, nodes: DataFrame, candidates: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -315,7 +329,7 @@ def verified_links(df: DataFrame, nodes: DataFrame, candidates: DataFrame, id_co
     hash t. A component of very many rows or bytes is split into parts that meet pairwise."""
     rows = nodes.join(candidates, "node").select("node", "t", F.col("bits").alias("value"), "size", F.col("component").alias("key"))
     sizes = rows.groupBy("key").agg(F.greatest(F.count("*"), F.ceil(F.sum("size") / TEXT_BYTES)).alias("n"))
-    groups = _dealt(rows.join(sizes, "key"), WIDE_PART, "t")
+    groups = _dealt(_with_sizes(rows, sizes, WIDE_PART), WIDE_PART, "t")
     texts = df.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
     full = groups.join(texts, ["node", "t"]).select("group", "value", "node", "text")
     return full.repartition("group").sortWithinPartitions("group").mapInArrow(_verification, "a long, b long")
@@ -324,7 +338,7 @@ def verified_links(df: DataFrame, nodes: DataFrame, candidates: DataFrame, id_co
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: id, component_id, the smallest id that a chain of similar texts reaches,
     its own included. Texts are similar if their sets of 5-word shingles have a Jaccard similarity of
-    0.8 or more; a pair just there is missed by chance in about one of 500. Equal bits are always linked.
+    0.8 or more; a pair just there is missed by chance about once in 100,000. Equal bits are always linked.
 
     Null, empty and wordless texts are equal. Ids and nulls are treated as by ``near_duplicates``.
     Other columns are not kept. An empty table gives no rows.

@@ -151,15 +151,15 @@ def test_similar_texts_are_found_and_others_left_alone(spark, monkeypatch, part)
     assert (got[5001], got[5003], got[5004]) == (5000, 5002, 5004)
 
 
-def test_similar_over_the_documents(spark):
+@pytest.mark.parametrize("part", [1, 20, simhash.WIDE_PART])
+def test_similar_over_the_documents(spark, monkeypatch, part):
+    """The components of all pairs of 0.8 or more, by brute force, however small the parts."""
+    monkeypatch.setattr(simhash, "WIDE_PART", part)
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     got = {r.doc_id: r.component_id for r in simhash.similar(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
     sets = {i: shingles(t) for i, t in docs.items()}
-    pairs = [(i, j, s) for i in sets for j in sets if i < j and 0.8 <= len(sets[i]) / max(1, len(sets[j])) <= 1.25 and (s := similarity(sets[i], sets[j])) >= 0.6]
-    near = [(i, j) for i, j, s in pairs if s >= 0.8]
-    assert sum(got[i] == got[j] for i, j in near) >= 0.98 * len(near) > 0
-    linked = plain_roots(sets, [(i, j) for i, j, _ in pairs])
-    assert all(linked[i] == linked[c] for i, c in got.items())
+    near = [(i, j) for i in sets for j in sets if i < j and 0.8 <= len(sets[i]) / max(1, len(sets[j])) <= 1.25 and similarity(sets[i], sets[j]) >= 0.8]
+    assert got == plain_roots(sets, near) and len(set(got.values())) < len(got)
 
 
 def plain_roots(ids, pairs):
