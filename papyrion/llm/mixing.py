@@ -54,7 +54,7 @@ def source_targets(sizes: DataFrame, source: str, size: str, weights=WEIGHTS, sh
 
 def mix(
     df: DataFrame, size_col: str = "size", source_col: str = "source", id_col: str = "doc_id", seed: str = "mix",
-    weights=WEIGHTS, share: int = SHARE, most: int = MOST, range_digits: int = 3,
+    weights=WEIGHTS, share: int = SHARE, most: int = MOST, range_digits: int = 4,
 ) -> DataFrame:
     """Every row of df with source_size, target (its source's), copies and taken (its tokens in the mix).
 
@@ -66,13 +66,14 @@ def mix(
     empty table gives no rows.
 
     One source may hold most rows: its order is cut into 16^range_digits ranges, and no window over
-    rows spans more than one of them.
+    rows spans more than one of them. The key is one of id and size, so that rows without an id, or with
+    one that very many repeat, spread too.
     """
     # The rows travel as one struct, whatever their columns are called. One plain key for the source
     # keeps null apart from every string and joins without null rules.
     keyed = df.drop("source_size", "target", "copies", "taken").select(
         F.struct("*").alias("row"), F.col(source_col).alias("source"), F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")).alias("_source"), F.col(id_col).alias("id"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("_key"), F.coalesce(F.col(size_col).cast("long"), F.lit(0)).alias("_size"),
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(size_col).cast("long"), F.lit(0)).cast("string"))).alias("_key"), F.coalesce(F.col(size_col).cast("long"), F.lit(0)).alias("_size"),
     ).withColumn("_range", F.substring("_key", 1, range_digits))
     ranges = keyed.groupBy("_source", "source", "_range").agg(F.sum("_size").alias("_sum"))
     before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

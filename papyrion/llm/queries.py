@@ -72,7 +72,7 @@ u AS (SELECT *, ((sum(source_size) OVER () * 150) / 100.0::DOUBLE
 t AS (SELECT source, source_size,
              least(2.0::DOUBLE * source_size, coalesce((SELECT arg_max(unit, open_weight) FROM u WHERE unit * weight <= 2 * source_size) * weight, 2.0::DOUBLE * source_size)) AS target FROM u),
 o AS (SELECT d.doc_id, d.size, t.source_size, t.target,
-             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('mix:' || d.doc_id::VARCHAR), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('mix:' || coalesce(d.doc_id::VARCHAR, '') || ':' || d.size), d.doc_id NULLS FIRST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM o)
 SELECT doc_id, size, source_size, target,
