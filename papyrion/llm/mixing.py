@@ -76,10 +76,15 @@ def mix(
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(size_col).cast("long"), F.lit(0)).cast("string"))).alias("_key"), F.coalesce(F.col(size_col).cast("long"), F.lit(0)).alias("_size"),
     ).withColumn("_range", F.substring("_key", 1, range_digits))
     ranges = keyed.groupBy("_source", "source", "_range").agg(F.sum("_size").alias("_sum"))
-    before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # Ranges before a range: those of its group (all but the last two digits), and the groups before that.
+    group = F.substring("_range", 1, range_digits - 2).alias("_group")
+    before = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    groups = ranges.groupBy("_source", group).agg(F.sum("_sum").alias("_of_group"))
+    groups = groups.select("_source", "_group", F.coalesce(F.sum("_of_group").over(before(["_source"], "_group")), F.lit(0)).alias("_groups_before"))
+    in_group = ranges.select("_source", group, "_range", F.coalesce(F.sum("_sum").over(before(["_source", group], "_range")), F.lit(0)).alias("_in_group"))
     targets = source_targets(ranges, "source", "_sum", weights, share, most)
     targets = targets.select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("_source"), "source_size", "target")
-    starts = ranges.select("_source", "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start")).join(targets, "_source")
+    starts = in_group.join(groups, ["_source", "_group"]).withColumn("_start", F.col("_groups_before") + F.col("_in_group")).drop("_group", "_groups_before", "_in_group").join(targets, "_source")
     inside = Window.partitionBy("_source", "_range").orderBy("_key", "id", "_size").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(starts, ["_source", "_range"])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
