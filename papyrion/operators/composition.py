@@ -98,12 +98,14 @@ def recurring_configurations(df: DataFrame, panels: list[Panel], view: str = "fu
 
 
 def nested_distributions(df: DataFrame, panels: list[Panel], paper_id: str) -> DataFrame:
-    """For each value of each panel the distribution of every other panel, in both views, from one
-    shuffle: each paper's own panel cells are paired with each other, never with another paper's."""
+    """For each value of each panel the distribution of every other panel, in both views. Papers with
+    the same cells in all panels are counted first, so what is expanded to pairs of panels are the
+    different combinations, as few as the categories allow."""
     cells = F.array(*[F.struct(F.lit(p.id).alias("d"), or_missing(p.value(df)).alias("v"), p.observed(df).alias("o")) for p in panels])
-    pairs = df.select(F.explode(cells).alias("c"), cells.alias("all")).select("c", F.explode("all").alias("x")).where("c.d <> x.d")
+    combined = df.select(cells.alias("all")).groupBy("all").agg(F.count("*").alias("n"))
+    pairs = combined.select("n", "all", F.explode("all").alias("c")).select("n", "c", F.explode("all").alias("x")).where("c.d <> x.d")
     counts = pairs.groupBy(F.col("c.d").alias("control"), F.col("c.v").alias("control_value"), F.col("x.d").alias("outcome"), F.col("x.v").alias("outcome_value")).agg(
-        F.count("*").alias("papers"), F.sum((F.col("c.o") & F.col("x.o")).cast("long")).alias("observed_papers")
+        F.sum("n").alias("papers"), F.sum(F.when(F.col("c.o") & F.col("x.o"), F.col("n")).otherwise(0)).alias("observed_papers")
     )
     whole = Window.partitionBy("control", "control_value", "outcome")
     return counts.withColumn("share", F.col("papers") / F.sum("papers").over(whole)).withColumn("observed_share", share(F.col("observed_papers"), F.sum("observed_papers").over(whole)))

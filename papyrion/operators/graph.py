@@ -69,10 +69,14 @@ def member_pairs(df: DataFrame, group: str, member: str, most: int = 25) -> Data
     return left.select(group, "left_member", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("right_member"))
 
 
+# Fixed value: what counts as a DOI in running text.
+DOI = r"(10\.[0-9]{4,9}/[-._;()/:A-Za-z0-9]+)"
+
+
 def resolve_references(df: DataFrame, paper: str, references: Column, doi: Column, order: Column) -> DataFrame:
     """(paper, target, type): DOIs found in a reference text, CITES for those of a paper at hand (the
     first by order with that DOI), REFERENCES for others; a paper's own DOI is left out."""
-    found = F.array_distinct(F.regexp_extract_all(F.coalesce(references, F.lit("")), F.lit(r"(10\.\d{4,9}/[^\s;,\"<>]+)"), F.lit(1)))
+    found = F.array_distinct(F.regexp_extract_all(F.coalesce(references, F.lit("")), F.lit(DOI), F.lit(1)))
     refs = df.select(F.col(paper).alias("paper"), F.explode(F.transform(found, norm_doi)).alias("doi")).where("doi IS NOT NULL").distinct()
     index = df.select(norm_doi(doi).alias("doi"), F.col(paper).alias("target"), order.alias("o")).where("doi IS NOT NULL").groupBy("doi").agg(F.min_by("target", "o").alias("target"))
     out = refs.join(index, "doi", "left").where("target IS NULL OR target <> paper")

@@ -51,11 +51,16 @@ def balanced_units(ratings: DataFrame, raters: int) -> DataFrame:
 
 def pair_matrix(ratings: DataFrame) -> DataFrame:
     """Percent agreement and alpha of every pair of raters and dimension on the units that all raters
-    rated. Raters are few: each unit's own ratings are paired with each other by an equi-join."""
-    raters = ratings.select("rater").distinct().count()
-    rows = ratings.join(balanced_units(ratings, raters), "unit", "left_semi")
-    l, r = (rows.select("unit", "dimension", F.col("rater").alias(f"{s}_rater"), F.col("value").alias(f"{s}_value")) for s in ("left", "right"))  # noqa: E741
-    pairs = l.join(r, ["unit", "dimension"]).where("left_rater < right_rater")
+    rated. A unit's ratings meet once, as one map for each dimension; which raters a unit has comes
+    from the same rows, and pairs from the map's entries. Raters are few."""
+    raters = ratings.agg(F.count_distinct("rater")).first()[0]
+    # Each rater has at most one rating of a dimension; a unit's raters may be spread over its dimensions.
+    maps = ratings.groupBy("unit", "dimension").agg(F.array_sort(F.collect_list(F.struct("rater", "value"))).alias("r"))
+    units = maps.groupBy("unit").agg(F.collect_list(F.struct("dimension", "r")).alias("dimensions"))
+    rated = F.array_distinct(F.flatten(F.transform("dimensions", lambda d: F.transform(d["r"], lambda x: x["rater"]))))
+    rows = units.where(F.size(rated) == raters).select("unit", F.explode("dimensions").alias("d")).select("unit", "d.dimension", "d.r")
+    pairs = rows.select("unit", "dimension", "r", F.explode("r").alias("a")).select("unit", "dimension", "a", F.explode("r").alias("b")).where("a.rater < b.rater")
+    pairs = pairs.select("unit", "dimension", *[F.col(f"{x}.{c}").alias(f"{s}_{c}") for x, s in (("a", "left"), ("b", "right")) for c in ("rater", "value")])
     keys = ["left_rater", "right_rater", "dimension"]
     agreement = percent_agreement(pairs, "left_value", "right_value", keys)
     both = pairs.where("left_value IS NOT NULL AND right_value IS NOT NULL")

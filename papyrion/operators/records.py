@@ -120,3 +120,61 @@ def assigned_above(papers: DataFrame, left: DataFrame, right: DataFrame, key: st
     rows = papers.join(total(left, "left_n"), key, "left").join(total(right, "right_n"), key, "left").fillna(0, ["left_n", "right_n"])
     kept = rows.where((F.col("left_n") >= least) & (F.col("right_n") >= least))
     return kept.groupBy(F.col(topic).alias("topic")).agg(F.count("*").alias("papers"), F.avg("left_n").alias("left_mean"), F.avg("right_n").alias("right_mean"))
+
+
+def rater_registry(ratings: DataFrame, cohort: list[str], minimum: dict[str, int]) -> DataFrame:
+    """Per rater: units coded, their share of all units, and whether agreement statistics admit it: raters of
+    the fixed cohort always, others from their own minimum of coded units on."""
+    units = ratings.where("value IS NOT NULL").select("rater", "unit").distinct()
+    coded = units.groupBy("rater").agg(F.count("*").alias("coded"))
+    total = ratings.agg(F.count_distinct("unit")).first()[0]
+    least = F.coalesce(*[F.when(F.col("rater") == r, F.lit(n)) for r, n in minimum.items()], F.lit(None).cast("int"))
+    eligible = F.col("rater").isin(cohort) | F.coalesce(F.col("coded") >= least, F.lit(False))
+    return coded.select("rater", "coded", share(F.col("coded"), F.lit(total)).alias("coverage"), eligible.alias("eligible"))
+
+
+def rater_frame(corpus: DataFrame, rater: DataFrame, key: str) -> DataFrame:
+    """The corpus as a rater coded it: every column that the rater supplies is the rater's, never the
+    corpus's, and only coded rows stay. A key that the rater has twice is an error."""
+    once = rater.withColumn("_n", F.count("*").over(Window.partitionBy(key)))
+    once = once.withColumn(key, F.when(F.col("_n") == 1, F.col(key)).otherwise(F.raise_error(F.lit("a rater has a key twice")).cast(rater.schema[key].dataType))).drop("_n")
+    return corpus.drop(*[c for c in rater.columns if c != key]).join(once, key)
+
+
+def targeted_reading(frame: DataFrame, sample: DataFrame, key: str, order: str) -> DataFrame:
+    """frame's rows of a sample, with the sample's columns (those that frame has too end in _prior) and sample_order."""
+    names = [F.col(order).alias("sample_order"), *[F.col(c).alias(f"{c}_prior" if c in frame.columns else c) for c in sample.columns if c not in (key, order)]]
+    return frame.join(sample.select(key, *names), key)
+
+
+def relation_evidence(reading: DataFrame, primary: DataFrame, raters: dict[str, DataFrame], key: str) -> DataFrame:
+    """reading with the primary coding of its rows, and each rater's columns where it has the row, named after it."""
+    out = reading.join(primary, key)
+    for name, rows in raters.items():
+        out = out.join(rows.select(key, *[F.col(c).alias(f"{name}__{c}") for c in rows.columns if c != key]), key, "left")
+    return out
+
+
+def review_faults(review: DataFrame, expected: DataFrame, statuses: list[str]) -> DataFrame:
+    """(fault, scope, topic): what keeps a label review from being complete. expected has (scope, topics):
+    each scope's topics must be 0 to topics - 1, once each, with a known status and, if approved, a
+    label. A review without faults gives no rows."""
+    rows = review.select("scope", F.col("topic").cast("int").alias("topic"), "status", clean_or_null(F.col("approved")).alias("approved"))
+    wanted = expected.select("scope", F.explode(F.sequence(F.lit(0), F.col("topics").cast("int") - 1)).alias("topic"))
+    counts = rows.groupBy("scope", "topic").agg(F.count("*").alias("n"))
+    fault = lambda df, name: df.select(F.lit(name).alias("fault"), "scope", "topic")
+    return reduce(DataFrame.unionByName, [
+        fault(counts.where("n > 1"), "duplicate"),
+        fault(wanted.join(counts, ["scope", "topic"], "left_anti"), "missing"),
+        fault(counts.join(wanted, ["scope", "topic"], "left_anti"), "not expected"),
+        fault(rows.where(~F.coalesce(F.col("status").isin(statuses), F.lit(False))), "status"),
+        fault(rows.where("status = 'approved' AND approved IS NULL"), "approved without label"),
+    ])
+
+
+def gated(review: DataFrame, automatic: str = "automatic") -> DataFrame:
+    """review with label: the approved labels of scopes whose every topic is approved and named, else
+    the automatic ones."""
+    named = F.coalesce((F.col("status") == "approved") & clean_or_null(F.col("approved")).isNotNull(), F.lit(False))
+    complete = review.groupBy("scope").agg(F.every(named).alias("complete"))
+    return review.join(complete, "scope").withColumn("label", F.when(F.col("complete"), clean_or_null(F.col("approved"))).otherwise(F.col(automatic)))

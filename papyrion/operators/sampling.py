@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,22 +53,43 @@ def draw_stratified(df: DataFrame, key: str, allocation: dict[str, int], seed: i
     return out.withColumn("selection_probability", F.col("sample") / F.col("population")).withColumn("weight", F.col("population") / F.col("sample"))
 
 
-def simulate_stability(df: DataFrame, key: str, left: str, right: str, fractions: list[float], replicates: int, seed: int) -> DataFrame:
+def _agreeing(rng: np.random.Generator, agree: int, differ: int, take: int, n: int) -> np.ndarray:
+    """How many of ``take`` rows drawn without replacement agree, n times. Beyond what numpy draws
+    exactly (a billion rows), by the normal distribution of the same mean and variance."""
+    if max(agree, differ) < 10**9:
+        return rng.hypergeometric(agree, differ, take, n)
+    total = agree + differ
+    p = agree / total
+    spread = (take * p * (1 - p) * (total - take) / (total - 1)) ** 0.5
+    return np.clip(np.rint(rng.normal(take * p, spread, n)), max(0, take - differ), min(take, agree))
+
+
+def simulate_stability(df: DataFrame, left: str, right: str, fractions: list[float], replicates: int, seed: int) -> DataFrame:
     """For each fraction over the replicates: the mean, bias, standard deviation, root mean square
-    error and 95 % width of percent agreement against the whole frame's. Each replicate takes each
-    stratum's rows whose hash rank is within its share; blanks are a category of their own."""
-    same = (F.coalesce(F.col(left).cast("string"), F.lit("")) == F.coalesce(F.col(right).cast("string"), F.lit(""))).cast("double")
-    rows = df.select("stratum", F.col(key).alias("k"), same.alias("same"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    w = Window.partitionBy("replicate", "stratum")
-    ranked = rows.withColumn("r", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "replicate", "k"), "k"))).withColumn("n", F.count("*").over(w))
-    taken = ranked.select("replicate", "same", "r", "n", F.explode(F.array(*map(F.lit, fractions))).alias("fraction")).where(F.col("r") <= F.ceil(F.col("n") * F.col("fraction")))
-    each = taken.groupBy("fraction", "replicate").agg(F.avg("same").alias("agreement"))
-    truth = df.agg(F.avg(same).alias("truth")).withColumn("k", F.lit(1))
-    out = each.withColumn("k", F.lit(1)).join(truth, "k").groupBy("fraction").agg(
+    error and 95 % width of percent agreement against the whole frame's. Each replicate takes its
+    share of each stratum, rounded up; blanks are a category of their own.
+
+    Agreement needs no rows, only how many of a stratum's agree: each replicate draws that number
+    from the hypergeometric distribution, so no row is copied however many replicates there are."""
+    same = F.coalesce(F.col(left).cast("string"), F.lit("")) == F.coalesce(F.col(right).cast("string"), F.lit(""))
+    cells = df.groupBy("stratum").agg(F.count_if(same).alias("agree"), F.count_if(~same).alias("differ"))
+    cells = cells.withColumn("fraction", F.explode(F.array(*map(F.lit, fractions)))).withColumn("take", F.ceil((F.col("agree") + F.col("differ")) * F.col("fraction")))
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                rng = np.random.default_rng([seed, row.stream & 0x7FFFFFFFFFFFFFFF])
+                found = _agreeing(rng, row.agree, row.differ, row.take, replicates)
+                yield pd.DataFrame({"fraction": row.fraction, "replicate": np.arange(replicates), "agreeing": found.astype(np.int64), "take": row.take})
+
+    stream = F.xxhash64("stratum", "fraction").alias("stream")
+    draws = cells.select("stratum", "fraction", "agree", "differ", "take", stream).mapInPandas(drawn, "fraction double, replicate long, agreeing long, take long")
+    each = draws.groupBy("fraction", "replicate").agg((F.sum("agreeing") / F.sum("take")).alias("agreement"))
+    truth = F.lit(df.agg(F.avg(same.cast("double"))).first()[0])
+    return each.withColumn("truth", truth).groupBy("fraction").agg(
         F.avg("agreement").alias("mean"), F.avg(F.col("agreement") - F.col("truth")).alias("bias"), F.stddev_samp("agreement").alias("sd"),
         F.sqrt(F.avg(F.pow(F.col("agreement") - F.col("truth"), 2))).alias("rmse"), (F.percentile("agreement", 0.975) - F.percentile("agreement", 0.025)).alias("width_95"),
     )
-    return out
 
 
 def recommend_fraction(stability: DataFrame, most_bias: float, most_rmse: float, most_width: float) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,17 +139,98 @@ def label_from_terms(weights: DataFrame) -> DataFrame:
 
 
 def fit_topics(df: DataFrame, key: str, vector: str, k: int, seed: int = 7, dimensions: int | None = None) -> DataFrame:
-    """(key, topic, probability): k-means topics of vectors, after a principal-component projection if
-    ``dimensions`` is given. A stand-in for density clustering, with the same result columns; the
-    probability falls with the distance to the centre."""
+    """(key, topic, probability, features): k-means topics of vectors, after a principal-component
+    projection if ``dimensions`` is given. A stand-in for density clustering, with the same result
+    columns: the probability is the topic's part of the inverse squared distances to all centres, so it
+    is 1 at the centre and 1 / k in the middle of all."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
     rows = df.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
     if dimensions:
         rows = PCA(k=dimensions, inputCol="features", outputCol="projected").fit(rows).transform(rows).select(key, F.col("projected").alias("features"))
-    return KMeans(k=k, seed=seed).fit(rows).transform(rows).select(key, F.col("prediction").alias("topic"), "features")
+    model = KMeans(k=k, seed=seed).fit(rows)
+    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
+    x = vector_to_array("features")
+    apart = F.transform(centres, lambda c: F.aggregate(F.zip_with(x, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+    fitted = model.transform(rows).withColumn("_apart", apart)
+    own = F.get("_apart", F.col("prediction"))
+    part = 1 / F.aggregate("_apart", F.lit(0.0), lambda s, v: s + own / v)
+    return fitted.select(key, F.col("prediction").alias("topic"), F.when(own == 0, F.lit(1.0)).otherwise(part).alias("probability"), "features")
+
+
+# The weights of a fit's score, and the least topics of one that may be recommended.
+SILHOUETTE, DIVERSITY, ASSIGNED, BALANCE, LEAST_TOPICS = 0.25, 0.25, 0.35, 0.15, 5
+
+
+def fit_score(silhouette: float, diversity: float, outlier_rate: float, size_cv: float) -> float:
+    return (silhouette + 1) / 2 * SILHOUETTE + diversity * DIVERSITY + (1 - outlier_rate) * ASSIGNED + BALANCE / (1 + size_cv)
+
+
+def choose_topic_count(df: DataFrame, key: str, vector: str, words: Column, sizes: list[int], least: int = LEAST_TOPICS, seed: int = 7, dimensions: int | None = None) -> DataFrame:
+    """One row a candidate size: topics, silhouette, diversity, outlier_rate, size_cv, score and
+    recommended (the best score of those with at least ``least`` topics; ties to fewer topics). Each
+    candidate is one fit and three aggregates over all rows; what comes to the driver is its figures."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    found = []
+    for k in sizes:
+        fitted = fit_topics(df, key, vector, k, seed, dimensions)
+        terms = ctfidf(fitted.select(key, "topic").join(df.select(key, words.alias("_words")), key), "topic", F.col("_words"), 2, 10)
+        quality = topic_quality(fitted, terms).first()
+        several = quality.topics > 1
+        silhouette = ClusteringEvaluator(predictionCol="topic", featuresCol="features").evaluate(fitted) if several else 0.0
+        figures = (float(silhouette), float(quality.diversity or 0.0), float(quality.outlier_rate), float(quality.size_cv or 0.0))
+        found.append((k, quality.topics, *figures, fit_score(*figures)))
+    able = [f for f in found if f[1] >= least]
+    if not able:
+        raise ValueError(f"no candidate gives {least} topics or more")
+    best = max(able, key=lambda f: (f[-1], -f[1], -f[0]))
+    names = "size int, topics long, silhouette double, diversity double, outlier_rate double, size_cv double, score double, recommended boolean"
+    return df.sparkSession.createDataFrame([(*f, f is best) for f in found], names)
+
+
+def merge_sequence(centres: dict[int, np.ndarray], sizes: dict[int, int]) -> list[tuple[int, float, int, int]]:
+    """(topics left, cosine distance, kept, merged) for each merge of the two closest topics, the centre of both
+    being the mean by their sizes; ties go to the smaller topics. Topics are few, so this runs on the driver."""
+    unit = lambda v: v / (np.sqrt((v * v).sum()) or 1.0)
+    centres, sizes, out = {t: np.asarray(c, float) for t, c in sorted(centres.items())}, dict(sizes), []
+    while len(centres) > 1:
+        names = sorted(centres)
+        m = np.stack([unit(centres[t]) for t in names])
+        apart = np.round(1 - m @ m.T, 12)
+        apart[np.tril_indices(len(names))] = np.inf
+        i, j = np.unravel_index(apart.argmin(), apart.shape)
+        a, b = names[i], names[j]
+        total = sizes[a] + sizes[b]
+        centres[a] = (centres[a] * sizes[a] + centres.pop(b) * sizes[b]) / total
+        sizes[a] = total
+        sizes.pop(b)
+        out.append((len(centres), float(apart[i, j]), a, b))
+    return out
+
+
+def reduced_topics(fitted: DataFrame, least: int = 10, most: int = 100) -> DataFrame:
+    """fit_topics()'s rows with reduced_topic: topics merged until the count before the largest jump of
+    merge distance, among counts from ``least`` to ``most``; without such a count none are merged. Only
+    the topics' centres and sizes, as many as topics, come to the driver."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    means = fitted.groupBy("topic").agg(Summarizer.mean(F.col("features")).alias("m"), F.count("*").alias("n")).select("topic", vector_to_array("m").alias("m"), "n").collect()
+    merges = merge_sequence({r.topic: np.array(r.m) for r in means}, {r.topic: r.n for r in means})
+    able = [(n, apart) for n, apart, _, _ in merges if least <= n <= most]
+    target = len(means)
+    if able:
+        jumps = [b[1] - a[1] for a, b in zip(able, able[1:], strict=False)]
+        target = able[int(np.argmax(jumps))][0] if jumps else able[0][0]
+    into = {r.topic: r.topic for r in means}
+    for n, _, kept, merged in merges:
+        if n >= target:
+            into = {t: kept if now == merged else now for t, now in into.items()}
+    pairs = fitted.sparkSession.createDataFrame(sorted(into.items()), "topic int, reduced_topic int")
+    return fitted.join(F.broadcast(pairs), "topic")  # one row a topic
 
 
 def topic_quality(assigned: DataFrame, weights: DataFrame, top: int = 10) -> DataFrame:

@@ -203,15 +203,15 @@ _TERMS = {"primary": ["the", "les"], "secondary": ["and", "of the", "that"], "st
 
 
 def _count_sql(name, terms):
-    tests = {t: r"(^|[^\w])" + t.replace("*", r"\w*").replace(" ", r"\s+") + r"($|[^\w])" for t in terms}
+    tests = {t: r"(^|[^\p{L}\p{M}\p{N}_])" + t.replace("*", r"[\p{L}\p{M}\p{N}_]*").replace(" ", r"\s+") + r"($|[^\p{L}\p{M}\p{N}_])" for t in terms}
     return " + ".join(f"regexp_matches(b, '{p}')::INT" for p in tests.values())
 
 
-@query("WITH d AS (SELECT doc_id, lower(text) AS b FROM documents WHERE lang = 'en'), c AS (SELECT doc_id, "
+@query("WITH d AS (SELECT doc_id, lower(text) AS b FROM documents), c AS (SELECT doc_id, "
        + ", ".join(f"{_count_sql(g, t)} AS {g}_count" for g, t in _TERMS.items())
        + " FROM d), s AS (SELECT *, primary_count >= 1 AND (strong_count >= 1 OR secondary_count >= 2) AS strict FROM c) SELECT *, strict OR (primary_count >= 1 AND broad_count >= 1) AS broad FROM s")
 def relevance_scores(spark, d):
-    out = ingest.score_relevance(table(spark, d, "documents").where("lang = 'en'"), F.col("text"), _TERMS)
+    out = ingest.score_relevance(table(spark, d, "documents"), F.col("text"), _TERMS)
     return out.select("doc_id", *[f"{g}_count" for g in _TERMS], "strict", "broad")
 
 

@@ -47,10 +47,10 @@ def graph_contract(spark, d):
     return graph.check_closed(edges, nodes, ["Publication", "Journal", "Segment"], ["PUBLISHED_IN", "IN_SEGMENT"])
 
 
-@query("""WITH m AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), s AS (SELECT l_orderkey FROM m GROUP BY 1 HAVING count(*) BETWEEN 2 AND 5)
+@query("""WITH m AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), s AS (SELECT l_orderkey FROM m GROUP BY 1 HAVING count(*) BETWEEN 2 AND 25)
 SELECT a.l_partkey AS left_member, b.l_partkey AS right_member, a.l_orderkey FROM m a JOIN m b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey WHERE a.l_orderkey IN (SELECT l_orderkey FROM s)""")
 def coauthor_pairs(spark, d):
-    return graph.member_pairs(table(spark, d, "lineitem"), "l_orderkey", "l_partkey", 5)
+    return graph.member_pairs(table(spark, d, "lineitem"), "l_orderkey", "l_partkey")
 
 
 @query(_NODES + ", t AS (SELECT n.node AS src, degree FROM n JOIN g USING (node) WHERE label = 'Journal' ORDER BY degree DESC, node LIMIT 5) SELECT src, degree, dst, type FROM t JOIN u USING (src) ORDER BY src, type, dst LIMIT 1500")
@@ -85,11 +85,11 @@ def nearest_by_matches(spark, d):
     return graph.nearest_by_matches(table(spark, d, "part"), "p_partkey", ["p_brand", "p_type", "p_size"], 5, 25)
 
 
-@query("""WITH x AS (SELECT doc_id, unnest(regexp_extract_all('see https://doi.org/10.1234/AB' || (doc_id % 50) || ', 10.9/no; 10.5555/q' || (doc_id % 3), '10\\.[0-9]{4,9}/[^\\s;,"<>]+')) AS r FROM documents),
+@query("""WITH x AS (SELECT doc_id, unnest(regexp_extract_all('see https://doi.org/10.1234/AB' || (doc_id % 50) || ', 10.9/no {10.5555/q;(' || (doc_id % 3) || ')x}', '10\\.[0-9]{4,9}/[-._;()/:A-Za-z0-9]+')) AS r FROM documents),
 i AS (SELECT '10.1234/ab' || doc_id AS doi, min(doc_id) AS target FROM documents WHERE doc_id < 40 GROUP BY 1)
 SELECT DISTINCT x.doc_id AS paper, coalesce(target::VARCHAR, lower(r)) AS target, CASE WHEN target IS NULL THEN 'REFERENCES' ELSE 'CITES' END AS type FROM x LEFT JOIN i ON i.doi = lower(r) WHERE target IS NULL OR target <> x.doc_id""")
 def reference_resolution(spark, d):
-    text = F.concat(F.lit("see https://doi.org/10.1234/AB"), F.col("doc_id") % 50, F.lit(", 10.9/no; 10.5555/q"), F.col("doc_id") % 3)
+    text = F.concat(F.lit("see https://doi.org/10.1234/AB"), F.col("doc_id") % 50, F.lit(", 10.9/no {10.5555/q;("), F.col("doc_id") % 3, F.lit(")x}"))
     doi = F.when(F.col("doc_id") < 40, F.concat(F.lit("https://doi.org/10.1234/AB"), F.col("doc_id")))
     return graph.resolve_references(table(spark, d, "documents"), "doc_id", text, doi, F.col("doc_id"))
 
@@ -99,17 +99,17 @@ _WORDS = r"list_filter(string_split_regex(lower(regexp_replace(text, '[^A-Za-z\s
 
 def _docs(spark, d):
     words = topics.tokens(F.regexp_replace("text", r"[^A-Za-z\s]", ""))
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", "source", words.alias("w"))
+    return table(spark, d, "documents").select("doc_id", "source", words.alias("w"))
 
 
-@query(f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE lang = 'en'), g AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])) AS phrase FROM d WHERE len(w) > 1
+@query(f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), g AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])) AS phrase FROM d WHERE len(w) > 1
 UNION ALL SELECT doc_id, unnest(w) FROM d) SELECT doc_id, phrase, count(*) AS n FROM g WHERE phrase IN ('of the', 'and the', 'the', 'with') GROUP BY ALL""")
 def ngram_phrase_counts(spark, d):
     phrases = spark.createDataFrame([("of the",), ("and the",), ("the",), ("with",)], "phrase string")
     return topics.phrase_counts(_docs(spark, d), "doc_id", F.col("w"), phrases, [1, 2])
 
 
-@query(f"""WITH d AS (SELECT {_WORDS} AS w FROM documents WHERE lang = 'en'), s AS (SELECT word, count(*) AS c FROM (SELECT unnest(w) AS word FROM d) GROUP BY 1), t AS (SELECT sum(c)::BIGINT AS t FROM s),
+@query(f"""WITH d AS (SELECT {_WORDS} AS w FROM documents), s AS (SELECT word, count(*) AS c FROM (SELECT unnest(w) AS word FROM d) GROUP BY 1), t AS (SELECT sum(c)::BIGINT AS t FROM s),
 p AS (SELECT a AS left_word, b AS right_word, count(*) AS n FROM (SELECT unnest(w[:-2]) AS a, unnest(w[2:]) AS b FROM d WHERE len(w) > 1) GROUP BY ALL HAVING count(*) >= 20),
 m AS (SELECT left_word, right_word, n, ln((n / t) / ((l.c / t) * (r.c / t))) / -ln(n / t) AS npmi FROM p JOIN s l ON l.word = left_word JOIN s r ON r.word = right_word, t)
 SELECT left_word, right_word, n, round(npmi, 6) AS npmi FROM m WHERE npmi >= 0.5""")
@@ -117,7 +117,7 @@ def npmi_bigrams(spark, d):
     return topics.npmi_bigrams(_docs(spark, d), F.col("w"), 20, 0.5).withColumn("npmi", F.round("npmi", 6))
 
 
-@query(f"""WITH d AS (SELECT source AS topic, unnest({_WORDS}) AS term FROM documents WHERE lang = 'en'), n AS (SELECT topic, term, count(*) AS n FROM d GROUP BY ALL),
+@query(f"""WITH d AS (SELECT source AS topic, unnest({_WORDS}) AS term FROM documents), n AS (SELECT topic, term, count(*) AS n FROM d GROUP BY ALL),
 f AS (SELECT *, n / sum(n) OVER (PARTITION BY topic) AS tf, sum(n) OVER (PARTITION BY term) AS f, (SELECT sum(n) / count(DISTINCT topic) FROM n) AS a FROM n),
 w AS (SELECT topic, term, n, round(tf * ln(1 + a / f), 12) AS weight FROM f WHERE f >= 2), r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS rank FROM w)
 SELECT topic, term, n, round(weight, 9) AS weight, rank FROM r WHERE rank <= 10""")
@@ -125,8 +125,8 @@ def ctfidf_terms(spark, d):
     return topics.ctfidf(_docs(spark, d), "source", F.col("w"), 2, 10).withColumn("weight", F.round("weight", 9))
 
 
-@query(f"""WITH d AS (SELECT source AS topic, doc_id, unnest(list_distinct({_WORDS})) AS term FROM documents WHERE lang = 'en'), n AS (SELECT topic, term, count(*) AS papers FROM d GROUP BY ALL),
-z AS (SELECT source AS topic, count(*) AS total FROM documents WHERE lang = 'en' GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY papers DESC, term) AS rank FROM n)
+@query(f"""WITH d AS (SELECT source AS topic, doc_id, unnest(list_distinct({_WORDS})) AS term FROM documents), n AS (SELECT topic, term, count(*) AS papers FROM d GROUP BY ALL),
+z AS (SELECT source AS topic, count(*) AS total FROM documents GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY papers DESC, term) AS rank FROM n)
 SELECT topic, term, papers, rank, 100 * (papers / total) AS percent FROM r JOIN z USING (topic) WHERE rank <= 20""")
 def topic_term_frequency(spark, d):
     return topics.terms_by_topic(_docs(spark, d), "doc_id", "source", F.col("w"), 20)
@@ -170,3 +170,18 @@ def topic_model(spark, d):
     """k-means topics of the embeddings with their sizes."""
     fitted = topics.fit_topics(table(spark, d, "embeddings"), "vec_id", "embedding", 10, dimensions=16)
     return fitted.groupBy("topic").agg(F.count("*").alias("papers"))
+
+
+@query()
+def topic_count_choice(spark, d):
+    """The figures of three candidate sizes over the embeddings' topics, and the recommended one."""
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding", F.concat(F.lit("label"), F.col("label")).alias("term"))
+    return topics.choose_topic_count(rows, "vec_id", "embedding", F.array("term"), [4, 8, 16], dimensions=16)
+
+
+@query()
+def topic_reduction(spark, d):
+    """Topics of the embeddings merged up to the largest jump of distance, with sizes and mean probability."""
+    fitted = topics.fit_topics(table(spark, d, "embeddings"), "vec_id", "embedding", 20, dimensions=16)
+    out = topics.reduced_topics(fitted, 5, 15)
+    return out.groupBy("topic", "reduced_topic").agg(F.count("*").alias("papers"), F.round(F.avg("probability"), 6).alias("probability"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from papyrion.functions import expressions as E
@@ -52,14 +53,14 @@ def keyword_search(spark, d):
     return keywords.search_keywords(bridge(spark, d), "g", 6)
 
 
-@query("""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(string_split(text, chr(10))[1], '[A-Za-z]+')) AS raw FROM documents WHERE lang = 'en'),
+@query("""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS raw FROM documents),
 c AS (SELECT raw, count(DISTINCT doc_id) AS papers, lower(raw) AS canonical FROM w GROUP BY raw),
 f AS (SELECT raw, papers, CASE canonical WHEN 'thes' THEN 'the' WHEN 'ands' THEN 'and' ELSE canonical END AS canonical FROM c)
 SELECT raw, papers, canonical, count(*) OVER (PARTITION BY canonical) AS variants FROM f""")
 def keyword_variants(spark, d):
-    """Words of first lines as keywords, normalised once per different word."""
-    docs = table(spark, d, "documents").where("lang = 'en'")
-    rows = docs.select("doc_id", F.explode(F.regexp_extract_all(F.split("text", "\n").getItem(0), F.lit("([A-Za-z]+)"), F.lit(1))).alias("keyword")).distinct()
+    """Words of texts as keywords, normalised once per different word."""
+    docs = table(spark, d, "documents")
+    rows = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1)))).alias("keyword"))
     canonical = keywords.canonical_terms(rows, "keyword", {"thes": "the"}, {}, {"ands": "and"})
     return keywords.variant_audit(rows, canonical, "doc_id")
 
@@ -118,13 +119,18 @@ def union_comparison(spark, d):
     return domains.union_comparison(papers(spark, d), {"open": F.col("status") == "O", "recent": F.col("year") >= 1999}, F.col("priority"))
 
 
-@query("""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower((SELECT text FROM benchmark WHERE item_id = 0)), '[a-z0-9]+')) AS b FROM documents WHERE lang = 'en')
-SELECT doc_id, CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a) ELSE 1 END AS overlap, CASE WHEN len(a) > 0 AND len(list_intersect(a, b)) / len(a) < 0.5 THEN 'GROUNDING_LOW' ELSE '' END AS issues FROM t""")
+@query("""WITH b AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS place, text FROM benchmark),
+t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+')) AS b
+      FROM documents d JOIN b ON b.place = d.doc_id % (SELECT count(*) FROM benchmark))
+SELECT doc_id, CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a) ELSE 1 END AS overlap,
+       CASE WHEN len(a) > 0 AND len(list_intersect(a, b)) / len(a) < 0.5 THEN 'GROUNDING_LOW' ELSE '' END AS issues FROM t""")
 def evidence_grounding(spark, d):
-    """First lines as evidence, grounded in one benchmark text (a single row)."""
-    source = table(spark, d, "benchmark").where("item_id = 0").select(F.col("text").alias("source_text"), F.lit(1).alias("k"))
-    rows = table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.split("text", "\n").getItem(0).alias("evidence"), F.lit("inferred").alias("kind"), F.lit(0.5).alias("confidence"), F.lit(1).alias("k"))
-    out = domains.validate_evidence(rows.join(source, "k"), "evidence", "source_text", "kind", "confidence", F.lit(False))
+    """Documents as evidence, each grounded in one of the benchmark texts, which are few."""
+    items = table(spark, d, "benchmark")
+    source = items.select(F.col("text").alias("source_text"), (F.row_number().over(Window.orderBy("item_id")) - 1).cast("long").alias("place"))
+    place = F.pmod("doc_id", F.lit(items.count()))
+    rows = table(spark, d, "documents").select("doc_id", F.col("text").alias("evidence"), F.lit("inferred").alias("kind"), F.lit(0.5).alias("confidence"), place.alias("place")).join(source, "place")
+    out = domains.validate_evidence(rows, "evidence", "source_text", "kind", "confidence", F.lit(False))
     return out.select("doc_id", "overlap", "issues")
 
 
@@ -146,13 +152,13 @@ def retained_relations(spark, d):
     return out.select("l_orderkey", "l_linenumber", "l_quantity")
 
 
-@query("""WITH p AS (SELECT o_orderkey, o_custkey, o_orderstatus AS f1, o_orderpriority AS f2 FROM orders WHERE o_orderkey % 7 = 0),
-m AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 5 <> 0), r AS (SELECT o_custkey, o_orderstatus AS f1, o_orderpriority AS f2 FROM orders WHERE o_orderkey % 2 = 0),
+@query("""WITH p AS (SELECT o_orderkey, o_custkey, o_orderstatus AS f1, o_orderpriority AS f2 FROM orders),
+m AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus <> 'P'), r AS (SELECT o_custkey, o_orderstatus AS f1, o_orderpriority AS f2 FROM orders WHERE o_orderpriority <> '5-LOW'),
 x AS (SELECT p.o_orderkey, m.o_custkey AS k, p.f1 AS a1, p.f2 AS a2, r.f1 AS b1, r.f2 AS b2 FROM p LEFT JOIN m ON m.o_orderkey = p.o_orderkey LEFT JOIN r ON r.o_custkey = m.o_custkey)
 SELECT o_orderkey, bool_or(k IS NOT NULL) AS in_master, count(b1) AS raw_rows, coalesce(bool_or(a1 = b1), false) AS o_orderstatus_matches, coalesce(bool_or(a2 = b2), false) AS o_orderpriority_matches, coalesce(bool_or(a1 = b1 AND a2 = b2), false) AS all_in_one_row FROM x GROUP BY 1""")
 def provenance_audit(spark, d):
     orders = table(spark, d, "orders")
-    return ingest.provenance_audit(orders.where("o_orderkey % 7 = 0"), orders.where("o_orderkey % 5 <> 0"), orders.where("o_orderkey % 2 = 0"), "o_orderkey", "o_custkey", ["o_orderstatus", "o_orderpriority"])
+    return ingest.provenance_audit(orders, orders.where("o_orderstatus <> 'P'"), orders.where("o_orderpriority <> '5-LOW'"), "o_orderkey", "o_custkey", ["o_orderstatus", "o_orderpriority"])
 
 
 @query("""WITH o AS (SELECT p_partkey AS record_id, p_brand AS title, (p_partkey % 900)::VARCHAR AS issn, (p_size + 5000)::VARCHAR AS eissn FROM part),
@@ -199,7 +205,7 @@ def stratified_draw(spark, d):
 @query()
 def sampling_stability(spark, d):
     rows = _strata(spark, d).withColumn("a", (F.col("citations") > 200000).cast("string")).withColumn("b", (F.col("citations") > 210000).cast("string"))
-    out = sampling.simulate_stability(rows, "paper_id", "a", "b", [0.1, 0.25, 0.4], 20, 20260711)
+    out = sampling.simulate_stability(rows, "a", "b", [0.1, 0.25, 0.4], 1000, 20260711)
     return sampling.recommend_fraction(out, 0.02, 0.02, 0.1)
 
 

@@ -125,18 +125,18 @@ def label_overlay(spark, d):
     return records.overlaid(nation.select("n_nationkey", "n_name"), labels, ["n_nationkey"], "n_name").select("n_nationkey", "label")
 
 
-@query("SELECT o_orderkey, o_orderpriority AS left__o_orderpriority, CASE WHEN o_orderkey % 4 = 0 THEN '1-URGENT' ELSE o_orderpriority END AS right__o_orderpriority FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 2 = 0")
+@query("SELECT o_orderkey, o_orderpriority AS left__o_orderpriority, CASE WHEN o_orderstatus = 'F' THEN '1-URGENT' ELSE o_orderpriority END AS right__o_orderpriority FROM orders WHERE o_orderstatus <> 'P' AND o_orderpriority <> '5-LOW'")
 def pairs_left_right_join(spark, d):
     orders = table(spark, d, "orders")
-    right = orders.where("o_orderkey % 2 = 0").withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 4 == 0, "1-URGENT").otherwise(F.col("o_orderpriority")))
-    return records.aligned(orders.where("o_orderkey % 3 = 0"), right, "o_orderkey", ["o_orderpriority"])
+    right = orders.where("o_orderpriority <> '5-LOW'").withColumn("o_orderpriority", F.when(F.col("o_orderstatus") == "F", "1-URGENT").otherwise(F.col("o_orderpriority")))
+    return records.aligned(orders.where("o_orderstatus <> 'P'"), right, "o_orderkey", ["o_orderpriority"])
 
 
-@query("""SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 3 = 0 THEN 'rated' END AS o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS qc_o_orderpriority FROM orders""")
+@query("""SELECT o_orderkey, o_totalprice, CASE WHEN o_orderstatus = 'F' THEN 'rated' END AS o_orderstatus, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS qc_o_orderpriority FROM orders""")
 def primary_dataset(spark, d):
     orders = table(spark, d, "orders")
-    rated = orders.where("o_orderkey % 3 = 0").select("o_orderkey", F.lit("rated").alias("o_orderstatus"))
-    out = records.combined(orders.select("o_orderkey", "o_totalprice", "o_orderstatus"), rated, orders.where("o_orderkey % 2 = 0").select("o_orderkey", "o_orderpriority"), "o_orderkey")
+    rated = orders.where("o_orderstatus = 'F'").select("o_orderkey", F.lit("rated").alias("o_orderstatus"))
+    out = records.combined(orders.select("o_orderkey", "o_totalprice", "o_orderstatus"), rated, orders.where("o_orderpriority <> '5-LOW'").select("o_orderkey", "o_orderpriority"), "o_orderkey")
     return out.select("o_orderkey", "o_totalprice", "o_orderstatus", "qc_o_orderpriority")
 
 
@@ -146,10 +146,10 @@ def intersection_ids(spark, d):
     return records.in_all([orders.where("o_orderstatus = 'F'"), orders.where("o_orderstatus = 'O'"), table(spark, d, "customer").where("c_acctbal > 0").withColumnRenamed("c_custkey", "id")], "id")
 
 
-@query("SELECT p_partkey, p_name, (1000 - p_partkey)::BIGINT AS position FROM part WHERE p_partkey BETWEEN 10 AND 60")
+@query("SELECT p_partkey, p_name, (1000 - p_partkey)::BIGINT AS position FROM part WHERE p_size < 10")
 def requested_order(spark, d):
     part = table(spark, d, "part")
-    wanted = part.where("p_partkey BETWEEN 10 AND 60").select("p_partkey", (1000 - F.col("p_partkey")).alias("position"))
+    wanted = part.where("p_size < 10").select("p_partkey", (1000 - F.col("p_partkey")).alias("position"))
     return records.in_order(part.select("p_partkey", "p_name"), wanted, "p_partkey")
 
 
@@ -180,7 +180,7 @@ def dimension_ids(spark, d):
     return records.listed_ids(papers(spark, d), "priority", "paper_id", 4)
 
 
-@query(f"""WITH d AS (SELECT doc_id, source, {_WORDS} AS w FROM documents WHERE lang = 'en'), c AS (SELECT doc_id, source, len(list_filter(w, lambda x: x = 'the')) AS a, len(list_filter(w, lambda x: x IN ('and', 'of'))) AS b FROM d)
+@query(f"""WITH d AS (SELECT doc_id, source, {_WORDS} AS w FROM documents), c AS (SELECT doc_id, source, len(list_filter(w, lambda x: x = 'the')) AS a, len(list_filter(w, lambda x: x IN ('and', 'of'))) AS b FROM d)
 SELECT source AS topic, count(*) AS papers, avg(a) AS left_mean, avg(b) AS right_mean FROM c WHERE a >= 2 AND b >= 2 GROUP BY 1""")
 def assigned_papers_filter(spark, d):
     docs = _docs(spark, d)
@@ -232,14 +232,14 @@ def unified_texts(spark, d):
     return ingest.unified_texts(part, ["p_name", "abstract", "p_brand"], min_chars=25).select("p_partkey", "unified_text")
 
 
-@query(f"""WITH d AS (SELECT doc_id, unnest({_WORDS}) AS w FROM documents WHERE lang = 'en'), n AS (SELECT doc_id, w, count(*) AS n FROM d WHERE w IN ('the', 'and', 'of') GROUP BY ALL)
+@query(f"""WITH d AS (SELECT doc_id, unnest({_WORDS}) AS w FROM documents), n AS (SELECT doc_id, w, count(*) AS n FROM d WHERE w IN ('the', 'and', 'of') GROUP BY ALL)
 SELECT doc_id, string_agg(w || ':' || n, ';' ORDER BY n DESC, w) AS terms FROM n GROUP BY doc_id""")
 def paper_term_columns(spark, d):
     phrases = spark.createDataFrame([("the",), ("and",), ("of",)], "phrase string")
     return topics.term_column(topics.phrase_counts(_docs(spark, d), "doc_id", F.col("w"), phrases, [1]), "doc_id")
 
 
-@query(f"""WITH d AS (SELECT source AS topic, unnest({_WORDS}) AS term FROM documents WHERE lang = 'en'), n AS (SELECT topic, term, count(*) AS n FROM d GROUP BY ALL),
+@query(f"""WITH d AS (SELECT source AS topic, unnest({_WORDS}) AS term FROM documents), n AS (SELECT topic, term, count(*) AS n FROM d GROUP BY ALL),
 f AS (SELECT *, n / sum(n) OVER (PARTITION BY topic) AS tf, sum(n) OVER (PARTITION BY term) AS f, (SELECT sum(n) / count(DISTINCT topic) FROM n) AS a FROM n),
 w AS (SELECT topic, term, round(tf * ln(1 + a / f), 12) AS weight FROM f WHERE f >= 2), r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS rank FROM w)
 SELECT topic, string_agg(term, ' / ' ORDER BY rank) AS label FROM r WHERE rank <= 2 GROUP BY topic""")
@@ -265,3 +265,68 @@ def fitted_papers(spark, d):
     part = table(spark, d, "part").where("p_size BETWEEN 5 AND 30").withColumn("probability", F.when(F.col("p_size") <= 20, F.col("p_size")))
     out = topics.fitted(part, "p_brand", [F.desc_nulls_last("probability"), F.desc("p_retailprice"), F.asc("p_name"), F.asc("p_partkey")], 4)
     return out.select("p_brand", "p_partkey", "p_retailprice")
+
+
+@query("""SELECT l_returnflag AS rater, count(DISTINCT l_orderkey) AS coded,
+       count(DISTINCT l_orderkey) / (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS coverage,
+       l_returnflag = 'A' OR (l_returnflag = 'N' AND count(DISTINCT l_orderkey) >= 20) OR (l_returnflag = 'R' AND count(DISTINCT l_orderkey) >= 1000000000) AS eligible
+FROM lineitem GROUP BY 1""")
+def rater_registry(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("rater"), F.col("l_orderkey").alias("unit"), F.lit("x").alias("value"))
+    return records.rater_registry(rows, ["A"], {"N": 20, "R": 1_000_000_000})
+
+
+@query(P + """, r AS (SELECT l_orderkey AS paper_id, max(l_returnflag) AS priority, max(l_linestatus) AS mode FROM lineitem GROUP BY 1)
+SELECT paper_id, year, status, r.priority, mode FROM papers JOIN r USING (paper_id)""")
+def rater_frame(spark, d):
+    rater = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("paper_id")).agg(F.max("l_returnflag").alias("priority"), F.max("l_linestatus").alias("mode"))
+    return records.rater_frame(papers(spark, d), rater, "paper_id").select("paper_id", "year", "status", "priority", "mode")
+
+
+@query(P + """SELECT paper_id, papers.status, orders.o_orderstatus AS status_prior, (o_totalprice * 100)::BIGINT AS sample_order
+FROM papers JOIN orders ON o_orderkey = paper_id WHERE o_orderpriority = '1-URGENT'""")
+def targeted_reading(spark, d):
+    sample = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
+    sample = sample.select(F.col("o_orderkey").alias("paper_id"), F.col("o_orderstatus").alias("status"), (F.col("o_totalprice") * 100).cast("decimal(38,0)").cast("long").alias("place"))
+    return records.targeted_reading(papers(spark, d), sample, "paper_id", "place").select("paper_id", "status", "status_prior", "sample_order")
+
+
+@query("""WITH a AS (SELECT l_orderkey, max(l_linestatus) AS mode FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1),
+r AS (SELECT l_orderkey, max(l_linestatus) AS mode FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+SELECT o_orderkey, o_orderstatus, c_mktsegment, a.mode AS a__mode, r.mode AS r__mode FROM orders JOIN customer ON c_custkey = o_custkey
+LEFT JOIN a ON a.l_orderkey = o_orderkey LEFT JOIN r ON r.l_orderkey = o_orderkey""")
+def relation_evidence(spark, d):
+    orders, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    people = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    primary = orders.join(people, "o_custkey").select("o_orderkey", "c_mktsegment")
+    by = {f: li.where(F.col("l_returnflag") == f.upper()).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_linestatus").alias("mode")) for f in ("a", "r")}
+    return records.relation_evidence(orders.select("o_orderkey", "o_orderstatus"), primary, by, "o_orderkey")
+
+
+_REVIEW = """WITH r AS (SELECT r_name AS scope, n_nationkey // 5 AS topic, CASE WHEN n_nationkey % 7 = 0 THEN 'open' WHEN n_nationkey % 11 = 0 THEN 'odd' ELSE 'approved' END AS status,
+CASE WHEN n_nationkey % 4 <> 0 THEN n_name ELSE ' ' END AS approved, lower(n_name) AS automatic FROM nation JOIN region ON r_regionkey = n_regionkey)
+"""
+
+
+def _review(spark, d):
+    key = F.col("n_nationkey")
+    rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.select(
+        F.col("r_name").alias("scope"), F.floor(key / 5).cast("int").alias("topic"), F.when(key % 7 == 0, "open").when(key % 11 == 0, "odd").otherwise("approved").alias("status"),
+        F.when(key % 4 != 0, F.col("n_name")).otherwise(" ").alias("approved"), F.lower("n_name").alias("automatic"),
+    )
+
+
+@query(_REVIEW + """, w AS (SELECT r_name AS scope, unnest(range(0, 4)) AS topic FROM region), c AS (SELECT scope, topic, count(*) AS n FROM r GROUP BY ALL)
+SELECT 'duplicate' AS fault, scope, topic::INT AS topic FROM c WHERE n > 1 UNION ALL SELECT 'missing', scope, topic::INT FROM w ANTI JOIN c USING (scope, topic)
+UNION ALL SELECT 'not expected', scope, topic::INT FROM c ANTI JOIN w USING (scope, topic) UNION ALL SELECT 'status', scope, topic::INT FROM r WHERE status NOT IN ('open', 'approved')
+UNION ALL SELECT 'approved without label', scope, topic::INT FROM r WHERE status = 'approved' AND trim(approved) = ''""")
+def review_validation(spark, d):
+    expected = table(spark, d, "region").select(F.col("r_name").alias("scope"), F.lit(4).alias("topics"))
+    return records.review_faults(_review(spark, d), expected, ["open", "approved"])
+
+
+@query(_REVIEW + """, g AS (SELECT scope, bool_and(status = 'approved' AND trim(approved) <> '') AS complete FROM r GROUP BY 1)
+SELECT scope, topic::INT AS topic, CASE WHEN complete THEN approved ELSE automatic END AS label FROM r JOIN g USING (scope)""")
+def approval_gate(spark, d):
+    return records.gated(_review(spark, d)).select("scope", "topic", "label")
