@@ -166,8 +166,10 @@ def count_alignment(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Two count series (key, n) side by side with shares; a missing side counts 0, a ratio to 0 is
     null."""
     joined = left.select(key, F.col("n").alias("left_n")).join(right.select(key, F.col("n").alias("right_n")), key, "full_outer").fillna(0, ["left_n", "right_n"])
-    whole = Window.partitionBy(F.lit(1))
-    out = joined.withColumn("left_share", share(F.col("left_n"), F.sum("left_n").over(whole))).withColumn("right_share", share(F.col("right_n"), F.sum("right_n").over(whole)))
+    total = lambda df, name: df.agg(F.coalesce(F.sum("n"), F.lit(0)).alias(name)).withColumn("k", F.lit(1))
+    totals = total(left, "left_total").join(total(right, "right_total"), "k")
+    out = joined.withColumn("k", F.lit(1)).join(F.broadcast(totals), "k").drop("k")  # one row
+    out = out.withColumn("left_share", share(F.col("left_n"), F.col("left_total"))).withColumn("right_share", share(F.col("right_n"), F.col("right_total"))).drop("left_total", "right_total")
     return out.withColumn("difference_pp", (F.col("right_share") - F.col("left_share")) * 100).withColumn("ratio", F.try_divide("right_share", "left_share"))
 
 

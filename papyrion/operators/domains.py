@@ -36,7 +36,7 @@ def domain_coverage(papers: DataFrame, bridge: DataFrame, paper: str) -> DataFra
     inside = bridge.groupBy("domain").agg(F.count_distinct(paper).alias("papers"))
     rest = papers.join(bridge, paper, "left_anti").agg(F.count("*").alias("papers")).select(F.lit("(residual)").alias("domain"), "papers")
     total = papers.agg(F.count("*").alias("n")).withColumn("k", F.lit(1))
-    out = inside.unionByName(rest).withColumn("k", F.lit(1)).join(total, "k")
+    out = inside.unionByName(rest).withColumn("k", F.lit(1)).join(F.broadcast(total), "k")  # one row
     return out.select("domain", "papers", share(F.col("papers"), F.col("n")).alias("share"))
 
 

@@ -39,7 +39,7 @@ def npmi_bigrams(df: DataFrame, words: Column, least: int = 5, threshold: float
     pairs = pairs.groupBy(F.col("x.a").alias("left_word"), F.col("x.b").alias("right_word")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
     total = singles.agg(F.sum("c").alias("t")).withColumn("k", F.lit(1))
     s = lambda side: singles.select(F.col("word").alias(f"{side}_word"), F.col("c").alias(f"{side}_c"))
-    out = pairs.join(s("left"), "left_word").join(s("right"), "right_word").withColumn("k", F.lit(1)).join(total, "k")
+    out = pairs.join(s("left"), "left_word").join(s("right"), "right_word").withColumn("k", F.lit(1)).join(F.broadcast(total), "k")  # one row
     p = F.col("n") / F.col("t")
     npmi = F.log(p / (F.col("left_c") / F.col("t") * (F.col("right_c") / F.col("t")))) / -F.log(p)
     return out.withColumn("npmi", npmi).where(F.col("npmi") >= threshold).select("left_word", "right_word", "n", "npmi")
@@ -54,7 +54,7 @@ def ctfidf(df: DataFrame, topic: str, words: Column, least_df: int = 2, n: int |
     everywhere = Window.partitionBy("term")
     average = counts.agg((F.sum("n") / F.count_distinct("topic")).alias("a")).withColumn("k", F.lit(1))
     out = counts.withColumn("tf", F.col("n") / sizes).withColumn("f", F.sum("n").over(everywhere)).where(F.col("f") >= least_df)
-    out = out.withColumn("k", F.lit(1)).join(average, "k").withColumn("weight", F.col("tf") * F.log1p(F.col("a") / F.col("f")))
+    out = out.withColumn("k", F.lit(1)).join(F.broadcast(average), "k").withColumn("weight", F.col("tf") * F.log1p(F.col("a") / F.col("f")))
     out = out.withColumn("rank", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc(F.round("weight", 12)), "term")))
     out = out.where(F.col("rank") <= n) if n else out
     return out.select("topic", "term", "n", "weight", "rank")
@@ -97,7 +97,7 @@ def topics_over_time(df: DataFrame, topic: str, moment: str, bins: int = 20, lea
     """Papers of each topic in equal bins between the first and the last moment; no rows if fewer than
     ``least`` are dated."""
     span = df.agg(F.min(moment).alias("lo"), F.max(moment).alias("hi"), F.count(moment).alias("dated")).withColumn("k", F.lit(1)).where(F.col("dated") >= least)
-    rows = df.where(F.col(moment).isNotNull()).withColumn("k", F.lit(1)).join(span, "k")
+    rows = df.where(F.col(moment).isNotNull()).withColumn("k", F.lit(1)).join(F.broadcast(span), "k")  # one row
     width = F.nullif(F.col("hi") - F.col("lo"), F.lit(0))
     place = F.coalesce(F.least(F.floor((F.col(moment) - F.col("lo")) * bins / width), F.lit(bins - 1)), F.lit(0))
     return rows.groupBy(F.col(topic).alias("topic"), place.cast("int").alias("bin")).agg(F.count("*").alias("papers"))
@@ -240,4 +240,4 @@ def topic_quality(assigned: DataFrame, weights: DataFrame, top: int = 10) -> Dat
     a = sizes.agg(F.count("*").alias("topics"), (F.stddev_pop("n") / F.avg("n")).alias("size_cv")).withColumn("k", F.lit(1))
     b = assigned.agg(F.avg((F.col("topic").isNull() | (F.col("topic") < 0)).cast("double")).alias("outlier_rate")).withColumn("k", F.lit(1))
     c = weights.where(F.col("rank") <= top).agg((F.count_distinct("term") / F.count("*")).alias("diversity")).withColumn("k", F.lit(1))
-    return a.join(b, "k").join(c, "k").drop("k")
+    return a.join(F.broadcast(b), "k").join(F.broadcast(c), "k").drop("k")  # one row each
