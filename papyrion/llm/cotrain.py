@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel, FeatureHasher, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrion.llm.shared import let, stored
@@ -39,7 +39,7 @@ ROUNDS, HANDED = 2, 500
 TERMS, TERM_ROWS, BEGINS = 4096, 10, (5, 7)
 #: Weights of the penalties of the two views; the text's is L1, the metadata's L2.
 SPARSE, RIDGE = 2e-3, 1e-2
-KEEP_AT = 0.85
+KEEP_AT = 0.8
 
 
 #: Numbers in the two arrays of figures.
@@ -188,7 +188,10 @@ def train(
     count as none; of several labels of an id the smallest holds. Without both classes in each part
     of the labels there is nothing to learn, and every document will score 1."""
     known = labels.where(F.col(id_col).isNotNull() & F.col("label").isNotNull()).groupBy(id_col).agg(F.min("label").cast("double").alias("label"))
-    by_hash, part = F.xxhash64(id_col), F.pmod(F.xxhash64(F.lit("held"), id_col), F.lit(HELD))
+    by_hash = F.xxhash64(id_col)
+    # By turns within each class, in the order of another hash, so that few labels still give each part of both;
+    # the window sees fit_rows rows at most.
+    part = (F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64(F.lit("held"), id_col), id_col)) - 1) % HELD
     role = F.when(part == 0, "calibrate").when(part == 1, "combine").otherwise("train")
     chosen = known.orderBy(by_hash, id_col).limit(fit_rows).withColumn("role", role)
     ids = docs.select(id_col).where(F.col(id_col).isNotNull())
