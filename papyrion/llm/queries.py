@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrion.llm import ann, bpe, chat, cotrain, html_template, line_rules, mixing, simhash, token_store, warc
+from papyrion.llm import ann, bpe, chat, cotrain, html_template, line_rules, mixing, simhash, suffix_dedup, token_store, warc
 from papyrion.llm.shared import n_words, stored, work_dir
 
 
@@ -151,8 +151,29 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), query_every=50, k=5)
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every document without the 200-byte strings that occur more than once."""
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT rid, unnest(list_transform(range(0, greatest(len(h) // 2 - 199, 0)), lambda i: struct_pack(i := i, k := md5(substr(h, 2 * i + 1, 400))))) AS s FROM d),
+r AS (SELECT rid, s.i AS i FROM n WHERE s.k IN (SELECT s.k FROM n GROUP BY s.k HAVING count(*) > 1)),
+o AS (SELECT rid, i, CASE WHEN i > lag(i) OVER (PARTITION BY rid ORDER BY i) + 200 THEN 1 ELSE 0 END AS new FROM r),
+g AS (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS run FROM o),
+u AS (SELECT rid, min(i) AS lo, max(i) + 200 AS hi FROM g GROUP BY rid, run),
+e AS (SELECT rid, lo, hi, coalesce(lag(hi) OVER (PARTITION BY rid ORDER BY lo), 0) AS before FROM u),
+k AS (SELECT e.rid, sum(hi - lo) AS gone, count(*) AS spans, max(hi) AS last, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS kept
+      FROM e JOIN d ON d.rid = e.rid GROUP BY e.rid)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN k.rid IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN k ON k.rid = d.rid
+"""
+
+
 QUERIES = {
     "op1_bpe": op1_bpe, "op2_html_extract": op2_html_extract, "op3_quality_rules": op3_quality_rules, "op4_quality_classifier": op4_quality_classifier, "op5_simhash": op5_simhash, "op6_token_ids": op6_token_ids,
-    "op7_mix": op7_mix, "op8_chat": op8_chat, "op9_warc": op9_warc, "op10_ann": op10_ann,
+    "op7_mix": op7_mix, "op8_chat": op8_chat, "op9_warc": op9_warc, "op10_ann": op10_ann, "op11_suffix_dedup": op11_suffix_dedup,
 }
-ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op7_mix": OP7_SQL, "op8_chat": OP8_SQL, "op9_warc": OP9_SQL}
+ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op7_mix": OP7_SQL, "op8_chat": OP8_SQL, "op9_warc": OP9_SQL, "op11_suffix_dedup": OP11_SQL}
