@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrion.llm import ann, bpe, chat, cotrain, html_template, line_rules, mixing, simhash, suffix_dedup, token_store, warc
+from papyrion.llm import ann, bpe, chat, cotrain, html_template, line_rules, mixing, simhash, suffix_dedup, token_store, vector_codes, warc
 from papyrion.llm.shared import n_words, stored, work_dir
 
 
@@ -172,8 +172,38 @@ FROM d LEFT JOIN k ON k.rid = d.rid
 """
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's product code and its error."""
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+OP13_SQL = r"""
+WITH e AS (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+      FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT rid, j, v[4 * j + 1 : 4 * j + 4] AS p FROM e, range(0, 16) AS r(j)),
+c0 AS (SELECT j, rid - 1 AS k, p FROM x WHERE rid <= 64),
+a0 AS (SELECT rid, j, arg_min(k, d * 64 + k) AS k, min(d) AS d
+      FROM (SELECT x.rid, x.j, c.k, list_inner_product(x.p, x.p) - 2 * list_inner_product(x.p, c.p) + list_inner_product(c.p, c.p) AS d FROM x JOIN c0 AS c ON c.j = x.j)
+      GROUP BY rid, j),
+m0 AS (SELECT j, k, list(mean ORDER BY t) AS p FROM (SELECT x.j, a.k, t, floor(sum(x.p[t]) / count(*)) AS mean FROM x JOIN a0 AS a ON a.rid = x.rid AND a.j = x.j, range(1, 5) AS r(t) GROUP BY x.j, a.k, t) GROUP BY j, k),
+c1 AS (SELECT c.j, c.k, coalesce(m.p, c.p) AS p FROM c0 AS c LEFT JOIN m0 AS m ON m.j = c.j AND m.k = c.k),
+a1 AS (SELECT rid, j, arg_min(k, d * 64 + k) AS k, min(d) AS d
+      FROM (SELECT x.rid, x.j, c.k, list_inner_product(x.p, x.p) - 2 * list_inner_product(x.p, c.p) + list_inner_product(c.p, c.p) AS d FROM x JOIN c1 AS c ON c.j = x.j)
+      GROUP BY rid, j),
+m1 AS (SELECT j, k, list(mean ORDER BY t) AS p FROM (SELECT x.j, a.k, t, floor(sum(x.p[t]) / count(*)) AS mean FROM x JOIN a1 AS a ON a.rid = x.rid AND a.j = x.j, range(1, 5) AS r(t) GROUP BY x.j, a.k, t) GROUP BY j, k),
+c2 AS (SELECT c.j, c.k, coalesce(m.p, c.p) AS p FROM c1 AS c LEFT JOIN m1 AS m ON m.j = c.j AND m.k = c.k),
+a2 AS (SELECT rid, j, arg_min(k, d * 64 + k) AS k, min(d) AS d
+      FROM (SELECT x.rid, x.j, c.k, list_inner_product(x.p, x.p) - 2 * list_inner_product(x.p, c.p) + list_inner_product(c.p, c.p) AS d FROM x JOIN c2 AS c ON c.j = x.j)
+      GROUP BY rid, j),
+h AS (SELECT sha256(string_agg(c.p[t]::BIGINT::VARCHAR, ',' ORDER BY j, k, t)) AS codebooks_sha256 FROM c2 AS c, range(1, 5) AS r(t)),
+f AS (SELECT rid, string_agg(printf('%02x', k::INT), '' ORDER BY j) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY rid)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM e JOIN f ON f.rid = e.rid, h
+"""
+
+
 QUERIES = {
     "op1_bpe": op1_bpe, "op2_html_extract": op2_html_extract, "op3_quality_rules": op3_quality_rules, "op4_quality_classifier": op4_quality_classifier, "op5_simhash": op5_simhash, "op6_token_ids": op6_token_ids,
     "op7_mix": op7_mix, "op8_chat": op8_chat, "op9_warc": op9_warc, "op10_ann": op10_ann, "op11_suffix_dedup": op11_suffix_dedup,
+    "op13_vector_codes": op13_vector_codes,
 }
-ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op7_mix": OP7_SQL, "op8_chat": OP8_SQL, "op9_warc": OP9_SQL, "op11_suffix_dedup": OP11_SQL}
+ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op7_mix": OP7_SQL, "op8_chat": OP8_SQL, "op9_warc": OP9_SQL, "op11_suffix_dedup": OP11_SQL, "op13_vector_codes": OP13_SQL}
