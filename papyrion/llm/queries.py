@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrion.llm import ann, bpe, chat, cotrain, html_template, line_rules, mixing, simhash, suffix_dedup, token_store, vector_codes, warc
+from papyrion.llm import ann, bpe, chat, collocations, cotrain, html_template, line_rules, mixing, simhash, suffix_dedup, token_store, vector_codes, warc
 from papyrion.llm.shared import n_words, stored, work_dir
 
 
@@ -172,6 +172,36 @@ FROM d LEFT JOIN k ON k.rid = d.rid
 """
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of each language by how often their words come together."""
+    return collocations.mine(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+OP12_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT rid, lang, unnest(range(0, len(pieces))) AS pid, unnest(pieces) AS piece FROM (SELECT rid, lang, string_split_regex(text, '[.,;:!?
+-]') AS pieces FROM t)),
+s AS (SELECT rid, lang, pid, regexp_extract_all(piece, '[^ 	]+') AS words FROM p),
+w AS MATERIALIZED (SELECT rid, lang, pid, unnest(range(0, len(words))) AS i, unnest(words) AS w1 FROM s),
+g AS MATERIALIZED (SELECT lang, w1, lead(w1, 1) OVER p AS w2, lead(w1, 2) OVER p AS w3, lead(w1, 3) OVER p AS w4 FROM w WINDOW p AS (PARTITION BY rid, pid ORDER BY i)),
+n AS (SELECT lang, count(*) AS n FROM w GROUP BY lang),
+f AS MATERIALIZED (
+  SELECT lang, [w1] AS ws, count(*) AS f FROM g GROUP BY lang, w1 HAVING count(*) >= 30
+  UNION ALL SELECT lang, [w1, w2], count(*) FROM g WHERE w2 IS NOT NULL GROUP BY lang, w1, w2 HAVING count(*) >= 30
+  UNION ALL SELECT lang, [w1, w2, w3], count(*) FROM g WHERE w3 IS NOT NULL GROUP BY lang, w1, w2, w3 HAVING count(*) >= 30
+  UNION ALL SELECT lang, [w1, w2, w3, w4], count(*) FROM g WHERE w4 IS NOT NULL GROUP BY lang, w1, w2, w3, w4 HAVING count(*) >= 30),
+c AS (SELECT lang, ws, f AS a, unnest(range(1, len(ws))) AS k FROM f WHERE len(ws) > 1),
+cut AS (SELECT c.lang, c.ws, a, k, x.f AS l, y.f AS r, (2000000 * a::HUGEINT) // (x.f + y.f) AS score
+        FROM c JOIN f AS x ON x.lang = c.lang AND x.ws = c.ws[1:k] JOIN f AS y ON y.lang = c.lang AND y.ws = c.ws[k + 1:]),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
+sub AS (SELECT lang, ws[i:j] AS ws, max(f) AS most FROM f, range(1, 4) AS x(i), range(2, 5) AS y(j) WHERE j > i AND j <= len(ws) AND j - i + 1 < len(ws) GROUP BY lang, ws[i:j]),
+kept AS (SELECT best.* FROM best LEFT JOIN sub ON sub.lang = best.lang AND sub.ws = best.ws WHERE most IS NULL OR 100 * most::HUGEINT < 80 * a::HUGEINT),
+o AS (SELECT *, array_to_string(ws, ' ') AS phrase FROM kept)
+SELECT o.lang, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM o JOIN n ON n.lang = o.lang QUALIFY rank <= 2000
+"""
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's product code and its error."""
     return vector_codes.compress(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
@@ -204,6 +234,6 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 QUERIES = {
     "op1_bpe": op1_bpe, "op2_html_extract": op2_html_extract, "op3_quality_rules": op3_quality_rules, "op4_quality_classifier": op4_quality_classifier, "op5_simhash": op5_simhash, "op6_token_ids": op6_token_ids,
     "op7_mix": op7_mix, "op8_chat": op8_chat, "op9_warc": op9_warc, "op10_ann": op10_ann, "op11_suffix_dedup": op11_suffix_dedup,
-    "op13_vector_codes": op13_vector_codes,
+    "op12_collocations": op12_collocations, "op13_vector_codes": op13_vector_codes,
 }
-ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op7_mix": OP7_SQL, "op8_chat": OP8_SQL, "op9_warc": OP9_SQL, "op11_suffix_dedup": OP11_SQL, "op13_vector_codes": OP13_SQL}
+ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op7_mix": OP7_SQL, "op8_chat": OP8_SQL, "op9_warc": OP9_SQL, "op11_suffix_dedup": OP11_SQL, "op12_collocations": OP12_SQL, "op13_vector_codes": OP13_SQL}

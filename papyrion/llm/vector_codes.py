@@ -4,7 +4,7 @@ A component x counts as floor(256 * x). Vectors are cut into PARTS equal consecu
 with a codebook of ENTRIES entries that starts as that part of the vectors of the smallest ids and
 moves to the componentwise floor of its parts' means in each of ROUNDS rounds.
 
-The nearest entry of a part is not sought among all. Entries are sorted by norm; the two next to the
+The nearest entry of a part is not sought among all. Entries are sorted by norm; the PROBES next to the
 part's own norm give a first distance d; by the triangle inequality an entry as near as d has a norm
 within d of the part's, so that a binary search bounds the annulus, and only its entries (both ends
 included) are evaluated. Norms are floors of integer roots, and the annulus is wider by one for
@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from papyrion.llm.shared import stored
 
 PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
-#: Entries that are evaluated at once.
-AT_ONCE = 1 << 21
+#: Entries next in norm that give the first distance, and entries that are evaluated at once.
+PROBES, AT_ONCE = 6, 1 << 21
 
 Codebooks = list[np.ndarray]
 
@@ -79,7 +79,9 @@ def nearest(points: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarra
     norm, k = _roots((points * points).sum(axis=1)), len(book)
     distance = lambda p, at: ((p - entries[at]) ** 2).sum(axis=1)
     next_to = np.searchsorted(norms, norm)
-    best = np.minimum(distance(points, np.minimum(next_to, k - 1)), distance(points, np.maximum(next_to - 1, 0)))
+    best = distance(points, np.minimum(next_to, k - 1))
+    for step in (*range(-PROBES // 2, 0), *range(1, PROBES // 2)):
+        best = np.minimum(best, distance(points, np.clip(next_to + step, 0, k - 1)))
     reach = _roots(best) + 1
     low, high = np.searchsorted(norms, norm - reach, "left"), np.searchsorted(norms, norm + reach, "right")
     width = high - low
@@ -93,7 +95,7 @@ def nearest(points: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarra
         at = np.arange(width[i:j].sum()) - np.repeat(starts, width[i:j]) + low[which]
         least = np.minimum.reduceat(distance(points[which], at) * k + order[at], starts)
         found[i:j], error[i:j] = (least % k).astype(np.int64), least // k
-    return found, error, int(width.sum()) + 2 * len(points)
+    return found, error, int(width.sum()) + PROBES * len(points)
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
