@@ -121,8 +121,15 @@ class CoTrained:
     text_line: tuple[float, float] = (0.0, 0.0)
     meta_line: tuple[float, float] = (0.0, 0.0)
     both: tuple[float, float, float, float] = (0.0, 0.0, 0.0, 0.0)
-    #: For each round (good, bad) rows that text handed to meta, and (good, bad) rows that meta handed to text.
-    handed: tuple[tuple[int, int, int, int], ...] = ()
+    #: For each round the ids of (good, bad) rows that text handed to meta, and of those that meta handed to text.
+    handed_ids: tuple[tuple[tuple, tuple, tuple, tuple], ...] = ()
+    #: Rows that all was fitted to.
+    fit_rows: int = 0
+
+    @property
+    def handed(self) -> tuple[tuple[int, ...], ...]:
+        """How many rows were handed over in each round."""
+        return tuple(tuple(map(len, moved)) for moved in self.handed_ids)
 
     def score(self, docs: DataFrame, text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
         """docs with text_score, meta_score and score, each in 0..1; all 1 where there was nothing to
@@ -185,7 +192,7 @@ def train(
 ) -> CoTrained:
     """Co-trains on labels (id_col, label 0 or 1): at most ``fit_rows`` labelled and ``pool_rows``
     other documents, of which each view hands the other ``handed`` in each round. Null labels and ids
-    count as none; of several labels of an id the smallest holds. Without both classes in each part
+    count as none; of several labels of an id the smallest holds, and of several rows of an id one. Without both classes in each part
     of the labels there is nothing to learn, and every document will score 1."""
     known = labels.where(F.col(id_col).isNotNull() & F.col("label").isNotNull()).groupBy(id_col).agg(F.min("label").cast("double").alias("label"))
     by_hash = F.xxhash64(id_col)
@@ -195,12 +202,16 @@ def train(
     role = F.when(part == 0, "calibrate").when(part == 1, "combine").otherwise("train")
     chosen = known.orderBy(by_hash, id_col).limit(fit_rows).withColumn("role", role)
     ids = docs.select(id_col).where(F.col(id_col).isNotNull())
-    share = min(1.0, 2 * pool_rows / max(1, ids.count()))
+    share = min(1.0, 2 * pool_rows / max(1, ids.agg(F.approx_count_distinct(id_col)).first()[0]))
     pool = ids.where(F.pmod(by_hash, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).join(known, id_col, "left_anti").distinct()
     pool = pool.orderBy(by_hash, id_col).limit(pool_rows).select(id_col, F.lit(None).cast("double").alias("label"), F.lit("pool").alias("role"))
     chosen = stored(chosen.unionByName(pool), "cotrain-ids")
     # Bounded by fit_rows + pool_rows: small enough to send to every task.
     rows = docs.select(id_col, text_col, source_col, lang_col).join(F.broadcast(chosen), id_col)
+    # However many rows repeat an id, one of them takes part: that of the smallest hashes of text, source and language.
+    columns = (text_col, source_col, lang_col)
+    one = F.min(F.struct(*[F.xxhash64(c).alias(f"h{i}") for i, c in enumerate(columns)], *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])).alias("one")
+    rows = rows.groupBy(id_col, "label", "role").agg(one).select(id_col, "label", "role", *[F.col(f"one.c{i}").alias(c) for i, c in enumerate(columns)])
     rows = featured(rows, text_col, source_col, lang_col).select(id_col, F.xxhash64(text_col).alias("t"), "label", "role", "_terms", "_style", "_meta_view")
     rows = stored(rows, "cotrain-rows").coalesce(8)
     found = {(r.role, r.label): r.n for r in rows.groupBy("role", "label").agg(F.count("*").alias("n")).collect()}
@@ -236,12 +247,12 @@ def train(
             free = np.array([k not in given[name] for k in keys], bool)
             for label, places in zip((1.0, 0.0), surest(giver, taker, place, free, n_good, handed - n_good), strict=True):
                 given[name] |= {keys[i]: label for i in places.tolist()}
-                moved.append(len(places))
+                moved.append(tuple(keys[i][0] for i in places.tolist()))
         counts.append(tuple(moved))
         # A view whose training rows are the same keeps its model.
-        if moved[2] + moved[3]:
+        if moved[2] or moved[3]:
             text = _fit(with_handed(given["_m"]), "_text_view", SPARSE, sparse=True)
-        if moved[0] + moved[1]:
+        if moved[0] or moved[1]:
             meta = _fit(with_handed(given["_t"]), "_meta_view", RIDGE)
         if not any(moved):
             break
@@ -253,7 +264,7 @@ def train(
     label, t, m = arrays("combine")
     t, m = a + b * t, c + d * m
     both = logistic_line(np.column_stack([t, m, np.minimum(t, m)]), label)
-    return CoTrained(vocabulary, text, meta, (a, b), (c, d), tuple(both), tuple(counts))
+    return CoTrained(vocabulary, text, meta, (a, b), (c, d), tuple(both), tuple(counts), sum(found.values()))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", keep_at: float = KEEP_AT, **bounds) -> DataFrame:
