@@ -12,11 +12,13 @@ the slots.
 
 A host's main slot is the one with the most text over all its pages, links and what HTML itself sets
 apart not counted. Main text is what lies in the slots of the template's box about it, without the
-parts that tags, roles and names mark as something else. Where there is no such box on a page (small
-hosts, pages off the template), tags and names alone decide.
+parts that tags, roles and names mark as something else. Two different pages make a template. Where
+there is no such box on a page (hosts of one page, pages off the template), tags and names alone decide.
 
-A host may hold most pages: its pages are spread over all tasks in both passes, and what meets by
-host is the template alone, which a page's length bounds. Parsing is linear in a page's length.
+A host may hold most pages: they are parsed where they lie, and what meets by host is the template
+alone, which a page's length bounds. Templates reach pages by a join on host and a salt: a host of
+many pages has its template copied to as many salts, so that no task gets more than about SALTED of
+one host's pages. Parsing is linear in a page's length.
 """
 
 from __future__ import annotations
@@ -38,13 +40,19 @@ from pyspark.sql import functions as F
 from papyrion.llm.shared import free_name, stored
 
 #: A template class is held by at least so many pages and this percentage of the host's pages, and has so many tokens.
-LEAST_PAGES, LEAST_PERCENT, LEAST_TOKENS = 8, 90, 3
-#: Pages that hold a template token must differ: their contents' hashes fall into at least so many of 64 bins. So a
-#: page that a host serves under very many addresses does not make its own article a template.
+LEAST_PAGES, LEAST_PERCENT, LEAST_TOKENS = 2, 90, 3
+#: Pages that hold a template token must differ: not all have one content, and their contents' hashes fall into at least
+#: so many of 64 bins, or half as many as the host has contents. So a page that a host serves under very many addresses
+#: does not make its own article a template.
 LEAST_BINS = 5
 #: Where template text is more than this percentage of the main box's text, the pages are versions of one article, and
-#: it stays.
-MOST_FIXED = 50
+#: it stays; so it does on hosts of fewer different pages than this, where one shared passage is no evidence.
+MOST_FIXED, FIXED_PAGES = 50, 3
+
+#: Pages of a host that one salt stands for, on average.
+SALTED = 4096
+#: Hosts of more pages than that whose numbers of salts are sent to every task.
+MOST_WIDE = 100_000
 
 # HTML's void, inline and raw-text elements, and the elements, roles and names of what is not main text.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -370,19 +378,21 @@ def main_box(tokens: list[tuple[int, int, int, int, bool]]) -> tuple[int, bool]:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template, box, stays): the tokens of each host's template classes as pairs of 64-bit
+    """(host, pages, template, box, stays): the tokens of each host's template classes as pairs of 64-bit
     integers (class, token), by class from the widest and in the class's order, and the main box.
     pages: host, page, content (hashes) and html."""
-    hosts = pages.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    hosts = pages.groupBy("host", "content").agg(F.count("*").alias("n")).groupBy("host").agg(F.sum("n").alias("pages"), F.count("*").alias("contents"))
+    hosts = hosts.where(F.col("contents") >= LEAST_PAGES)
     rows = pages.mapInArrow(_occurrences, "host long, page long, content long, token long, n long, place long, parent long, kind long, volume long")
     h = F.xxhash64("page", "n")
     tokens = rows.groupBy("host", "token").agg(
         F.count("*").alias("held"), F.sum("n").alias("total"), F.sum("place").alias("place"),
         F.sum(h.bitwiseAND(F.lit(0x7FFFFFFF))).alias("v1"), F.sum(F.shiftrightunsigned(h, 33)).alias("v2"),
         F.bit_count(F.bit_or(F.expr("shiftleft(1L, int(pmod(content, 64)))"))).alias("bins"),
-        F.min("parent").alias("parent"), F.min("kind").alias("kind"), F.sum("volume").alias("volume"),
+        F.min("content").alias("c1"), F.max("content").alias("c2"), F.min("parent").alias("parent"), F.min("kind").alias("kind"), F.sum("volume").alias("volume"),
     )
-    tokens = tokens.where((F.col("held") >= LEAST_PAGES) & (F.col("bins") >= LEAST_BINS)).join(hosts, "host").where(F.col("held") * 100 >= F.col("pages") * LEAST_PERCENT)
+    tokens = tokens.where((F.col("held") >= LEAST_PAGES) & (F.col("c1") < F.col("c2"))).join(hosts, "host")
+    tokens = tokens.where((F.col("held") * 100 >= F.col("pages") * LEAST_PERCENT) & (F.col("bins") >= F.least(F.lit(LEAST_BINS), F.expr("contents DIV 2"))))
     same = Window.partitionBy("host", "held", "total", "v1", "v2")
     tokens = tokens.withColumn("size", F.count("*").over(same)).withColumn("class", F.xxhash64("total", "v1", "v2"))
     # Widest first: held by most pages, then the fewest runs a page, then the largest.
@@ -390,16 +400,16 @@ def templates(pages: DataFrame) -> DataFrame:
     row = F.struct(*order, "class", "parent", "kind", "volume", (F.col("size") >= LEAST_TOKENS).alias("inside"))
 
     @F.arrow_udf("struct<template: binary, box: bigint, stays: boolean>")
-    def settled(lists: pa.Array) -> pa.Array:
+    def settled(lists: pa.Array, contents: pa.Array) -> pa.Array:
         out = []
-        for rows in lists:
+        for rows, n in zip(lists, contents.to_pylist(), strict=True):
             rows = rows.as_py()
             box, stays = main_box([(r["token"], r["parent"], r["kind"], r["volume"], r["inside"]) for r in rows])
-            out.append({"template": np.array([(r["class"], r["token"]) for r in rows if r["inside"]], "<i8").tobytes(), "box": box, "stays": stays})
+            out.append({"template": np.array([(r["class"], r["token"]) for r in rows if r["inside"]], "<i8").tobytes(), "box": box, "stays": stays or n < FIXED_PAGES})
         return pa.array(out, pa.struct([("template", pa.binary()), ("box", pa.int64()), ("stays", pa.bool_())]))
 
-    found = tokens.groupBy("host").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    return found.select("host", settled("rows").alias("s")).select("host", "s.*")
+    found = tokens.groupBy("host").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.max("contents").alias("contents"), F.max("pages").alias("pages"))
+    return found.select("host", "pages", settled("rows", "contents").alias("s")).select("host", "pages", "s.*")
 
 
 @lru_cache(maxsize=64)
@@ -416,7 +426,7 @@ def extract(df: DataFrame, url_col: str = "url", html_col: str = "html", out_col
     """Every row of df with ``out_col``: the main text of its page, empty if there is none.
 
     Null pages are empty; pages with a null URL, or one without a host, are of one host. Repeated
-    rows count once for each. Hosts of fewer than LEAST_PAGES pages have no template; their pages
+    rows count once for each. Hosts without two different pages have no template; their pages
     are read by tags and names alone. A column of that name is replaced, all others stay.
     """
     host = F.xxhash64(F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), _HOST, 1)))
@@ -429,6 +439,13 @@ def extract(df: DataFrame, url_col: str = "url", html_col: str = "html", out_col
         return pa.array([main_text(p.as_py(), _lookup(t.as_py(), b.as_py(), s.as_py()) if t.is_valid else None) for p, t, b, s in rows], pa.string())
 
     plain = df.drop(out_col) if html_col != out_col and url_col != out_col else df
-    names = [free_name(plain, f"_page_{c}") for c in ("host", "template", "box", "stays")]
-    joined = plain.withColumn(names[0], host).join(found.toDF(*names), names[0], "left")
-    return joined.withColumn(out_col, text_of(html, *names[1:])).drop(*names)
+    names = [free_name(plain, f"_page_{c}") for c in ("host", "salt", "template", "box", "stays")]
+    salts = lambda pages: F.floor((pages - 1) / SALTED).cast("int") + 1
+    copies = found.select("host", F.explode(F.sequence(F.lit(0), salts(F.col("pages")) - 1)).alias("salt"), "template", "box", "stays")
+    # How many salts a host has is known from its template; few hosts have several, and those alone are looked up.
+    wide = found.where(F.col("pages") > SALTED).select(F.col("host").alias(names[0]), salts(F.col("pages")).alias(names[1]))
+    rows = plain.withColumn(names[0], host)
+    rows = rows.join(F.broadcast(wide), names[0], "left") if wide.limit(MOST_WIDE + 1).count() <= MOST_WIDE else rows.join(wide, names[0], "left")
+    rows = rows.withColumn(names[1], F.coalesce(F.pmod(F.xxhash64(html), F.col(names[1])), F.lit(0)).cast("int"))
+    joined = rows.join(copies.toDF(*names), names[:2], "left")
+    return joined.withColumn(out_col, text_of(html, *names[2:])).drop(*names)

@@ -5,6 +5,7 @@ from html import unescape
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from papyrion.llm import html_template
@@ -64,9 +65,26 @@ def test_template_of_a_host_goes(spark):
     assert got == {i: f"Title {i}\nStory number {i}." for i in range(30)}
 
 
-def test_a_host_with_few_pages_has_no_template(spark):
-    got = extracted(spark, [page(i, f"Story {i}.") for i in range(4)])
-    assert got[2] == "Daily News\nHome of all news\nCall us\nTitle 2\nStory 2.\nAll rights reserved"
+@pytest.mark.parametrize("n", [1, 2, 3, 7])
+def test_two_different_pages_make_a_template(spark, n):
+    rows = [page(i, f"Story {i}.") for i in range(n)]
+    got = extracted(spark, rows + [(100 + i, *row[1:]) for i, row in enumerate(rows)])
+    frame = ("Daily News\nHome of all news\nCall us\n", "\nAll rights reserved") if n == 1 else ("", "")
+    assert got == {k + i: f"Title {i}\nStory {i}.".join(frame) for i in range(n) for k in (0, 100)}
+
+
+def test_a_passage_that_two_pages_share_stays(spark):
+    """Two pages of a host have a passage in common, of less than half their text."""
+    rows = [page(i, f"Story {i}. " + f"word{i} " * 30 + "</p><p>shared one</p><p>shared two</p><p>shared three") for i in range(2)]
+    assert all(t.endswith("shared one\nshared two\nshared three") and t.startswith("Title") for t in extracted(spark, rows).values())
+
+
+@pytest.mark.parametrize("wide", [100, 0])
+def test_a_host_of_many_pages_is_salted(spark, monkeypatch, wide):
+    monkeypatch.setattr(html_template, "SALTED", 7)
+    monkeypatch.setattr(html_template, "MOST_WIDE", wide)
+    rows = [page(i, f"Story number {i}.") for i in range(30)] + [page(100 + i, f"Other {i}.", "o.example") for i in range(3)]
+    assert extracted(spark, rows) == {i: f"Title {i}\nStory number {i}." for i in range(30)} | {100 + i: f"Title {100 + i}\nOther {i}." for i in range(3)}
 
 
 def test_one_page_under_many_addresses_keeps_its_text(spark):
@@ -150,9 +168,12 @@ def test_query_is_the_article_of_every_page(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
-def test_template_alone_finds_the_article(spark):
-    """Pages without semantic elements and without class names: only the template tells the article."""
+@pytest.mark.parametrize("most", [10**6, 7, 3, 2])
+def test_template_alone_finds_the_article(spark, most):
+    """Pages without semantic elements and without class names, at most so many of a host: only the
+    template tells the article."""
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    pages = pages.withColumn("k", F.row_number().over(Window.partitionBy(F.regexp_extract("url", "//([^/]+)", 1)).orderBy("page_id"))).where(F.col("k") <= most)
     frame = "article|nav|footer|header|aside|main"
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("html", rf"<({frame})\b[^>]*>", "<div>"), f"</({frame})>", "</div>"), ' class="[^"]*"', "")
     rows = html_template.extract(pages.withColumn("whole", F.col("html")).withColumn("html", bare)).collect()
