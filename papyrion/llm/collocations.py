@@ -44,7 +44,7 @@ LOAD, MOST_BUCKETS, MOST_SLOTS = 16, 1 << 23, 1 << 22
 #: Keys of a shard, buckets or slots of an array that is summed, and arrays that one task sums.
 SHARD, PIECE, FAN_IN = 1 << 20, 1 << 20, 32
 #: Bytes of text whose words are found at once, and slots of a row of the corpus.
-BLOCK, ROW = 1 << 20, 1 << 21
+BLOCK, ROW = 1 << 20, 1 << 20
 
 U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -278,29 +278,40 @@ def _row(ids: np.ndarray) -> list:
 
 def spelled(df: DataFrame, groups: list) -> DataFrame:
     """The corpus as CORPUS rows: a slot for every word, 0 for a word without one and between pieces.
-    groups: broadcasts of Slots; of several, a task opens one at a time for each batch of texts."""
+    groups: broadcasts of Slots; of several, a task opens one at a time for some millions of words."""
+
+    def written(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        slots = np.zeros(sum(len(piece) for piece, _ in found), np.int32)
+        for group in groups:
+            at = 0
+            for _, hashes in found:
+                slots[at : at + len(hashes)] += group.value.slots(hashes[:, 0], hashes[:, 1]).astype(np.int32)
+                at += len(hashes)
+            if len(groups) > 1:
+                group.value.close()
+        # Pieces are counted through, and a place without a slot is left between any two.
+        place = np.arange(len(slots)) + np.cumsum(np.concatenate([np.diff(piece, prepend=-1) > 0 for piece, _ in found]))
+        ids = np.zeros(place[-1] + 2, np.int32)
+        ids[place] = slots
+        # Rows end where no phrase goes on.
+        gaps, i = np.flatnonzero(ids == 0), 0
+        while i < len(ids):
+            j = int(gaps[np.searchsorted(gaps, min(i + ROW, len(ids) - 1))]) + 1
+            yield _batch(*_CORPUS, _row(ids[i:j]))
+            i = j
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, n = [], 0
         for batch in batches:
-            found = [(piece, hashes) for _, _, _, piece, hashes, _, _ in _words(batch) if len(piece)]
-            if not found:
-                continue
-            hashes, slots = np.concatenate([h for _, h in found]), 0
-            for group in groups:
-                slots = slots + group.value.slots(hashes[:, 0], hashes[:, 1])
-                if len(groups) > 1:
-                    group.value.close()
-            # Pieces are counted through, and a place without a slot is left between any two.
-            new = np.concatenate([np.diff(piece, prepend=-1) > 0 for piece, _ in found])
-            place = np.arange(len(slots)) + np.cumsum(new)
-            ids = np.zeros(place[-1] + 2, np.int32)
-            ids[place] = slots
-            # Rows end where no phrase goes on.
-            gaps, i = np.flatnonzero(ids == 0), 0
-            while i < len(ids):
-                j = int(gaps[np.searchsorted(gaps, min(i + ROW, len(ids) - 1))]) + 1
-                yield _batch(*_CORPUS, _row(ids[i:j]))
-                i = j
+            for _, _, _, piece, hashes, _, _ in _words(batch):
+                if len(piece):
+                    found.append((piece, hashes))
+                    n += len(piece)
+                if n >= (ROW if len(groups) == 1 else 4 * ROW):
+                    yield from written(found)
+                    found, n = [], 0
+        if n:
+            yield from written(found)
 
     return df.mapInArrow(spell, CORPUS)
 
