@@ -1,7 +1,8 @@
 """Agreement between raters: percent agreement, nominal alpha, thresholds, consensus, prevalence.
 
-Ratings are long: (unit, rater, dimension, value). Blank values are no ratings. All statistics come
-from counts per unit and value, so no pair of ratings is ever made.
+Ratings are long: (unit, rater, dimension, value). Blank values are no ratings. Statistics over many
+raters come from counts per unit and value; only pair_matrix, which reports on pairs of raters, makes
+the pairs of a unit's few ratings.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrion.functions.expressions import clean, clean_or_null, share
+from papyrion.operators.sampling import pair_metrics
 
 
 def long_ratings(df: DataFrame, unit: str, rater: Column, dimensions: list[str]) -> DataFrame:
@@ -147,15 +149,36 @@ def leaders(ratings: DataFrame, by: list[str]) -> DataFrame:
     return out.where("r = 1").drop("r")
 
 
-def bootstrap_interval(pairs: DataFrame, left: str, right: str, draws: int = 2000, seed: int = 20260711) -> dict[str, float]:
-    """Percent agreement with its 2.5 and 97.5 percent bootstrap quantiles. Spark makes the table of
-    category pairs; resampling rows is a multinomial draw of that table's cells, and the table is as
-    small as the categories."""
-    cells = pairs.where(F.col(left).isNotNull() & F.col(right).isNotNull()).groupBy(left, right).count().collect()
-    cells = sorted(cells, key=lambda r: (str(r[0]), str(r[1])))
-    n = np.array([r["count"] for r in cells], np.int64)
-    if not n.sum():
-        return {"estimate": float("nan"), "low": float("nan"), "high": float("nan")}
-    same = np.array([r[0] == r[1] for r in cells])
-    found = np.random.default_rng(seed).multinomial(n.sum(), n / n.sum(), size=draws)[:, same].sum(axis=1) / n.sum()
-    return {"estimate": float(n[same].sum() / n.sum()), "low": float(np.quantile(found, 0.025)), "high": float(np.quantile(found, 0.975))}
+#: Draws whose tables are held at once.
+DRAWS_AT_ONCE = 256
+
+
+def bootstrap_interval(pairs: DataFrame, left: str, right: str, weight: str | None = None, draws: int = 2000, seed: int = 20260711) -> dict[str, float | int | None]:
+    """Agreement of two columns on the rows where neither is blank: comparable, agreements,
+    percent_agreement, weighted_percent_agreement, alpha, and the 2.5 and 97.5 per cent bootstrap
+    quantiles of agreement and alpha. All but the counts are None without such rows.
+
+    Spark makes the table of category pairs. Resampling rows is a multinomial draw of that table's
+    cells, and the statistics of many draws are one matrix product, so that no row is resampled; the
+    table is as small as the categories. Draws whose alpha is undefined (all disagree in no category
+    that repeats) are left out of its interval; without weights each row weighs 1.
+    """
+    rows = pairs.select(clean_or_null(F.col(left)).alias("l"), clean_or_null(F.col(right)).alias("r"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
+    cells = rows.where("l IS NOT NULL AND r IS NOT NULL").groupBy("l", "r").agg(F.count("*").alias("n"), F.sum("w").alias("w")).orderBy("l", "r").collect()
+    out: dict[str, float | int | None] = dict.fromkeys(("percent_agreement", "weighted_percent_agreement", "alpha", "agreement_low", "agreement_high", "alpha_low", "alpha_high"))
+    n = np.array([r.n for r in cells], np.int64)
+    if not len(cells):
+        return {"comparable": 0, "agreements": 0} | out
+    names = {v: i for i, v in enumerate(sorted({r.l for r in cells} | {r.r for r in cells}))}
+    a, b = np.array([names[r.l] for r in cells]), np.array([names[r.r] for r in cells])
+    weights, same = np.array([r.w or 0.0 for r in cells]), a == b
+    agreement, alpha = pair_metrics(n[None, :], a, b)
+    rng, found = np.random.default_rng(seed), []
+    for at in range(0, draws, DRAWS_AT_ONCE):
+        found.append(pair_metrics(rng.multinomial(n.sum(), n / n.sum(), size=min(DRAWS_AT_ONCE, draws - at)), a, b))
+    agreements, alphas = (np.concatenate(x) for x in zip(*found, strict=True))
+    alphas = alphas[~np.isnan(alphas)]
+    between = lambda x: [float(np.quantile(x, q)) for q in (0.025, 0.975)] if len(x) else [None, None]
+    weighted = float(weights[same].sum() / weights.sum()) if weights.sum() else None
+    figures = [float(agreement[0]), weighted, None if np.isnan(alpha[0]) else float(alpha[0]), *between(agreements), *between(alphas)]
+    return {"comparable": int(n.sum()), "agreements": int(n[same].sum())} | dict(zip(out, figures, strict=True))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -53,51 +51,127 @@ def draw_stratified(df: DataFrame, key: str, allocation: dict[str, int], seed: i
     return out.withColumn("selection_probability", F.col("sample") / F.col("population")).withColumn("weight", F.col("population") / F.col("sample"))
 
 
-def _agreeing(rng: np.random.Generator, agree: int, differ: int, take: int, n: int) -> np.ndarray:
-    """How many of ``take`` rows drawn without replacement agree, n times. Beyond what numpy draws
+def _drawn(rng: np.random.Generator, own: int, others: int, take: np.ndarray) -> np.ndarray:
+    """How many of each number of rows drawn without replacement are of a kind. Beyond what numpy draws
     exactly (a billion rows), by the normal distribution of the same mean and variance."""
-    if max(agree, differ) < 10**9:
-        return rng.hypergeometric(agree, differ, take, n)
-    total = agree + differ
-    p = agree / total
-    spread = (take * p * (1 - p) * (total - take) / (total - 1)) ** 0.5
-    return np.clip(np.rint(rng.normal(take * p, spread, n)), max(0, take - differ), min(take, agree))
-
-
-def simulate_stability(df: DataFrame, left: str, right: str, fractions: list[float], replicates: int, seed: int) -> DataFrame:
-    """For each fraction over the replicates: the mean, bias, standard deviation, root mean square
-    error and 95 % width of percent agreement against the whole frame's. Each replicate takes its
-    share of each stratum, rounded up; blanks are a category of their own.
-
-    Agreement needs no rows, only how many of a stratum's agree: each replicate draws that number
-    from the hypergeometric distribution, so no row is copied however many replicates there are."""
-    same = F.coalesce(F.col(left).cast("string"), F.lit("")) == F.coalesce(F.col(right).cast("string"), F.lit(""))
-    cells = df.groupBy("stratum").agg(F.count_if(same).alias("agree"), F.count_if(~same).alias("differ"))
-    cells = cells.withColumn("fraction", F.explode(F.array(*map(F.lit, fractions)))).withColumn("take", F.ceil((F.col("agree") + F.col("differ")) * F.col("fraction")))
-
-    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                rng = np.random.default_rng([seed, row.stream & 0x7FFFFFFFFFFFFFFF])
-                found = _agreeing(rng, row.agree, row.differ, row.take, replicates)
-                yield pd.DataFrame({"fraction": row.fraction, "replicate": np.arange(replicates), "agreeing": found.astype(np.int64), "take": row.take})
-
-    stream = F.xxhash64("stratum", "fraction").alias("stream")
-    draws = cells.select("stratum", "fraction", "agree", "differ", "take", stream).mapInPandas(drawn, "fraction double, replicate long, agreeing long, take long")
-    each = draws.groupBy("fraction", "replicate").agg((F.sum("agreeing") / F.sum("take")).alias("agreement"))
-    truth = F.lit(df.agg(F.avg(same.cast("double"))).first()[0])
-    return each.withColumn("truth", truth).groupBy("fraction").agg(
-        F.avg("agreement").alias("mean"), F.avg(F.col("agreement") - F.col("truth")).alias("bias"), F.stddev_samp("agreement").alias("sd"),
-        F.sqrt(F.avg(F.pow(F.col("agreement") - F.col("truth"), 2))).alias("rmse"), (F.percentile("agreement", 0.975) - F.percentile("agreement", 0.025)).alias("width_95"),
+    if max(own, others) < 10**9:
+        return rng.hypergeometric(own, others, take)
+    total = own + others
+    p = own / total
+    spread = np.sqrt(take * p * (1 - p) * (total - take) / (total - 1))
+    return np.clip(np.rint(rng.normal(take * p, spread)), np.maximum(0, take - others), np.minimum(take, own)).astype(np.int64)
+
+
+def pair_metrics(counts: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Percent agreement and nominal alpha of tables of category pairs, a row of counts each; left and
+    right are the categories of its cells. Alpha is 1 if all is one category, NaN where it is undefined."""
+    n = counts.sum(axis=1)
+    agree = counts[:, left == right].sum(axis=1)
+    side = np.zeros((counts.shape[1], int(max(left.max(), right.max())) + 1))
+    np.add.at(side, (np.arange(len(left)), left), 1)
+    np.add.at(side, (np.arange(len(right)), right), 1)
+    pooled = counts @ side
+    with np.errstate(divide="ignore", invalid="ignore"):
+        observed = 1 - agree / n
+        expected = 1 - (pooled * (pooled - 1)).sum(axis=1) / (2.0 * n * (2 * n - 1))
+        alpha = np.where(np.abs(expected) < 1e-15, np.where(agree == n, 1.0, np.nan), 1 - observed / expected)
+        return agree / n, alpha
+
+
+def _aligned(df: DataFrame, dimensions: dict[str, tuple[str, str]]) -> DataFrame:
+    """(stratum, dimension, l, r, n): the cells of all dimensions, from one pass; blanks are a category."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    cells = F.array(*[F.struct(F.lit(d).alias("dimension"), text(a).alias("l"), text(b).alias("r")) for d, (a, b) in dimensions.items()])
+    rows = df.select("stratum", F.explode(cells).alias("x")).select("stratum", "x.*")
+    return rows.groupBy("stratum", "dimension", "l", "r").agg(F.count("*").alias("n"))
+
+
+ESTIMATES = "fraction double, sample_size long, dimension string, replicate int, percent_agreement double, alpha double, rare int, rare_found int"
+#: Replicates that one task draws.
+REPLICATES_A_TASK = 250
+
+
+def replicate_estimates(df: DataFrame, dimensions: dict[str, tuple[str, str]], fractions: list[float], replicates: int, seed: int, population: int | None = None) -> DataFrame:
+    """ESTIMATES rows: agreement and alpha of the two raters' columns (dimension -> left, right) in
+    stratified samples, and how many of the rare categories (of one rater, under 1 % of rows) are in it.
+
+    A sample has ceil(population * fraction) rows, allocated to strata by largest differences. None is
+    copied: of a stratum's cells (left, right) a sample takes multivariate hypergeometric numbers,
+    drawn cell after cell for all replicates at once. A task holds the cells of one dimension.
+    """
+    sizes = {r.stratum: r.n for r in df.groupBy("stratum").agg(F.count("*").alias("n")).collect()}
+    if population is not None and population < sum(sizes.values()):
+        raise ValueError("the target population is smaller than the frame")
+    if not sizes:
+        return df.sparkSession.createDataFrame([], ESTIMATES)
+    basis = population or sum(sizes.values())
+    wanted = [(f, int(np.ceil(basis * f))) for f in fractions]
+    taken = {f: proportional_allocation(sizes, n) for f, n in wanted}
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        fraction, block, dimension = float(pdf.fraction.iloc[0]), int(pdf.block.iloc[0]), pdf.dimension.iloc[0]
+        n = min(REPLICATES_A_TASK, replicates - block * REPLICATES_A_TASK)
+        pdf = pdf.sort_values(["stratum", "l", "r"])
+        names = sorted({*pdf.l, *pdf.r})
+        codes = {v: i for i, v in enumerate(names)}
+        cells = pdf[["l", "r"]].drop_duplicates().sort_values(["l", "r"])
+        at = {(a, b): i for i, (a, b) in enumerate(zip(cells.l, cells.r, strict=True))}
+        left, right = np.array([codes[v] for v in cells.l]), np.array([codes[v] for v in cells.r])
+        rng = np.random.default_rng([seed, *np.frombuffer(f"{dimension}|{fraction}|{block}".encode(), np.uint8).tolist()])
+        counts = np.zeros((n, len(at)), np.int64)
+        for stratum, own in pdf.groupby("stratum", sort=True):
+            rest, open_ = int(own.n.sum()), np.full(n, taken[fraction][stratum], np.int64)
+            for a, b, size in zip(own.l, own.r, own.n, strict=True):
+                rest -= int(size)
+                found = _drawn(rng, int(size), rest, open_) if rest else open_
+                counts[:, at[a, b]] += found
+                open_ = open_ - found
+        agreement, alpha = pair_metrics(counts, left, right)
+        whole = pdf.groupby(["l", "r"]).n.sum().reindex(pd.MultiIndex.from_frame(cells)).to_numpy()
+        rare = [side == c for side in (left, right) for c in range(len(names)) if 0 < whole[side == c].sum() < 0.01 * whole.sum()]
+        found = sum((counts[:, m].sum(axis=1) > 0).astype(int) for m in rare) if rare else np.zeros(n, int)
+        rows = {"fraction": fraction, "sample_size": dict(wanted)[fraction], "dimension": dimension, "replicate": np.arange(n) + block * REPLICATES_A_TASK}
+        return pd.DataFrame(rows | {"percent_agreement": agreement, "alpha": alpha, "rare": len(rare), "rare_found": found})
+
+    blocks = F.array(*[F.struct(F.lit(float(f)).alias("fraction"), F.lit(b).alias("block")) for f in fractions for b in range(-(-replicates // REPLICATES_A_TASK))])
+    cells = _aligned(df, dimensions).select("*", F.explode(blocks).alias("x")).select("stratum", "dimension", "l", "r", "n", "x.*")
+    return cells.groupBy("dimension", "fraction", "block").applyInPandas(draw, ESTIMATES)
+
+
+def stability(df: DataFrame, dimensions: dict[str, tuple[str, str]], fractions: list[float], replicates: int, seed: int, population: int | None = None, limits: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """One row for each fraction, dimension and metric (percent_agreement, alpha): the whole frame's
+    value, the replicates' mean, bias, sd, rmse, 2.5 and 97.5 per cent quantiles and their width,
+    whether bias and width are within the metric's limits, and the mean share of rare categories found
+    (1 where none is rare). Undefined replicates of alpha are left out."""
+    each = replicate_estimates(df, dimensions, fractions, replicates, seed, population)
+    metric = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.when(~F.isnan(m), F.col(m)).alias("v")) for m in ("percent_agreement", "alpha")])).alias("x")
+    long = each.select("fraction", "sample_size", "dimension", "rare", "rare_found", metric).select("*", "x.*").drop("x")
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = {v: i for i, v in enumerate(sorted({*pdf.l, *pdf.r}))}
+        found = pair_metrics(pdf.n.to_numpy()[None, :], pdf.l.map(names).to_numpy(), pdf.r.map(names).to_numpy())
+        value = lambda x: None if np.isnan(x[0]) else float(x[0])
+        return pd.DataFrame({"dimension": pdf.dimension.iloc[0], "metric": ["percent_agreement", "alpha"], "full_value": [value(found[0]), value(found[1])]})
+
+    cells = _aligned(df, dimensions).groupBy("dimension", "l", "r").agg(F.sum("n").alias("n"))
+    truth = cells.groupBy("dimension").applyInPandas(whole, "dimension string, metric string, full_value double")
+    off = F.col("v") - F.col("full_value")
+    share = F.when(F.col("rare") > 0, F.col("rare_found") / F.col("rare")).otherwise(1.0)
+    out = long.join(truth, ["dimension", "metric"]).groupBy("fraction", "sample_size", "dimension", "metric").agg(
+        F.first("full_value").alias("full_value"), F.avg("v").alias("mean"), F.avg(off).alias("bias"), F.stddev_samp("v").alias("sd"), F.sqrt(F.avg(off * off)).alias("rmse"),
+        F.percentile("v", 0.025).alias("p025"), F.percentile("v", 0.975).alias("p975"), F.avg(share).alias("rare_coverage"),
     )
+    limits = limits or {"percent_agreement": (0.01, 0.05), "alpha": (0.02, 0.10)}
+    of = lambda i: F.when(F.col("metric") == "alpha", limits["alpha"][i]).otherwise(limits["percent_agreement"][i])
+    width = F.col("p975") - F.col("p025")
+    return out.withColumn("width_95", width).withColumn("passes", F.coalesce((F.abs("bias") <= of(0)) & (width <= of(1)), F.lit(False)))
 
 
-def recommend_fraction(stability: DataFrame, most_bias: float, most_rmse: float, most_width: float) -> DataFrame:
-    """The stability table with passes, and recommended: the smallest fraction that passes."""
-    ok = (F.abs("bias") <= most_bias) & (F.col("rmse") <= most_rmse) & (F.col("width_95") <= most_width)
-    out = stability.withColumn("passes", ok)
-    least = F.min(F.when(F.col("passes"), F.col("fraction"))).over(Window.partitionBy(F.lit(1)))
-    return out.withColumn("recommended", F.coalesce(F.col("fraction") == least, F.lit(False)))
+def recommend_fraction(table: DataFrame) -> DataFrame:
+    """The stability table with recommended: the smallest fraction that passes in every dimension and metric."""
+    good = table.groupBy("fraction").agg(F.bool_and("passes").alias("all_pass")).where("all_pass").agg(F.min("fraction").alias("least"))
+    least = good.first()["least"]
+    return table.withColumn("recommended", F.lit(False) if least is None else F.col("fraction") == least)
 
 
 def blinded_order(df: DataFrame, salt: str, key: str) -> DataFrame:

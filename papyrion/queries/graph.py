@@ -94,12 +94,16 @@ def reference_resolution(spark, d):
     return graph.resolve_references(table(spark, d, "documents"), "doc_id", text, doi, F.col("doc_id"))
 
 
-_WORDS = r"list_filter(string_split_regex(lower(regexp_replace(text, '[^A-Za-z\s]', '', 'g')), '\s+'), lambda x: length(x) >= 2)"
+_PUNCT = r"[!-/:-@\[-^`{-~]+"
+_WORDS = (
+    r"list_filter(list_transform(string_split_regex(lower(text), '[\t-\r \x{85}\p{Z}]+'), "
+    rf"lambda x: regexp_replace(regexp_replace(x, '^{_PUNCT}', ''), '{_PUNCT}$', '')), "
+    r"lambda x: length(x) >= 2 AND regexp_matches(x, '[\p{L}\p{M}\p{N}_]'))"
+)
 
 
 def _docs(spark, d):
-    words = topics.tokens(F.regexp_replace("text", r"[^A-Za-z\s]", ""))
-    return table(spark, d, "documents").select("doc_id", "source", words.alias("w"))
+    return table(spark, d, "documents").select("doc_id", "source", topics.tokens(F.col("text")).alias("w"))
 
 
 @query(f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), g AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])) AS phrase FROM d WHERE len(w) > 1
@@ -174,9 +178,10 @@ def topic_model(spark, d):
 
 @query()
 def topic_count_choice(spark, d):
-    """The figures of three candidate sizes over the embeddings' topics, and the recommended one."""
-    rows = table(spark, d, "embeddings").select("vec_id", "embedding", F.concat(F.lit("label"), F.col("label")).alias("term"))
-    return topics.choose_topic_count(rows, "vec_id", "embedding", F.array("term"), [4, 8, 16], dimensions=16)
+    """The figures of three candidate sizes over the embeddings, by the words of the documents of their ids, and the recommended one."""
+    words = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), topics.tokens(F.col("text")).alias("w"))
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding").join(words, "vec_id", "left")
+    return topics.choose_topic_count(rows, "vec_id", "embedding", F.coalesce("w", F.array().cast("array<string>")), [4, 8, 16], dimensions=16)
 
 
 @query()

@@ -204,9 +204,11 @@ def stratified_draw(spark, d):
 
 @query()
 def sampling_stability(spark, d):
-    rows = _strata(spark, d).withColumn("a", (F.col("citations") > 200000).cast("string")).withColumn("b", (F.col("citations") > 210000).cast("string"))
-    out = sampling.simulate_stability(rows, "a", "b", [0.1, 0.25, 0.4], 1000, 20260711)
-    return sampling.recommend_fraction(out, 0.02, 0.02, 0.1)
+    """Two raters' agreement on two dimensions in stratified samples of three sizes, and the smallest that is stable."""
+    dear = lambda least: F.when(F.col("citations") > least, "dear").when(F.col("citations") > least / 2, "fair").when(F.col("citations") > 5000, "cheap")
+    rows = _strata(spark, d).withColumns({"a": dear(200000), "b": dear(210000), "c": F.col("status"), "e": F.when(F.col("priority") != "1-URGENT", F.col("status")).otherwise("P")})
+    out = sampling.stability(rows, {"price": ("a", "b"), "state": ("c", "e")}, [0.1, 0.25, 0.4], 1000, 20260711)
+    return sampling.recommend_fraction(out)
 
 
 @query("SELECT o_orderkey, sha256('s|' || o_orderkey::VARCHAR) AS blind_key FROM orders")

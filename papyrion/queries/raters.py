@@ -114,5 +114,7 @@ def coder_robustness_leaders(spark, d):
 
 @query()
 def bootstrap_ci(spark, d):
-    found = raters.bootstrap_interval(pairs(spark, d), "a", "b")
-    return spark.createDataFrame([tuple(found.values())], "estimate double, low double, high double")
+    """Agreement and alpha of two raters with their bootstrap intervals, weighted by price too."""
+    found = raters.bootstrap_interval(pairs(spark, d), "a", "b", "w")
+    names = "comparable long, agreements long, " + ", ".join(f"{c} double" for c in list(found)[2:])
+    return spark.createDataFrame([tuple(found.values())], names)

@@ -131,13 +131,6 @@ def test_draws_are_exact_and_repeat(spark):
     assert len(got) == 17 and sum(i % 3 == 0 for i in got) == 5 and got == draw(df.repartition(6))
 
 
-def test_bootstrap_holds_its_estimate(spark):
-    df = spark.createDataFrame([("a", "a")] * 80 + [("a", "b")] * 20, "l string, r string")
-    found = raters.bootstrap_interval(df, "l", "r")
-    assert found["estimate"] == 0.8 and 0.7 < found["low"] < 0.8 < found["high"] < 0.9
-    assert np.isnan(raters.bootstrap_interval(df.limit(0), "l", "r")["estimate"])
-
-
 def test_large_groups_make_no_pairs(spark):
     rows = [(1, m) for m in range(30)] + [(2, m) for m in range(4)] + [(3, 1), (3, 1)]
     got = graph.member_pairs(spark.createDataFrame(rows, "g int, m int"), "g", "m", 25).collect()
