@@ -73,7 +73,7 @@ def relationship_matrix(df: DataFrame, row: Panel, column: Panel, view: str = "f
     cells = rows.groupBy(or_missing(row.value(df)).alias("row_value"), or_missing(column.value(df)).alias("column_value")).agg(F.count("*").alias("papers"))
     axis = cells.groupBy("row_value").agg(F.lit(1).alias("k")).select("row_value", "k")
     columns = cells.agg(F.array_sort(F.collect_set("column_value")).alias("all")).select("all", F.lit(1).alias("k"))
-    dense = axis.join(columns, "k").select("row_value", F.explode("all").alias("column_value"))
+    dense = axis.join(F.broadcast(columns), "k").select("row_value", F.explode("all").alias("column_value"))
     dense = dense.join(cells, ["row_value", "column_value"], "left").withColumn("papers", F.coalesce("papers", F.lit(0)))
     total = lambda *by: F.sum("papers").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1)))
     return dense.select(
@@ -156,7 +156,7 @@ def horizontal_contrast(df: DataFrame, bridge: DataFrame, panel: Panel, key: str
     values = rows.select(key, or_missing(panel.value(df)).alias("value"))
     base = distribution(df, panel, view).select("value", F.col("share").alias("baseline_share"))
     counts = values.join(bridge.select(key, F.col(group).alias("group")).distinct(), key).groupBy("group", "value").agg(F.count("*").alias("papers"))
-    grid = bridge.select(F.col(group).alias("group")).distinct().withColumn("k", F.lit(1)).join(base.withColumn("k", F.lit(1)), "k").drop("k")
+    grid = bridge.select(F.col(group).alias("group")).distinct().withColumn("k", F.lit(1)).join(F.broadcast(base.withColumn("k", F.lit(1))), "k").drop("k")  # a panel's values
     out = grid.join(counts, ["group", "value"], "left").withColumn("papers", F.coalesce("papers", F.lit(0)))
     out = out.withColumn("share", share(F.col("papers"), F.sum("papers").over(Window.partitionBy("group"))))
     return out.withColumn("difference_pp", (F.col("share") - F.col("baseline_share")) * 100)

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrion.functions.expressions import graph_clean, node_id, norm_doi, split_list
+from papyrion.operators.packing import ranked
+from papyrion.plans.tables import written
 
 
 def node_rows(df: DataFrame, label: str, value: Column, props: dict[str, Column], order: Column) -> DataFrame:
@@ -122,6 +124,92 @@ def neighborhood(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
     return near.join(nodes, "node").select("node", "type", "label", "value")
 
 
+def scope_bits(nodes: DataFrame, edges: DataFrame, publications: DataFrame) -> DataFrame:
+    """nodes with bits: a bit for each scope that a node belongs to. publications (node, bits) have their
+    own; any other node has those of the publications within two edges of it. Bits are combined on the
+    way, so two aggregations settle every scope at once."""
+    both = undirected(edges).select("src", "dst").distinct()
+    step = lambda near: near.withColumnRenamed("node", "src").join(both, "src").groupBy(F.col("dst").alias("node")).agg(F.bit_or("bits").alias("bits"))
+    one = step(publications.select("node", "bits"))
+    around = one.unionByName(step(one)).groupBy("node").agg(F.bit_or("bits").alias("around"))
+    out = nodes.join(publications.select("node", F.col("bits").alias("own")), "node", "left").join(around, "node", "left")
+    return out.withColumn("bits", F.coalesce("own", "around", F.lit(0).cast("long"))).drop("own", "around")
+
+
+def in_scope(scope: int) -> Column:
+    """Nodes of scope_bits() in a scope; below 0 all."""
+    return F.lit(True) if scope < 0 else F.col("bits").bitwiseAND(F.lit(1 << scope).cast("long")) != 0
+
+
+def matching(nodes: DataFrame, edges: DataFrame, path: list[tuple[str | None, str]], value: str) -> DataFrame:
+    """(node) where a path of directed edges (type or any, label of the end) begins that ends at a node
+    of that value: semi-joins from the end back."""
+    ends = nodes.where((F.col("label") == path[-1][1]) & (F.col("value") == value)).select("node")
+    for i in range(len(path) - 1, -1, -1):
+        own = edges.where(F.col("type") == path[i][0]) if path[i][0] else edges
+        ends = own.join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+        if i:
+            ends = ends.join(nodes.where(F.col("label") == path[i - 1][1]), "node", "left_semi")
+    return ends
+
+
+def scoped_seed(scoped: DataFrame, edges: DataFrame, label: str, rank_by: Column, n: int, scope: int = -1, kinds: list[str] = (), labels: list[str] = (), among: DataFrame | None = None, most_edges: int = 1500) -> DataFrame:
+    """(src, place, degree, dst, type): the edges of the n nodes of a label in a scope (and in ``among``,
+    if given) with the highest degree over all edges, then rank_by, then name. Edges are of the kinds and
+    lead to the labels, if those are given, and the first most_edges by the seeds' places stay."""
+    if not 1 <= n <= 100:
+        raise ValueError("n must be between 1 and 100")
+    tops = scoped.where((F.col("label") == label) & in_scope(scope))
+    tops = tops.join(among.select("node"), "node", "left_semi") if among is not None else tops
+    tops = tops.join(degrees(edges), "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0))).withColumn("_rank", rank_by)
+    order = [F.desc("degree"), F.desc_nulls_last("_rank"), F.col("node")]
+    tops = tops.orderBy(*order).limit(n).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))
+    out = undirected(edges.where(F.col("type").isin(*kinds)) if kinds else edges)
+    out = out.join(F.broadcast(tops.select(F.col("node").alias("src"), "place", "degree")), "src")  # n rows
+    if labels:
+        out = out.join(scoped.where(F.col("label").isin(*labels)).select(F.col("node").alias("dst")), "dst", "left_semi")
+    return out.select("src", "place", "degree", "dst", "type").orderBy("place", "type", "dst").limit(most_edges)
+
+
+def scoped_neighborhood(scoped: DataFrame, edges: DataFrame, node: str, scope: int = -1, kinds: list[str] = (), most: int = 1500) -> DataFrame:
+    """The undirected one-hop neighbours of a node that are in a scope, none if the node itself is not."""
+    centre = scoped.where((F.col("node") == node) & in_scope(scope)).select(F.col("node").alias("src"))
+    own = undirected(edges.where(F.col("type").isin(*kinds)) if kinds else edges).where(F.col("src") == node)
+    near = own.join(F.broadcast(centre), "src", "left_semi").select(F.col("dst").alias("node"), "type").distinct()  # one row
+    return near.join(scoped.where(in_scope(scope)), "node").select("node", "type", "label", "value").orderBy("type", "node").limit(most)
+
+
+def network_coverage(nodes: DataFrame, key: str, weight: str, cluster: str, reading: DataFrame, papers: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """How a reading list (distinct keys) covers a weighted network: one row of figures, the list's
+    papers by quartile of the weight's rank, and nodes and papers by cluster. Ranks go by weight
+    descending, then key, over ranges of both, so no window holds all nodes; medians are read at ranks."""
+    places = ranked(nodes.select(key, F.col(weight).cast("double").alias("w"), F.col(cluster).alias("cluster")), [F.desc("w"), F.col(key)])
+    mark = reading.select(F.col(key)).distinct().withColumn("read", F.lit(True))
+    marked = written(places.join(mark, key, "left").withColumn("read", F.coalesce("read", F.lit(False))), "network-ranks")
+    read = written(ranked(marked.where("read"), [F.col("rank")], name="place"), "reading-ranks")
+    sizes = marked.agg(F.count("*").alias("n"), F.count_if("read").alias("r")).first()
+    n, r = sizes["n"], sizes["r"]
+    middle = lambda size: [(size + 1) // 2, size // 2 + 1]
+    a, b = F.col("rank"), n or 1
+    figures = marked.agg(
+        F.count_if("read").alias("reading_papers"), F.count("*").alias("nodes"), (F.count("*") / F.lit(papers)).alias("map_coverage"),
+        F.avg(F.when(a.isin(*middle(n)), F.col("w"))).alias("full_median"), F.avg("w").alias("full_mean"), F.avg(F.when(F.col("read"), F.col("w"))).alias("reading_mean"),
+        F.count_if(F.col("read") & (a <= -(-b // 10))).alias("top_decile"), F.count_if(F.col("read") & (a <= -(-b // 4))).alias("top_quartile"),
+        F.count_if(F.col("read") & (a > -(-3 * b // 4))).alias("bottom_quartile"),
+    )
+    at = F.col("place").isin(*middle(r))
+    halves = read.agg(F.avg(F.when(at, F.col("w"))).alias("reading_median"), F.avg(F.when(at, a)).alias("median_rank"))
+    clusters = marked.groupBy("cluster").agg(F.count("*").alias("nodes"), F.count_if("read").alias("papers"))
+    clusters = clusters.withColumn("node_share", F.col("nodes") / F.lit(n or 1)).withColumn("paper_share", F.try_divide(F.col("papers").cast("double"), F.lit(float(r))))
+    mass = clusters.agg(F.count("*").alias("clusters"), F.count_if(F.col("papers") > 0).alias("clusters_read"), F.coalesce(F.sum(F.when(F.col("papers") > 0, F.col("node_share"))), F.lit(0.0)).alias("read_mass"))
+    one = lambda df: F.broadcast(df.withColumn("_k", F.lit(1)))  # noqa: E731  one row
+    summary = figures.withColumn("_k", F.lit(1)).join(one(halves), "_k").join(one(mass), "_k").drop("_k")
+    quartile = F.least(F.greatest(F.ceil(a / b * 4), F.lit(1)), F.lit(4)).cast("int")
+    counts = read.groupBy(quartile.alias("quartile")).agg(F.count("*").alias("papers"))
+    quartiles = marked.sparkSession.range(1, 5).select(F.col("id").cast("int").alias("quartile")).join(counts, "quartile", "left").fillna(0, ["papers"])
+    return summary, quartiles.withColumn("share", F.try_divide(F.col("papers").cast("double"), F.lit(float(r)))), clusters
+
+
 def two_hop_scope(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Nodes within two hops of a seed node (column node), with their least distance. Each hop is a
     join on distinct frontier nodes, so no path is listed twice."""

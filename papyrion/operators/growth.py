@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrion.functions.expressions import clean, split_list
+from papyrion.operators.packing import ranked
 
 
 def performance_summary(df: DataFrame, citations: str, year: str) -> DataFrame:
@@ -76,35 +77,11 @@ def rank_quantile(share: float, n: int) -> float:
     return 1 + below + step * part if part < 0.5 else 1 + below + step - step * (1 - part)
 
 
-#: Buckets that the values are cut into for running totals.
-BUCKETS = 256
-
-
-def _before(counts: DataFrame, value: str, edges: list) -> DataFrame:
-    """counts (value, _n) with _before, the sum of _n of smaller values: totals of the buckets between
-    the edges first, then running totals inside each."""
-    bucket = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(value))) if edges else F.lit(0)
-    counts = counts.withColumn("_bucket", bucket)
-    so_far = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    totals = counts.groupBy("_bucket").agg(F.sum("_n").alias("_total"))  # at most BUCKETS rows
-    totals = totals.select("_bucket", F.coalesce(F.sum("_total").over(so_far(F.lit(1)).orderBy("_bucket")), F.lit(0)).alias("_start"))
-    inside = F.coalesce(F.sum("_n").over(so_far("_bucket").orderBy(value)), F.lit(0))
-    return counts.withColumn("_inside", inside).join(F.broadcast(totals), "_bucket").select(value, "_n", (F.col("_start") + F.col("_inside")).alias("_before"))
-
-
 def tertiles(df: DataFrame, value: str, order: list, n: int) -> DataFrame:
     """df with tertile 1..3 of the rank by (value, order), cut as quantile bins are: the edges are
     the 1/3 and 2/3 quantiles of 1..n by linear interpolation, rounded as numpy's percentiles are.
-    n is the count of df; values are numbers. No window holds all rows: values are ranked by running
-    totals of their counts, and only rows of the two values that an edge falls on are ranked by order."""
-    counts = df.groupBy(value).agg(F.count("*").alias("_n"))
-    edges = counts.agg(F.percentile_approx(value, [i / BUCKETS for i in range(1, BUCKETS)], 10000)).first()[0]
-    places = _before(counts, value, sorted(set(edges or [])))
+    n is the count of df. Ranks come from ranges of (value, order), so rows of one value are spread."""
     cuts = [rank_quantile(1 / 3, n), rank_quantile(2 / 3, n)]
-    tertile = lambda rank: F.when(rank <= cuts[0], 1).when(rank <= cuts[1], 2).otherwise(3)
-    first, last = tertile(F.col("_before") + 1), tertile(F.col("_before") + F.col("_n"))
-    placed = df.join(places.select(value, "_before", first.alias("_first"), last.alias("_last")), value)
-    whole = placed.where("_first = _last").withColumn("tertile", F.col("_first"))
-    rank = F.col("_before") + F.row_number().over(Window.partitionBy(value).orderBy(*order))
-    cut = placed.where("_first <> _last").withColumn("tertile", tertile(rank))
-    return whole.unionByName(cut).drop("_before", "_first", "_last")
+    rank = F.col("_rank")
+    placed = ranked(df, [F.col(value), *order], name="_rank")
+    return placed.withColumn("tertile", F.when(rank <= cuts[0], 1).when(rank <= cuts[1], 2).otherwise(3)).drop("_rank")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from papyrion.functions.expressions import share, split_list
 from papyrion.functions.unicode import nfkc_casefold
+from papyrion.operators.packing import ranked
 
 
 def canonical_terms(terms: DataFrame, column: str, aliases: dict[str, str], spelling: dict[str, str], plurals: dict[str, str]) -> DataFrame:
@@ -48,7 +49,8 @@ def prevalence(bridge: DataFrame, paper: str, period: Column, periods: list[str]
     out = out.withColumn("prevalence", share(F.col("papers"), F.col("denominator")))
     w = Window.partitionBy("keyword").orderBy("place")
     out = out.withColumn("previous_papers", F.lag("papers").over(w)).withColumn("change_pp", (F.col("prevalence") - F.lag("prevalence").over(w)) * 100)
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("period").orderBy(F.desc("papers"), "keyword"))).drop("place")
+    # A period ranks the whole vocabulary: by ranges, not in one task a period.
+    return ranked(out.drop("place"), [F.desc("papers"), F.col("keyword")], ["period"])
 
 
 def movers(prevalences: DataFrame, least_papers: int, n: int) -> DataFrame:
@@ -67,7 +69,7 @@ def keyword_year(bridge: DataFrame, paper: str, year: str, wanted: int, n: int)
     rows = bridge.where(F.col(year) == wanted)
     counts = rows.groupBy("keyword").agg(F.count("*").alias("papers")).withColumn("k", F.lit(1))
     sizes = rows.agg(F.count_distinct(paper).alias("denominator")).withColumn("k", F.lit(1))
-    out = counts.join(sizes, "k").drop("k").withColumn("prevalence", share(F.col("papers"), F.col("denominator")))
+    out = counts.join(F.broadcast(sizes), "k").drop("k").withColumn("prevalence", share(F.col("papers"), F.col("denominator")))
     return out.orderBy(F.desc("papers"), "keyword").limit(n)
 
 
@@ -78,10 +80,9 @@ def search_keywords(bridge: DataFrame, text: str, n: int) -> DataFrame:
     return counts.orderBy((F.col("keyword") != text).cast("int"), (~F.col("keyword").startswith(text)).cast("int"), F.desc("papers"), "keyword").limit(n)
 
 
-def variant_audit(bridge_raw: DataFrame, canonical: DataFrame, paper: str) -> DataFrame:
-    """Every raw variant with its canonical term, papers, and how many variants that term has."""
-    counts = bridge_raw.groupBy(F.col("keyword").alias("raw")).agg(F.count_distinct(paper).alias("papers"))
-    out = counts.join(canonical, "raw")
+def variant_audit(counts: DataFrame, canonical: DataFrame) -> DataFrame:
+    """Every raw variant of (keyword, papers) with its canonical term, and how many variants that term has."""
+    out = counts.withColumnRenamed("keyword", "raw").join(canonical, "raw")
     return out.withColumn("variants", F.count("*").over(Window.partitionBy("canonical")))
 
 

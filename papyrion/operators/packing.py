@@ -1,8 +1,8 @@
-"""Running sums over all rows, and greedy packing of rows into chunks under a budget."""
+"""Running sums and ranks over all rows, and greedy packing of rows into chunks under a budget."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrion.plans.tables import written
@@ -25,6 +25,25 @@ def running_sum(df: DataFrame, order: list[str], value: str) -> DataFrame:
     return out.withColumns({"_i": F.col("_i") + F.col("_n"), "_upto": F.col("_upto") + F.col("_sum")}).drop("_range", "_sum", "_n")
 
 
+def ranked(df: DataFrame, order: list[Column], by: list[str] = (), name: str = "rank") -> DataFrame:
+    """df with its rows' places from 1 on in an order, within each group of ``by``. Rows are dealt to
+    ranges of group and order, so neither a group nor the rows of one value meet in one task; places
+    are those of all rows less those before the group. The order tells rows of a group apart."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*map(F.col, by), *order]
+    ranged = written(df.repartitionByRange(n, *keys).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(F.lit(1)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # at most n rows
+    totals = totals.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
+    out = ranged.withColumn(name, inside).join(F.broadcast(totals), "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+    if by:
+        out = written(out, "ranks")
+        first = out.groupBy(*by).agg(F.min(name).alias("_first"))
+        out = out.join(first, list(by)).withColumn(name, F.col(name) - F.col("_first") + 1).drop("_first")
+    return out
+
+
 def pack(df: DataFrame, order: list[str], cost: str, budget: int) -> DataFrame:
     """df with chunk, from 1 on: rows in order fill a chunk until the next would pass the budget; a row
     above the budget is alone in its chunk. Costs are positive.

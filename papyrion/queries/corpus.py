@@ -178,12 +178,14 @@ def most_cited(spark, d):
     return growth.most_cited(papers(spark, d), "citations", "paper_id", 20).select("paper_id", "citations", "journal")
 
 
-@query("""WITH w AS (SELECT lower(regexp_replace(trim(line), '\\s+', ' ', 'g')) AS k, source, doc_id FROM (SELECT doc_id, source, string_split(text, chr(10))[1] AS line FROM documents)),
-m AS (SELECT k, min(doc_id) AS doc_id, string_agg(DISTINCT source, ';' ORDER BY source) AS query_sources, count(DISTINCT source)::INT AS query_count, bool_or(source = 'src0')::INT AS in_src0 FROM w GROUP BY k)
+@query("""WITH w AS (SELECT sha256(lower(trim(regexp_replace(text, '[\\x{1C}-\\x{1F}\\t-\\r \\x{85}\\p{Z}]+', ' ', 'g')))) AS k, source, doc_id FROM documents),
+m AS (SELECT k, min(doc_id) AS doc_id, string_agg(DISTINCT source, ';' ORDER BY source) AS query_sources, count(DISTINCT source)::INT AS query_count,
+bool_or(source = 'src0')::INT AS in_src0 FROM w GROUP BY k)
 SELECT doc_id, k AS dedup_key, query_sources, query_count, in_src0 FROM m""")
 def membership_flags(spark, d):
-    """Documents with the same first line are one record, found by several sources."""
-    docs = table(spark, d, "documents").select("doc_id", "source", F.lower(E.collapse_space(F.split("text", "\n").getItem(0))).alias("dedup_key"))
+    """Documents with the same text but for case and white space are one record, found by several sources."""
+    key = F.sha2(F.lower(E.collapse_space(F.col("text"))), 256)
+    docs = table(spark, d, "documents").select("doc_id", "source", key.alias("dedup_key"))
     out = ingest.merge_queries(docs, "dedup_key", "source", [F.col("doc_id")], [f"src{i}" for i in range(20)])
     return out.select("doc_id", "dedup_key", "query_sources", "query_count", "in_src0")
 

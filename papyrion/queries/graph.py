@@ -65,6 +65,73 @@ def graph_neighborhood(spark, d):
     return graph.neighborhood(nodes, edges, "Journal::NATION_7")
 
 
+_BITS = _NODES + """, p AS (SELECT 'Publication::' || paper_id AS node, (priority IN ('1-URGENT', '2-HIGH'))::BIGINT + 2 * (status = 'O')::BIGINT + 4 * (year >= 1998)::BIGINT AS bits, citations FROM papers),
+h AS (SELECT dst AS node, bit_or(bits) AS bits FROM u JOIN p ON p.node = u.src GROUP BY dst),
+h2 AS (SELECT node, bit_or(bits) AS bits FROM (SELECT * FROM h UNION ALL SELECT dst, h.bits FROM u JOIN h ON h.node = u.src) GROUP BY node),
+b AS (SELECT n.node, label, value, coalesce(p.bits, h2.bits, 0)::BIGINT AS bits, citations FROM n LEFT JOIN p ON p.node = n.node LEFT JOIN h2 ON h2.node = n.node)
+"""
+
+
+def _scoped(spark, d):
+    nodes, edges = _parts(spark, d)
+    scope = lambda condition, bit: F.when(F.expr(condition), 1 << bit).otherwise(0).cast("long")
+    bits = scope("priority IN ('1-URGENT', '2-HIGH')", 0) + scope("status = 'O'", 1) + scope("year >= 1998", 2)
+    own = papers(spark, d).select(F.concat(F.lit("Publication::"), F.col("paper_id").cast("string")).alias("node"), bits.alias("bits"), "citations")
+    return graph.scope_bits(nodes, edges, own).join(own.select("node", "citations"), "node", "left"), edges
+
+
+@query(_BITS + "SELECT node, label, bits FROM b")
+def graph_scope_bits(spark, d):
+    """Which of three scopes each node is in, or has publications of within two edges."""
+    return _scoped(spark, d)[0].select("node", "label", "bits")
+
+
+@query(_BITS + "SELECT b.node, type, label, value FROM u JOIN b ON b.node = u.dst WHERE u.src = 'Journal::NATION_7' AND b.bits & 2 <> 0 ORDER BY type, b.node LIMIT 1500")
+def graph_scoped_neighborhood(spark, d):
+    """A journal's open papers."""
+    scoped, edges = _scoped(spark, d)
+    return graph.scoped_neighborhood(scoped, edges, "Journal::NATION_7", 1)
+
+
+@query(_BITS + """, m AS (SELECT src AS node FROM e WHERE type = 'IN_SEGMENT' AND dst = 'Segment::BUILDING'),
+t AS (SELECT b.node, degree, row_number() OVER (ORDER BY degree DESC, citations DESC, b.node) AS place FROM b JOIN g USING (node) SEMI JOIN m ON m.node = b.node WHERE label = 'Publication' AND bits & 4 <> 0 QUALIFY place <= 40)
+SELECT t.node AS src, place::INT AS place, degree, u.dst, u.type FROM t JOIN u ON u.src = t.node WHERE type = 'PUBLISHED_IN' ORDER BY place, u.dst LIMIT 1500""")
+def graph_scoped_seed(spark, d):
+    """The journals of the best connected and cited recent papers of one segment."""
+    scoped, edges = _scoped(spark, d)
+    among = graph.matching(scoped, edges, [("IN_SEGMENT", "Segment")], "BUILDING")
+    return graph.scoped_seed(scoped, edges, "Publication", F.col("citations"), 40, 2, ["PUBLISHED_IN"], ["Journal"], among)
+
+
+_NETWORK = """WITH m AS (SELECT doc_id, n_chars::DOUBLE AS w, source AS cluster, doc_id IN (SELECT doc_id FROM labels) AS read, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank, count(*) OVER () AS n FROM documents),
+c AS (SELECT cluster, count(*) AS nodes, count(*) FILTER (read) AS papers, count(*) / (SELECT count(*) FROM m) AS node_share, count(*) FILTER (read) / (SELECT count(*) FROM m WHERE read) AS paper_share FROM m GROUP BY cluster)
+"""
+
+
+def _coverage(spark, d):
+    docs = table(spark, d, "documents")
+    return graph.network_coverage(docs, "doc_id", "n_chars", "source", table(spark, d, "labels"), docs.count())
+
+
+@query(_NETWORK + """SELECT count(*) FILTER (read) AS reading_papers, count(*) AS nodes, 1.0::DOUBLE AS map_coverage, median(w) AS full_median, avg(w) AS full_mean, avg(w) FILTER (read) AS reading_mean,
+count(*) FILTER (read AND rank <= ceil(n * 0.1)) AS top_decile, count(*) FILTER (read AND rank <= ceil(n * 0.25)) AS top_quartile, count(*) FILTER (read AND rank > ceil(n * 0.75)) AS bottom_quartile,
+median(w) FILTER (read) AS reading_median, median(rank) FILTER (read) AS median_rank, (SELECT count(*) FROM c) AS clusters, (SELECT count(*) FROM c WHERE papers > 0) AS clusters_read,
+(SELECT sum(node_share) FROM c WHERE papers > 0) AS read_mass FROM m""")
+def network_coverage(spark, d):
+    """How the labelled documents cover all, by rank of length and by source."""
+    return _coverage(spark, d)[0]
+
+
+@query(_NETWORK + "SELECT q::INT AS quartile, count(rank) AS papers, count(rank) / (SELECT count(*) FROM m WHERE read) AS share FROM range(1, 5) AS r(q) LEFT JOIN (SELECT rank, n FROM m WHERE read) ON least(greatest(ceil(rank / n * 4), 1), 4) = q GROUP BY q")
+def network_quartiles(spark, d):
+    return _coverage(spark, d)[1]
+
+
+@query(_NETWORK + "SELECT * FROM c")
+def network_clusters(spark, d):
+    return _coverage(spark, d)[2]
+
+
 @query(_NODES + """, z AS (SELECT node FROM n WHERE label = 'Publication' AND value IN ('1', '2', '3')), o AS (SELECT DISTINCT dst AS node FROM u WHERE src IN (SELECT node FROM z)),
 w AS (SELECT DISTINCT dst AS node FROM u WHERE src IN (SELECT node FROM o)), h AS (SELECT node, 0 AS hops FROM z UNION ALL SELECT node, 1 FROM o UNION ALL SELECT node, 2 FROM w)
 SELECT h.node, min(hops) AS hops, label FROM h JOIN n USING (node) GROUP BY h.node, label""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from papyrion.functions import expressions as E
 from papyrion.operators import domains, growth, ingest, keywords, sampling
+from papyrion.plans.tables import written
 from papyrion.queries.base import P, papers, query, table
 
 _BRIDGE = """WITH b AS (SELECT DISTINCT l_orderkey AS paper_id, year(o_orderdate)::INT AS year, unnest(string_split(p_name, ' ')) AS keyword
@@ -53,16 +54,17 @@ def keyword_search(spark, d):
     return keywords.search_keywords(bridge(spark, d), "g", 6)
 
 
-@query("""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS raw FROM documents),
-c AS (SELECT raw, count(DISTINCT doc_id) AS papers, lower(raw) AS canonical FROM w GROUP BY raw),
+@query("""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) AS raw FROM documents),
+c AS (SELECT raw, count(DISTINCT doc_id) AS papers, replace(lower(raw), 'ß', 'ss') AS canonical FROM w GROUP BY raw),
 f AS (SELECT raw, papers, CASE canonical WHEN 'thes' THEN 'the' WHEN 'ands' THEN 'and' ELSE canonical END AS canonical FROM c)
 SELECT raw, papers, canonical, count(*) OVER (PARTITION BY canonical) AS variants FROM f""")
 def keyword_variants(spark, d):
     """Words of texts as keywords, normalised once per different word."""
     docs = table(spark, d, "documents")
-    rows = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1)))).alias("keyword"))
-    canonical = keywords.canonical_terms(rows, "keyword", {"thes": "the"}, {}, {"ands": "and"})
-    return keywords.variant_audit(rows, canonical, "doc_id")
+    words = F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    counts = docs.select(F.explode(F.array_distinct(words)).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("papers"))
+    counts = written(counts, "keyword-counts")
+    return keywords.variant_audit(counts, keywords.canonical_terms(counts, "keyword", {"thes": "the"}, {}, {"ands": "and"}))
 
 
 @query("WITH t AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS c FROM part UNION SELECT 'rings') SELECT a.c AS singular, b.c AS plural FROM t b JOIN t a ON b.c = a.c || 's'")
