@@ -9,8 +9,9 @@ ranked by the exact cosine of the original vectors in double precision.
 Centroids are fitted to a bounded sample (FIT_ROWS). Every row is indexed. The driver holds the
 sample, the centroids and one count a cell, all bounded by constants. Cells of neighbouring first
 centroids make shards of about PART vectors, a larger one is dealt to several groups, and a query
-goes to the shards that its reach touches, once each, so what is shuffled is rows and queries but
-never pairs of them. Of equal vectors only the smallest ids that an answer could hold are kept, by
+goes to the groups of the shards that its reach touches, once each; of more than ASKING queries each
+block meets its own copy of the vectors, so that no group holds more than about PART vectors and
+ASKING queries. What is shuffled is rows and queries but never pairs of them. Of equal vectors only the smallest ids that an answer could hold are kept, by
 a rank limit that each task applies before the shuffle, so copies cost nothing.
 
 How far a query walks is measured, not assumed: a bounded sample of queries is searched exactly, and
@@ -39,8 +40,8 @@ FIT_ROWS, FIT_ROUNDS = 32768, 12
 PROBES, TARGET = 192, 0.95
 #: Vectors for each cell to hold on average, and the most centroids of a half.
 PER_CELL, MOST_CENTROIDS = 16, 1024
-#: Vectors of a shard, and of a group of a larger one.
-PART = 16384
+#: Vectors of a shard, and of a group of a larger one; queries of a group.
+PART, ASKING = 16384, 65536
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -234,9 +235,13 @@ def search(df: DataFrame, query_every: int, k: int, id_col: str = "vec_id", vect
                     found.append((np.full(len(best), asking[q]), ids[take][best], exact[best]))
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
+    blocks = max(1, -(-queries.count() // ASKING))
     shards = indexed.mapInArrow(dealt, "vec_id long, vector array<double>, cell long, shard long, part long")
+    shards = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))) if blocks > 1 else F.lit(0))
     asking = queries.mapInArrow(asked, "query_id long, query array<double>, reach double, shard long, part long")
-    met = shards.groupBy("shard", "part").cogroup(asking.groupBy("shard", "part")).applyInPandas(ranked, "query_id long, vec_id long, score double")
+    asking = asking.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    keys = ["shard", "part", "block"]
+    met = shards.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInPandas(ranked, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", F.lit(share).alias("share"))
 

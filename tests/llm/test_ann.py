@@ -60,9 +60,10 @@ def test_walking_all_cells_is_exact(spark):
     assert searched(spark, rows, share=1.0) == brute(vectors, [i for i in vectors if i % 50 == 0], 5)
 
 
-@pytest.mark.parametrize("part", [40, 10**6])
-def test_groups_of_a_large_shard_lose_nothing(spark, monkeypatch, part):
+@pytest.mark.parametrize("part, asking", [(40, 10**6), (10**6, 10**6), (40, 3), (10**6, 4)])
+def test_groups_of_a_large_shard_lose_nothing(spark, monkeypatch, part, asking):
     monkeypatch.setattr(ann, "PART", part)
+    monkeypatch.setattr(ann, "ASKING", asking)
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(3, 8))
     vectors = {i: (centres[i % 3 and 1] + rng.normal(size=8) * 0.1).astype(np.float32).tolist() for i in range(500)}
