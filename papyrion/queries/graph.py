@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from papyrion.operators import graph, topics
+from papyrion.operators import density, graph, topics
 from papyrion.queries.base import P, papers, query, table
 
 
@@ -41,10 +42,15 @@ def graph_counts(spark, d):
     return graph.graph_counts(*_parts(spark, d))
 
 
-@query(_NODES + "SELECT 'x' AS fault, 'y' AS value FROM n WHERE false")
+@query("""SELECT 'label' AS fault, 'Customer' AS value UNION ALL SELECT 'type', 'ORDERED_BY'
+UNION ALL SELECT DISTINCT 'end', 'Customer::' || o_custkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal <= 0""")
 def graph_contract(spark, d):
+    """What breaks the contract once customers join the graph: their label, their edges, and those without a node."""
     nodes, edges = _parts(spark, d)
-    return graph.check_closed(edges, nodes, ["Publication", "Journal", "Segment"], ["PUBLISHED_IN", "IN_SEGMENT"])
+    orders, customers = table(spark, d, "orders"), table(spark, d, "customer").where("c_acctbal > 0").withColumn("id", F.col("c_custkey").cast("string"))
+    nodes = nodes.unionByName(graph.merged_nodes([graph.node_rows(customers, "Customer", F.col("id"), {"name": F.col("c_name")}, F.col("c_custkey"))]))
+    more = graph.edge_rows(orders, "ORDERED_BY", ("Publication", F.col("o_orderkey").cast("string")), ("Customer", F.col("o_custkey").cast("string")))
+    return graph.check_closed(edges.unionByName(more), nodes, ["Publication", "Journal", "Segment"], ["PUBLISHED_IN", "IN_SEGMENT"])
 
 
 @query("""WITH m AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), s AS (SELECT l_orderkey FROM m GROUP BY 1 HAVING count(*) BETWEEN 2 AND 25)
@@ -243,6 +249,18 @@ def topic_model(spark, d):
     return fitted.groupBy("topic").agg(F.count("*").alias("papers"))
 
 
+def density_points(spark, d):
+    """The embeddings on their first eight principal components."""
+    fitted = topics.fit_topics(table(spark, d, "embeddings"), "vec_id", "embedding", 2, dimensions=8)
+    return fitted.select(F.col("vec_id").cast("long").alias("id"), vector_to_array("features").alias("x"))
+
+
+@query()
+def topic_density(spark, d):
+    """Density topics of the embeddings: most of these, near to random directions, are outliers."""
+    return density.density_topics(density_points(spark, d), 5, 5).withColumn("strength", F.round("strength", 9))
+
+
 @query()
 def topic_count_choice(spark, d):
     """The figures of three candidate sizes over the embeddings, by the words of the documents of their ids, and the recommended one."""

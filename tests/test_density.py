@@ -131,6 +131,21 @@ def test_forest_and_topics_of_500_points(spark, monkeypatch, seed, least, k, mer
         assert all(rows[i].strength == pytest.approx(want[i][1] / most) for i in members), t
 
 
+def test_query_is_that_of_all_points(spark):
+    from papyrion.queries import QUERIES
+    from papyrion.queries.graph import density_points
+
+    d = "/root/testdata/sf0.01"
+    points = sorted((r.id, r.x) for r in density_points(spark, d).collect())
+    ids, x = [i for i, _ in points], np.array([v for _, v in points])
+    want = from_the_top(ids, kruskal(brute_links(ids, x, 5)), 5)
+    got, clusters = {r.id: r.topic for r in QUERIES["topic_density"](spark, d).collect()}, {}
+    for i, t in got.items():
+        clusters.setdefault(t, set()).add(i)
+    assert clusters.pop(-1) == {i for i, (c, _) in want.items() if c is None} and len(got) == len(ids)
+    assert {frozenset(c) for c in clusters.values()} == {c for c, _ in want.values() if c} and clusters
+
+
 def test_cells_and_parts_find_near_all_neighbours(spark, monkeypatch):
     monkeypatch.setattr(density, "CELL", 60)
     monkeypatch.setattr(density, "PART", 25)
