@@ -8,7 +8,7 @@ share, so that a verdict does not loosen as a host grows. DataFrame functions on
 
 Everything that leaves a task is hashes and counts: texts are never shuffled for the counting.
 Counts are combined before the shuffle, so a line that a third of all documents share is one row a
-task. Each text is read twice, once to count and once to judge.
+task. Texts are scanned three times: to count lines, to find what each text loses, and to judge.
 """
 
 from __future__ import annotations
