@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrion.functions.expressions import clean, or_missing, share
-from papyrion.plans.registry import Panel
+from papyrion.plans.registry import Panel, Scope
 
 VIEWS = ("full", "observed")
 
@@ -111,6 +111,28 @@ def nested_distributions(df: DataFrame, panels: list[Panel], paper_id: str) -> D
     return counts.withColumn("share", F.col("papers") / F.sum("papers").over(whole)).withColumn("observed_share", share(F.col("observed_papers"), F.sum("observed_papers").over(whole)))
 
 
+def population_tables(df: DataFrame, panels: list[Panel], populations: list[Scope]) -> DataFrame:
+    """nested_distributions() for each of several overlapping populations, the population as an axis:
+    population, control, control_value, outcome, outcome_value, papers, observed_papers and both shares.
+    A row's populations are a bitmap beside its cells; rows alike in all of them are counted first, so
+    one shuffle of the rows serves every population, control, outcome and view."""
+    cells = F.array(*[F.struct(F.lit(p.id).alias("d"), or_missing(p.value(df)).alias("v"), p.observed(df).alias("o")) for p in panels])
+    bits = F.lit(0).cast("long")
+    for i, s in enumerate(populations):
+        bits = bits.bitwiseOR(F.when(s.predicate(), F.lit(1 << i)).otherwise(0).cast("long"))
+    combined = df.select(cells.alias("all"), bits.alias("bits")).where("bits <> 0").groupBy("all", "bits").agg(F.count("*").alias("n"))
+    names = F.array(*[F.when(F.col("bits").bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(s.id)) for i, s in enumerate(populations)])
+    rows = combined.select("n", "all", F.explode(F.filter(names, lambda x: x.isNotNull())).alias("population"))
+    rows = rows.groupBy("all", "population").agg(F.sum("n").alias("n"))
+    pairs = rows.select("n", "all", "population", F.explode("all").alias("c")).select("n", "population", "c", F.explode("all").alias("x")).where("c.d <> x.d")
+    keys = [F.col("c.d").alias("control"), F.col("c.v").alias("control_value"), F.col("x.d").alias("outcome"), F.col("x.v").alias("outcome_value")]
+    seen = F.when(F.col("c.o") & F.col("x.o"), F.col("n")).otherwise(0)
+    counts = pairs.groupBy("population", *keys).agg(F.sum("n").alias("papers"), F.sum(seen).alias("observed_papers"))
+    whole = Window.partitionBy("population", "control", "control_value", "outcome")
+    out = counts.withColumn("share", F.col("papers") / F.sum("papers").over(whole))
+    return out.withColumn("observed_share", share(F.col("observed_papers"), F.sum("observed_papers").over(whole)))
+
+
 def evidence(df: DataFrame, filters: dict[str, str], strict: bool = False, strip: bool = True) -> DataFrame:
     """The rows behind a figure: all filters hold. Unknown columns are ignored, or are an error if
     strict. ``strip`` compares cleaned values, else exact ones."""

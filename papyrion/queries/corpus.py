@@ -55,6 +55,17 @@ def nested_distributions(spark, d):
     return composition.nested_distributions(papers(spark, d), PANELS, "paper_id")
 
 
+@query(SCOPE_SQL + LONG + """SELECT population, control, control_value, outcome, outcome_value, papers, observed_papers, papers / sum(papers) OVER w AS share,
+CASE WHEN sum(observed_papers) OVER w > 0 THEN observed_papers / sum(observed_papers) OVER w ELSE 0 END AS observed_share FROM (
+SELECT s.scope AS population, a.panel AS control, a.value AS control_value, b.panel AS outcome, b.value AS outcome_value,
+count(*) AS papers, count(*) FILTER (a.observed AND b.observed) AS observed_papers
+FROM scoped s JOIN long a ON a.paper_id = s.paper_id JOIN long b ON b.paper_id = a.paper_id AND a.panel <> b.panel GROUP BY ALL)
+WINDOW w AS (PARTITION BY population, control, control_value, outcome)""")
+def population_tables(spark, d):
+    """Every panel by every other, in four overlapping populations and both views."""
+    return composition.population_tables(papers(spark, d), PANELS, list(SCOPES.values()))
+
+
 @query(P + "SELECT paper_id, year, citations FROM papers WHERE priority = '2-HIGH' AND status = 'O' AND year >= 1999")
 def evidence_rows(spark, d):
     rows = scope_frame(papers(spark, d), SCOPES, "recent")
