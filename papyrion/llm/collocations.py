@@ -40,9 +40,9 @@ from papyrion.llm.shared import dropped, stored, stored_at
 #: Occurrences of a candidate, words of the longest, phrases of a language, per cent of a containing phrase.
 LEAST, LONGEST, TOP, CONTAINED = 30, 4, 2000, 80
 #: Keys a bucket on average, and the most buckets and slots that mappers hold at a time.
-LOAD, MOST_BUCKETS, MOST_SLOTS = 16, 1 << 23, 1 << 22
+LOAD, MOST_BUCKETS, MOST_SLOTS = 6, 1 << 23, 1 << 22
 #: Keys of a shard, buckets or slots of an array that is summed, and arrays that one task sums.
-SHARD, PIECE, FAN_IN = 1 << 20, 1 << 20, 32
+SHARD, PIECE, FAN_IN = 1 << 18, 1 << 20, 32
 #: Bytes of text whose words are found at once, and slots of a row of the corpus.
 BLOCK, ROW = 1 << 20, 1 << 20
 
@@ -147,27 +147,30 @@ def word_counts(df: DataFrame) -> DataFrame:
     return df.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _shards(keys: DataFrame, n: int) -> DataFrame:
-    """(shard, size, first, second): keys (a long and what verifies it) in shards of about SHARD, each
-    in the order of the slots of its perfect hash."""
+SHARDS = "shard int, size long, first binary, second binary"
 
-    def build(table: pa.Table) -> pa.Table:
-        key, verify = (table.column(c).to_numpy().view(U) for c in ("key", "verify"))
-        slot = PerfectHash(key).slots(key)
-        first, second = np.empty_like(key), np.empty_like(key)
-        first[slot], second[slot] = key, verify
-        second = b"" if (first == second).all() else second.tobytes()
-        kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-        return pa.Table.from_batches([_batch(["shard", "size", "first", "second"], kinds, [[table.column("shard")[0].as_py()], [len(key)], [first.tobytes()], [second]])])
 
-    n_shards = max(1, -(-n // SHARD))
+def _shard(number: int, key: np.ndarray, verify: np.ndarray) -> pa.RecordBatch:
+    """A row of SHARDS: different keys, and what verifies them if that is not the key, by slot."""
+    slot = PerfectHash(key).slots(key)
+    first, second = np.empty_like(key), np.empty_like(key)
+    first[slot], second[slot] = key, verify
+    second = b"" if (first == second).all() else second.tobytes()
+    return _batch(["shard", "size", "first", "second"], [pa.int32(), pa.int64(), pa.binary(), pa.binary()], [[number], [len(key)], [first.tobytes()], [second]])
+
+
+def _shards(keys: DataFrame, n_shards: int) -> DataFrame:
+    """SHARDS rows of the different (key, verify), longs, of a table."""
+
+    def build(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_shard(table.column("shard")[0].as_py(), *(table.column(c).to_numpy().view(U) for c in ("key", "verify")))])
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_shard_of(batch.column("key").to_numpy().view(U), n_shards), pa.int32()), batch.column("key"), batch.column("verify")], ["shard", "key", "verify"])
 
     rows = keys.select("key", "verify").mapInArrow(dealt, "shard int, key long, verify long")
-    return rows.groupBy("shard").applyInArrow(build, "shard int, size long, first binary, second binary")
+    return rows.groupBy("shard").applyInArrow(build, SHARDS)
 
 
 class Slots:
@@ -199,10 +202,10 @@ class Slots:
         return found
 
 
-def _groups(shards: DataFrame, n: int) -> Iterator[Slots]:
+def _groups(shards: DataFrame, n_shards: int) -> Iterator[Slots]:
     """The slots of all shards, in groups of at most MOST_SLOTS (or one shard) that mappers can hold."""
     sizes = sorted((r.shard, r.size) for r in shards.select("shard", "size").collect())
-    n_shards, offset, own, held = max(1, -(-n // SHARD)), 0, [], 0
+    offset, own, held = 0, [], 0
     for i, (shard, size) in enumerate(sizes):
         own.append(shard)
         held += size
@@ -212,6 +215,25 @@ def _groups(shards: DataFrame, n: int) -> Iterator[Slots]:
             yield group
 
 
+def tree_union(keys: DataFrame, n_branches: int) -> DataFrame:
+    """Shards of the different keys in (branch, shard, data), FAN_IN branches united at a time."""
+
+    def united(table: pa.Table) -> np.ndarray:
+        return np.unique(np.frombuffer(b"".join(table.column("data").to_pylist()), "<u8"))
+
+    def inner(table: pa.Table) -> pa.Table:
+        branch, shard = (table.column(c)[0].as_py() for c in ("branch", "shard"))
+        return pa.Table.from_batches([_batch(["branch", "shard", "data"], [pa.int32(), pa.int32(), pa.binary()], [[branch], [shard], [united(table).tobytes()]])])
+
+    def last(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_shard(table.column("shard")[0].as_py(), found := united(table), found)])
+
+    while n_branches > FAN_IN:
+        keys = keys.withColumn("branch", F.expr(f"CAST(branch DIV {FAN_IN} AS INT)")).groupBy("branch", "shard").applyInArrow(inner, "branch int, shard int, data binary")
+        n_branches = -(-n_branches // FAN_IN)
+    return keys.groupBy("shard").applyInArrow(last, SHARDS)
+
+
 def tree_sum(arrays: DataFrame, n_branches: int, finish: Callable[[int, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
     """What ``finish`` makes of each piece's sum. arrays: (branch, piece, data), counts as compressed
     bytes; FAN_IN branches are added up at a time, so no task holds more than one sum and one array."""
@@ -328,7 +350,7 @@ class Level:
 
 
 def candidates(level: Level, least: int) -> tuple[DataFrame, int]:
-    """The stored (key, verify) of the keys one word longer that may occur ``least`` times, and how many."""
+    """SHARDS of the keys one word longer that may occur ``least`` times, and how many shards there are."""
     spark, corpus = level.corpus.sparkSession, level.corpus
     frequent, n_tasks = spark.sparkContext.broadcast(level.frequent), corpus.rdd.getNumPartitions()
 
@@ -336,16 +358,17 @@ def candidates(level: Level, least: int) -> tuple[DataFrame, int]:
         yield _batch(["n"], [pa.int64()], [[sum(len(_keys(_ids(r), frequent.value)[0]) for batch in batches for r in batch.to_pylist())]])
 
     n = corpus.mapInArrow(sizes, "n long").agg(F.sum("n")).first()[0] or 0
-    buckets = 1 << max(10, (n // LOAD).bit_length() - 1)
-    passes, buckets, found = max(1, buckets // MOST_BUCKETS), min(buckets, MOST_BUCKETS), None
-    for turn in range(passes):
+    total, passes, heavy_buckets = max(1, n // LOAD), [], 0
+    for first in range(0, total, MOST_BUCKETS):
+        buckets = min(MOST_BUCKETS, total - first)
 
-        def own(keys: np.ndarray, turn=turn) -> tuple[np.ndarray, np.ndarray]:
-            bits = mixed(keys, 5)
-            keep = (bits & U(passes - 1)) == U(turn) if passes > 1 else np.ones(len(keys), bool)
-            return keys[keep], ((bits[keep] >> U(32)) & U(buckets - 1)).astype(np.int64)
+        def own(keys: np.ndarray, first=first, buckets=buckets) -> tuple[np.ndarray, np.ndarray]:
+            """The keys whose buckets are this pass's, and those."""
+            place = (((mixed(keys, 5) >> U(32)) * U(total)) >> U(32)).astype(np.int64) - first
+            keep = (place >= 0) & (place < buckets)
+            return keys[keep], place[keep]
 
-        def count(batches: Iterator[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
+        def count(batches: Iterator[pa.RecordBatch], own=own, buckets=buckets) -> Iterator[pa.RecordBatch]:
             counts = np.zeros(buckets, np.int32)
             for batch in batches:
                 for r in batch.to_pylist():
@@ -359,7 +382,21 @@ def candidates(level: Level, least: int) -> tuple[DataFrame, int]:
         marks = np.zeros(-(-buckets // 8), np.uint8)
         for r in rows:
             marks[r.piece * PIECE // 8 :][: len(r.bits)] = np.frombuffer(r.bits, np.uint8)
-        marked = spark.sparkContext.broadcast(marks)
+        heavy_buckets += int(np.bitwise_count(marks).sum())
+        passes.append((own, spark.sparkContext.broadcast(marks)))
+    # A heavy bucket holds LOAD different keys or so at most.
+    n_shards, found = max(1, -(-heavy_buckets * LOAD // SHARD)), None
+
+    def dealt(keys: np.ndarray) -> pa.RecordBatch:
+        shard = _shard_of(keys, n_shards)
+        order = np.argsort(shard, kind="stable")
+        keys, shard = keys[order], shard[order]
+        numbers, start = np.unique(shard, return_index=True)
+        ends, branch = [*start[1:].tolist(), len(keys)], TaskContext.get().partitionId()
+        blobs = [keys[i:j].tobytes() for i, j in zip(start.tolist(), ends, strict=True)] if len(keys) else []
+        return _batch(["branch", "shard", "data"], [pa.int32(), pa.int32(), pa.binary()], [[branch] * len(blobs), numbers, blobs])
+
+    for own, marked in passes:
 
         def different(batches: Iterator[pa.RecordBatch], own=own, marked=marked) -> Iterator[pa.RecordBatch]:
             known = np.empty(0, U)
@@ -368,25 +405,25 @@ def candidates(level: Level, least: int) -> tuple[DataFrame, int]:
                     keys, bucket = own(_keys(_ids(r), frequent.value)[1])
                     keys = keys[((marked.value[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1).astype(bool)]
                     known = np.union1d(known, keys)
-                    if len(known) > MOST_SLOTS // 8:
-                        yield _batch(["key"], [pa.int64()], [known.view(np.int64)])
+                    if len(known) > MOST_SLOTS // 4:
+                        yield dealt(known)
                         known = np.empty(0, U)
-            yield _batch(["key"], [pa.int64()], [known.view(np.int64)])
+            yield dealt(known)
 
-        found = _merged(corpus.mapInArrow(different, "key long").distinct(), found)
-    keys = stored(found.select("key", F.col("key").alias("verify")), "phrase-keys")
-    return keys, keys.count()
+        found = _merged(corpus.mapInArrow(different, "branch int, shard int, data binary"), found)
+
+    return tree_union(found, n_tasks), n_shards
 
 
 def deepened(level: Level, least: int) -> Level:
     """The phrases one word longer: (slot, left, right, f), where left and right are the slots of those
     without the last and without the first word."""
     spark = level.corpus.sparkSession
-    keys, n = candidates(level, least)
-    shards, frequent = stored(_shards(keys, n), "phrase-shards"), spark.sparkContext.broadcast(level.frequent)
+    found, n_shards = candidates(level, least)
+    shards, frequent = stored(found, "phrase-shards"), spark.sparkContext.broadcast(level.frequent)
     next_, path, tables, end = None, None, [], 0
     source = level.corpus.select("size", "ids", F.lit(None).cast("binary").alias("next"))
-    for group in _groups(shards, n):
+    for group in _groups(shards, n_shards):
         held = spark.sparkContext.broadcast(group)
 
         def fill(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -474,8 +511,9 @@ def words_level(df: DataFrame, counts: DataFrame, least: int) -> Level:
     n, different = keyed.agg(F.count("*"), F.count_distinct("key")).first()
     if n != different:
         raise ValueError("two frequent words have one hash; change the random numbers")
-    shards = stored(_shards(keyed, n), "word-shards")
-    groups, slots = [df.sparkSession.sparkContext.broadcast(group) for group in _groups(shards, n)], []
+    n_shards = max(1, -(-n // SHARD))
+    shards = stored(_shards(keyed, n_shards), "word-shards")
+    groups, slots = [df.sparkSession.sparkContext.broadcast(group) for group in _groups(shards, n_shards)], []
     corpus, path = stored_at(spelled(df, groups), "phrase-corpus")
     for held in groups:
 
