@@ -7,7 +7,7 @@ Ties are ordered by count descending, then value.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrion.functions.expressions import clean, or_missing, share
@@ -111,19 +111,29 @@ def nested_distributions(df: DataFrame, panels: list[Panel], paper_id: str) -> D
     return counts.withColumn("share", F.col("papers") / F.sum("papers").over(whole)).withColumn("observed_share", share(F.col("observed_papers"), F.sum("observed_papers").over(whole)))
 
 
+def _bits(populations: list[Scope]) -> Column:
+    """The populations that a row is in, as a bitmap; a population's place is its bit."""
+    bits = F.lit(0).cast("long")
+    for i, s in enumerate(populations):
+        bits = bits.bitwiseOR(F.when(s.predicate(), F.lit(1 << i)).otherwise(0).cast("long"))
+    return bits.alias("bits")
+
+
+def _by_population(rows: DataFrame, keys: list[str], populations: list[Scope]) -> DataFrame:
+    """(keys, population, n) of rows with keys and bits. Rows alike in both are counted before they are
+    expanded to populations."""
+    counted = rows.where("bits <> 0").groupBy(*keys, "bits").agg(F.count("*").alias("n"))
+    names = F.array(*[F.when(F.col("bits").bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(s.id)) for i, s in enumerate(populations)])
+    return counted.select("n", *keys, F.explode(F.filter(names, lambda x: x.isNotNull())).alias("population")).groupBy(*keys, "population").agg(F.sum("n").alias("n"))
+
+
 def population_tables(df: DataFrame, panels: list[Panel], populations: list[Scope]) -> DataFrame:
     """nested_distributions() for each of several overlapping populations, the population as an axis:
     population, control, control_value, outcome, outcome_value, papers, observed_papers and both shares.
     A row's populations are a bitmap beside its cells; rows alike in all of them are counted first, so
     one shuffle of the rows serves every population, control, outcome and view."""
     cells = F.array(*[F.struct(F.lit(p.id).alias("d"), or_missing(p.value(df)).alias("v"), p.observed(df).alias("o")) for p in panels])
-    bits = F.lit(0).cast("long")
-    for i, s in enumerate(populations):
-        bits = bits.bitwiseOR(F.when(s.predicate(), F.lit(1 << i)).otherwise(0).cast("long"))
-    combined = df.select(cells.alias("all"), bits.alias("bits")).where("bits <> 0").groupBy("all", "bits").agg(F.count("*").alias("n"))
-    names = F.array(*[F.when(F.col("bits").bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(s.id)) for i, s in enumerate(populations)])
-    rows = combined.select("n", "all", F.explode(F.filter(names, lambda x: x.isNotNull())).alias("population"))
-    rows = rows.groupBy("all", "population").agg(F.sum("n").alias("n"))
+    rows = _by_population(df.select(cells.alias("all"), _bits(populations)), ["all"], populations)
     pairs = rows.select("n", "all", "population", F.explode("all").alias("c")).select("n", "population", "c", F.explode("all").alias("x")).where("c.d <> x.d")
     keys = [F.col("c.d").alias("control"), F.col("c.v").alias("control_value"), F.col("x.d").alias("outcome"), F.col("x.v").alias("outcome_value")]
     seen = F.when(F.col("c.o") & F.col("x.o"), F.col("n")).otherwise(0)
@@ -133,6 +143,40 @@ def population_tables(df: DataFrame, panels: list[Panel], populations: list[Scop
     return out.withColumn("observed_share", share(F.col("observed_papers"), F.sum("observed_papers").over(whole)))
 
 
+def population_comparison(df: DataFrame, panel: Panel, populations: list[Scope], benchmark: str, view: str = "observed") -> DataFrame:
+    """population, value, papers, share, benchmark_share, difference_pp: the panel's distribution in each of
+    several overlapping populations against one of them. A value that the benchmark lacks has a share of 0
+    there; a population without rows, none itself. One shuffle of the rows serves all populations."""
+    _check(view)
+    rows = df.where(panel.observed(df)) if view == "observed" else df
+    counts = _by_population(rows.select(or_missing(panel.value(df)).alias("value"), _bits(populations)), ["value"], populations)
+    shares = counts.withColumnRenamed("n", "papers").withColumn("share", F.col("papers") / F.sum("papers").over(Window.partitionBy("population")))
+    own = F.max(F.when(F.col("population") == benchmark, F.col("share"))).over(Window.partitionBy("value"))
+    out = shares.withColumn("benchmark_share", F.coalesce(own, F.lit(0.0)))
+    return out.withColumn("difference_pp", (F.col("share") - F.col("benchmark_share")) * 100)
+
+
+def population_configurations(df: DataFrame, panels: list[Panel], populations: list[Scope], benchmark: str, view: str = "observed", min_support: int = 10) -> DataFrame:
+    """The benchmark's configurations with at least min_support papers, in every population: the panels'
+    values, population, papers (0 where it has none), analyzed (the population's papers in this view, rarer
+    configurations included) and share."""
+    _check(view)
+    if min_support < 1:
+        raise ValueError("min_support must be at least 1")
+    rows = df
+    if view == "observed":
+        for p in panels:
+            rows = rows.where(p.observed(df))
+    keys = [p.id for p in panels]
+    counts = _by_population(rows.select(*[or_missing(p.value(df)).alias(p.id) for p in panels], _bits(populations)), keys, populations)
+    each = F.explode(F.array(*[F.lit(s.id) for s in populations])).alias("population")
+    grid = counts.where((F.col("population") == benchmark) & (F.col("n") >= min_support)).select(*keys, each)
+    totals = counts.groupBy("population").agg(F.sum("n").alias("analyzed"))
+    out = grid.join(counts, [*keys, "population"], "left").join(F.broadcast(totals), "population", "left")  # one row a population
+    out = out.select(*keys, "population", F.coalesce("n", F.lit(0)).alias("papers"), F.coalesce("analyzed", F.lit(0)).alias("analyzed"))
+    return out.withColumn("share", share(F.col("papers"), F.col("analyzed")))
+
+
 def evidence(df: DataFrame, filters: dict[str, str], strict: bool = False, strip: bool = True) -> DataFrame:
     """The rows behind a figure: all filters hold. Unknown columns are ignored, or are an error if
     strict. ``strip`` compares cleaned values, else exact ones."""

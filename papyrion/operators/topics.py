@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,26 +139,42 @@ def label_from_terms(weights: DataFrame) -> DataFrame:
     return tops.select("topic", F.array_join(F.transform("x", lambda s: s["term"]), " / ").alias("label"))
 
 
-def fit_topics(df: DataFrame, key: str, vector: str, k: int, seed: int = 7, dimensions: int | None = None) -> DataFrame:
-    """(key, topic, probability, features): k-means topics of vectors, after a principal-component
-    projection if ``dimensions`` is given. A stand-in for density clustering, with the same result
-    columns: the probability is the topic's part of the inverse squared distances to all centres, so it
-    is 1 at the centre and 1 / k in the middle of all."""
+def topic_fit(df: DataFrame, key: str, vector: str, k: int, seed: int = 7, dimensions: int | None = None) -> PipelineModel:
+    """A fit of k-means topics, after a principal-component projection if ``dimensions`` is given. It can be
+    saved and loaded, and assigned_by() applies it."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    rows = df.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-    if dimensions:
-        rows = PCA(k=dimensions, inputCol="features", outputCol="projected").fit(rows).transform(rows).select(key, F.col("projected").alias("features"))
-    model = KMeans(k=k, seed=seed).fit(rows)
-    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
-    x = vector_to_array("features")
+
+    projection = [PCA(k=dimensions, inputCol="features", outputCol="projected")] if dimensions else []
+    means = KMeans(k=k, seed=seed, featuresCol="projected" if dimensions else "features", predictionCol="topic")
+    return Pipeline(stages=[*projection, means]).fit(_features(df, key, vector))
+
+
+def _features(df: DataFrame, key: str, vector: str) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector
+
+    return df.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+
+
+def assigned_by(model: PipelineModel, df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, topic, probability, features) of rows by a fit: the probability is the topic's part of the inverse
+    squared distances to all centres, so it is 1 at the centre and 1 / k in the middle of all; features are
+    the projected ones if the fit projects."""
+    from pyspark.ml.functions import vector_to_array
+
+    place = model.stages[-1].getFeaturesCol()
+    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.stages[-1].clusterCenters()])
+    x = vector_to_array(place)
     apart = F.transform(centres, lambda c: F.aggregate(F.zip_with(x, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-    fitted = model.transform(rows).withColumn("_apart", apart)
-    own = F.get("_apart", F.col("prediction"))
+    fitted = model.transform(_features(df, key, vector)).withColumn("_apart", apart)
+    own = F.get("_apart", F.col("topic"))
     part = 1 / F.aggregate("_apart", F.lit(0.0), lambda s, v: s + own / v)
-    return fitted.select(key, F.col("prediction").alias("topic"), F.when(own == 0, F.lit(1.0)).otherwise(part).alias("probability"), "features")
+    return fitted.select(key, "topic", F.when(own == 0, F.lit(1.0)).otherwise(part).alias("probability"), F.col(place).alias("features"))
+
+
+def fit_topics(df: DataFrame, key: str, vector: str, k: int, seed: int = 7, dimensions: int | None = None) -> DataFrame:
+    """assigned_by() a topic_fit() of the same rows: the counterpart of density_topics() with centres."""
+    return assigned_by(topic_fit(df, key, vector, k, seed, dimensions), df, key, vector)
 
 
 # The weights of a fit's score, and the least topics of one that may be recommended.

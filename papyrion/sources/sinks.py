@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papyrion.functions.expressions import norm_doi
+from papyrion.plans.freshness import status
+from papyrion.plans.registry import Scope
+from papyrion.sources.exports import read_doi_map
 
 
 def write_views(df: DataFrame, folder: str, flags: dict[str, str], columns: list[str] | None = None, form: str = "csv") -> DataFrame:
@@ -28,6 +31,32 @@ def split_by_dois(map_rows: DataFrame, doi: Column, corpus_dois: DataFrame) -> t
     return rows.join(known, "_doi", "left_semi").drop("_doi"), rows.join(known, "_doi", "left_anti").drop("_doi")
 
 
+def filter_scopes(corpus: DataFrame, doi: Column, scopes: list[Scope], maps: dict[str, str], reference: str, folder: str) -> DataFrame:
+    """Writes each scope's rows as folder/<scope>/retained=true and =false, by whether its map (a path for each
+    scope id) has their DOI, and returns a row a scope: scope, status, map_dois, scope_papers, retained, dropped
+    and retained_share (four decimals). A scope whose map is missing, or older than the reference, is not
+    written; it has that as status and no figures. Rows without a DOI are dropped ones."""
+    spark, parts = corpus.sparkSession, []
+    for s in scopes:
+        state = status(spark, maps[s.id], reference) if s.id in maps else "missing"
+        if state != "current":
+            parts.append(spark.createDataFrame([(s.id, state)], "scope string, status string"))
+            continue
+        known = read_doi_map(spark, maps[s.id]).select(F.col("doi").alias("_doi"), F.lit(True).alias("retained"))
+        rows = s.frame(corpus).withColumn("_doi", norm_doi(doi)).join(known, "_doi", "left").drop("_doi")
+        path = f"{folder}/{s.id}"
+        rows.withColumn("retained", F.coalesce("retained", F.lit(False))).write.mode("overwrite").partitionBy("retained").parquet(path)
+        # Counts come from the rows as written, for which the reader needs no column but the folder's.
+        done = spark.read.schema("retained boolean").parquet(path).agg(F.count("*").alias("scope_papers"), F.count(F.when(F.col("retained"), 1)).alias("retained"))
+        done = done.withColumn("map_dois", F.lit(known.count())).withColumn("dropped", F.col("scope_papers") - F.col("retained"))
+        parts.append(done.select(F.lit(s.id).alias("scope"), F.lit("filtered").alias("status"), "*", F.round(F.coalesce(F.try_divide("retained", "scope_papers"), F.lit(0.0)), 4).alias("retained_share")))
+    names = "scope string, status string, map_dois long, scope_papers long, retained long, dropped long, retained_share double"
+    out = spark.createDataFrame([], names)
+    for p in parts:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
 def write_bundle(tables: dict[str, DataFrame], folder: str) -> DataFrame:
     """Writes each table as CSV and a manifest of every file: table, file, bytes, sha256, taken from
     the files as they were written."""

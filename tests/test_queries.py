@@ -7,9 +7,10 @@ import __spark_entry__ as entry
 from papyrion.queries import ORACLE_SQL, QUERIES
 
 D = "/root/testdata/sf0.001"
-# Held to brute force elsewhere: test_reviewed.py, test_phrases.py and test_density.py.
+# Held to brute force elsewhere: test_reviewed.py, test_phrases.py, test_density.py and test_stored.py.
 ROWS_ONLY = {
     "topic_model", "stratified_draw", "sampling_stability", "bootstrap_ci", "topic_count_choice", "topic_reduction", "topic_density", "phrase_texts", "phrase_matches",
+    "topic_rerun", "topic_rerun_terms",
 }
 
 
