@@ -158,13 +158,15 @@ def nearest_by_matches(spark, d):
     return graph.nearest_by_matches(table(spark, d, "part"), "p_partkey", ["p_brand", "p_type", "p_size"], 5, 25)
 
 
-@query("""WITH x AS (SELECT doc_id, unnest(regexp_extract_all('see https://doi.org/10.1234/AB' || (doc_id % 50) || ', 10.9/no {10.5555/q;(' || (doc_id % 3) || ')x}', '10\\.[0-9]{4,9}/[-._;()/:A-Za-z0-9]+')) AS r FROM documents),
-i AS (SELECT '10.1234/ab' || doc_id AS doi, min(doc_id) AS target FROM documents WHERE doc_id < 40 GROUP BY 1)
-SELECT DISTINCT x.doc_id AS paper, coalesce(target::VARCHAR, lower(r)) AS target, CASE WHEN target IS NULL THEN 'REFERENCES' ELSE 'CITES' END AS type FROM x LEFT JOIN i ON i.doi = lower(r) WHERE target IS NULL OR target <> x.doc_id""")
+@query(r"""WITH x AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, 'href="/([0-9A-Za-z]+)"', ' https://doi.org/10.1000/\1 ', 'g'), '10\.[0-9]{4,9}/[-._;()/:A-Za-z0-9]+')) AS r FROM pages),
+i AS (SELECT lower(regexp_extract(html, '<title>([0-9A-Za-z]+)', 1)) AS word, min(page_id) AS target FROM pages GROUP BY 1 HAVING word <> '')
+SELECT DISTINCT page_id AS paper, coalesce(target::VARCHAR, lower(r)) AS target, CASE WHEN target IS NULL THEN 'REFERENCES' ELSE 'CITES' END AS type
+FROM x LEFT JOIN i ON '10.1000/' || word = lower(r) WHERE target IS NULL OR target <> page_id""")
 def reference_resolution(spark, d):
-    text = F.concat(F.lit("see https://doi.org/10.1234/AB"), F.col("doc_id") % 50, F.lit(", 10.9/no {10.5555/q;("), F.col("doc_id") % 3, F.lit(")x}"))
-    doi = F.when(F.col("doc_id") < 40, F.concat(F.lit("https://doi.org/10.1234/AB"), F.col("doc_id")))
-    return graph.resolve_references(table(spark, d, "documents"), "doc_id", text, doi, F.col("doc_id"))
+    """Pages cite each other by their menus' links: a link's word is the DOI of the first page whose title begins with it."""
+    links = F.regexp_replace("html", 'href="/([0-9A-Za-z]+)"', " https://doi.org/10.1000/$1 ")
+    word = F.nullif(F.regexp_extract("html", "<title>([0-9A-Za-z]+)", 1), F.lit(""))
+    return graph.resolve_references(table(spark, d, "pages"), "page_id", links, F.concat(F.lit("10.1000/"), word), F.col("page_id"))
 
 
 _PUNCT = r"[!-/:-@\[-^`{-~]+"

@@ -96,11 +96,13 @@ def connected_papers(spark, d):
     return records.connected(table(spark, d, "part"), "Brand#12", ["p_brand"], ["p_name", "p_type"]).select("p_partkey", "p_type")
 
 
-@query("""SELECT p_partkey, p_brand AS mechanism_raw, CASE WHEN p_size % 5 = 0 THEN 'mechanism missing' ELSE p_brand END AS mechanism, CASE WHEN p_size % 3 = 2 THEN 0 ELSE 2 END AS problem_count, p_size % 3 = 0 AS is_box FROM part""")
+@query(r"""WITH d AS (SELECT doc_id, source, regexp_extract(coalesce(text, ''), ',([^,.]*)', 1) AS logic, string_split(translate(coalesce(text, ''), ' ', ';'), ';') AS problems FROM documents)
+SELECT doc_id, source AS mechanism_raw, CASE WHEN regexp_matches(logic, '[^\t-\r \x{85}\p{Z}]') THEN source ELSE 'mechanism missing' END AS mechanism,
+len(list_filter(problems, lambda x: regexp_matches(x, '[^\t-\r \x{85}\p{Z}]')))::INT AS problem_count, list_contains(problems, 'the') AS is_box FROM d""")
 def analysis_enrichment(spark, d):
-    size = F.col("p_size")
-    part = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("mechanism"), F.when(size % 5 == 0, " ").otherwise("why").alias("logic"), F.when(size % 3 == 0, "unclear;black box").when(size % 3 == 1, "unclear; black box").otherwise("").alias("problems"))
-    return records.enriched(part, "mechanism", "logic", "problems").select("p_partkey", "mechanism_raw", "mechanism", "problem_count", "is_box")
+    """A document's source as its mechanism, whose logic is what follows its first comma, and its words as problems."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("mechanism"), F.regexp_extract("text", ",([^,.]*)", 1).alias("logic"), F.translate("text", " ", ";").alias("problems"))
+    return records.enriched(docs, "mechanism", "logic", "problems", "the").select("doc_id", "mechanism_raw", "mechanism", "problem_count", "is_box")
 
 
 @query("""WITH f AS (SELECT l_orderkey, l_linenumber, l_returnflag = 'R' AS bad_code, l_quantity > 40 AS bad_kind, l_discount * 20 > 1 AS bad_confidence, l_tax < 0.02 AS no_evidence FROM lineitem)
@@ -188,14 +190,16 @@ def assigned_papers_filter(spark, d):
     return records.assigned_above(docs, count("the"), count("and", "of"), "doc_id", "source", 2)
 
 
-_AFFILIATIONS = "'Ann ' || s_suppkey || ', Dept of X, University of ' || s_nationkey || ', Town; Bob, Firm ' || s_nationkey || '; ;Eve'"
+_TRIMMED = r"list_filter(list_transform(string_split({list}, '{mark}'), lambda x: regexp_replace(x, '^[\t-\r \x{{85}}\p{{Z}}]+|[\t-\r \x{{85}}\p{{Z}}]+$', '', 'g')), lambda x: x <> '')"
 
 
-@query("""WITH a AS (SELECT s_suppkey, s_nationkey AS n FROM supplier) SELECT s_suppkey, 'Ann ' || s_suppkey AS author, 'University of ' || n AS institution FROM a
-UNION ALL SELECT s_suppkey, 'Bob', 'Firm ' || n FROM a UNION ALL SELECT s_suppkey, 'Eve', NULL FROM a""")
+@query(f"""WITH e AS (SELECT doc_id, unnest({_TRIMMED.format(list="translate(coalesce(text, ''), '.', ';')", mark=";")}) AS entry FROM documents),
+p AS (SELECT doc_id, {_TRIMMED.format(list="entry", mark=",")} AS parts FROM e)
+SELECT doc_id, parts[1] AS author, coalesce(list_filter(parts[2:], lambda p: contains(lower(p), 'the') OR contains(lower(p), 'und'))[1], parts[2]) AS institution FROM p""")
 def affiliations(spark, d):
-    rows = table(spark, d, "supplier").select("s_suppkey", F.explode(graph.affiliations(F.expr(_AFFILIATIONS), ["university", "institute"])).alias("x"))
-    return rows.select("s_suppkey", "x.author", "x.institution")
+    """Every sentence as an entry, whose parts lie between commas."""
+    entries = graph.affiliations(F.translate("text", ".", ";"), ["the", "und"])
+    return table(spark, d, "documents").select("doc_id", F.explode(entries).alias("x")).select("doc_id", "x.author", "x.institution")
 
 
 @query("SELECT p_partkey, 'Topic::' || replace(replace(p_name, '%', '%25'), ' ', '%20') || '%2F' || p_size AS node FROM part")
