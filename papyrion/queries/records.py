@@ -112,9 +112,9 @@ def payload_faults(spark, d):
     return records.payload_faults(rows, {"flag": ["A", "N"]}, ["stated", "inferred", "absent"]).groupBy(F.array_join("faults", ";").alias("faults")).agg(F.count("*").alias("n"))
 
 
-@query(P + "SELECT paper_id, 'priority=' || priority || ':' || (priority = '2-HIGH')::VARCHAR || ' status=' || status || ':false' AS record FROM papers WHERE year = 1999")
+@query(P + "SELECT paper_id, 'priority=' || priority || ':' || (priority = '2-HIGH')::VARCHAR || ' status=' || status || ':false' AS record FROM papers")
 def paper_inspection(spark, d):
-    rows = records.inspection(papers(spark, d).where("year = 1999"), "paper_id", ["priority", "status"], {"priority": "2-HIGH"})
+    rows = records.inspection(papers(spark, d), "paper_id", ["priority", "status"], {"priority": "2-HIGH"})
     return rows.select("paper_id", F.array_join(F.transform("dimensions", lambda x: F.concat(x["dimension"], F.lit("="), x["value"], F.lit(":"), x["selected"].cast("string"))), " ").alias("record"))
 
 
@@ -251,11 +251,16 @@ def topic_labels(spark, d):
     return topics.label_from_terms(topics.ctfidf(_docs(spark, d), "source", F.col("w"), 2, 2))
 
 
-@query("""WITH s AS (SELECT label, count(*) AS n FROM embeddings WHERE label < 8 GROUP BY 1) SELECT (SELECT count(*) FROM s) AS topics, (SELECT stddev_pop(n) / avg(n) FROM s) AS size_cv, (SELECT avg((label >= 8)::INT) FROM embeddings) AS outlier_rate, 0.5::DOUBLE AS diversity""")
+@query(f"""WITH s AS (SELECT label, count(*) AS n FROM embeddings WHERE label < 8 GROUP BY 1),
+d AS (SELECT source AS topic, unnest({_WORDS}) AS term FROM documents), n AS (SELECT topic, term, count(*) AS n FROM d GROUP BY ALL),
+f AS (SELECT *, n / sum(n) OVER (PARTITION BY topic) AS tf, sum(n) OVER (PARTITION BY term) AS f, (SELECT sum(n) / count(DISTINCT topic) FROM n) AS a FROM n),
+w AS (SELECT topic, term, round(tf * ln(1 + a / f), 12) AS weight FROM f WHERE f >= 2), r AS (SELECT term FROM w QUALIFY row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) <= 10)
+SELECT (SELECT count(*) FROM s) AS topics, (SELECT stddev_pop(n) / avg(n) FROM s) AS size_cv, (SELECT avg((label >= 8)::INT) FROM embeddings) AS outlier_rate,
+(SELECT count(DISTINCT term) / count(*) FROM r) AS diversity""")
 def topic_quality(spark, d):
+    """Sizes of the embeddings' topics, and the diversity of the sources' heaviest words."""
     assigned = table(spark, d, "embeddings").select(F.when(F.col("label") >= 8, -1).otherwise(F.col("label")).alias("topic"))
-    weights = spark.createDataFrame([(0, "a", 1), (0, "b", 2), (1, "a", 1), (1, "b", 2)], "topic int, term string, rank int")
-    return topics.topic_quality(assigned, weights)
+    return topics.topic_quality(assigned, topics.ctfidf(_docs(spark, d), "source", F.col("w"), 2, 10))
 
 
 @query(_BRIDGE + """, k AS (SELECT keyword FROM b GROUP BY keyword ORDER BY count(DISTINCT paper_id) DESC, keyword LIMIT 5)
@@ -264,9 +269,9 @@ def keyword_trajectories(spark, d):
     return keywords.trajectories(bridge(spark, d), "paper_id", "year", 5)
 
 
-@query("SELECT p_brand, p_partkey, p_retailprice FROM part WHERE p_size BETWEEN 5 AND 30 QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_size > 20 THEN NULL ELSE p_size END DESC NULLS LAST, p_retailprice DESC, p_name, p_partkey) <= 4")
+@query("SELECT p_brand, p_partkey, p_retailprice FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_size > 20 THEN NULL ELSE p_size END DESC NULLS LAST, p_retailprice DESC, p_name, p_partkey) <= 4")
 def fitted_papers(spark, d):
-    part = table(spark, d, "part").where("p_size BETWEEN 5 AND 30").withColumn("probability", F.when(F.col("p_size") <= 20, F.col("p_size")))
+    part = table(spark, d, "part").withColumn("probability", F.when(F.col("p_size") <= 20, F.col("p_size")))
     out = topics.fitted(part, "p_brand", [F.desc_nulls_last("probability"), F.desc("p_retailprice"), F.asc("p_name"), F.asc("p_partkey")], 4)
     return out.select("p_brand", "p_partkey", "p_retailprice")
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from papyrion.functions import expressions as E
 from papyrion.operators import runs, topics
 from papyrion.plans.freshness import FrameStore
 from papyrion.plans.registry import Scope
 from papyrion.plans.tables import new_path, shared_folder
 from papyrion.queries.base import ORACLE_SQL, QUERIES, query, table
 from papyrion.sources.sinks import filter_scopes
+from papyrion.streaming import results
 
 
 @query(ORACLE_SQL["rater_frame"])
@@ -53,3 +55,23 @@ def topic_rerun(spark, d):
 def topic_rerun_terms(spark, d):
     """Topics of a stored run by papers with two or more of both words, from the stored tables alone."""
     return runs.refiltered(spark, stored_run(spark, d), "the", "and", 2)
+
+
+@query("""WITH RECURSIVE t AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id, 120 + greatest(50, length(text) // 4) AS tokens
+FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 0)),
+r AS (SELECT i, 1 AS chunk, tokens AS used FROM t WHERE i = 1
+      UNION ALL
+      SELECT t.i, CASE WHEN used + tokens > 20000 THEN chunk + 1 ELSE chunk END, CASE WHEN used + tokens > 20000 THEN tokens ELSE used + tokens END
+      FROM r JOIN t ON t.i = r.i + 1)
+SELECT doc_id, tokens::BIGINT AS tokens, chunk::BIGINT AS chunk FROM t JOIN r USING (i)""")
+def open_requests(spark, d):
+    """Requests over all documents of which the labelled ones have results, toxic ones failed ones: a stream takes
+    the result files in, and what is open is packed for the next submission."""
+    place = new_path(spark, "results")
+    status = F.when(F.col("toxic") == 0, 200).otherwise(429)
+    body = F.struct(F.lit("coded").alias("output_text"), F.struct(F.lit(1).alias("input_tokens"), F.lit(1).alias("output_tokens")).alias("usage"))
+    line = F.struct(F.col("doc_id").cast("string").alias("custom_id"), F.struct(status.alias("status_code"), body.alias("body")).alias("response"))
+    table(spark, d, "labels").select(F.to_json(line)).write.text(f"{place}/inbox")
+    results.guarded_ingest(spark, f"{place}/inbox", f"{place}/log", f"{place}/mark", share=1.0)
+    wanted = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("custom_id"), E.approx_tokens(F.col("text"), 120).alias("tokens"))
+    return results.open_requests(wanted, spark.read.parquet(f"{place}/log"), ["doc_id"], "tokens", 20000).select("doc_id", "tokens", "chunk")

@@ -1,8 +1,10 @@
 import hashlib
 import json
+import os
 import zipfile
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from papyrion.functions import expressions as E
@@ -89,6 +91,34 @@ def test_results_come_in_once_and_a_run_goes_on(spark, tmp_path):
     assert tuple(results.progress(spark.read.parquet(log), wanted).first()) == (6, 2, 2, 2)
 
 
+def test_a_run_stops_when_results_fail(spark, tmp_path):
+    """The batch that shows it is kept, later files wait for the next run, and open requests are packed."""
+    inbox, log, mark = (str(tmp_path / n) for n in ("inbox", "log", "mark"))
+    (tmp_path / "inbox").mkdir()
+    for name, rows in (("1", [line(f"a{i}") for i in range(6)]), ("2", [line(f"b{i}", status=500) for i in range(6)]), ("3", [line(f"c{i}") for i in range(3)])):
+        path = tmp_path / f"inbox/{name}.jsonl"
+        path.write_text("\n".join(rows) + "\n")
+        os.utime(path, (int(name), 1_700_000_000 + int(name)))
+    with pytest.raises(results.TooManyFailures, match="6 of 12"):
+        results.guarded_ingest(spark, inbox, log, mark, files=1, least=10)
+    assert spark.read.parquet(log).count() == 12
+    assert results.guarded_ingest(spark, inbox, log, mark, files=1, least=10) == (3, 0)
+    assert results.guarded_ingest(spark, inbox, log, mark, files=1, least=10) == (0, 0)
+    read = spark.read.parquet(log)
+    assert read.count() == 15 and read.select("custom_id").distinct().count() == 15
+    wanted = spark.createDataFrame([(x, i, 4) for i, x in enumerate(["a1", "b1", "c1", "b0", "z", "c9"])], "custom_id string, n int, cost int")
+    got = {r.custom_id: r.chunk for r in results.open_requests(wanted, read, ["n"], "cost", 8).collect()}
+    assert got == {"b1": 1, "b0": 1, "z": 2, "c9": 2}
+
+
+def test_a_stream_that_breaks_is_no_breaker(spark, tmp_path):
+    (tmp_path / "inbox").mkdir()
+    (tmp_path / "inbox/1.jsonl").write_text(line("a") + "\n")
+    (tmp_path / "log").write_text("a file where the log's folder should be")
+    with pytest.raises(StreamingQueryException):
+        results.guarded_ingest(spark, str(tmp_path / "inbox"), str(tmp_path / "log"), str(tmp_path / "mark"))
+
+
 def test_views_and_counts(spark, tmp_path):
     df = spark.createDataFrame([(1, "x", 1, 0), (2, "y", 1, 1), (3, "z", 0, 0)], "id int, t string, in_a int, in_b int")
     counts = {r.view: r.rows for r in sinks.write_views(df, str(tmp_path), {"a": "in_a", "b": "in_b"}, ["t", "absent"]).collect()}
