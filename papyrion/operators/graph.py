@@ -99,6 +99,26 @@ def affiliations(text: Column, hints: list[str]) -> Column:
     return F.transform(split_list(text), parsed)
 
 
+# How large nodes are drawn; a publication grows by its citations up to the most.
+OTHER_SIZE, LEAST_SIZE, MOST_CITED = 5, 8, 60
+
+
+def cited_graph(nodes: DataFrame, edges: DataFrame, cited: DataFrame, limit: int, labels: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The graph around the ``limit`` most cited publications, where no graph store answers: nodes (node,
+    label, value, size) and edges (src, dst, type, weight), with the publications' own edges to nodes of
+    the labels, equal ones counted. cited has (node, citations); a missing count is 0, ties go by node."""
+    citations = F.coalesce(F.col("citations"), F.lit(0))
+    focus = cited.select("node", citations.alias("citations")).orderBy(F.desc("citations"), "node").limit(limit)
+    near = F.broadcast(focus.select(F.col("node").alias("src")))  # limit rows
+    own = merged_edges(edges.join(near, "src", "left_semi"))
+    ends = nodes.where(F.col("label").isin(labels)).select("node", "label", "value")
+    kept = own.join(ends.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst", "type", "weight")
+    size = F.lit(LEAST_SIZE) + F.least(F.floor("citations"), F.lit(MOST_CITED))
+    centre = nodes.join(F.broadcast(focus), "node").select("node", "label", "value", size.cast("int").alias("size"))
+    around = ends.join(kept.select(F.col("dst").alias("node")), "node", "left_semi").join(near.withColumnRenamed("src", "node"), "node", "left_anti")
+    return centre.unionByName(around.withColumn("size", F.lit(OTHER_SIZE))), kept
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "type").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type"))
 

@@ -65,6 +65,39 @@ def graph_degree_seed(spark, d):
     return graph.seed(nodes, edges, "Journal", F.lit(0), 5)
 
 
+_CITED = _NODES + """, k AS (SELECT p_partkey, count(*)::INT AS citations FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY 1),
+c AS (SELECT 'Part::' || p_partkey AS node, citations FROM k ORDER BY citations DESC, node LIMIT 25),
+f AS (SELECT 'Part::' || l_partkey AS src, 'Supplier::' || l_suppkey AS dst, 'SUPPLIED_BY' AS type, count(*) AS weight FROM lineitem GROUP BY ALL UNION ALL SELECT 'Part::' || p_partkey, 'Brand::' || replace(p_brand, '#', '%23'), 'OF_BRAND', 1 FROM part)
+"""
+
+
+def _cited(spark, d):
+    part, items = table(spark, d, "part"), table(spark, d, "lineitem").select("l_partkey", "l_suppkey")
+    text = lambda c: F.col(c).cast("string")
+    nodes = graph.merged_nodes([
+        graph.node_rows(part, "Part", text("p_partkey"), {"name": F.col("p_name")}, F.col("p_partkey")),
+        graph.node_rows(part, "Brand", F.col("p_brand"), {}, F.col("p_partkey")),
+        graph.node_rows(table(spark, d, "supplier"), "Supplier", text("s_suppkey"), {}, F.col("s_suppkey")),
+    ])
+    edges = graph.edge_rows(items, "SUPPLIED_BY", ("Part", text("l_partkey")), ("Supplier", text("l_suppkey")))
+    edges = edges.unionByName(graph.edge_rows(part, "OF_BRAND", ("Part", text("p_partkey")), ("Brand", F.col("p_brand"))))
+    sold = items.join(part.select(F.col("p_partkey").alias("l_partkey")), "l_partkey").groupBy("l_partkey").agg(F.count("*").alias("citations"))
+    cited = sold.select(F.concat(F.lit("Part::"), text("l_partkey")).alias("node"), "citations")
+    return graph.cited_graph(nodes, edges, cited, 25, ["Supplier", "Brand"])
+
+
+@query(_CITED + """SELECT c.node, 'Part' AS label, split_part(c.node, '::', 2) AS value, 8 + least(citations, 60) AS size FROM c
+UNION ALL SELECT DISTINCT dst, split_part(dst, '::', 1), replace(split_part(dst, '::', 2), '%23', '#'), 5 FROM f WHERE src IN (SELECT node FROM c) AND (type = 'OF_BRAND' OR dst IN (SELECT 'Supplier::' || s_suppkey FROM supplier))""")
+def cited_graph_nodes(spark, d):
+    """The most sold parts with their suppliers and brands."""
+    return _cited(spark, d)[0]
+
+
+@query(_CITED + "SELECT src, dst, type, weight FROM f WHERE src IN (SELECT node FROM c) AND (type = 'OF_BRAND' OR dst IN (SELECT 'Supplier::' || s_suppkey FROM supplier))")
+def cited_graph_edges(spark, d):
+    return _cited(spark, d)[1]
+
+
 @query(_NODES + "SELECT DISTINCT n.node, type, label, value FROM u JOIN n ON n.node = u.dst WHERE u.src = 'Journal::NATION_7'")
 def graph_neighborhood(spark, d):
     nodes, edges = _parts(spark, d)

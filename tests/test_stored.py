@@ -10,7 +10,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.sql import functions as F
 
-from papyrion.operators import composition, runs, topics, validation
+from papyrion.operators import composition, graph, runs, topics, validation
 from papyrion.plans import freshness
 from papyrion.plans.registry import Panel, Scope
 from papyrion.sources.sinks import filter_scopes
@@ -207,3 +207,14 @@ def test_populations_against_a_benchmark(spark):
     assert found == {("p", "1", "s", 2, 4, 0.5), ("p", "1", "t", 0, 2, 0.0), ("p", "1", "nobody", 0, 0, 0.0)}
     with pytest.raises(ValueError, match="min_support"):
         composition.population_configurations(df, panels, populations, "s", "full", 0)
+
+
+def test_graph_of_the_most_cited(spark):
+    nodes = spark.createDataFrame([(f"P::{i}", "P", str(i)) for i in range(4)] + [("J::a", "J", "a"), ("J::b", "J", "b"), ("T::x", "T", "x")], "node string, label string, value string")
+    edges = spark.createDataFrame([("P::0", "J::a", "IN"), ("P::0", "J::a", "IN"), ("P::1", "J::b", "IN"), ("P::2", "J::a", "IN"), ("P::3", "J::b", "IN"), ("P::1", "T::x", "ON"), ("P::1", "J::gone", "IN"), ("P::1", "P::0", "CITES")], "src string, dst string, type string")
+    cited = spark.createDataFrame([("P::0", 100), ("P::1", 7), ("P::2", 7), ("P::3", None)], "node string, citations int")
+    got, links = graph.cited_graph(nodes, edges, cited, 2, ["J", "P"])
+    assert {(r.node, r.size) for r in got.collect()} == {("P::0", 68), ("P::1", 15), ("J::a", 5), ("J::b", 5)} and got.count() == 4
+    assert {tuple(r) for r in links.collect()} == {("P::0", "J::a", "IN", 2), ("P::1", "J::b", "IN", 1), ("P::1", "P::0", "CITES", 1)}
+    alone, none = graph.cited_graph(nodes, edges, cited.where("node = 'P::3'"), 5, [])
+    assert [tuple(r) for r in alone.collect()] == [("P::3", "P", "3", 8)] and none.count() == 0
