@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrion.functions.expressions import clean, clean_or_null, number, share, split_list
+from papyrion.operators.raters import counted
 
 
 def connected(df: DataFrame, value: str, exact: list[str] = (), lists: list[str] = ()) -> DataFrame:
@@ -95,8 +96,8 @@ def missing_numbers(df: DataFrame, scope: str, number_column: str) -> DataFrame:
 
 def rater_progress(ratings: DataFrame, sample: int, dimensions: int) -> DataFrame:
     """Per rater: units started, units completed (all dimensions rated) and their share of the sample."""
-    units = ratings.where("value IS NOT NULL").groupBy("rater", "unit").agg(F.count_distinct("dimension").alias("n"))
-    out = units.groupBy("rater").agg(F.count("*").alias("started"), F.count(F.when(F.col("n") >= dimensions, 1)).alias("completed"))
+    units = counted(ratings).where("value IS NOT NULL").groupBy("rater", "unit").agg(F.count_distinct("dimension").alias("d"), F.max("n").alias("n"))
+    out = units.groupBy("rater").agg(F.sum("n").alias("started"), F.coalesce(F.sum(F.when(F.col("d") >= dimensions, F.col("n"))), F.lit(0)).alias("completed"))
     return out.withColumn("share", share(F.col("completed"), F.lit(sample)))
 
 

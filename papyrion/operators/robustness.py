@@ -1,7 +1,6 @@
 """Whether findings hold for another rater, another kind of evidence or another population.
 
-Everything is counted from long ratings (unit, rater, dimension, value) in one shuffle; raters are
-then compared by aggregates over the few rows of counts.
+Everything is counted from ratings as in raters, units alike at once; raters are then compared by aggregates over the few rows of counts.
 """
 
 from __future__ import annotations
@@ -11,14 +10,15 @@ from pyspark.sql import functions as F
 
 from papyrion.functions.expressions import or_missing, share
 from papyrion.operators.composition import nested_distributions
+from papyrion.operators.raters import counted
 from papyrion.plans.registry import Panel
 
 
 def evidence_modes(ratings: DataFrame, dimension: str, value: str, reference: str, comparison: str) -> DataFrame:
-    """(unit, in_reference, in_comparison, mode): the units to which at least one of two raters gives a
-    value; mode is both, reference or comparison."""
-    hits = ratings.where((F.col("dimension") == dimension) & (F.col("value") == value) & F.col("rater").isin(reference, comparison))
-    out = hits.groupBy("unit").agg(F.max(F.col("rater") == reference).alias("in_reference"), F.max(F.col("rater") == comparison).alias("in_comparison"))
+    """(unit, in_reference, in_comparison, n, mode): the units to which at least one of two raters gives a
+    value; mode is both, reference or comparison, n how many units a unit stands for."""
+    hits = counted(ratings).where((F.col("dimension") == dimension) & (F.col("value") == value) & F.col("rater").isin(reference, comparison))
+    out = hits.groupBy("unit").agg(F.max(F.col("rater") == reference).alias("in_reference"), F.max(F.col("rater") == comparison).alias("in_comparison"), F.max("n").alias("n"))
     mode = F.when(F.col("in_reference") & F.col("in_comparison"), "both").when(F.col("in_reference"), "reference").otherwise("comparison")
     return out.withColumn("mode", mode)
 
@@ -33,9 +33,8 @@ def agreement_evidence(matches: DataFrame, raters: int, least: int) -> DataFrame
 def contrast_directions(rated: DataFrame, group: str, left: str, right: str) -> DataFrame:
     """For each rater and value the share in group ``right`` less that in ``left`` and its sign (0
     within 1e-12), and whether all raters agree in the sign. rated: rater, value and the group."""
-    counts = rated.where(F.col(group).isin(left, right) & F.col("value").isNotNull()).groupBy("rater", "value").agg(
-        F.count(F.when(F.col(group) == left, 1)).alias("l"), F.count(F.when(F.col(group) == right, 1)).alias("r")
-    )
+    times = lambda side: F.coalesce(F.sum(F.when(F.col(group) == side, F.col("n"))), F.lit(0))
+    counts = counted(rated, by=[group]).where(F.col(group).isin(left, right) & F.col("value").isNotNull()).groupBy("rater", "value").agg(times(left).alias("l"), times(right).alias("r"))
     whole = Window.partitionBy("rater")
     diff = share(F.col("r"), F.sum("r").over(whole)) - share(F.col("l"), F.sum("l").over(whole))
     out = counts.withColumn("difference_pp", diff * 100)
@@ -48,7 +47,7 @@ def contrast_directions(rated: DataFrame, group: str, left: str, right: str) ->
 def leading_by(rated: DataFrame, by: list[str]) -> DataFrame:
     """The commonest value (ties: the smallest) of every rater in each group, and whether all raters
     lead with the same."""
-    counts = rated.where("value IS NOT NULL").groupBy(*by, "rater", "value").agg(F.count("*").alias("n"))
+    counts = counted(rated, by=by).where("value IS NOT NULL").groupBy(*by, "rater", "value").agg(F.sum("n").alias("n"))
     first = counts.withColumn("r", F.row_number().over(Window.partitionBy(*by, "rater").orderBy(F.desc("n"), "value"))).where("r = 1").drop("r")
     group = Window.partitionBy(*by)
     return first.withColumn("same", F.min("value").over(group) == F.max("value").over(group))

@@ -1,8 +1,8 @@
 """Tables that hold raters against each other: prevalence, cross-tables, intersections, grounding of
 evidence, confidence, and reliability over the units that all of them rated.
 
-Ratings are long as in raters: (unit, rater, dimension, value), one row a unit, rater and dimension, with
-blanks as null. What is expanded to pairs or sets of raters are counted patterns, not units.
+Ratings are as in raters, long or one row a unit; one rating a unit, rater and dimension, with blanks as
+null. What is expanded to pairs or sets of raters are counted patterns, not units.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrion.functions.expressions import clean, number
-from papyrion.operators.raters import pair_matrix
+from papyrion.operators.raters import counted, pair_matrix, per_unit
 
 #: Raters whose sets intersections() lists: 2 ** 12 sets are held as one small table.
 MOST_RATERS = 12
@@ -20,7 +20,7 @@ MOST_RATERS = 12
 def prevalence(ratings: DataFrame, weight: str) -> DataFrame:
     """rater, dimension, category, n, denominator, prevalence, weighted_prevalence and the dimension's
     normalized_entropy by weight (0 for a single category). Blank values are no ratings."""
-    counts = ratings.where("value IS NOT NULL").groupBy("rater", "dimension", F.col("value").alias("category")).agg(F.count("*").alias("n"), F.sum(weight).alias("w"))
+    counts = counted(ratings, weight).where("value IS NOT NULL").groupBy("rater", "dimension", F.col("value").alias("category")).agg(F.sum("n").alias("n"), F.sum(weight).alias("w"))
     whole = Window.partitionBy("rater", "dimension")
     out = counts.withColumn("denominator", F.sum("n").over(whole)).withColumn("p", F.try_divide("w", F.sum("w").over(whole)))
     surprise = F.when(F.col("p") > 0, -F.col("p") * F.log("p")).otherwise(0.0)
@@ -31,8 +31,8 @@ def prevalence(ratings: DataFrame, weight: str) -> DataFrame:
 
 def _patterns(ratings: DataFrame) -> DataFrame:
     """(dimension, r, n): how many units have the same ratings r by the same raters."""
-    ratings = ratings.select("unit", "dimension", F.struct("rater", F.coalesce("value", F.lit("")).alias("value")).alias("x"))
-    return ratings.groupBy("unit", "dimension").agg(F.array_sort(F.collect_list("x")).alias("r")).groupBy("dimension", "r").agg(F.count("*").alias("n"))
+    ratings = counted(ratings).select("unit", "n", "dimension", F.struct("rater", F.coalesce("value", F.lit("")).alias("value")).alias("x"))
+    return ratings.groupBy("unit", "dimension").agg(F.array_sort(F.collect_list("x")).alias("r"), F.max("n").alias("n")).groupBy("dimension", "r").agg(F.sum("n").alias("n"))
 
 
 def confusion_tables(ratings: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def intersections(ratings: DataFrame, raters: list[str]) -> DataFrame:
     bit = F.lit(0).cast("long")
     for i, r in enumerate(raters):
         bit = F.when(F.col("rater") == r, F.lit(1 << i).cast("long")).otherwise(bit)
-    maps = ratings.where("value IS NOT NULL").groupBy("unit").agg(F.bit_or(bit).alias("bits")).groupBy("bits").agg(F.count("*").alias("n"))
+    maps = counted(ratings).where("value IS NOT NULL").groupBy("unit").agg(F.bit_or(bit).alias("bits"), F.max("n").alias("n")).groupBy("bits").agg(F.sum("n").alias("n"))
     members = lambda s: [r for i, r in enumerate(raters) if s >> i & 1]
     sets = [(s, "|".join(members(s)), len(members(s))) for s in range(1 << len(raters)) if len(members(s)) > 1]
     table = spark.createDataFrame(sets, "set long, raters string, rater_count int")
@@ -105,10 +105,11 @@ def pair_reliability(ratings: DataFrame, core: list[str]) -> tuple[DataFrame, Da
     """The pairs of raters (left_rater, right_rater, balanced_units, mean_percent_agreement, mean_alpha: plain
     means over the core dimensions that have a figure) and their dimensions (pair_matrix() with disagreements
     and classification). All figures are over the units that every rater rated."""
+    ratings = counted(per_unit(ratings)) if "n" not in ratings.columns else ratings
     matrix = pair_matrix(ratings)
     dimensions = matrix.withColumn("disagreements", F.col("comparable") - F.col("agreements")).withColumn("classification", F.when(F.col("dimension").isin(core), "Core").otherwise("Exploratory"))
     raters = ratings.agg(F.count_distinct("rater")).first()[0]
-    balanced = ratings.groupBy("unit").agg(F.count_distinct("rater").alias("m")).where(F.col("m") == raters).count()
+    balanced = ratings.groupBy("unit").agg(F.count_distinct("rater").alias("m"), F.max("n").alias("n")).where(F.col("m") == raters).agg(F.sum("n")).first()[0] or 0
     own = lambda c: F.avg(F.when(F.col("dimension").isin(core), F.col(c)))
     pairs = matrix.groupBy("left_rater", "right_rater").agg(own("percent_agreement").alias("mean_percent_agreement"), own("alpha").alias("mean_alpha"))
     return pairs.withColumn("balanced_units", F.lit(balanced).cast("long")), dimensions
@@ -117,7 +118,7 @@ def pair_reliability(ratings: DataFrame, core: list[str]) -> tuple[DataFrame, Da
 def rater_catalog(ratings: DataFrame, kinds: dict[str, str], dimensions: int, sample: int) -> DataFrame:
     """rater, kind ("human", "model" or what kinds says; null for others), available_units, completed_units (all
     dimensions rated) and provisional: a human rater who has not completed the sample."""
-    units = ratings.groupBy("rater", "unit").agg(F.count_distinct(F.when(F.col("value").isNotNull(), F.col("dimension"))).alias("d"))
-    out = units.groupBy("rater").agg(F.count("*").alias("available_units"), F.count(F.when(F.col("d") >= dimensions, 1)).alias("completed_units"))
+    units = counted(ratings).groupBy("rater", "unit").agg(F.count_distinct(F.when(F.col("value").isNotNull(), F.col("dimension"))).alias("d"), F.max("n").alias("n"))
+    out = units.groupBy("rater").agg(F.sum("n").alias("available_units"), F.coalesce(F.sum(F.when(F.col("d") >= dimensions, F.col("n"))), F.lit(0)).alias("completed_units"))
     kind = F.coalesce(*[F.when(F.col("rater") == r, F.lit(k)) for r, k in kinds.items()], F.lit(None).cast("string"))
     return out.withColumn("kind", kind).withColumn("provisional", F.coalesce(F.col("kind") == "human", F.lit(False)) & (F.col("completed_units") < sample))

@@ -29,15 +29,14 @@ def agreement_evidence(spark, d):
 @query(_L + """, h AS (SELECT unit, bool_or(rater = 'one') AS a, bool_or(rater = 'two') AS b FROM l WHERE value = 'R' AND rater IN ('one', 'two') GROUP BY unit)
 SELECT CASE WHEN a AND b THEN 'both' WHEN a THEN 'reference' ELSE 'comparison' END AS mode, count(*) AS units FROM h GROUP BY 1""")
 def evidence_modes(spark, d):
-    return robustness.evidence_modes(ratings(spark, d), "flag", "R", "one", "two").groupBy("mode").agg(F.count("*").alias("units"))
+    return robustness.evidence_modes(ratings(spark, d), "flag", "R", "one", "two").groupBy("mode").agg(F.sum("n").alias("units"))
 
 
 _RATED = _L + ", g AS (SELECT l_orderkey * 20 + l_linenumber AS unit, max(CASE WHEN l_tax < 0.04 THEN 'low' ELSE 'high' END) AS tax FROM lineitem GROUP BY 1), rl AS (SELECT l.*, tax FROM l JOIN g USING (unit) WHERE value IS NOT NULL)\n"
 
 
 def _rated(spark, d):
-    tax = table(spark, d, "lineitem").groupBy(F.expr("l_orderkey * 20 + l_linenumber").alias("unit")).agg(F.max(F.expr("CASE WHEN l_tax < 0.04 THEN 'low' ELSE 'high' END")).alias("tax"))
-    return ratings(spark, d).join(tax, "unit")
+    return ratings(spark, d, F.max(F.expr("CASE WHEN l_tax < 0.04 THEN 'low' ELSE 'high' END")).alias("tax"))
 
 
 @query(_RATED + """, c AS (SELECT rater, value, count(*) FILTER (tax = 'low') AS l, count(*) FILTER (tax = 'high') AS r FROM rl GROUP BY ALL),
