@@ -30,3 +30,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows that one task of a spread() table holds, about.
+ROWS_A_TASK = 500_000
+
+
+def spread(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """df dealt by keys to as many partitions as ``rows``, the number that it grows with, asks for, so that
+    what a task holds does not grow with the table. Later steps by the same keys stay in these partitions."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-rows // ROWS_A_TASK)), *keys)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from papyrion.functions import expressions as E
 from papyrion.operators import domains, growth, ingest, keywords, sampling
-from papyrion.plans.tables import written
+from papyrion.plans.tables import spread, written
 from papyrion.queries.base import P, papers, query, table
 
 _BRIDGE = """WITH b AS (SELECT DISTINCT l_orderkey AS paper_id, year(o_orderdate)::INT AS year, unnest(string_split(p_name, ' ')) AS keyword
@@ -24,13 +24,21 @@ row_number() OVER (PARTITION BY period ORDER BY papers DESC, keyword) AS rank FR
 """
 
 
+def _items(spark, d):
+    """Line items with their parts, an order's in one task, and a task's share of them the same at any size."""
+    items, part, orders = (table(spark, d, t) for t in ("lineitem", "part", "orders"))
+    n = items.count()
+    rows = spread(items.select("l_orderkey", "l_partkey"), ["l_partkey"], n).join(part.select("p_partkey", "p_name", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    return spread(rows.select("l_orderkey", "p_name", "p_type"), ["l_orderkey"], n), orders
+
+
 def bridge(spark, d):
-    rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows, orders = _items(spark, d)
+    rows = rows.select("l_orderkey", "p_name").distinct().join(orders.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.select(F.col("l_orderkey").alias("paper_id"), F.year("o_orderdate").cast("int").alias("year"), F.translate("p_name", " ", ";").alias("words"))
     return keywords.keyword_bridge(rows, ["words"], ["paper_id", "year"])
 
 
-
 @query(_GRID + "SELECT * FROM p")
 def keyword_period_prevalence(spark, d):
     rows = bridge(spark, d).select("paper_id", "year", "keyword")
@@ -80,7 +88,7 @@ _RULES = [("PROMO", "offer"), ("ECONOMY", "offer"), ("STANDARD", "core"), ("ECON
 x AS (SELECT DISTINCT l_orderkey, p_type AS code FROM lineitem JOIN part ON l_partkey = p_partkey)
 SELECT l_orderkey, domain, string_agg(code, ';' ORDER BY code) AS basis FROM x JOIN r USING (code) GROUP BY ALL""")
 def domain_assignment_multilabel(spark, d):
-    rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows, _ = _items(spark, d)
     return domains.assign_by_codes(rows, "l_orderkey", F.col("p_type"), spark.createDataFrame(_RULES, "code string, domain string"))
 
 
