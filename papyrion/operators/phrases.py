@@ -90,27 +90,43 @@ def detect_phrases(df: DataFrame, key: str, words: str, least: int = 5, threshol
 _TOKEN, _SIMPLE = re.compile(r"[^\W_]+"), re.compile(r"[^\W_]+(?:[ _][^\W_]+)*")
 
 
+def _folded(text: str) -> str:
+    """Text in which all that a pattern matches without regard to case is spelt alike: full case folding,
+    and both i of Turkish as i."""
+    return text.replace("\u0130", "i").replace("\u0131", "i").casefold()
+
+
 class PhraseMatcher:
     """Counts a phrase list in a text. Phrases of tokens go into one automaton of their surfaces, whose
     hits count where they begin and end with a token; others, and those that only count in upper case,
-    are patterns of their own."""
+    are patterns of their own. A second automaton, of the patterns' folded surfaces, tells which of them
+    a text may match at all, so that a text is not searched once a pattern."""
 
     def __init__(self, phrases: list[str], upper_only: list[str] = ()) -> None:
         self.automaton, surfaces, self.patterns = ahocorasick.Automaton(), {}, {}
+        self.candidates, folded = ahocorasick.Automaton(), {}
         for phrase in sorted(set(phrases)):
             if phrase in upper_only:
-                self.patterns[phrase] = re.compile(rf"\b{re.escape(phrase.upper())}\b")
+                self.patterns[phrase] = rf"\b{re.escape(phrase.upper())}\b", re.NOFLAG
+                folded.setdefault(_folded(phrase.upper()), set()).add(phrase)
             elif _SIMPLE.fullmatch(phrase):
                 for surface in {phrase.lower(), phrase.replace("_", " ").lower()}:
                     surfaces.setdefault(surface, []).append(phrase)
             else:
                 spaced = phrase.replace("_", " ")
-                self.patterns[phrase] = re.compile(rf"\b{re.escape(phrase)}\b|\b{re.escape(spaced)}\b", re.IGNORECASE)
+                self.patterns[phrase] = rf"\b{re.escape(phrase)}\b|\b{re.escape(spaced)}\b", re.IGNORECASE
+                for surface in (phrase, spaced):
+                    folded.setdefault(_folded(surface), set()).add(phrase)
         for surface, names in surfaces.items():
             self.automaton.add_word(surface, (len(surface), names))
         if surfaces:
             self.automaton.make_automaton()
         self.any = bool(surfaces)
+        for surface, names in folded.items():
+            self.candidates.add_word(surface, names)
+        if folded:
+            self.candidates.make_automaton()
+        self.compiled: dict[str, re.Pattern] = {}
 
     def counts(self, text: str) -> Counter:
         """How often each phrase is found; overlapping matches of the automaton all count."""
@@ -127,9 +143,12 @@ class PhraseMatcher:
             for last, (size, names) in self.automaton.iter(lowered):
                 if last + 1 in ends and last + 1 - size in starts:
                     found.update(names)
-        for phrase, pattern in self.patterns.items():
-            if n := sum(1 for _ in pattern.finditer(text)):
-                found[phrase] = n
+        if self.patterns:
+            for phrase in set().union(*(names for _, names in self.candidates.iter(_folded(text)))):
+                if phrase not in self.compiled:  # a task meets few of a long list's patterns
+                    self.compiled[phrase] = re.compile(*self.patterns[phrase])
+                if n := sum(1 for _ in self.compiled[phrase].finditer(text)):
+                    found[phrase] = n
         return found
 
 
