@@ -52,7 +52,8 @@ def score_relevance(df: DataFrame, text: Column, groups: dict[str, list[str]], v
     """df with, for each term group, <group>_count (terms found) and <group>_terms (";" list), and
     strict / broad. Groups are primary, secondary, strong and broad: strict wants a primary term and
     (a strong one, or two secondary ones, or a matching venue); broad also takes a broad term."""
-    body = collapse_space(text)
+    # A column of its own, which the many terms read: Spark doesn't make what several expressions read anew for each.
+    df, body = df.withColumn("_body", collapse_space(text)), F.col("_body")
     for name, terms in groups.items():
         found = F.filter(F.array(*[F.when(body.rlike(term_pattern(t)), F.lit(t)) for t in terms]), lambda x: x.isNotNull())
         df = df.withColumn(f"{name}_terms", F.array_join(found, ";")).withColumn(f"{name}_count", F.size(found))
@@ -60,7 +61,7 @@ def score_relevance(df: DataFrame, text: Column, groups: dict[str, list[str]], v
     in_venue = venue if venue is not None else F.lit(False)
     core = (count("strong") >= 1) | (count("secondary") >= 2) | in_venue
     strict = (count("primary") >= 1) & core
-    return df.withColumn("strict", strict).withColumn("broad", strict | ((count("primary") >= 1) & (count("broad") >= 1)))
+    return df.drop("_body").withColumn("strict", strict).withColumn("broad", strict | ((count("primary") >= 1) & (count("broad") >= 1)))
 
 
 def search_text(df: DataFrame, columns: list[str], separator: str = " ") -> Column:
