@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 from papyrion.functions.expressions import share
 
 
+#: Runs of punctuation that white space or an end of the text stands before or behind, found in one pass over a text.
+_MARK = r"[!-/:-@\[-^`{-~]"
+_ENDS = rf"(?U)(?={_MARK})(?<!{_MARK})(?:(?<!\S){_MARK}++|{_MARK}++(?!\S))"
+
+
 def tokens(text: Column) -> Column:
     """Lower-case white-space tokens without punctuation at their ends, underscores kept, of two or
     more characters with a letter, digit or underscore."""
-    parts = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+"), lambda t: F.regexp_replace(t, r"^[\p{Punct}&&[^_]]+|[\p{Punct}&&[^_]]+$", ""))
-    return F.filter(parts, lambda t: (F.char_length(t) >= 2) & t.rlike(r"(?U)[\w]"))
+    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _ENDS, "")
+    return F.filter(F.split(bare, r"(?U)\s+"), lambda t: (F.char_length(t) >= 2) & t.rlike(r"(?U)[\w]"))
 
 
 def ngrams(words: Column, width: int, joiner: str = " ") -> Column:

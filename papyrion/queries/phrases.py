@@ -25,7 +25,7 @@ def phrase_texts(spark, d):
 def phrase_matches(spark, d):
     """How often, and in how many documents, the collocations of all documents stand in their texts."""
     docs = table(spark, d, "documents")
-    found = phrases.phrase_table(_words(spark, d), "words")
+    found = phrases.phrase_table(_words(spark, d), "words", key="doc_id")
     hits = phrases.match_phrases(docs, "doc_id", "text", found.select("phrase"))
     return hits.groupBy("phrase").agg(F.sum("n").alias("n"), F.count_distinct("doc_id").alias("documents"))
 
