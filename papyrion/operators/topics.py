@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrion.functions.expressions import share
+from papyrion.plans.tables import written
 
 
 #: Runs of punctuation that white space or an end of the text stands before or behind, found in one pass over a text.
@@ -190,17 +191,48 @@ def fit_score(silhouette: float, diversity: float, outlier_rate: float, size_cv:
     return (silhouette + 1) / 2 * SILHOUETTE + diversity * DIVERSITY + (1 - outlier_rate) * ASSIGNED + BALANCE / (1 + size_cv)
 
 
-def choose_topic_count(df: DataFrame, key: str, vector: str, words: Column, sizes: list[int], least: int = LEAST_TOPICS, seed: int = 7, dimensions: int | None = None) -> DataFrame:
+#: Topics whose counts of a word are columns of one row.
+TOPICS_A_PASS = 64
+
+
+def top_words(models: list[PipelineModel], df: DataFrame, key: str, vector: str, words: Column, least_df: int = 2, n: int = 10, texts: DataFrame | None = None) -> DataFrame:
+    """(fit, topic, term, n, weight, rank): ctfidf() of the topics that each fit gives the rows, cut at n terms a
+    topic. A word is one row with its counts in all topics of up to TOPICS_A_PASS, so words are dealt once, not once
+    a fit and topic. The words are df's or those of ``texts``, by the key."""
+    rows = _features(df, key, vector)
+    for i, model in enumerate(models):
+        rows = model.transform(rows).select(key, "features", *[f"_t{j}" for j in range(i)], F.col("topic").alias(f"_t{i}"))
+    rows = (df if texts is None else texts).select(key, words.alias("_words")).join(rows.drop("features"), key)
+    rows = rows.select(F.explode("_words").alias("term"), *[f"_t{i}" for i in range(len(models))])
+    slots, out = [(i, t) for i, m in enumerate(models) for t in range(len(m.stages[-1].clusterCenters()))], None
+    for at in range(0, len(slots), TOPICS_A_PASS):
+        own = slots[at : at + TOPICS_A_PASS]
+        held = F.array(*[F.struct(F.lit(i).alias("fit"), F.lit(t).alias("topic"), F.col(f"_n{i}_{t}").alias("n")) for i, t in own])
+        terms = rows.groupBy("term").agg(F.count("*").alias("f"), *[F.count(F.when(F.col(f"_t{i}") == t, 1)).alias(f"_n{i}_{t}") for i, t in own])
+        terms = terms.select("term", "f", F.explode(held).alias("x")).select("term", "f", "x.*").where("n > 0")
+        out = terms if out is None else out.unionByName(terms)
+    out = written(out, "topic-words")
+    sizes = out.groupBy("fit", "topic").agg(F.sum("n").alias("words"))
+    sizes = sizes.withColumn("a", F.sum("words").over(Window.partitionBy("fit")) / F.count("*").over(Window.partitionBy("fit")))
+    out = out.where(F.col("f") >= least_df).join(F.broadcast(sizes), ["fit", "topic"])  # one row a topic
+    out = out.withColumn("weight", F.col("n") / F.col("words") * F.log1p(F.col("a") / F.col("f")))
+    place = F.row_number().over(Window.partitionBy("fit", "topic").orderBy(F.desc(F.round("weight", 12)), "term"))
+    return out.withColumn("rank", place).where(F.col("rank") <= n).select("fit", "topic", "term", "n", "weight", "rank")
+
+
+def choose_topic_count(df: DataFrame, key: str, vector: str, words: Column, sizes: list[int], least: int = LEAST_TOPICS, seed: int = 7, dimensions: int | None = None, texts: DataFrame | None = None) -> DataFrame:
     """One row a candidate size: topics, silhouette, diversity, outlier_rate, size_cv, score and
     recommended (the best score of those with at least ``least`` topics; ties to fewer topics). Each
-    candidate is one fit and three aggregates over all rows; what comes to the driver is its figures."""
+    candidate is one fit and three aggregates over all rows; what comes to the driver is its figures. The words of
+    all candidates are counted together; they are df's, or those that ``texts`` has by the key."""
     from pyspark.ml.evaluation import ClusteringEvaluator
 
+    models = [topic_fit(df, key, vector, k, seed, dimensions) for k in sizes]
+    every = written(top_words(models, df, key, vector, words, 2, 10, texts), "top-words")
     found = []
-    for k in sizes:
-        fitted = fit_topics(df, key, vector, k, seed, dimensions)
-        terms = ctfidf(fitted.select(key, "topic").join(df.select(key, words.alias("_words")), key), "topic", F.col("_words"), 2, 10)
-        quality = topic_quality(fitted, terms).first()
+    for i, (k, model) in enumerate(zip(sizes, models, strict=True)):
+        fitted = assigned_by(model, df, key, vector)
+        quality = topic_quality(fitted, every.where(F.col("fit") == i)).first()
         several = quality.topics > 1
         silhouette = ClusteringEvaluator(predictionCol="topic", featuresCol="features").evaluate(fitted) if several else 0.0
         figures = (float(silhouette), float(quality.diversity or 0.0), float(quality.outlier_rate), float(quality.size_cv or 0.0))

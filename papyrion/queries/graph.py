@@ -300,8 +300,8 @@ def topic_density(spark, d):
 def topic_count_choice(spark, d):
     """The figures of three candidate sizes over the embeddings, by the words of the documents of their ids, and the recommended one."""
     words = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), topics.tokens(F.col("text")).alias("w"))
-    rows = table(spark, d, "embeddings").select("vec_id", "embedding").join(words, "vec_id", "left")
-    return topics.choose_topic_count(rows, "vec_id", "embedding", F.coalesce("w", F.array().cast("array<string>")), [4, 8, 16], dimensions=16)
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return topics.choose_topic_count(rows, "vec_id", "embedding", F.col("w"), [4, 8, 16], dimensions=16, texts=words)
 
 
 @query()
