@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,13 +19,20 @@ from papyrion.plans.tables import written
 #: Runs of punctuation that white space or an end of the text stands before or behind, found in one pass over a text.
 _MARK = r"[!-/:-@\[-^`{-~]"
 _ENDS = rf"(?U)(?={_MARK})(?<!{_MARK})(?:(?<!\S){_MARK}++|{_MARK}++(?!\S))"
+_MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "_")
+
+#: White space and what a token has one of, spelt alike in Java's patterns, Arrow's and SQL's.
+_SPACE, _LETTER = r"[\t-\r \x{85}\p{Z}]+", r"[\p{L}\p{M}\p{N}_]"
+
+#: Bytes of a block of texts, and of all texts that have their pairs in one bucket, about.
+BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 8 << 20
 
 
 def tokens(text: Column) -> Column:
     """Lower-case white-space tokens without punctuation at their ends, underscores kept, of two or
     more characters with a letter, digit or underscore."""
     bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _ENDS, "")
-    return F.filter(F.split(bare, r"(?U)\s+"), lambda t: (F.char_length(t) >= 2) & t.rlike(r"(?U)[\w]"))
+    return F.filter(F.split(bare, _SPACE), lambda t: (F.char_length(t) >= 2) & t.rlike(_LETTER))
 
 
 def ngrams(words: Column, width: int, joiner: str = " ") -> Column:
@@ -37,15 +49,84 @@ def phrase_counts(df: DataFrame, key: str, words: Column, phrases: DataFrame, wi
     return rows.join(phrases.select("phrase").distinct(), "phrase").groupBy(key, "phrase").agg(F.count("*").alias("n"))
 
 
-def npmi_bigrams(df: DataFrame, words: Column, least: int = 5, threshold: float = 0.5) -> DataFrame:
-    """Bigrams found ``least`` times or more whose normalised pointwise mutual information reaches
-    the threshold: left_word, right_word, n, npmi."""
-    lists = df.select(words.alias("w"))
-    singles = lists.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("c"))
-    pairs = lists.select(F.explode(F.when(F.size("w") > 1, F.arrays_zip(F.expr("slice(w, 1, size(w) - 1)").alias("a"), F.expr("slice(w, 2, size(w) - 1)").alias("b")))).alias("x"))
-    pairs = pairs.groupBy(F.col("x.a").alias("left_word"), F.col("x.b").alias("right_word")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    total = singles.agg(F.sum("c").alias("t")).withColumn("k", F.lit(1))
-    s = lambda side: singles.select(F.col("word").alias(f"{side}_word"), F.col("c").alias(f"{side}_c"))
+def _encoded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(vocabulary, ids, row) of the tokens() of lower-case texts: white space and marks are looked for in a text,
+    what makes a token in the different ones alone."""
+    lists = pc.split_pattern(pc.replace_substring_regex(texts, _SPACE, " "), " ")
+    found = lists.flatten().dictionary_encode()
+    bare = pc.ascii_trim(found.dictionary, characters=_MARKS)
+    kept = pc.and_(pc.greater_equal(pc.utf8_length(bare), 2), pc.match_substring_regex(bare, _LETTER))
+    spelt = pc.if_else(kept, bare, pa.scalar(None, bare.type)).dictionary_encode()
+    ids = spelt.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)[found.indices.to_numpy(zero_copy_only=False)]
+    row = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+    return spelt.dictionary, ids[ids >= 0], row[ids >= 0]
+
+
+def _block_pairs(texts: pa.Array, buckets: int) -> pa.RecordBatch:
+    """(bucket, left_words, right_words, n) of a block of texts, a row a bucket, words joined by line feeds: how often
+    words stand side by side, and with an empty word at its right, how often a word stands at all."""
+    vocabulary, ids, row = _encoded(texts)
+    size = len(vocabulary) + 1
+    keys, n = np.unique((ids[:-1] * size + ids[1:])[row[:-1] == row[1:]], return_counts=True)
+    left, right = np.divmod(np.concatenate([keys, np.arange(1, size) * size - 1]), size)
+    n = np.concatenate([n, np.bincount(ids, minlength=size - 1)]).astype(np.int32)
+    vocabulary = pa.concat_arrays([vocabulary, pa.array([""], vocabulary.type)])
+    mixed = pd.util.hash_array(vocabulary.to_numpy(zero_copy_only=False), categorize=False)
+    bucket = (((mixed[left] * np.uint64(0x9E3779B97F4A7C15) + mixed[right]) >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    own, starts = np.unique(bucket[order], return_index=True)
+    ends = pa.array(np.append(starts, len(order)).astype(np.int32))
+    words = (pc.binary_join(pa.ListArray.from_arrays(ends, vocabulary.take(pa.array(side[order]))), "\n") for side in (left, right))
+    return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), *words, pa.ListArray.from_arrays(ends, pa.array(n[order]))], ["bucket", "left_words", "right_words", "n"])
+
+
+def _bucket_pairs(table: pa.Table, least: int) -> pa.Table:
+    """(left_word, right_word, n) of a bucket: the pairs and words found ``least`` times or more in all blocks, and
+    without any word, how many words there are."""
+    words = [pc.split_pattern(table.column(f"{side}_words"), "\n").combine_chunks().flatten().dictionary_encode() for side in ("left", "right")]
+    n, size = table.column("n").combine_chunks().flatten().to_numpy().astype(np.int64), len(words[1].dictionary)
+    left, right = (w.indices.to_numpy().astype(np.int64) for w in words)
+    total = n[right == pc.index(words[1].dictionary, "").as_py()].sum()
+    keys = left * size + right
+    order = np.argsort(keys)
+    first = np.flatnonzero(np.diff(keys[order], prepend=-1))
+    keys, n = keys[order][first], np.add.reduceat(n[order], first)
+    keys, n = keys[n >= least], n[n >= least]
+    found = [pa.concat_arrays([w.dictionary.take(pa.array(at)), pa.array([""], w.dictionary.type)]) for w, at in zip(words, np.divmod(keys, size), strict=True)]
+    return pa.table([*found, pa.array(np.append(n, total))], ["left_word", "right_word", "n"])
+
+
+def npmi_bigrams(df: DataFrame, text: str, least: int = 5, threshold: float = 0.5) -> DataFrame:
+    """Bigrams of a text column's tokens() found ``least`` times or more whose normalised pointwise mutual
+    information reaches the threshold: left_word, right_word, n, npmi.
+
+    Texts are read once. Blocks of them deal their different words and pairs to buckets, which keep what is
+    frequent: a word of a frequent pair is frequent too."""
+    lowered = df.select(F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    size_of_all = df.agg(F.sum(F.octet_length(text)).alias("t")).first()["t"] or 0
+    most, buckets = BLOCK_BYTES, min(max(16, 1 << (size_of_all // BUCKET_BYTES).bit_length()), 1 << 15)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            ends = size + np.cumsum(pc.binary_length(batch.column(0)).to_numpy().astype(np.int64))
+            cuts = np.flatnonzero(np.diff(ends // most, prepend=0))
+            for i, (start, end) in enumerate(zip([0, *cuts], [*cuts, len(ends)], strict=True)):
+                if i and held:
+                    yield _block_pairs(pa.concat_arrays(held), buckets)
+                    held = []
+                if end > start:
+                    held.append(batch.column(0).slice(start, end - start))
+            size = ends[-1] % most if len(ends) else size
+        if held:
+            yield _block_pairs(pa.concat_arrays(held), buckets)
+
+    sent = lowered.mapInArrow(blocks, "bucket long, left_words string, right_words string, n array<int>")
+    counts = sent.groupBy("bucket").applyInArrow(lambda table: _bucket_pairs(table, least), "left_word string, right_word string, n long")
+    counts = written(counts, "npmi-counts")
+    singles, pairs = counts.where((F.col("left_word") != "") & (F.col("right_word") == "")), counts.where(F.col("right_word") != "")
+    total = counts.where(F.col("left_word") == "").agg(F.sum("n").alias("t")).withColumn("k", F.lit(1))
+    s = lambda side: singles.select(F.col("left_word").alias(f"{side}_word"), F.col("n").alias(f"{side}_c"))
     out = pairs.join(s("left"), "left_word").join(s("right"), "right_word").withColumn("k", F.lit(1)).join(F.broadcast(total), "k")  # one row
     p = F.col("n") / F.col("t")
     npmi = F.log(p / (F.col("left_c") / F.col("t") * (F.col("right_c") / F.col("t")))) / -F.log(p)

@@ -226,7 +226,7 @@ p AS (SELECT a AS left_word, b AS right_word, count(*) AS n FROM (SELECT unnest(
 m AS (SELECT left_word, right_word, n, ln((n / t) / ((l.c / t) * (r.c / t))) / -ln(n / t) AS npmi FROM p JOIN s l ON l.word = left_word JOIN s r ON r.word = right_word, t)
 SELECT left_word, right_word, n, round(npmi, 6) AS npmi FROM m WHERE npmi >= 0.5""")
 def npmi_bigrams(spark, d):
-    return topics.npmi_bigrams(_docs(spark, d), F.col("w"), 20, 0.5).withColumn("npmi", F.round("npmi", 6))
+    return topics.npmi_bigrams(table(spark, d, "documents"), "text", 20, 0.5).withColumn("npmi", F.round("npmi", 6))
 
 
 @query(f"""WITH d AS (SELECT source AS topic, unnest({_WORDS}) AS term FROM documents), n AS (SELECT topic, term, count(*) AS n FROM d GROUP BY ALL),
